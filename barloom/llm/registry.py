@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from barloom.llm import mixing
+from barloom.llm import fingerprint, mixing
 
 
 def queries() -> dict:
     return {
+        "op1_content_fingerprints": fingerprint.op1_content_fingerprints,
         "op4_mix_sources": mixing.op4_mix_sources,
     }
 
