@@ -63,20 +63,26 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(joined, np.uint8), start
 
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+
+
 def words(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
     """Words [^\\x20\\x09-\\x0D]+ with A-Z in lower case: a code for each word in order, the distinct words, and where
     each text's words begin (one more than texts). Null counts as empty."""
-    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
-    coded = split.flatten().dictionary_encode()
-    begin = split.offsets.to_numpy().astype(np.int64)
-    begin -= begin[0]
-    code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    distinct = coded.dictionary.to_pylist()
-    if "" in distinct:  # what stands before a leading blank or after a trailing one
-        kept = code != distinct.index("")
-        begin = np.concatenate(([0], np.cumsum(kept)))[begin]
-        code = code[kept]
-    return code, distinct, begin
+    raw, start = text_bytes(texts)
+    inside = ~_BLANK[raw]
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    edge = start[:-1][np.diff(start) > 0]
+    first[edge] = inside[edge]
+    at = np.flatnonzero(first)
+    kept = _LOWER[raw[inside]]
+    offset = np.append(np.cumsum(inside)[at] - 1, len(kept)).astype(np.int64)
+    coded = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(offset), pa.py_buffer(kept)).dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist(), np.searchsorted(at, start)
 
 
 def hash64(texts: list[str], seed: int = 0) -> np.ndarray:

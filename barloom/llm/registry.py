@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from barloom.llm import fingerprint, mixing
+from barloom.llm import fingerprint, mixing, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_content_fingerprints": fingerprint.op1_content_fingerprints,
         "op4_mix_sources": mixing.op4_mix_sources,
+        "op6_toxicity": toxicity.op6_toxicity,
     }
 
 
