@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from barloom.llm import fingerprint, mixing, toxicity
+from barloom.llm import fingerprint, mixing, pii, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_content_fingerprints": fingerprint.op1_content_fingerprints,
+        "op2_pii": pii.op2_pii,
         "op4_mix_sources": mixing.op4_mix_sources,
         "op6_toxicity": toxicity.op6_toxicity,
     }
