@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barloom.llm import fingerprint, mixing, pii, toxicity
+from barloom.llm import decontaminate, fingerprint, mixing, pii, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_content_fingerprints": fingerprint.op1_content_fingerprints,
         "op2_pii": pii.op2_pii,
         "op4_mix_sources": mixing.op4_mix_sources,
+        "op5_benchmark_leaks": decontaminate.op5_benchmark_leaks,
         "op6_toxicity": toxicity.op6_toxicity,
     }
 
