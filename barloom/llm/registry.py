@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barloom.llm import decontaminate, fingerprint, mixing, pii, toxicity
+from barloom.llm import decontaminate, fingerprint, jaccard, mixing, pii, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op4_mix_sources": mixing.op4_mix_sources,
         "op5_benchmark_leaks": decontaminate.op5_benchmark_leaks,
         "op6_toxicity": toxicity.op6_toxicity,
+        "op9_near_duplicates": jaccard.op9_near_duplicates,
     }
 
 
