@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barloom.llm import decontaminate, fingerprint, jaccard, mixing, pii, toxicity
+from barloom.llm import decontaminate, fingerprint, jaccard, mixing, pii, suffixes, toxicity
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op5_benchmark_leaks": decontaminate.op5_benchmark_leaks,
         "op6_toxicity": toxicity.op6_toxicity,
         "op9_near_duplicates": jaccard.op9_near_duplicates,
+        "op10_repeated_substrings": suffixes.op10_repeated_substrings,
     }
 
 
