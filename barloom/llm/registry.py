@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from barloom.llm import decontaminate, fingerprint, jaccard, mixing, pii, suffixes, toxicity
+from barloom.llm import decontaminate, fingerprint, jaccard, katz, mixing, pii, suffixes, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_content_fingerprints": fingerprint.op1_content_fingerprints,
         "op2_pii": pii.op2_pii,
+        "op3_katz_scores": katz.op3_katz_scores,
         "op4_mix_sources": mixing.op4_mix_sources,
         "op5_benchmark_leaks": decontaminate.op5_benchmark_leaks,
         "op6_toxicity": toxicity.op6_toxicity,
