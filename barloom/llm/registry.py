@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barloom.llm import decontaminate, fingerprint, jaccard, katz, mixing, pii, sentences, suffixes, toxicity
+from barloom.llm import decontaminate, fingerprint, jaccard, katz, licenses, mixing, pii, sentences, suffixes, toxicity
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_benchmark_leaks": decontaminate.op5_benchmark_leaks,
         "op6_toxicity": toxicity.op6_toxicity,
         "op7_sentence_spans": sentences.op7_sentence_spans,
+        "op8_license_scan": licenses.op8_license_scan,
         "op9_near_duplicates": jaccard.op9_near_duplicates,
         "op10_repeated_substrings": suffixes.op10_repeated_substrings,
     }
