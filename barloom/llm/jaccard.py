@@ -23,6 +23,8 @@ from barloom.llm.components import components
 
 WIDTH, PERCENT = 5, 80
 _U = np.uint64
+#: Sets of bands up to this size take double segments with neighbourhoods.
+SMALL = 256
 #: Partners of a document that one verification group holds, about.
 GROUP_PARTNERS = 256
 
@@ -73,12 +75,31 @@ def bands(most: int = 1 << 40, percent: int = PERCENT) -> list[int]:
 
 
 def scheme(upper: int, percent: int = PERCENT) -> tuple[int, int]:
-    """(segments, how many of the first ones have one-deletion neighbourhoods) of the band whose last size is upper."""
-    m = (100 - percent) * 2 * upper // (100 + percent) + 1
+    """(segments, how many of the first ones have one-deletion neighbourhoods) of the band whose last size is upper.
+
+    Plain segments cost one signature each, but short ones also agree where two texts only share a passage; segments
+    of double length with their neighbourhoods cost about five times as many signatures and agree far more rarely.
+    Small sets, for which a passage is a large part, take the latter; large ones the former, with just so many
+    neighbourhoods as make up for empty segments."""
+    budget = (100 - percent) * 2 * upper // (100 + percent)
+    if upper <= SMALL:
+        m = budget // 2 + 2
+        return m, m
+    m = budget + 1
     empty = m * math.exp(-upper / m)
     return m, min(m, math.ceil(empty + 3 * math.sqrt(empty) + 1))
 
 
+def parity_bits(h: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """128 bits for each set (two 64-bit numbers): bit i tells whether an odd number of members hash to i. Two sets
+    differ by at least as many members as their bits differ."""
+    n = len(begin) - 1
+    doc = np.repeat(np.arange(n), np.diff(begin))
+    at = (mix64(h + _U(29)) & _U(127)).astype(np.int64)
+    odd = np.bincount(doc * 128 + at, minlength=128 * n).reshape(n, 128) & 1
+    return np.packbits(odd.astype(np.uint8), axis=1).view(np.uint64).reshape(n, 2)
+
+
 def signatures(h: np.ndarray, begin: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
     """(number of the set, 64-bit signature): two sets with a Jaccard similarity of percent/100 share a signature."""
     size = np.diff(begin)
@@ -124,7 +145,7 @@ def signatures(h: np.ndarray, begin: np.ndarray, percent: int = PERCENT) -> tupl
         salt = mix64(upper[owner].astype(_U) * _U(1 << 20) + index.astype(_U))
         docs.append(owner[plain])
         sigs.append(mix64(content[plain] + salt[plain]))
-        hollow = (count == 0) & poor[owner]
+        hollow = ((count == 0) | ((count == 1) & (index < deep[owner]))) & poor[owner]
         docs.append(owner[hollow])
         sigs.append(mix64(salt[hollow] + _U(11)))
         near = np.flatnonzero((plain & double)[cell]) if len(cell) else np.zeros(0, np.int64)
@@ -137,78 +158,128 @@ def _read(table_: pa.Table, column: str, kind) -> np.ndarray:
     return np.frombuffer(b"".join(table_[column].to_pylist()), kind)
 
 
+_MEMBER = np.dtype([("key", "<i8"), ("size", "<u4"), ("count", "<u4"), ("bits", "<u8", 2)])
+
+
 def _sets_and_postings(docs: DataFrame, buckets: int) -> DataFrame:
-    """One pass over the texts: a row (doc_id, n, v) for each, and packed postings (bucket, keys, counts, sigs)."""
+    """One pass over the texts: the sets (doc_ids, n, v) of each slice, and packed postings by bucket (members: key,
+    size, parity bits and number of signatures; signatures). A task sends the postings of equal sets once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()  # keys whose postings this task has sent
-        names = ["doc_id", "n", "v", "bucket", "keys", "counts", "sigs"]
+        seen: set[int] = set()
+        names = ["bucket", "doc_ids", "n", "v", "members", "sigs"]
+        kinds = [pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
         for part in slices(batches, limit=4 << 20):
             h, begin = shingle_sets(part["text"])
             key, size = set_keys(h, begin), np.diff(begin)
-            none = lambda kind: pa.nulls(part.num_rows, kind)
-            yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(size), pa.array(key), none(pa.int32()), none(pa.binary()), none(pa.binary()), none(pa.binary())], names)
+            rows: list[tuple] = [(int(key[0] % buckets), part["doc_id"].to_pylist(), size, key, None, None)]
             fresh = np.zeros(len(key), bool)
             for i, k in enumerate(key.tolist()):
                 if k and k not in seen:
                     seen.add(k)
                     fresh[i] = True
-            keep = np.repeat(fresh, size)
-            doc, sig = signatures(h[keep], np.concatenate([[0], np.cumsum(size[fresh])]))
-            own = key[fresh]
+            own_h, own_begin = h[np.repeat(fresh, size)], np.concatenate([[0], np.cumsum(size[fresh])])
+            doc, sig = signatures(own_h, own_begin)
+            member = np.zeros(int(fresh.sum()), _MEMBER)
+            member["key"], member["size"], member["bits"] = key[fresh], size[fresh], parity_bits(own_h, own_begin)
             bucket = (sig % _U(buckets)).astype(np.int64)
             order = np.lexsort((doc, bucket))
             doc, sig, bucket = doc[order], (sig[order] >> _U(32)).astype(np.uint32), bucket[order]
-            rows = []
-            for a, b in zip(*(lambda c: (c[:-1], c[1:]))(np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]]))):
-                if b > a:
-                    who, n = np.unique(doc[a:b], return_counts=True)
-                    rows.append((int(bucket[a]), own[who].tobytes(), n.astype(np.uint32).tobytes(), sig[a:b].tobytes()))
-            if rows:
-                c = list(zip(*rows))
-                none = lambda kind: pa.nulls(len(rows), kind)
-                yield pa.RecordBatch.from_arrays([none(pa.int64()), none(pa.int64()), none(pa.int64()), pa.array(c[0], pa.int32()), *(pa.array(x, pa.binary()) for x in c[1:])], names)
-
-    return docs.mapInArrow(run, "doc_id long, n long, v long, bucket int, keys binary, counts binary, sigs binary")
+            for a, b in _cuts(bucket):
+                who, n = np.unique(doc[a:b], return_counts=True)
+                sent = member[who]
+                sent["count"] = n
+                rows.append((int(bucket[a]), None, None, None, sent.tobytes(), sig[a:b].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+
+    return docs.mapInArrow(run, "bucket int, doc_ids array<long>, n array<long>, v array<long>, members binary, sigs binary")
+
+
+def _cuts(value: np.ndarray) -> list[tuple[int, int]]:
+    c = np.concatenate([[0], np.flatnonzero(np.diff(value)) + 1, [len(value)]]).tolist()
+    return [(a, b) for a, b in zip(c, c[1:]) if b > a]
+
+
+def may_link(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether two members' sizes and parity bits leave room for a link; never wrong about a pair that links."""
+    n = a["size"].astype(np.int64) + b["size"]
+    least = np.minimum(a["size"], b["size"]).astype(np.int64)
+    differ = np.bitwise_count(a["bits"] ^ b["bits"]).astype(np.int64).sum(-1)
+    return (100 * least >= PERCENT * (n - least)) & (differ * (100 + PERCENT) <= (100 - PERCENT) * n)
+
+
+def candidates(group: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[np.ndarray]]:
+    """Of members that share a signature: the pairs to verify, and the stars (pivot, then its partners).
+
+    The least member is paired with all that may link to it. The others can't be in a component through it alone:
+    each is paired with those partners to which it may link, and the others go on among themselves."""
+    pairs, stars = [], []
+    while len(group) > 1:
+        pivot, rest = group[0], group[1:]
+        near = may_link(pivot, rest)
+        close, group = rest[near], rest[~near]
+        if len(close):
+            pairs.append((close["key"], np.full(len(close), pivot["key"])))
+        if len(close) > 1:
+            stars.append(np.concatenate([[pivot["key"]], close["key"]]))
+        few, many = (close, group) if len(close) < len(group) else (group, close)
+        for x in few if len(many) else ():
+            with_x = many[may_link(x, many)]["key"]
+            if len(with_x):
+                pairs.append((np.maximum(with_x, x["key"]), np.minimum(with_x, x["key"])))
+    return pairs, stars
 
 
 def _meet(postings: DataFrame, buckets: int) -> DataFrame:
-    """Where sets share a signature: packed pairs (to, a, b) of each set with the least of its group, and groups of
-    three and more (gid, pivot, members)."""
+    """Where sets share a signature: packed pairs (to, a, b) that may link, and stars of three and more (gid, pivot,
+    members). The sets pass through."""
 
     def run(rows: pa.Table) -> pa.Table:
-        key = np.repeat(_read(rows, "keys", np.int64), _read(rows, "counts", np.uint32))
-        sig = _read(rows, "sigs", np.uint32)
+        members = [np.frombuffer(x, _MEMBER) for x in rows["members"].to_pylist() if x is not None]
+        member = np.concatenate(members or [np.zeros(0, _MEMBER)])
+        index = np.repeat(np.arange(len(member)), member["count"])
+        sig = np.frombuffer(b"".join(x for x in rows["sigs"].to_pylist() if x is not None), np.uint32)
+        key = member["key"][index]
         order = np.lexsort((key, sig))
-        key, sig = key[order], sig[order]
+        index, key, sig = index[order], key[order], sig[order]
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (sig[1:] != sig[:-1])
-        key, sig = key[new], sig[new]
+        index, sig = index[new], sig[new]
         start = np.concatenate([[0], np.flatnonzero(np.diff(sig)) + 1]) if len(sig) else np.zeros(0, np.int64)
         size = np.diff(np.append(start, len(sig)))
-        start, size = start[size > 1], size[size > 1]
-        pivot = np.repeat(key[start], size - 1)
-        other = key[np.repeat(start + 1, size - 1) + spread(size - 1)]
-        pair = np.unique(np.stack([other, pivot], 1), axis=0) if len(other) else np.zeros((0, 2), np.int64)
+        two = start[size == 2]
+        a, b = member[index[two + 1]], member[index[two]]
+        ok = may_link(a, b)
+        pairs, out, done = [(a["key"][ok], b["key"][ok])], [], set()
+        for at, n in zip(start[size > 2].tolist(), size[size > 2].tolist()):
+            group = member[index[at : at + n]]
+            gid = _group_id(group["key"])
+            if gid in done:
+                continue
+            done.add(gid)
+            more, stars = candidates(group)
+            pairs += more
+            for star in stars:
+                gid = _group_id(star)
+                if gid not in done:
+                    done.add(gid)
+                    out.append((None, None, None, gid, int(star[0]), star[1:], None, None, None))
+        pair = np.unique(np.stack([np.concatenate([x for x, _ in pairs]), np.concatenate([y for _, y in pairs])], 1), axis=0)
         to = (mix64(pair[:, 0].astype(_U)) % _U(buckets)).astype(np.int64)
         order = np.argsort(to, kind="stable")
         pair, to = pair[order], to[order]
-        out = []
-        for a, b in zip(*(lambda c: (c[:-1], c[1:]))(np.concatenate([[0], np.flatnonzero(np.diff(to)) + 1, [len(to)]]))):
-            if b > a:
-                out.append((int(to[a]), pair[a:b, 0].tobytes(), pair[a:b, 1].tobytes(), None, None, None))
-        done = set()
-        for a, n in zip(start[size > 2].tolist(), size[size > 2].tolist()):
-            members = key[a : a + n]
-            gid = int(mix64(np.array([mix64(members.astype(_U)).sum()], _U))[0] >> _U(1))
-            if gid not in done:
-                done.add(gid)
-                out.append((None, None, None, gid, int(members[0]), members))
-        kinds = [pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-        c = list(zip(*out)) or [()] * 6
-        return pa.Table.from_arrays([pa.array(x, k) for x, k in zip(c, kinds)], ["to", "a", "b", "gid", "pivot", "members"])
-
-    return postings.groupBy("bucket").applyInArrow(run, "to int, a binary, b binary, gid long, pivot long, members array<long>")
+        out += [(int(to[a]), pair[a:b, 0].tobytes(), pair[a:b, 1].tobytes(), None, None, None, None, None, None) for a, b in _cuts(to)]
+        out += [(None,) * 6 + x for x in zip(*(rows[c].to_pylist() for c in ("doc_ids", "n", "v"))) if x[0] is not None]
+        longs = pa.list_(pa.int64())
+        kinds = [pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), longs, longs, longs, longs]
+        c = list(zip(*out)) or [()] * 9
+        return pa.Table.from_arrays([pa.array(x, k) for x, k in zip(c, kinds)], ["to", "a", "b", "gid", "pivot", "members", "doc_ids", "n", "v"])
+
+    return postings.groupBy("bucket").applyInArrow(run, "to int, a binary, b binary, gid long, pivot long, members array<long>, doc_ids array<long>, n array<long>, v array<long>")
+
+
+def _group_id(keys: np.ndarray) -> int:
+    return int(mix64(np.array([mix64(keys.astype(_U)).sum()], _U))[0] >> _U(1))
 
 
 def _distinct_pairs(packed: DataFrame) -> DataFrame:
@@ -259,18 +330,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component_id is the smallest id that can be reached by links. Equal sets are one vertex; rows with equal ids are
     rows of their own; a null id is never the smallest of several. Other columns are not looked at.
 
-    Each group of sets that share a signature is verified against its least member; only where some members do not
-    link to that one, these are verified against the others of another component, but for those whose distances to
-    the least member differ too much for a link (the Jaccard distance is a metric). So no link between components is
-    lost, and a group of copies costs as many verifications as it has members.
+    Of a group of sets that share a signature, the least member is verified against those that may link to it by
+    size and parity bits. Where some of these do not link and stay in another component, they are verified against
+    the others, but for those whose distances to the least member differ too much for a link (the Jaccard distance is
+    a metric). So no link between components is lost, and a group of copies costs as many verifications as it has
+    members.
     """
     spark = docs.sparkSession
     buckets = partitions(spark)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    scanned = stored(_sets_and_postings(base, buckets), "sets")
-    sets = scanned.filter("v is not null").select("doc_id", "n", "v")
+    hits = stored(_meet(_sets_and_postings(base, buckets), buckets), "hits")
+    zipped = F.explode(F.arrays_zip("doc_ids", "n", "v")).alias("x")
+    sets = stored(hits.filter("doc_ids is not null").select(zipped).select("x.doc_ids", "x.n", "x.v").toDF("doc_id", "n", "v"), "sets")
     classes = stored(sets.filter("v <> 0").groupBy("v").agg(F.min("doc_id").alias("rep")), "classes")
-    hits = stored(_meet(scanned.filter("bucket is not null").select("bucket", "keys", "counts", "sigs"), buckets), "hits")
     pairs = stored(_distinct_pairs(hits.filter("to is not null").select("to", "a", "b")), "pairs")
     wanted = pairs.select(F.explode(F.array("v", "p")).alias("v")).distinct().join(classes, "v").select("v", F.col("rep").alias("doc_id"))
     texts = stored(_texts_of(base, wanted), "texts")
@@ -278,10 +350,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = first.filter("linked").select(F.col("v").alias("a"), F.col("p").alias("b"))
     comps = stored(components(links), "components")
 
-    failed = first.filter("not linked")
-    groups = hits.filter("gid is not null").join(failed.select(F.col("p").alias("pivot")).distinct(), "pivot", "left_semi").dropDuplicates(["gid"])
-    members = stored(groups.select("gid", F.col("pivot").alias("p"), F.explode("members").alias("v")), "members")
-    known = members.join(first, ["v", "p"], "left").join(comps, "v", "left").select("gid", "v", F.coalesce("root", "v").alias("root"), F.coalesce("distance", F.lit(0.0)).alias("d"), F.coalesce("linked", F.lit(True)).alias("linked"))
+    root_of = lambda name: comps.select(F.col("v").alias(name), F.col("root").alias(f"{name}_root"))
+    failed = first.filter("not linked").join(root_of("v"), "v", "left").join(root_of("p"), "p", "left")
+    apart = failed.filter(F.coalesce("v_root", "v") != F.coalesce("p_root", "p")).select(F.col("p").alias("pivot")).distinct()
+    stars = hits.filter("gid is not null").select("gid", "pivot", "members").join(stored(apart, "apart"), "pivot", "left_semi")
+    members = stored(stars.select("gid", F.col("pivot").alias("p"), F.explode("members").alias("v")).distinct(), "members")
+    known = members.join(first, ["v", "p"]).join(comps, "v", "left").select("gid", "v", F.coalesce("root", "v").alias("root"), F.col("distance").alias("d"), "linked")
     known = stored(known, "known")
     stray = known.filter("not linked").select("gid", F.col("v").alias("f"), F.col("root").alias("f_root"), F.col("d").alias("f_d"))
     more = stray.join(known, "gid").filter((F.col("root") != F.col("f_root")) & (F.abs(F.col("d") - F.col("f_d")) <= 1 - PERCENT / 100 + 1e-9))
