@@ -2,10 +2,321 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from barloom.functions.frames import lag, roll
+from barloom.functions.recursive import ema
+from barloom.operators import align, backtest, families, geometry, splits, stats
+from barloom.operators.bars import bars, daily_bars, direction, forward_label, forward_return, ticks
+from barloom.plans import sql
 
-def oracle_sql() -> dict:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE: dict[str, str] = {}
+KEY = ["symbol", "timestamp"]
+M = "MARKET_FEATURES_"
+
+
+def query(name: str, oracle: str | None = None):
+    def keep(f: Query) -> Query:
+        QUERIES[name] = f
+        if oracle is not None:
+            ORACLE[name] = oracle
+        return f
+
+    return keep
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLE)
+
+
+def at(spark: SparkSession, d: str, hours: int = 4) -> DataFrame:
+    return bars(ticks(spark, d), hours)
+
+
+def shown(df: DataFrame, columns: list[str], keys: list[str] | None = None, digits: int = 6) -> DataFrame:
+    """Keys and columns, doubles rounded so that engines agree on them."""
+    kinds = dict(df.dtypes)
+    return df.select(*(KEY if keys is None else keys), *[F.round(c, digits).alias(c) if kinds[c] == "double" else F.col(c) for c in columns])
+
+
+def simple(name: str, columns: dict[str, str], build, hours: int = 4, before: str = "", source: str = "bars", digits: int = 6) -> None:
+    """A query that adds columns to bars; columns: name -> SQL expression over source."""
+    body = ", ".join(f'round({e}, {digits}) AS "{c}"' for c, e in columns.items())
+    query(name, f"WITH {sql.bars(hours)}{before} SELECT symbol, timestamp, {body} FROM {source}")(lambda s, d: shown(build(at(s, d, hours)), list(columns), digits=digits))
+
+
+# --- bars, direction, returns ---
+
+for hours in (1, 4, 12, 24):
+    query(f"bars_{hours}h", f"WITH {sql.bars(hours)} SELECT symbol, interval, timestamp, open, high, low, close, round(volume, 6) AS volume, trades FROM bars")(
+        lambda s, d, hours=hours: shown(at(s, d, hours), ["interval", "open", "high", "low", "close", "volume", "trades"])
+    )
+
+query("bars_lineitem", """
+  SELECT 'lineitem' AS symbol, date_trunc('day', l_shipdate)::TIMESTAMP AS timestamp, arg_min(l_extendedprice, k) AS open, max(l_extendedprice) AS high, min(l_extendedprice) AS low,
+         arg_max(l_extendedprice, k) AS close, round(sum(l_quantity), 6) AS volume, count(*) AS trades
+  FROM (SELECT *, (l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS k FROM lineitem) GROUP BY ALL""")(
+    lambda s, d: shown(daily_bars(s, d).withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz")), ["open", "high", "low", "close", "volume", "trades"])
+)
+query("direction", f"WITH {sql.bars(4)} SELECT symbol, timestamp, coalesce((close > {sql.lag('close')})::INT, 0) AS direction FROM bars")(lambda s, d: at(s, d).select(*KEY, direction().alias("direction")))
+
+RET = f", r AS (SELECT *, close / {sql.lag('close')} - 1 AS ret FROM bars), v AS (SELECT *, ret - {sql.lag('ret')} AS vel FROM r), a AS (SELECT *, vel - {sql.lag('vel')} AS acc FROM v)"
+simple("returns", {f"{M}price_return": "ret", f"{M}price_velocity": "vel", f"{M}price_acceleration": "acc", f"{M}return_lag_1": sql.lag("ret"), f"{M}velocity_lag_1": sql.lag("vel"), f"{M}acceleration_lag_1": sql.lag("acc")}, families.market, before=RET, source="a")
+simple("volatility", {f"{M}volatility_{n}": sql.roll("stddev_samp", "ret", n) for n in (4, 8)}, families.market, before=RET, source="a")
+SPAN = "(high - low + 1e-8)"
+simple("candle_ratios", {
+    f"{M}candle_body_ratio": f"(close - open) / {SPAN}", f"{M}upper_shadow_ratio": f"(high - greatest(open, close)) / {SPAN}", f"{M}lower_shadow_ratio": f"(least(open, close) - low) / {SPAN}",
+    f"{M}close_position_ratio": f"(close - low) / {SPAN}", f"{M}open_position_ratio": f"(open - low) / {SPAN}", f"{M}candle_direction": "sign(close - open)::DOUBLE",
+    f"{M}high_close_strength": f"(high - close) / {SPAN}", f"{M}close_low_strength": f"(close - low) / {SPAN}"}, families.market)
+simple("volume_features", {
+    **{f"{M}rel_volume_{n}": f"volume / {sql.roll('avg', 'volume', n)}" for n in (4, 8)}, **{f"{M}volume_trend_{n}": f"volume / {sql.lag('volume', n)} - 1" for n in (4, 8)},
+    f"{M}volume_force": "volume * sign(close - open)", **{f"{M}norm_volume_force_{n}": f"volume * sign(close - open) / {sql.roll('avg', 'volume', n)}" for n in (4, 8)},
+    **{f"{M}vol_adj_return_{n}": f"ret * volume / {sql.roll('avg', 'volume', n)}" for n in (4, 8)}}, families.market, before=RET, source="a")
+PVC = f"{RET}, p AS (SELECT *, volume / {sql.lag('volume')} - 1 AS dv FROM a), q AS (SELECT *, CASE WHEN ret IS NOT NULL AND dv IS NOT NULL THEN ret END AS x, CASE WHEN ret IS NOT NULL AND dv IS NOT NULL THEN dv END AS y FROM p)"
+simple("price_vol_corr", {f"{M}price_vol_corr_{n}": f"CASE WHEN count(x) {sql.rows(n)} = {n} AND stddev_samp(x) {sql.rows(n)} * stddev_samp(y) {sql.rows(n)} > 0 THEN covar_samp(x, y) {sql.rows(n)} / (stddev_samp(x) {sql.rows(n)} * stddev_samp(y) {sql.rows(n)}) END" for n in (4, 8)}, families.market, before=PVC, source="q")
+FLOW = f", f AS (SELECT *, (2 * close - high - low) / {SPAN} * volume AS mf FROM bars), g AS (SELECT *, greatest(mf, 0) AS pos, greatest(-mf, 0) AS neg FROM f)"
+nz = lambda x: f"(CASE WHEN {x} = 0 THEN 1e-8 ELSE {x} END)"
+simple("money_flow", {f"{M}money_flow": "mf", **{f"{M}money_flow_ratio_{n}": f"{nz(sql.roll('sum', 'pos', n))} / {nz(sql.roll('sum', 'neg', n))}" for n in (4, 8)}}, families.market, before=FLOW, source="g")
+OBV = f", f AS (SELECT *, coalesce(volume * sign(close - {sql.lag('close')}), 0) AS oc FROM bars), g AS (SELECT *, sum(oc) {sql.ORDER} AS obv FROM f)"
+simple("obv", {f"{M}obv_change": "oc", f"{M}obv": "obv", **{f"{M}obv_slope_{n}": f"(obv - {sql.lag('obv', n)}) / {n}" for n in (4, 8)}}, families.market, before=OBV, source="g")
+
+# --- averages, MACD, Bollinger, RSI ---
+
+KINDS = {"weighted_12": ("weighted", 12), "first_10": ("first", 10), "sma_18": ("sma", 18), "wilder_14": ("wilder", 14)}
+simple("moving_averages", {f"avg_{k}": sql.ema("l", *v) for k, v in KINDS.items()}, lambda df: ema(df, {f"avg_{k}": (v[0], "close", v[1]) for k, v in KINDS.items()}), before=f", l AS (SELECT *, {sql.so_far('close')} AS l FROM bars)", source="l")
+
+
+def _slope(x: str, k: int, floor: str) -> str:
+    old = sql.lag(x, k)
+    return f"coalesce(CASE WHEN abs({old}) > {floor} THEN ({x} - {old}) / abs({old}) * 100 END, 0)"
+
+
+for tag, fast, slow, sig in (("long", 12, 26, 9), ("short", 8, 17, 9)):
+    before = f""", l AS (SELECT *, {sql.so_far('close')} AS l FROM bars), m AS (SELECT *, {sql.ema('l', 'weighted', fast)} - {sql.ema('l', 'weighted', slow)} AS line FROM l),
+      n AS (SELECT *, {sql.so_far('line')} AS ll FROM m), o AS (SELECT *, {sql.ema('ll', 'weighted', sig)} AS sig FROM n), h AS (SELECT *, line - sig AS hist FROM o)"""
+    simple(f"ema_macd_{tag}", {
+        f"MACD_macd_line_{tag}": "line", f"MACD_signal_line_{tag}": "sig", f"MACD_macd_histogram_{tag}": "hist", f"MACD_macd_distance_{tag}": f"hist / {sql.roll('avg', 'close', slow)} * 100",
+        f"MACD_macd_slope_{tag}": _slope("line", 4, "1e-9"), f"MACD_signal_slope_{tag}": _slope("sig", 4, "1e-9"), f"MACD_histogram_slope_{tag}": _slope("hist", 4, "1e-9")},
+        lambda df, fast=fast, slow=slow, sig=sig: families.macd(df, fast, slow, sig), before=before, source="h")
+
+BB = f""", b AS (SELECT *, {sql.index()} AS i, coalesce({sql.roll('avg', 'close', 20)}, 0) AS basis, coalesce({sql.roll('avg', 'close', 20)} + 2 * {sql.roll('stddev_samp', 'close', 20)}, 0) AS up, coalesce({sql.roll('avg', 'close', 20)} - 2 * {sql.roll('stddev_samp', 'close', 20)}, 0) AS lo FROM bars)"""
+simple("bollinger", {
+    "BB_basis_20": "basis", "BB_upper_band_20": "up", "BB_lower_band_20": "lo", "BB_band_width_20": "coalesce((up - lo) / nullif(basis, 0) * 100, 0)",
+    "BB_price_band_pos_20": "coalesce(least(greatest((close - lo) / nullif(up - lo, 0), 0), 1), 0)", "BB_upper_dist_20": "(up - close) / close * 100", "BB_lower_dist_20": "(close - lo) / close * 100",
+    "BB_basis_slope_20": _slope("basis", 2, "0"), "BB_upper_slope_20": _slope("up", 2, "0"), "BB_lower_slope_20": _slope("lo", 2, "0")}, families.bollinger, hours=12, before=BB, source="b")
+query("bb_signal", f"""WITH {sql.bars(4)}{BB}, r AS (SELECT symbol, timestamp, CASE WHEN i >= 21 AND {sql.lag('close')} < {sql.lag('up')} AND {sql.lag('close', 2)} >= {sql.lag('up', 2)} THEN 1
+  WHEN i >= 21 AND {sql.lag('close')} > {sql.lag('lo')} AND {sql.lag('close', 2)} <= {sql.lag('lo', 2)} THEN -1 ELSE 0 END AS raw FROM b)
+  SELECT symbol, timestamp, (CASE WHEN raw <> 0 AND count(*) FILTER (raw <> 0) {sql.ORDER} = 1 THEN 0 ELSE raw END)::INT AS "BB_bband_signal_20" FROM r""")(lambda s, d: families.bollinger(at(s, d)).select(*KEY, F.col("BB_bband_signal_20").cast("int").alias("BB_bband_signal_20")))
+RSI = f""", c AS (SELECT *, {sql.index()} AS i, close - {sql.lag('close')} AS ch FROM bars), g AS (SELECT *, {sql.so_far('greatest(ch, 0)')} AS gl, {sql.so_far('greatest(-ch, 0)')} AS ll FROM c),
+  h AS (SELECT *, {sql.ema('gl[2:]', 'wilder', 14)} AS ag, {sql.ema('ll[2:]', 'wilder', 14)} AS al FROM g), x AS (SELECT *, CASE WHEN i < 14 THEN 0 WHEN al = 0 THEN 100 ELSE 100 - 100 / (1 + ag / al) END AS rsi FROM h)"""
+simple("rsi", {"RSI_14": "rsi", "RSI_distance_14": "rsi - 50", "RSI_slope_14": f"coalesce(rsi - {sql.lag('rsi', 10)}, 0)", "RSI_oversold_14": "greatest(30 - rsi, 0)", "RSI_overbought_14": "greatest(rsi - 70, 0)"}, families.rsi, before=RSI, source="x")
+query("rsi_signal", f"WITH {sql.bars(4)}{RSI} SELECT symbol, timestamp, (CASE WHEN i >= 4 AND rsi < 30 THEN -1 WHEN i >= 4 AND rsi > 70 THEN 1 ELSE 0 END)::INT AS \"RSI_signal_14\" FROM x")(lambda s, d: families.rsi(at(s, d)).select(*KEY, "RSI_signal_14"))
+
+# --- horizon family, period 14 for the oscillators and 1 (computed over 3 rows) for the rest ---
+
+H1 = lambda df: families.horizon(df, (1,), volume="volume")
+H14 = lambda df: families.horizon(df, (14,), volume="volume")
+B1, A1, V1 = "HORIZON_ALIGNED_BAND_1_", "HORIZON_ALIGNED_MA_1_", "HORIZON_ALIGNED_VC_1_"
+TR = f", t AS (SELECT *, greatest(high - low, abs(high - {sql.lag('close')}), abs(low - {sql.lag('close')})) AS tr, {sql.so_far('close')} AS l FROM bars), k AS (SELECT *, {sql.roll('max', 'high', 3)} AS du, {sql.roll('min', 'low', 3)} AS dl, {sql.ema('l', 'first', 3)} AS e, {sql.roll('avg', 'tr', 3)} AS atr FROM t)"
+simple("donchian_keltner", {f"{B1}DONCH_UPPER": "du", f"{B1}DONCH_LOWER": "dl", f"{B1}DONCH_MID": "(du + dl) / 2", f"{B1}KELT_UPPER": "e + 2 * atr", f"{B1}KELT_LOWER": "e - 2 * atr", f"{B1}KELT_MID": "e", f"{B1}DONCH_POS": "(close - dl) / nullif(du - dl, 0)", f"{B1}KELT_POS": "(close - e + 2 * atr) / nullif(4 * atr, 0)", f"{B1}CHAN_WIDTH_RATIO": "(du - dl) / nullif(4 * atr, 0)"}, H1, before=TR, source="k", digits=9)
+simple("tma", {f"{A1}FUTURE_BIAS": f"(lead(close) {sql.ORDER} / close - 1) * 100", f"{A1}TMA": sql.roll("avg", "s", 3)}, H1, before=f", s AS (SELECT *, {sql.roll('avg', 'close', 3)} AS s FROM bars)", source="s")
+MB = "HORIZON_ALIGNED_MA_14_"
+simple("band_position", {f"{MB}MA_BAND_POS": "(close - s) / nullif(round(f - s, 12), 0)"}, H14, before=f", s AS (SELECT *, {sql.roll('avg', 'close', 14)} AS s, {sql.roll('avg', 'close', 7)} AS f FROM bars)", source="s")
+HM = f", l AS (SELECT *, {sql.so_far('close')} AS l FROM bars), m AS (SELECT *, {sql.ema('l', 'first', 7)} - {sql.ema('l', 'first', 14)} AS line FROM l), n AS (SELECT *, {sql.so_far('line')} AS ll FROM m), o AS (SELECT *, {sql.ema('ll', 'weighted', 4)} AS sig FROM n)"
+simple("horizon_macd", {f"{MB}MACD": "line", f"{MB}SIGNAL": "sig", f"{MB}HIST": "line - sig", f"{MB}VOLUME_ROC": f"(volume / {sql.lag('volume', 14)} - 1) * 100"}, H14, before=HM, source="o")
+simple("linreg", {f"{A1}LR_SLOPE": f"CASE WHEN count(close) {sql.rows(3)} = 3 THEN regr_slope(close, i) {sql.rows(3)} END", f"{A1}LR_R2": f"CASE WHEN count(close) {sql.rows(3)} = 3 THEN CASE WHEN max(close) {sql.rows(3)} = min(close) {sql.rows(3)} THEN 0 ELSE regr_r2(close, i) {sql.rows(3)} END END", f"{A1}LR_SLOPE_PCT": f"CASE WHEN count(close) {sql.rows(3)} = 3 THEN regr_slope(close, i) {sql.rows(3)} END / {sql.roll('avg', 'close', 3)} * 100"}, H1, before=f", x AS (SELECT *, {sql.index()}::DOUBLE AS i FROM bars)", source="x")
+O14 = "HORIZON_ALIGNED_MOM_14_"
+MOM = f""", t AS (SELECT *, close - {sql.lag('close', 14)} AS d, close - least({sql.lag('low')}, {sql.lag('close')}) AS bp, greatest(high - low, abs(high - {sql.lag('close')}), abs(low - {sql.lag('close')})) AS tr, (high + low + close) / 3 AS tp FROM bars),
+  u AS (SELECT *, CASE WHEN d IS NOT NULL THEN greatest(d, 0) END AS dp, CASE WHEN d IS NOT NULL THEN greatest(-d, 0) END AS dn, CASE WHEN tp > {sql.lag('tp')} THEN tp * volume ELSE 0 END AS fu, CASE WHEN tp < {sql.lag('tp')} THEN tp * volume ELSE 0 END AS fd FROM t)"""
+part = lambda n: f"{sql.roll('sum', 'bp2', n)} / {sql.roll('sum', 'tr', n)}"
+MOM += ", w AS (SELECT *, CASE WHEN d1 THEN bp END AS bp2 FROM (SELECT *, " + sql.index() + " >= 1 AS d1 FROM u))"
+simple("momentum", {
+    f"{O14}CMO": f"100 * ({sql.roll('sum', 'dp', 14)} - {sql.roll('sum', 'dn', 14)}) / (CASE WHEN {sql.roll('sum', 'dp', 14)} + {sql.roll('sum', 'dn', 14)} = 0 THEN 1 ELSE {sql.roll('sum', 'dp', 14)} + {sql.roll('sum', 'dn', 14)} END)",
+    f"{O14}COG": f"CASE WHEN count(close) {sql.rows(14)} = 14 THEN list_sum(list_transform(list(close) {sql.rows(14)}, lambda v, k: v * k)) / sum(close) {sql.rows(14)} END",
+    f"{O14}MOM_STRENGTH": f"{sql.roll('sum', 'sign(close - open)', 14)} / 14",
+    f"{O14}ULT_OSC": f"100 * (4 * {part(3)} + 2 * {part(7)} + {part(14)}) / 7",
+    f"{O14}MFI": f"100 - 100 / (1 + {sql.roll('sum', 'fu', 14)} / (CASE WHEN {sql.roll('sum', 'fd', 14)} = 0 THEN 1e-10 ELSE {sql.roll('sum', 'fd', 14)} END))"}, H14, before=MOM, source="w")
+VC = f""", v AS (SELECT *, {sql.lag('open', 2)} AS vo, {sql.roll('max', 'high', 3)} AS vh, {sql.roll('min', 'low', 3)} AS vl FROM bars), c AS (SELECT *, vh - vl AS rng, abs(close - vo) AS body, sign(close - vo)::DOUBLE AS dir FROM v)"""
+simple("virtual_candle", {f"{V1}OPEN": "vo", f"{V1}HIGH": "vh", f"{V1}LOW": "vl", f"{V1}CLOSE": "close", f"{V1}RANGE": "rng", f"{V1}BODY": "body", f"{V1}DIRECTION": "dir", f"{V1}EFFICIENCY": "body / nullif(rng, 0)"}, H1, before=VC, source="c")
+L = sql.lag
+strong = f"body > 0.7 * rng AND body > 1.5 * {L('body')}"
+PAT = {"THREE_INSIDE": (f"{L('dir', 2)} < 0 AND {L('body', 1)} < {L('body', 2)} AND dir > 0", f"{L('dir', 2)} > 0 AND {L('body', 1)} < {L('body', 2)} AND dir < 0"), "OUTSIDE": (f"{L('dir')} < 0 AND vo < {L('close')} AND close > {L('vo')}", f"{L('dir')} > 0 AND vo > {L('close')} AND close < {L('vo')}"), "GAP": (f"vl > {L('vh')}", f"vh < {L('vl')}"), "THRUST": (f"dir > 0 AND {strong}", f"dir < 0 AND {strong}")}
+query("patterns", f"WITH {sql.bars(4)}{VC} SELECT symbol, timestamp, " + ", ".join(f'(CASE WHEN {p} THEN 1 WHEN {n} THEN -1 ELSE 0 END)::INT AS "{V1}{k}"' for k, (p, n) in PAT.items()) + " FROM c")(lambda s, d: H1(at(s, d)).select(*KEY, *[f"{V1}{k}" for k in PAT]))
+
+
+@query("wide_features")
+def wide(spark: SparkSession, d: str) -> DataFrame:
+    return families.wide_features(at(spark, d), volume="volume")
+
+
+# --- targets, splits, parameters, cleaning ---
+
+simple("forward_return", {"target": f"lead(close, 3) {sql.ORDER} / close - 1"}, lambda df: df.withColumn("target", forward_return(3)))
+query("label_balance", f"WITH {sql.bars(4)}, t AS (SELECT symbol, coalesce((lead(close, 3) {sql.ORDER} / close - 1 > 0.01)::INT, 0) AS y FROM bars) SELECT symbol, sum(y)::BIGINT AS positives, round(avg(y), 6) AS share FROM t GROUP BY symbol")(
+    lambda s, d: at(s, d).select("symbol", forward_label(3, 0.01).alias("y")).groupBy("symbol").agg(F.sum("y").alias("positives"), F.round(F.avg("y"), 6).alias("share"))
+)
+SPLIT = f", n AS (SELECT *, {sql.index()} AS i, count(*) OVER (PARTITION BY symbol) AS n FROM bars), s AS (SELECT *, CASE WHEN i < floor(n * 0.7::DOUBLE) THEN 'train' WHEN i < floor(n * (0.7::DOUBLE + 0.15::DOUBLE)) THEN 'val' ELSE 'test' END AS split FROM n)"
+query("chrono_split", f"WITH {sql.bars(4)}{SPLIT} SELECT symbol, timestamp, split FROM s")(lambda s, d: splits.chronological(at(s, d)).select(*KEY, "split"))
+query("fixed_split", f"WITH {sql.bars(4)} SELECT symbol, timestamp, CASE WHEN {sql.index()} + 1 < 101 THEN 'train' WHEN {sql.index()} + 1 < 131 THEN 'val' ELSE 'test' END AS split FROM bars")(lambda s, d: splits.fixed(at(s, d), 101, 30).select(*KEY, "split"))
+query("rolling_split", f"""WITH {sql.bars(4)}, n AS (SELECT *, {sql.index()} AS i, count(*) OVER (PARTITION BY symbol) AS n FROM bars), w AS (SELECT *, unnest(range(3)) AS k FROM n),
+  e AS (SELECT *, floor(n * 0.85::DOUBLE) + 5 * k AS t, floor(n * (0.85::DOUBLE + 0.1::DOUBLE)) + 5 * k AS v FROM w)
+  SELECT symbol, timestamp, k::INT AS window_id, CASE WHEN i < t THEN 'train' WHEN i < v THEN 'val' WHEN i < v + least(8, n - v) THEN 'test' ELSE 'unknown' END AS split FROM e WHERE n - v >= 4""")(lambda s, d: splits.rolling(at(s, d), 3).select(*KEY, "window_id", "split"))
+
+
+@query("zscore_train", f"WITH {sql.bars(4)}{SPLIT}, p AS (SELECT symbol, avg(close) AS mc, stddev_samp(close) AS sc, avg(volume) AS mv, stddev_samp(volume) AS sv FROM s WHERE split = 'train' AND i >= 10 GROUP BY symbol) SELECT symbol, timestamp, split, round((close - mc) / sc, 6) AS close_norm, round((volume - mv) / sv, 6) AS volume_norm FROM s JOIN p USING (symbol)")
+def zscore(spark: SparkSession, d: str) -> DataFrame:
+    df = splits.chronological(at(spark, d))
+    return shown(splits.apply_zscore(df, splits.fit_zscore(df, ["close", "volume"], 10), ["close", "volume"]), ["split", "close_norm", "volume_norm"])
+
+
+query("zscore_params", f"WITH {sql.bars(4)}{SPLIT}, u AS (SELECT symbol, interval, 'close' AS feature, close AS x FROM s WHERE split = 'train' UNION ALL SELECT symbol, interval, 'volume', volume FROM s WHERE split = 'train') SELECT symbol, interval, feature, round(avg(x), 6) AS mean, round(stddev_samp(x), 6) AS std FROM u GROUP BY ALL")(
+    lambda s, d: shown(splits.fit_zscore(splits.chronological(at(s, d)), ["close", "volume"]), ["mean", "std"], ["symbol", "interval", "feature"])
+)
+query("sequence", f"WITH {sql.bars(4)}, q AS (SELECT symbol, timestamp AS seq_start, {sql.index()} AS i, count(*) OVER (PARTITION BY symbol) AS n, list(close) OVER (PARTITION BY symbol ORDER BY timestamp ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS l, lead(volume, 3) {sql.ORDER} AS y FROM bars) SELECT symbol, seq_start, round(list_sum(l), 6) AS x_sum, len(l)::INT AS x_len, round(y, 6) AS y FROM q WHERE i < n - 4")(
+    lambda s, d: splits.sequences(at(s, d), ["close"], "volume", 4).select("symbol", "seq_start", F.round(F.aggregate("x", F.lit(0.0), lambda a, r: a + r[0]), 6).alias("x_sum"), F.size("x").alias("x_len"), F.round("y", 6).alias("y"))
+)
+query("winsorize", f"WITH {sql.bars(4)}, q AS (SELECT symbol, quantile_cont(volume, 0.01) AS a, quantile_cont(volume, 0.99) AS b FROM bars GROUP BY symbol) SELECT symbol, timestamp, round(least(greatest(volume, a - 5 * (b - a)), b + 5 * (b - a)), 6) AS volume FROM bars JOIN q USING (symbol)")(lambda s, d: shown(splits.winsorize(at(s, d), ["volume"]), ["volume"]))
+query("median_fill", f"WITH {sql.bars(4)}{SPLIT}, x AS (SELECT *, CASE WHEN i % 7 <> 0 THEN close END AS x FROM s), q AS (SELECT symbol, median(x) AS m FROM x WHERE split = 'train' GROUP BY symbol) SELECT symbol, timestamp, round(coalesce(x, m), 6) AS x FROM x JOIN q USING (symbol)")(
+    lambda s, d: shown(splits.median_fill(splits.chronological(at(s, d)).withColumn("x", F.when(splits.row_index() % 7 != 0, F.col("close"))), ["x"]), ["x"])
+)
+query("parse_ts", "SELECT event_id, ts AS parsed, strftime(ts, '%-m/%-d/%y %H:%M') AS short FROM (SELECT event_id, date_trunc('second', ts) AS ts FROM events)")(
+    lambda s, d: s.read.parquet(f"{d}/events.parquet")
+    .select("event_id", F.when(F.col("event_id") % 2 == 0, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).otherwise(F.unix_timestamp(F.col("ts").cast("timestamp")).cast("string")).alias("raw"))
+    .select("event_id", splits.parse_time("raw").alias("t"))
+    .select("event_id", F.col("t").cast("timestamp_ntz").alias("parsed"), splits.short_time("t").alias("short"))
+)
+
+# --- alignment ---
+
+query("tolerance_join", f"WITH {sql.bars(12, 'a')}, b AS (SELECT symbol, timestamp + INTERVAL 30 seconds AS timestamp, close FROM a) SELECT a.symbol, a.timestamp, round(a.close, 6) AS close, round(b.close, 6) AS dataset2_close, epoch(b.timestamp)::BIGINT - epoch(a.timestamp)::BIGINT AS apart FROM a JOIN b ON a.symbol = b.symbol AND abs(epoch(a.timestamp) - epoch(b.timestamp)) <= 60")(
+    lambda s, d: shown(align.tolerance_join(at(s, d, 12), at(s, d, 12).select("symbol", (F.col("timestamp") + F.expr("INTERVAL 30 SECONDS")).alias("timestamp"), "close")).withColumn("apart", F.col("dataset2_unix_timestamp") - F.col("dataset1_unix_timestamp")), ["close", "dataset2_close", "apart"])
+)
+START = "st AS (SELECT symbol, greatest({}) AS s FROM {} GROUP BY symbol)"
+START2 = "st AS (SELECT l.symbol, greatest(l.m, r.m) AS s FROM (SELECT symbol, min(timestamp) AS m FROM {0} GROUP BY symbol) l JOIN (SELECT symbol, min(timestamp) AS m FROM {1} GROUP BY symbol) r USING (symbol))"
+POS = "{0}n AS (SELECT {0}.*, row_number() OVER (PARTITION BY {0}.symbol ORDER BY timestamp) - 1 AS pos FROM {0} JOIN st USING (symbol) WHERE timestamp >= s)"
+TRIPLE = "t AS (SELECT symbol, pos // 3 AS pos, " + ", ".join(f"max(CASE WHEN pos % 3 = {k - 1} THEN {v} END) AS \"4h_batch{k}_{v}\"" for k in (1, 2, 3) for v in ("close", "volume")) + " FROM fn GROUP BY ALL HAVING count(*) = 3)"
+BATCH = [f"4h_batch{k}_{v}" for k in (1, 2, 3) for v in ("close", "volume")]
+quoted = ", ".join(f'round("{c}", 6) AS "{c}"' for c in BATCH)
+query("align_12h_4h", f"WITH {sql.bars(12, 'h')}, {sql.bars(4, 'f')}, {START2.format('h', 'f')}, {POS.format('h')}, {POS.format('f')}, {TRIPLE} SELECT hn.symbol, timestamp, round(close, 6) AS close, {quoted} FROM hn JOIN t USING (symbol, pos)")(lambda s, d: shown(align.positional_1_to_3(at(s, d, 12), at(s, d, 4)), ["close", *BATCH]))
+query("align_12h_1d", f"WITH {sql.bars(12, 'h')}, {sql.bars(24, 'g')}, {START2.format('h', 'g')}, {POS.format('h')}, {POS.format('g')}, p AS (SELECT *, count(*) OVER (PARTITION BY symbol, pos // 2) AS c FROM hn) SELECT p.symbol, p.timestamp, round(p.close, 6) AS close, gn.timestamp AS \"1d_timestamp\", round(gn.close, 6) AS \"1d_close\" FROM p JOIN gn ON p.symbol = gn.symbol AND p.pos // 2 = gn.pos WHERE c = 2")(lambda s, d: shown(align.positional_2_to_1(at(s, d, 12), at(s, d, 24)), ["close", "1d_timestamp", "1d_close"]))
+START3 = "st AS (SELECT symbol, greatest(a.m, b.m, c.m) AS s FROM (SELECT symbol, min(timestamp) AS m FROM h GROUP BY symbol) a JOIN (SELECT symbol, min(timestamp) AS m FROM f GROUP BY symbol) b USING (symbol) JOIN (SELECT symbol, min(timestamp) AS m FROM g GROUP BY symbol) c USING (symbol))"
+query("align_12h_4h_1d", f"WITH {sql.bars(12, 'h')}, {sql.bars(4, 'f')}, {sql.bars(24, 'g')}, {START3}, {POS.format('h')}, {POS.format('f')}, {POS.format('g')}, {TRIPLE} SELECT hn.symbol, hn.timestamp, round(hn.close, 6) AS close, {quoted}, round(gn.close, 6) AS \"1d_close\" FROM hn JOIN t USING (symbol, pos) JOIN gn ON gn.symbol = hn.symbol AND gn.pos = hn.pos // 2")(lambda s, d: shown(align.three_frames(at(s, d, 12), at(s, d, 4), at(s, d, 24)), ["close", *BATCH, "1d_close"]))
+query("asof_close", f"WITH {sql.bars(1)}, e AS (SELECT symbol, timestamp AS boundary FROM bars) SELECT e.symbol, boundary, arg_max(value, (ts, event_id)) AS price, max(ts) AS ts FROM e LEFT JOIN events ON event_type = symbol AND ts < boundary GROUP BY ALL")(
+    lambda s, d: align.last_before(ticks(s, d), at(s, d, 1).select("symbol", F.col("timestamp").alias("boundary")))
+)
+query("append_newer", f"WITH {sql.bars(4)} SELECT symbol, timestamp, round(close, 6) AS close FROM bars")(lambda s, d: shown(align.append_newer(at(s, d).filter("timestamp < '2024-01-15'"), at(s, d).filter("timestamp >= '2024-01-10'")), ["close"]))
+query("prepend_older", f"WITH {sql.bars(4)} SELECT symbol, timestamp, round(close, 6) AS close FROM bars")(lambda s, d: shown(align.prepend_older(at(s, d).filter("timestamp >= '2024-01-10'"), at(s, d).filter("timestamp < '2024-01-15'")), ["close"]))
+query("append_features")(lambda s, d: align.append_features(families.bollinger(at(s, d).filter("timestamp < '2024-01-20'").drop("trades")), at(s, d).filter("timestamp >= '2024-01-18'"), families.bollinger))
+
+# --- descriptions, correlation, components ---
+
+DESC = ["open", "close", "volume"]
+LONG = ", x AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, {c} AS x FROM bars" for c in DESC) + ")"
+query("describe", f"""WITH {sql.bars(4)}{LONG}, q AS (SELECT feature, count(*) AS n, count(*) FILTER (x IS NULL) AS nulls, count(*) FILTER (x = 0) AS zeros, avg(x) AS mean, stddev_samp(x) AS std, min(x) AS min, quantile_cont(x, 0.25) AS p25, quantile_cont(x, 0.5) AS median, quantile_cont(x, 0.75) AS p75, max(x) AS max FROM x GROUP BY feature),
+  o AS (SELECT feature, count(*) FILTER (x < p25 - 1.5 * (p75 - p25) OR x > p75 + 1.5 * (p75 - p25)) AS outliers FROM x JOIN q USING (feature) GROUP BY feature)
+  SELECT feature, n, nulls, zeros, {sql.rounded(['mean', 'std', 'min', 'p25', 'median', 'p75', 'max'])}, outliers FROM q JOIN o USING (feature)""")(lambda s, d: shown(stats.describe(at(s, d), DESC), ["n", "nulls", "zeros", "mean", "std", "min", "p25", "median", "p75", "max", "outliers"], ["feature"]))
+query("value_counts", "SELECT event_type AS value, count(*) AS n FROM events GROUP BY ALL")(lambda s, d: stats.value_counts(s.read.parquet(f"{d}/events.parquet"), "event_type"))
+query("time_range", f"WITH {sql.bars(4)} SELECT symbol, interval, min(timestamp) AS first, max(timestamp) AS last, count(*) AS n FROM bars GROUP BY ALL")(lambda s, d: stats.time_range(at(s, d)))
+E8 = [f"e{i}" for i in range(8)]
+
+
+def vectors(spark: SparkSession, d: str, n: int = 8) -> DataFrame:
+    return spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(n)])
+
+
+VEC = "v AS (SELECT vec_id, label, " + ", ".join(f"embedding[{i + 1}]::DOUBLE AS e{i}" for i in range(8)) + " FROM embeddings)"
+query("corr_pairs", f"WITH {VEC} " + " UNION ALL ".join(f"SELECT '{a}' AS f1, '{b}' AS f2, round(covar_samp({a}, {b}) / (stddev_samp({a}) * stddev_samp({b})), 6) AS corr FROM v" for i, a in enumerate(E8) for b in E8[i + 1 :]))(lambda s, d: shown(stats.correlations(vectors(s, d), E8), ["corr"], ["f1", "f2"]))
+query("autocorr", f"WITH {sql.bars(4)}, x AS (SELECT symbol, interval, close, " + ", ".join(f"{sql.lag('close', k)} AS l{k}" for k in range(1, 6)) + " FROM bars) " + " UNION ALL ".join(f"SELECT symbol, interval, {k} AS lag, round(covar_samp(close, l{k}) / (stddev_samp(close) FILTER (l{k} IS NOT NULL) * stddev_samp(l{k})), 6) AS corr FROM x GROUP BY symbol, interval" for k in range(1, 6)))(lambda s, d: shown(stats.autocorrelation(at(s, d), "close", 5), ["corr"], ["symbol", "interval", "lag"]))
+query("cv_stability", f"WITH {sql.bars(4)} " + " UNION ALL ".join(f"SELECT '{c}' AS feature, round(stddev_samp({c}) / abs(avg({c})), 6) AS cv FROM bars" for c in DESC))(lambda s, d: shown(stats.variation(at(s, d), DESC), ["cv"], ["feature"]))
+simple("rolling_cv", {"close_cv_20": f"{sql.roll('stddev_samp', 'close', 20)} / abs({sql.roll('avg', 'close', 20)})"}, lambda df: stats.rolling_variation(df, "close", 20))
+query("top_per_group", f"WITH {sql.bars(4)} SELECT symbol, feature, round(volume, 6) AS volume, place::INT AS place FROM (SELECT symbol, strftime(timestamp, '%Y-%m-%d %H:%M:%S') AS feature, volume, row_number() OVER (PARTITION BY symbol ORDER BY volume DESC, timestamp) AS place FROM bars) WHERE place <= 2")(
+    lambda s, d: shown(stats.top_per_group(at(s, d).withColumn("feature", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss")), "symbol", "volume", 2), ["volume", "place"], ["symbol", "feature"])
+)
+query("mutual_information")(lambda s, d: stats.mutual_information(vectors(s, d), E8, "label"))
+
+
+@query("pca_variance")
+def pca_variance(spark: SparkSession, d: str) -> DataFrame:
+    df = vectors(spark, d, 16)
+    return spark.createDataFrame(stats.variance_table(stats.fit_pca(df, [f"e{i}" for i in range(16)], 16)), "component int, share double, cumulative double, eigenvalue double")
+
+
+@query("pca_export")
+def pca_export(spark: SparkSession, d: str) -> DataFrame:
+    df = splits.chronological(at(spark, d)).withColumn("direction", direction())
+    x = ["open", "high", "low", "volume"]
+    model = stats.fit_pca(df.filter("split = 'train'"), x, 3)
+    return stats.apply_pca(df, model).select(*KEY, "PC1", "PC2", "PC3", "direction", "close", "split")
+
+
+@query("rolling_pca")
+def rolling_pca(spark: SparkSession, d: str) -> DataFrame:
+    rows = stats.rolling_pca(splits.rolling(at(spark, d), 3), ["open", "high", "low", "close", "volume"], 5)
+    return spark.createDataFrame(rows)
+
+
+@query("feature_selection")
+def feature_selection(spark: SparkSession, d: str) -> DataFrame:
+    df = families.market(families.rsi(families.bollinger(at(spark, d)))).withColumn("y", forward_label(1, 0.0)).fillna(0.0)
+    x = [c for c, k in df.dtypes if k == "double" and c not in ("open", "high", "low")]
+    kept = stats.prune_correlated(df, stats.prune_constant(df, x))
+    corr = df.agg(*[stats._corr(c, "y").alias(c) for c in kept]).unpivot([], kept, "feature", "corr")
+    pca = spark.createDataFrame(list(stats.pca_importance(stats.fit_pca(df, kept, min(10, len(kept)), robust=True), kept).items()), "feature string, pca double")
+    parts = corr.join(pca, "feature").join(stats.variation(df, kept), "feature", "left").join(stats.mutual_information(df, kept, "y"), "feature", "left")
+    return stats.composite_scores(parts, ["close", "volume", "RSI_14"])
+
+
+# --- back-tests, labels, lines ---
+
+simple("running_peak", {"peak": f"max(close) {sql.ORDER}", "fall": f"1 - close / max(close) {sql.ORDER}"}, lambda df: df.withColumn("peak", F.max("close").over(backtest.so_far())).withColumn("fall", 1 - F.col("close") / F.col("peak")))
+BT = f""", f AS (SELECT *, {sql.index()} AS i, close - {sql.roll('avg', 'close', 5)} AS fc FROM bars), g AS (SELECT *, (i >= 48 AND coalesce(fc > 0, false))::INT AS buy FROM f),
+  p AS (SELECT *, exp(sum(ln(1 + buy * (close - open) / open)) {sql.ORDER}) AS pf FROM g), k AS (SELECT *, max(pf) {sql.ORDER} AS pk, {sql.lag('pf')} * (1 + buy * (low - open) / open) AS lo FROM p), q AS (SELECT *, 1 - least(pf, coalesce(lo, pf)) / pk AS dd FROM k)"""
+forecast = lambda df: df.withColumn("forecast", F.col("close") - roll(F.avg, "close", 5))
+simple("backtest", {"portfolio": "pf", "peak": "pk", "drawdown": "dd"}, lambda df: backtest.portfolio(forecast(df), "forecast"), before=BT, source="q")
+query("backtest_summary", f"""WITH {sql.bars(4)}{BT} SELECT symbol, interval, sum(buy)::BIGINT AS trades, round(arg_max(pf, timestamp) - 1, 6) AS total_return, round(pow(arg_max(pf, timestamp), 365.0 / (count(*) * 4)) - 1, 6) AS annual_return,
+  round(max(dd), 6) AS max_drawdown, round(count(*) FILTER (buy = 1 AND close > open) / nullif(sum(buy), 0), 6) AS win_rate FROM q GROUP BY ALL""")(lambda s, d: shown(backtest.summary(backtest.portfolio(forecast(at(s, d)), "forecast")), ["trades", "total_return", "annual_return", "max_drawdown", "win_rate"], ["symbol", "interval"]))
+simple("arima_features", {"close_log": f"ln(close / {sql.lag('close')})", "sma_6": sql.roll("avg", "close", 6), "ema_6": sql.ema("l", "sma", 6), "rma_6": sql.ema("l", "wilder", 6), "ema_84": sql.ema("l", "sma", 84), "rvol": f"volume / {sql.roll('avg', 'volume', 21)}", "upper_wick": "high - greatest(open, close)", "body_2": "pow(close - open, 2)", "range_sma": sql.roll("avg", "(high - low)", 42)}, backtest.arima_features, before=f", l AS (SELECT *, {sql.so_far('close')} AS l FROM bars)", source="l")
+query("live_bollinger")(lambda s, d: backtest.live_bollinger(at(s, d)).select(*KEY, "label"))
+query("live_rsi")(lambda s, d: backtest.live_rsi(families.rsi(at(s, d))).select(*KEY, "label"))
+query("live_macd")(lambda s, d: backtest.live_macd(at(s, d)).select(*KEY, "label"))
+query("autoregression")(lambda s, d: backtest.fit_autoregression(at(s, d).withColumn("r", F.log(F.col("close") / lag("close"))), "r").select(*KEY, "r", "fitted"))
+
+WIN = f", n AS (SELECT *, {sql.index()} AS i, count(*) OVER (PARTITION BY symbol) AS n FROM bars), w AS (SELECT *, i // 30 AS window_id, (i % 30)::INT AS bar FROM n WHERE (i // 30 + 1) * 30 <= n)"
+query("trend", f"WITH {sql.bars(12)}{WIN} SELECT symbol, interval, window_id::BIGINT AS window_id, CASE WHEN sum(close - open) > 0 THEN 'UP' WHEN sum(close - open) < 0 THEN 'DOWN' ELSE 'None' END AS trend FROM w GROUP BY ALL")(lambda s, d: geometry.trend(geometry.windows(at(s, d, 12), 30, 30)))
+query("wick_overlap", f"""WITH {sql.bars(12)}{WIN}, k AS (SELECT *, greatest(open, close) AS top, least(open, close) AS bot FROM w), p AS (SELECT a.symbol, a.interval, a.window_id, a.bar, count(*) FILTER (a.top <= b.high AND b.top <= a.high) AS upper, count(*) FILTER (a.low <= b.bot AND b.low <= a.bot) AS lower
+  FROM k a JOIN k b ON a.symbol = b.symbol AND a.window_id = b.window_id AND a.bar <> b.bar GROUP BY ALL) SELECT symbol, interval, window_id::BIGINT AS window_id, bar, upper::INT AS upper, lower::INT AS lower FROM p""")(
+    lambda s, d: geometry.wick_overlaps(geometry.windows(at(s, d, 12), 30, 30)).select("symbol", "interval", "window_id", "bar", F.size("upper").alias("upper"), F.size("lower").alias("lower"))
+)
+LINES = """, tr AS (SELECT symbol, window_id, CASE WHEN sum(close - open) > 0 THEN 'UP' WHEN sum(close - open) < 0 THEN 'DOWN' END AS trend FROM w GROUP BY ALL),
+  s AS (SELECT w.*, trend, CASE WHEN trend = 'UP' THEN low ELSE high END AS tip, CASE WHEN trend = 'UP' THEN least(open, close) ELSE greatest(open, close) END AS edge FROM w JOIN tr USING (symbol, window_id) WHERE trend IS NOT NULL),
+  pt AS (SELECT DISTINCT symbol, interval, window_id, trend, bar, tip + (edge - tip) * k / 2 AS y FROM s, (SELECT unnest(range(3)) AS k)),
+  ln AS (SELECT a.symbol, a.interval, a.window_id, a.trend, a.bar AS x1, a.y AS y1, b.bar AS x2, b.y AS y2, (b.y - a.y) / (b.bar - a.bar) AS sl FROM pt a JOIN pt b ON a.symbol = b.symbol AND a.window_id = b.window_id AND a.bar < b.bar),
+  lf AS (SELECT * FROM ln WHERE CASE WHEN trend = 'UP' THEN sl >= 0 ELSE sl <= 0 END),
+  j AS (SELECT lf.*, s.open, s.high, s.low, s.close, s.tip, s.edge, y1 + sl * (s.bar - x1) AS y FROM lf JOIN s ON s.symbol = lf.symbol AND s.window_id = lf.window_id),
+  g AS (SELECT symbol, interval, window_id, trend, x1, y1, x2, y2, bool_or((least(open, close) <= y AND y < greatest(open, close)) OR CASE WHEN trend = 'UP' THEN y > high ELSE y < low END) AS bad,
+    count(*) FILTER (CASE WHEN trend = 'UP' THEN round(tip, 6) <= round(y, 6) AND round(y, 6) <= round(edge, 6) ELSE round(edge, 6) <= round(y, 6) AND round(y, 6) <= round(tip, 6) END) AS touches FROM j GROUP BY ALL)"""
+query("trendlines", f"WITH {sql.bars(12)}{WIN}{LINES} SELECT symbol, interval, window_id::BIGINT AS window_id, trend, x1, round(y1, 6) AS y1, x2, round(y2, 6) AS y2, touches FROM g WHERE NOT bad AND touches >= 2")(
+    lambda s, d: shown(geometry.trend_lines(geometry.windows(at(s, d, 12), 30, 30), least=2), ["window_id", "trend", "x1", "y1", "x2", "y2", "touches"], ["symbol", "interval"])
+)
+
+
+@query("trendline_breakouts")
+def trendline_breakouts(spark: SparkSession, d: str) -> DataFrame:
+    df = at(spark, d, 12)
+    best = geometry.best_lines(geometry.trend_lines(geometry.windows(df, 30, 15), least=2))
+    return geometry.breakouts(best, df, 30, 15, 15)
+
+
+@query("trendline_offsets")
+def trendline_offsets(spark: SparkSession, d: str) -> DataFrame:
+    w = geometry.windows(at(spark, d, 12), 30, 30)
+    return geometry.clear_offset(geometry.best_lines(geometry.trend_lines(w, least=2)), w, 0.5)
