@@ -12,6 +12,7 @@ from barloom.functions.recursive import ema
 from barloom.operators import align, backtest, families, geometry, splits, stats
 from barloom.operators.bars import bars, daily_bars, direction, forward_label, forward_return, ticks
 from barloom.plans import sql
+from barloom.streaming import trades
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -320,3 +321,10 @@ def trendline_breakouts(spark: SparkSession, d: str) -> DataFrame:
 def trendline_offsets(spark: SparkSession, d: str) -> DataFrame:
     w = geometry.windows(at(spark, d, 12), 30, 30)
     return geometry.clear_offset(geometry.best_lines(geometry.trend_lines(w, least=2)), w, 0.5)
+
+# --- streams: the files of the table as a stream, run over what is there ---
+
+query("stream_bars_12h", f"WITH {sql.bars(12)}, m AS (SELECT max(ts) - INTERVAL 1 hour AS mark FROM events) SELECT symbol, timestamp, open, high, low, close, round(volume, 6) AS volume, trades FROM bars, m WHERE timestamp + INTERVAL 12 hours <= mark")(
+    lambda s, d: shown(trades.run_once(trades.stream_bars(trades.read_trades(s, d), 12), "bars").withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz")), ["open", "high", "low", "close", "volume", "trades"])
+)
+query("stream_trends")(lambda s, d: trades.run_once(trades.trends(trades.read_trades(s, d).select("symbol", "ts", F.col("price").alias("close")), 40), "trends"))
