@@ -15,17 +15,21 @@ def components(edges: DataFrame) -> DataFrame:
     of its neighbourhood, so a few steps suffice; no neighbourhood is gathered in one place.
     """
     e = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = None
+    state = _state(e)
     while True:
         both = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = stored(both.groupBy("a").agg(F.min("b").alias("m")), "least")
+        least = both.groupBy("a").agg(F.min("b").alias("m"))
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b")).distinct()
         large = stored(large, "large")
-        down = stored(large.groupBy("a").agg(F.min("b").alias("m")), "down")
-        small = large.join(down, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = stored(small.unionAll(down.select("a", F.col("m").alias("b"))).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
+        down = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(down, "a").select("a", "m", F.explode(F.array("a", "b")).alias("x")).filter("x <> m")
+        e = stored(small.select(F.greatest("x", "m").alias("a"), F.least("x", "m").alias("b")).distinct(), "edges")
+        before, state = state, _state(e)
+        if state == before:
             break
-        before = now
     return e.select(F.col("a").alias("v"), F.col("b").alias("root")).unionAll(e.select(F.col("b").alias("v"), F.col("b").alias("root")).distinct())
+
+
+def _state(edges: DataFrame) -> tuple:
+    """Number and checksum of the edges: they no longer change when all are stars around their least vertices."""
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
