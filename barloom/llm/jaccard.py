@@ -100,6 +100,27 @@ def parity_bits(h: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), axis=1).view(np.uint64).reshape(n, 2)
 
 
+def bit_maps(h: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """(bytes of each, all joined): as parity_bits, with two to four bits a member, a power of two of them. A map
+    folds to half its size by adding its halves."""
+    size = np.diff(begin)
+    bits = 1 << np.maximum(np.ceil(np.log2(np.maximum(2 * size, 1))).astype(np.int64), 7)
+    at = (mix64(h + _U(31)) & (bits[np.repeat(np.arange(len(size)), size)] - 1).astype(_U)).astype(np.int64)
+    first = np.cumsum(bits) - bits
+    odd = np.bincount(np.repeat(first, size) + at, minlength=int(bits.sum())) & 1
+    return bits // 8, np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def may_link_by_maps(a: bytes, b: bytes, n: int) -> bool:
+    """Whether two sets of n members together may link by their bit maps; never wrong about a pair that links."""
+    x, y = np.frombuffer(a, _U), np.frombuffer(b, _U)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum()) * (100 + PERCENT) <= (100 - PERCENT) * n
+
+
 def signatures(h: np.ndarray, begin: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
     """(number of the set, 64-bit signature): two sets with a Jaccard similarity of percent/100 share a signature."""
     size = np.diff(begin)
@@ -167,12 +188,12 @@ def _sets_and_postings(docs: DataFrame, buckets: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        names = ["bucket", "doc_ids", "n", "v", "members", "sigs"]
-        kinds = [pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+        names = ["bucket", "doc_ids", "n", "v", "members", "sigs", "maps"]
+        kinds = [pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
         for part in slices(batches, limit=4 << 20):
             h, begin = shingle_sets(part["text"])
             key, size = set_keys(h, begin), np.diff(begin)
-            rows: list[tuple] = [(int(key[0] % buckets), part["doc_id"].to_pylist(), size, key, None, None)]
+            rows: list[tuple] = [(int(key[0] % buckets), part["doc_id"].to_pylist(), size, key, None, None, None)]
             fresh = np.zeros(len(key), bool)
             for i, k in enumerate(key.tolist()):
                 if k and k not in seen:
@@ -189,10 +210,23 @@ def _sets_and_postings(docs: DataFrame, buckets: int) -> DataFrame:
                 who, n = np.unique(doc[a:b], return_counts=True)
                 sent = member[who]
                 sent["count"] = n
-                rows.append((int(bucket[a]), None, None, None, sent.tobytes(), sig[a:b].tobytes()))
+                rows.append((int(bucket[a]), None, None, None, sent.tobytes(), sig[a:b].tobytes(), None))
+            # the bit maps go where their keys' pairs go
+            length, joined = bit_maps(own_h, own_begin)
+            first = np.cumsum(length) - length
+            home = _home(member["key"], buckets)
+            order = np.argsort(home, kind="stable")
+            for a, b in _cuts(home[order]):
+                i = order[a:b]
+                blob = b"".join(joined[f : f + n] for f, n in zip(first[i].tolist(), length[i].tolist()))
+                rows.append((int(home[i[0]]), None, None, None, member[i].tobytes(), None, blob))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
-    return docs.mapInArrow(run, "bucket int, doc_ids array<long>, n array<long>, v array<long>, members binary, sigs binary")
+    return docs.mapInArrow(run, "bucket int, doc_ids array<long>, n array<long>, v array<long>, members binary, sigs binary, maps binary")
+
+
+def _home(key: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix64(key.astype(_U)) % _U(buckets)).astype(np.int64)
 
 
 def _cuts(value: np.ndarray) -> list[tuple[int, int]]:
@@ -235,7 +269,7 @@ def _meet(postings: DataFrame, buckets: int) -> DataFrame:
     members). The sets pass through."""
 
     def run(rows: pa.Table) -> pa.Table:
-        members = [np.frombuffer(x, _MEMBER) for x in rows["members"].to_pylist() if x is not None]
+        members = [np.frombuffer(x, _MEMBER) for x, m in zip(rows["members"].to_pylist(), rows["maps"].to_pylist()) if x is not None and m is None]
         member = np.concatenate(members or [np.zeros(0, _MEMBER)])
         index = np.repeat(np.arange(len(member)), member["count"])
         sig = np.frombuffer(b"".join(x for x in rows["sigs"].to_pylist() if x is not None), np.uint32)
@@ -263,31 +297,91 @@ def _meet(postings: DataFrame, buckets: int) -> DataFrame:
                 gid = _group_id(star)
                 if gid not in done:
                     done.add(gid)
-                    out.append((None, None, None, gid, int(star[0]), star[1:], None, None, None))
+                    out.append((None, None, None, gid, int(star[0]), star[1:], None, None, None, None, None))
         pair = np.unique(np.stack([np.concatenate([x for x, _ in pairs]), np.concatenate([y for _, y in pairs])], 1), axis=0)
-        to = (mix64(pair[:, 0].astype(_U)) % _U(buckets)).astype(np.int64)
+        to = _home(pair[:, 0], buckets)
         order = np.argsort(to, kind="stable")
         pair, to = pair[order], to[order]
-        out += [(int(to[a]), pair[a:b, 0].tobytes(), pair[a:b, 1].tobytes(), None, None, None, None, None, None) for a, b in _cuts(to)]
-        out += [(None,) * 6 + x for x in zip(*(rows[c].to_pylist() for c in ("doc_ids", "n", "v"))) if x[0] is not None]
+        out += [(int(to[a]), pair[a:b, 0].tobytes(), pair[a:b, 1].tobytes(), None, None, None, None, None, None, None, None) for a, b in _cuts(to)]
+        out += [(b, None, None, None, None, None, None, None, None, x, m) for b, x, m in zip(*(rows[c].to_pylist() for c in ("bucket", "members", "maps"))) if m is not None]
+        out += [(None,) * 6 + x + (None, None) for x in zip(*(rows[c].to_pylist() for c in ("doc_ids", "n", "v"))) if x[0] is not None]
         longs = pa.list_(pa.int64())
-        kinds = [pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), longs, longs, longs, longs]
-        c = list(zip(*out)) or [()] * 9
-        return pa.Table.from_arrays([pa.array(x, k) for x, k in zip(c, kinds)], ["to", "a", "b", "gid", "pivot", "members", "doc_ids", "n", "v"])
+        kinds = [pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), longs, longs, longs, longs, pa.binary(), pa.binary()]
+        c = list(zip(*out)) or [()] * 11
+        return pa.Table.from_arrays([pa.array(x, k) for x, k in zip(c, kinds)], ["to", "a", "b", "gid", "pivot", "members", "doc_ids", "n", "v", "keys", "maps"])
 
-    return postings.groupBy("bucket").applyInArrow(run, "to int, a binary, b binary, gid long, pivot long, members array<long>, doc_ids array<long>, n array<long>, v array<long>")
+    return postings.groupBy("bucket").applyInArrow(run, "to int, a binary, b binary, gid long, pivot long, members array<long>, doc_ids array<long>, n array<long>, v array<long>, keys binary, maps binary")
 
 
 def _group_id(keys: np.ndarray) -> int:
     return int(mix64(np.array([mix64(keys.astype(_U)).sum()], _U))[0] >> _U(1))
 
 
-def _distinct_pairs(packed: DataFrame) -> DataFrame:
-    def run(rows: pa.Table) -> pa.Table:
+def _maps_of(rows: pa.Table) -> dict[int, tuple[int, bytes]]:
+    """key -> (size, map) of packed rows."""
+    out = {}
+    for raw, blob in zip(rows["keys"].to_pylist(), rows["maps"].to_pylist()):
+        at = 0
+        for m in np.frombuffer(raw, _MEMBER)[["key", "size"]].tolist():
+            length = 1 << max(math.ceil(math.log2(max(2 * m[1], 1))), 7) - 3
+            out[m[0]] = (m[1], blob[at : at + length])
+            at += length
+    return out
+
+
+def screened(packed: DataFrame, maps: DataFrame, buckets: int) -> DataFrame:
+    """(v, p): the distinct pairs of packed (to, a, b) that may link by their bit maps (to, keys, maps). A pair goes
+    to the home of one key, takes its map to the home of the other, and meets that one's map there."""
+
+    def first(rows: pa.Table, map_rows: pa.Table) -> pa.Table:
+        known = _maps_of(map_rows)
         pair = np.unique(np.stack([_read(rows, "a", np.int64), _read(rows, "b", np.int64)], 1), axis=0)
-        return pa.Table.from_arrays([pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy())], ["v", "p"])
+        home = _home(pair[:, 1], buckets)
+        order = np.lexsort((pair[:, 0], home))
+        pair, home = pair[order], home[order]
+        out = []
+        for x, y in _cuts(home):
+            mine, n = np.unique(pair[x:y, 0], return_counts=True)
+            own = [known[k] for k in mine.tolist()]
+            member = np.zeros(len(mine), _MEMBER)
+            member["key"], member["size"], member["count"] = mine, [s for s, _ in own], n
+            out.append((int(home[x]), member.tobytes(), pair[x:y, 1].tobytes(), b"".join(m for _, m in own)))
+        c = list(zip(*out)) or [()] * 4
+        return pa.Table.from_arrays([pa.array(c[0], pa.int32()), *(pa.array(z, pa.binary()) for z in c[1:])], ["to", "keys", "b", "maps"])
+
+    def second(rows: pa.Table, map_rows: pa.Table) -> pa.Table:
+        known = _maps_of(map_rows)
+        v, p = [], []
+        for raw, other, blob in zip(rows["keys"].to_pylist(), rows["b"].to_pylist(), rows["maps"].to_pylist()):
+            theirs = _maps_of(pa.table({"keys": [raw], "maps": [blob]}))
+            partner = np.frombuffer(other, np.int64).tolist()
+            at = 0
+            for key, count in np.frombuffer(raw, _MEMBER)[["key", "count"]].tolist():
+                n, own = theirs[key]
+                for b in partner[at : at + count]:
+                    m, bits = known[b]
+                    if may_link_by_maps(own, bits, n + m):
+                        v.append(key)
+                        p.append(b)
+                at += count
+        return pa.Table.from_arrays([pa.array(v, pa.int64()), pa.array(p, pa.int64())], ["v", "p"])
+
+    half = packed.groupBy("to").cogroup(maps.groupBy("to")).applyInArrow(first, "to int, keys binary, b binary, maps binary")
+    return half.groupBy("to").cogroup(maps.groupBy("to")).applyInArrow(second, "v long, p long")
+
+
+def repacked(pairs: DataFrame, buckets: int) -> DataFrame:
+    """Rows (v, p) as packed pairs (to, a, b)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (batch[c].to_numpy() for c in ("v", "p"))
+            home = _home(a, buckets)
+            order = np.argsort(home, kind="stable")
+            cuts = _cuts(home[order])
+            yield pa.RecordBatch.from_arrays([pa.array([int(home[order[x]]) for x, _ in cuts], pa.int32()), *(pa.array([z[order[x:y]].tobytes() for x, y in cuts], pa.binary()) for z in (a, b))], ["to", "a", "b"])
 
-    return packed.groupBy("to").applyInArrow(run, "v long, p long")
+    return pairs.mapInArrow(run, "to int, a binary, b binary")
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -343,27 +437,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     zipped = F.explode(F.arrays_zip("doc_ids", "n", "v")).alias("x")
     sets = stored(hits.filter("doc_ids is not null").select(zipped).select("x.doc_ids", "x.n", "x.v").toDF("doc_id", "n", "v"), "sets")
     classes = stored(sets.filter("v <> 0").groupBy("v").agg(F.min("doc_id").alias("rep")), "classes")
-    pairs = stored(_distinct_pairs(hits.filter("to is not null").select("to", "a", "b")), "pairs")
+    maps = hits.filter("maps is not null").select("to", "keys", "maps")
+    pairs = stored(screened(hits.filter("a is not null").select("to", "a", "b"), maps, buckets), "pairs")
     wanted = pairs.select(F.explode(F.array("v", "p")).alias("v")).distinct().join(classes, "v").select("v", F.col("rep").alias("doc_id"))
     texts = stored(_texts_of(base, wanted), "texts")
     first = stored(verify(pairs, texts), "verified")
     links = first.filter("linked").select(F.col("v").alias("a"), F.col("p").alias("b"))
     comps = stored(components(links), "components")
 
+    # members that are not in their pivot's component: the pivot's star may hold links between them and the others
+    stars = hits.filter("gid is not null").select("gid", F.col("pivot").alias("p"), F.explode("members").alias("v")).distinct()
     root_of = lambda name: comps.select(F.col("v").alias(name), F.col("root").alias(f"{name}_root"))
-    failed = first.filter("not linked").join(root_of("v"), "v", "left").join(root_of("p"), "p", "left")
-    apart = failed.filter(F.coalesce("v_root", "v") != F.coalesce("p_root", "p")).select(F.col("p").alias("pivot")).distinct()
-    stars = hits.filter("gid is not null").select("gid", "pivot", "members").join(stored(apart, "apart"), "pivot", "left_semi")
-    members = stored(stars.select("gid", F.col("pivot").alias("p"), F.explode("members").alias("v")).distinct(), "members")
-    known = members.join(first, ["v", "p"]).join(comps, "v", "left").select("gid", "v", F.coalesce("root", "v").alias("root"), F.col("distance").alias("d"), "linked")
-    known = stored(known, "known")
-    stray = known.filter("not linked").select("gid", F.col("v").alias("f"), F.col("root").alias("f_root"), F.col("d").alias("f_d"))
-    more = stray.join(known, "gid").filter((F.col("root") != F.col("f_root")) & (F.abs(F.col("d") - F.col("f_d")) <= 1 - PERCENT / 100 + 1e-9))
+    placed = stars.join(root_of("v"), "v", "left").join(root_of("p"), "p", "left").join(first, ["v", "p"], "left")
+    placed = placed.select("gid", "v", F.coalesce("v_root", "v").alias("root"), (F.coalesce("v_root", "v") != F.coalesce("p_root", "p")).alias("stray"), F.col("distance").alias("d"))
+    placed = stored(placed, "placed")
+    stray = placed.filter("stray").select("gid", F.col("v").alias("f"), F.col("root").alias("f_root"), F.col("d").alias("f_d"))
+    near = F.coalesce(F.abs(F.col("d") - F.col("f_d")) <= 1 - PERCENT / 100 + 1e-9, F.lit(True))
+    more = stray.join(placed, "gid").filter((F.col("root") != F.col("f_root")) & near)
     more = more.select(F.greatest("f", "v").alias("v"), F.least("f", "v").alias("p")).distinct().join(first.select("v", "p"), ["v", "p"], "left_anti")
-    more = stored(more, "more")
+    more = stored(screened(repacked(more, buckets), maps, buckets), "more")
     if not more.isEmpty():
-        second = stored(verify(more, texts), "verified").filter("linked").select(F.col("v").alias("a"), F.col("p").alias("b"))
-        comps = stored(components(links.unionAll(second)), "components")
+        wanted = more.select(F.explode(F.array("v", "p")).alias("v")).distinct().join(classes, "v").select("v", F.col("rep").alias("doc_id"))
+        second = verify(more, stored(_texts_of(base, wanted), "texts")).filter("linked").select(F.col("v").alias("a"), F.col("p").alias("b"))
+        comps = stored(components(links.unionAll(stored(second, "verified"))), "components")
     least = stored(comps.join(classes, "v").groupBy("root").agg(F.min("rep").alias("component")), "least")
     named = stored(classes.join(comps.join(least, "root"), "v", "left").select("v", F.coalesce("component", "rep").alias("component")), "named")
     return sets.join(named, "v", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
