@@ -111,14 +111,16 @@ def bit_maps(h: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, bytes]:
     return bits // 8, np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
-def may_link_by_maps(a: bytes, b: bytes, n: int) -> bool:
-    """Whether two sets of n members together may link by their bit maps; never wrong about a pair that links."""
+def map_distance(n: int, a: bytes, m: int, b: bytes) -> float | None:
+    """About how many members two sets of n and m members differ in, as a share of n + m, by their bit maps; None if
+    too many for a link, which is never wrong about a pair that links."""
     x, y = np.frombuffer(a, _U), np.frombuffer(b, _U)
     while len(x) > len(y):
         x = x[: len(x) // 2] ^ x[len(x) // 2 :]
     while len(y) > len(x):
         y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-    return int(np.bitwise_count(x ^ y).sum()) * (100 + PERCENT) <= (100 - PERCENT) * n
+    differ = int(np.bitwise_count(x ^ y).sum())
+    return differ / (n + m) if differ * (100 + PERCENT) <= (100 - PERCENT) * (n + m) else None
 
 
 def signatures(h: np.ndarray, begin: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
@@ -175,10 +177,6 @@ def signatures(h: np.ndarray, begin: np.ndarray, percent: int = PERCENT) -> tupl
     return (np.concatenate(docs), np.concatenate(sigs)) if docs else (np.zeros(0, np.int64), np.zeros(0, _U))
 
 
-def _read(table_: pa.Table, column: str, kind) -> np.ndarray:
-    return np.frombuffer(b"".join(table_[column].to_pylist()), kind)
-
-
 _MEMBER = np.dtype([("key", "<i8"), ("size", "<u4"), ("count", "<u4"), ("bits", "<u8", 2)])
 
 
@@ -265,7 +263,7 @@ def candidates(group: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]],
 
 
 def _meet(postings: DataFrame, buckets: int) -> DataFrame:
-    """Where sets share a signature: packed pairs (to, a, b) that may link, and stars of three and more (gid, pivot,
+    """Where sets share a signature: packed pairs (to, pairs) that may link, and stars of three and more (gid, pivot,
     members). The sets pass through."""
 
     def run(rows: pa.Table) -> pa.Table:
@@ -297,91 +295,234 @@ def _meet(postings: DataFrame, buckets: int) -> DataFrame:
                 gid = _group_id(star)
                 if gid not in done:
                     done.add(gid)
-                    out.append((None, None, None, gid, int(star[0]), star[1:], None, None, None, None, None))
+                    out.append((None, None, gid, int(star[0]), star[1:]) + (None,) * 5)
         pair = np.unique(np.stack([np.concatenate([x for x, _ in pairs]), np.concatenate([y for _, y in pairs])], 1), axis=0)
-        to = _home(pair[:, 0], buckets)
-        order = np.argsort(to, kind="stable")
-        pair, to = pair[order], to[order]
-        out += [(int(to[a]), pair[a:b, 0].tobytes(), pair[a:b, 1].tobytes(), None, None, None, None, None, None, None, None) for a, b in _cuts(to)]
-        out += [(b, None, None, None, None, None, None, None, None, x, m) for b, x, m in zip(*(rows[c].to_pylist() for c in ("bucket", "members", "maps"))) if m is not None]
-        out += [(None,) * 6 + x + (None, None) for x in zip(*(rows[c].to_pylist() for c in ("doc_ids", "n", "v"))) if x[0] is not None]
+        out += [(to, raw) + (None,) * 8 for to, raw in zip(*(_packed(pair, buckets)[c].to_pylist() for c in ("to", "pairs")))]
+        out += [(b,) + (None,) * 7 + (x, m) for b, x, m in zip(*(rows[c].to_pylist() for c in ("bucket", "members", "maps"))) if m is not None]
+        out += [(None,) * 5 + x + (None, None) for x in zip(*(rows[c].to_pylist() for c in ("doc_ids", "n", "v"))) if x[0] is not None]
         longs = pa.list_(pa.int64())
-        kinds = [pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), longs, longs, longs, longs, pa.binary(), pa.binary()]
-        c = list(zip(*out)) or [()] * 11
-        return pa.Table.from_arrays([pa.array(x, k) for x, k in zip(c, kinds)], ["to", "a", "b", "gid", "pivot", "members", "doc_ids", "n", "v", "keys", "maps"])
+        kinds = [pa.int32(), pa.binary(), pa.int64(), pa.int64(), longs, longs, longs, longs, pa.binary(), pa.binary()]
+        c = list(zip(*out)) or [()] * 10
+        return pa.Table.from_arrays([pa.array(x, k) for x, k in zip(c, kinds)], ["to", "pairs", "gid", "pivot", "members", "doc_ids", "n", "v", "keys", "maps"])
 
-    return postings.groupBy("bucket").applyInArrow(run, "to int, a binary, b binary, gid long, pivot long, members array<long>, doc_ids array<long>, n array<long>, v array<long>, keys binary, maps binary")
+    return postings.groupBy("bucket").applyInArrow(run, "to int, pairs binary, gid long, pivot long, members array<long>, doc_ids array<long>, n array<long>, v array<long>, keys binary, maps binary")
 
 
 def _group_id(keys: np.ndarray) -> int:
     return int(mix64(np.array([mix64(keys.astype(_U)).sum()], _U))[0] >> _U(1))
 
 
-def _maps_of(rows: pa.Table) -> dict[int, tuple[int, bytes]]:
+def _maps_of(keys: list[bytes | None], maps: list[bytes | None]) -> dict[int, tuple[int, bytes]]:
     """key -> (size, map) of packed rows."""
     out = {}
-    for raw, blob in zip(rows["keys"].to_pylist(), rows["maps"].to_pylist()):
+    for raw, blob in zip(keys, maps):
         at = 0
-        for m in np.frombuffer(raw, _MEMBER)[["key", "size"]].tolist():
+        for m in np.frombuffer(raw or b"", _MEMBER)[["key", "size"]].tolist():
             length = 1 << max(math.ceil(math.log2(max(2 * m[1], 1))), 7) - 3
             out[m[0]] = (m[1], blob[at : at + length])
             at += length
     return out
 
 
-def screened(packed: DataFrame, maps: DataFrame, buckets: int) -> DataFrame:
-    """(v, p): the distinct pairs of packed (to, a, b) that may link by their bit maps (to, keys, maps). A pair goes
-    to the home of one key, takes its map to the home of the other, and meets that one's map there."""
+def _roots_of(rows: pa.Table) -> dict[int, int]:
+    """key -> root of its component; a key that is not there is its own."""
+    return dict(_read_some(rows, "roots").reshape(-1, 2).tolist())
+
+
+def _read_some(rows: pa.Table, column: str, kind=np.int64) -> np.ndarray:
+    return np.frombuffer(b"".join(x for x in rows[column].to_pylist() if x is not None), kind)
+
+
+def _facts(maps: DataFrame | None, comps: DataFrame | None, buckets: int) -> DataFrame:
+    """What is known of keys, at their homes (to): maps (keys, maps), roots of components or both."""
+    parts = []
+    if maps is not None:
+        parts.append(maps.select("to", "keys", "maps", F.lit(None).cast("binary").alias("roots")))
+    if comps is not None:
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                pair = np.stack([batch["v"].to_numpy(), batch["root"].to_numpy()], 1)
+                home = _home(pair[:, 0], buckets)
+                order = np.argsort(home, kind="stable")
+                cuts = _cuts(home[order])
+                roots = [pair[order[x:y]].tobytes() for x, y in cuts]
+                none = pa.nulls(len(cuts), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([int(home[order[x]]) for x, _ in cuts], pa.int32()), none, none, pa.array(roots, pa.binary())], ["to", "keys", "maps", "roots"])
+
+        parts.append(comps.select("v", "root").mapInArrow(run, "to int, keys binary, maps binary, roots binary"))
+    return parts[0] if len(parts) == 1 else parts[0].unionAll(parts[1])
 
-    def first(rows: pa.Table, map_rows: pa.Table) -> pa.Table:
-        known = _maps_of(map_rows)
-        pair = np.unique(np.stack([_read(rows, "a", np.int64), _read(rows, "b", np.int64)], 1), axis=0)
-        home = _home(pair[:, 1], buckets)
-        order = np.lexsort((pair[:, 0], home))
+
+_PAIR = np.dtype([("a", "<i8"), ("b", "<i8"), ("d", "<f8")])
+
+
+def crossing(packed: DataFrame, maps: DataFrame | None, comps: DataFrame | None, buckets: int) -> DataFrame:
+    """Of packed pairs (to, pairs) the distinct ones between different components of comps, and if maps are given those
+    that may link by their bit maps, which also say how far apart the two are about. Packed as (to, groups, pairs):
+    a group is the greater key as long as there are no components, else the two components.
+
+    A pair goes to the home of one key, takes what is known of it to the home of the other, and meets that one there."""
+    screen, placed = maps is not None, comps is not None
+
+    def first(rows: pa.Table, known: pa.Table) -> pa.Table:
+        pair = np.unique(_read_some(rows, "pairs", _PAIR))
+        map_of, root_of = _maps_of(known["keys"].to_pylist(), known["maps"].to_pylist()), _roots_of(known)
+        home = _home(pair["b"], buckets)
+        order = np.lexsort((pair["a"], home))
         pair, home = pair[order], home[order]
         out = []
         for x, y in _cuts(home):
-            mine, n = np.unique(pair[x:y, 0], return_counts=True)
-            own = [known[k] for k in mine.tolist()]
+            mine = np.unique(pair["a"][x:y])
+            own = [map_of[k] for k in mine.tolist()] if screen else []
             member = np.zeros(len(mine), _MEMBER)
-            member["key"], member["size"], member["count"] = mine, [s for s, _ in own], n
-            out.append((int(home[x]), member.tobytes(), pair[x:y, 1].tobytes(), b"".join(m for _, m in own)))
-        c = list(zip(*out)) or [()] * 4
-        return pa.Table.from_arrays([pa.array(c[0], pa.int32()), *(pa.array(z, pa.binary()) for z in c[1:])], ["to", "keys", "b", "maps"])
-
-    def second(rows: pa.Table, map_rows: pa.Table) -> pa.Table:
-        known = _maps_of(map_rows)
-        v, p = [], []
-        for raw, other, blob in zip(rows["keys"].to_pylist(), rows["b"].to_pylist(), rows["maps"].to_pylist()):
-            theirs = _maps_of(pa.table({"keys": [raw], "maps": [blob]}))
-            partner = np.frombuffer(other, np.int64).tolist()
-            at = 0
-            for key, count in np.frombuffer(raw, _MEMBER)[["key", "count"]].tolist():
-                n, own = theirs[key]
-                for b in partner[at : at + count]:
-                    m, bits = known[b]
-                    if may_link_by_maps(own, bits, n + m):
-                        v.append(key)
-                        p.append(b)
-                at += count
-        return pa.Table.from_arrays([pa.array(v, pa.int64()), pa.array(p, pa.int64())], ["v", "p"])
-
-    half = packed.groupBy("to").cogroup(maps.groupBy("to")).applyInArrow(first, "to int, keys binary, b binary, maps binary")
-    return half.groupBy("to").cogroup(maps.groupBy("to")).applyInArrow(second, "v long, p long")
-
-
-def repacked(pairs: DataFrame, buckets: int) -> DataFrame:
-    """Rows (v, p) as packed pairs (to, a, b)."""
+            member["key"] = mine
+            if screen:
+                member["size"] = [s for s, _ in own]
+            roots = np.array([root_of.get(k, k) for k in mine.tolist()], np.int64)
+            out.append((int(home[x]), pair[x:y].tobytes(), member.tobytes(), roots.tobytes(), b"".join(m for _, m in own)))
+        c = list(zip(*out)) or [()] * 5
+        return pa.Table.from_arrays([pa.array(c[0], pa.int32()), *(pa.array(z, pa.binary()) for z in c[1:])], ["to", "pairs", "keys", "own", "maps"])
+
+    def second(rows: pa.Table, known: pa.Table) -> pa.Table:
+        map_of, root_of = _maps_of(known["keys"].to_pylist(), known["maps"].to_pylist()), _roots_of(known)
+        found = [np.zeros(0, np.dtype([("g", "<i8"), *_PAIR.descr]))]
+        for raw, keys, own, blob in zip(*(rows[c].to_pylist() for c in ("pairs", "keys", "own", "maps"))):
+            theirs = _maps_of([keys], [blob]) if screen else {}
+            roots = dict(zip(np.frombuffer(keys, _MEMBER)["key"].tolist(), np.frombuffer(own, np.int64).tolist()))
+            got = []
+            for a, b, d in np.frombuffer(raw, _PAIR).tolist():
+                ra, rb = roots[a], root_of.get(b, b)
+                if ra == rb:
+                    continue
+                if screen:
+                    d = map_distance(*theirs[a], *map_of[b])
+                    if d is None:
+                        continue
+                got.append((ra, rb, a, b, d))
+            if got:
+                ra, rb, a, b, d = (np.array(x) for x in zip(*got))
+                part = np.zeros(len(a), found[0].dtype)
+                part["a"], part["b"], part["d"] = a, b, d
+                part["g"] = (mix64(mix64(np.minimum(ra, rb).astype(_U)) + np.maximum(ra, rb).astype(_U)) >> _U(1)).astype(np.int64) if placed else a
+                found.append(part)
+        pair = np.concatenate(found)
+        home = _home(pair["g"], buckets)
+        order = np.argsort(home, kind="stable")
+        pair, home = pair[order], home[order]
+        out = [(int(home[x]), pair["g"][x:y].tobytes(), _plain(pair[x:y]).tobytes()) for x, y in _cuts(home)]
+        c = list(zip(*out)) or [()] * 3
+        return pa.Table.from_arrays([pa.array(c[0], pa.int32()), *(pa.array(z, pa.binary()) for z in c[1:])], ["to", "groups", "pairs"])
+
+    facts = _facts(maps, comps, buckets)
+    half = packed.groupBy("to").cogroup(facts.groupBy("to")).applyInArrow(first, "to int, pairs binary, keys binary, own binary, maps binary")
+    return half.groupBy("to").cogroup(facts.groupBy("to")).applyInArrow(second, "to int, groups binary, pairs binary")
+
+
+def _plain(pair: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(pair), _PAIR)
+    for c in "abd":
+        out[c] = pair[c]
+    return out
+
+
+def closest(pairs: DataFrame, k: int, buckets: int) -> DataFrame:
+    """Of packed (to, groups, pairs) the k closest pairs of each group as rows (v, p), the others packed (to, pairs)."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        group, pair = _read_some(rows, "groups"), _read_some(rows, "pairs", _PAIR)
+        order = np.lexsort((pair["b"], pair["a"], pair["d"], group))
+        group, pair = group[order], pair[order]
+        start = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1]) if len(group) else np.zeros(0, np.int64)
+        best = spread(np.diff(np.append(start, len(group)))) < k
+        v, p, rest = pair["a"][best], pair["b"][best], pair[~best]
+        home = _home(rest["a"], buckets)
+        order = np.argsort(home, kind="stable")
+        rest, home = rest[order], home[order]
+        cuts = _cuts(home)
+        none = [None] * len(cuts)
+        columns = [[*v.tolist(), *none], [*p.tolist(), *none], [None] * len(v) + [int(home[x]) for x, _ in cuts], [None] * len(v) + [rest[x:y].tobytes() for x, y in cuts]]
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.binary()))], ["v", "p", "to", "pairs"])
+
+    return pairs.groupBy("to").applyInArrow(run, "v long, p long, to int, pairs binary")
+
+
+def _keys_of(step: DataFrame) -> DataFrame:
+    """The distinct keys v of what closest() gives."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (batch[c].to_numpy() for c in ("v", "p"))
-            home = _home(a, buckets)
+            pair = np.frombuffer(b"".join(x for x in batch["pairs"].to_pylist() if x is not None), _PAIR)
+            some = [batch[c].drop_null().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("v", "p")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([pair["a"], pair["b"], *some])), pa.int64())], ["v"])
+
+    return step.mapInArrow(run, "v long").distinct()
+
+
+def strays(stars: DataFrame, maps: DataFrame, comps: DataFrame, buckets: int) -> DataFrame:
+    """Packed pairs (to, pairs) of members of a star (gid, members) that are in different components and may link by
+    size and parity bits. A member learns its component at its home and then meets the others of the star."""
+    fact = np.dtype([("gid", "<i8"), ("root", "<i8"), *_MEMBER.descr])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = batch["members"].flatten().to_numpy(zero_copy_only=False)
+            gid = np.repeat(batch["gid"].to_numpy(), batch["members"].value_lengths().to_numpy())
+            pair = np.stack([key, gid], 1)
+            home = _home(key, buckets)
             order = np.argsort(home, kind="stable")
             cuts = _cuts(home[order])
-            yield pa.RecordBatch.from_arrays([pa.array([int(home[order[x]]) for x, _ in cuts], pa.int32()), *(pa.array([z[order[x:y]].tobytes() for x, y in cuts], pa.binary()) for z in (a, b))], ["to", "a", "b"])
-
-    return pairs.mapInArrow(run, "to int, a binary, b binary")
+            yield pa.RecordBatch.from_arrays([pa.array([int(home[order[x]]) for x, _ in cuts], pa.int32()), pa.array([pair[order[x:y]].tobytes() for x, y in cuts], pa.binary())], ["to", "pairs"])
+
+    def place(rows: pa.Table, known: pa.Table) -> pa.Table:
+        pair = np.unique(_read_some(rows, "pairs").reshape(-1, 2), axis=0)
+        member = _read_some(known, "keys", _MEMBER)
+        member = member[np.argsort(member["key"], kind="stable")]
+        root_of = _roots_of(known)
+        out = np.zeros(len(pair), fact)
+        at = np.searchsorted(member["key"], pair[:, 0])
+        for c in _MEMBER.names:
+            out[c] = member[c][at]
+        out["gid"], out["root"] = pair[:, 1], [root_of.get(k, k) for k in pair[:, 0].tolist()]
+        home = _home(out["gid"], buckets)
+        order = np.argsort(home, kind="stable")
+        out, home = out[order], home[order]
+        cuts = _cuts(home)
+        return pa.Table.from_arrays([pa.array([int(home[x]) for x, _ in cuts], pa.int32()), pa.array([out[x:y].tobytes() for x, y in cuts], pa.binary())], ["to", "facts"])
+
+    def meet(rows: pa.Table) -> pa.Table:
+        all_ = _read_some(rows, "facts", fact)
+        all_ = all_[np.lexsort((all_["root"], all_["gid"]))]
+        pairs = [np.zeros((0, 2), np.int64)]
+        for x, y in _cuts(all_["gid"]):
+            star = all_[x:y]
+            own = _cuts(star["root"])
+            main = max(own, key=lambda c: c[1] - c[0])
+            outside = np.ones(len(star), bool)
+            outside[main[0] : main[1]] = False
+            for lo, hi in (c for c in own if c != main):  # each stray against the main component and later strays
+                others = star[~outside | (np.arange(len(star)) >= hi)]
+                for f in star[lo:hi]:
+                    near = others["key"][may_link(f, others)]
+                    pairs.append(np.stack([np.maximum(near, f["key"]), np.minimum(near, f["key"])], 1))
+        pair = np.unique(np.concatenate(pairs), axis=0)
+        return _packed(pair, buckets)
+
+    facts = _facts(maps.drop("maps").withColumn("maps", F.lit(None).cast("binary")), comps, buckets)
+    dealt = stars.select("gid", "members").mapInArrow(deal, "to int, pairs binary")
+    met = dealt.groupBy("to").cogroup(facts.groupBy("to")).applyInArrow(place, "to int, facts binary")
+    return met.groupBy("to").applyInArrow(meet, "to int, pairs binary")
+
+
+def _packed(pair: np.ndarray, buckets: int) -> pa.Table:
+    """Pairs of keys (two columns) as rows (to, pairs) for the homes of the first keys."""
+    out = np.zeros(len(pair), _PAIR)
+    out["a"], out["b"] = pair[:, 0], pair[:, 1]
+    home = _home(out["a"], buckets)
+    order = np.argsort(home, kind="stable")
+    out, home = out[order], home[order]
+    cuts = _cuts(home)
+    return pa.Table.from_arrays([pa.array([int(home[x]) for x, _ in cuts], pa.int32()), pa.array([out[x:y].tobytes() for x, y in cuts], pa.binary())], ["to", "pairs"])
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -424,11 +565,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component_id is the smallest id that can be reached by links. Equal sets are one vertex; rows with equal ids are
     rows of their own; a null id is never the smallest of several. Other columns are not looked at.
 
-    Of a group of sets that share a signature, the least member is verified against those that may link to it by
-    size and parity bits. Where some of these do not link and stay in another component, they are verified against
-    the others, but for those whose distances to the least member differ too much for a link (the Jaccard distance is
-    a metric). So no link between components is lost, and a group of copies costs as many verifications as it has
-    members.
+    Of a group of sets that share a signature, the least member is paired with those that may link to it by size and
+    parity bits, and those are a star. Each set is first verified against the closest of its partners; then only pairs
+    between different components are left to verify, ever more for each two of them until none is left. Where members
+    of a star are in different components, these are paired too. So no link between components is lost, and a family
+    of copies costs about as many verifications as it has members.
     """
     spark = docs.sparkSession
     buckets = partitions(spark)
@@ -438,33 +579,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = stored(hits.filter("doc_ids is not null").select(zipped).select("x.doc_ids", "x.n", "x.v").toDF("doc_id", "n", "v"), "sets")
     classes = stored(sets.filter("v <> 0").groupBy("v").agg(F.min("doc_id").alias("rep")), "classes")
     maps = hits.filter("maps is not null").select("to", "keys", "maps")
-    pairs = stored(screened(hits.filter("a is not null").select("to", "a", "b"), maps, buckets), "pairs")
-    wanted = pairs.select(F.explode(F.array("v", "p")).alias("v")).distinct().join(classes, "v").select("v", F.col("rep").alias("doc_id"))
-    texts = stored(_texts_of(base, wanted), "texts")
-    first = stored(verify(pairs, texts), "verified")
-    links = first.filter("linked").select(F.col("v").alias("a"), F.col("p").alias("b"))
-    comps = stored(components(links), "components")
-
-    # members that are not in their pivot's component: the pivot's star may hold links between them and the others
-    stars = hits.filter("gid is not null").select("gid", F.col("pivot").alias("p"), F.explode("members").alias("v")).distinct()
-    root_of = lambda name: comps.select(F.col("v").alias(name), F.col("root").alias(f"{name}_root"))
-    placed = stars.join(root_of("v"), "v", "left").join(root_of("p"), "p", "left").join(first, ["v", "p"], "left")
-    placed = placed.select("gid", "v", F.coalesce("v_root", "v").alias("root"), (F.coalesce("v_root", "v") != F.coalesce("p_root", "p")).alias("stray"), F.col("distance").alias("d"))
-    placed = stored(placed, "placed")
-    stray = placed.filter("stray").select("gid", F.col("v").alias("f"), F.col("root").alias("f_root"), F.col("d").alias("f_d"))
-    near = F.coalesce(F.abs(F.col("d") - F.col("f_d")) <= 1 - PERCENT / 100 + 1e-9, F.lit(True))
-    more = stray.join(placed, "gid").filter((F.col("root") != F.col("f_root")) & near)
-    more = more.select(F.greatest("f", "v").alias("v"), F.least("f", "v").alias("p")).distinct().join(first.select("v", "p"), ["v", "p"], "left_anti")
-    more = stored(screened(repacked(more, buckets), maps, buckets), "more")
-    if not more.isEmpty():
-        wanted = more.select(F.explode(F.array("v", "p")).alias("v")).distinct().join(classes, "v").select("v", F.col("rep").alias("doc_id"))
-        second = verify(more, stored(_texts_of(base, wanted), "texts")).filter("linked").select(F.col("v").alias("a"), F.col("p").alias("b"))
-        comps = stored(components(links.unionAll(stored(second, "verified"))), "components")
+    comps = spark.createDataFrame([], "v long, root long")
+    comps = _joined(hits.filter("pairs is not null").select("to", "pairs"), maps, comps, base, classes, buckets, fresh=True)
+    left = stored(strays(hits.filter("gid is not null"), maps, comps, buckets), "strays")
+    comps = _joined(left, maps, comps, base, classes, buckets)
     least = stored(comps.join(classes, "v").groupBy("root").agg(F.min("rep").alias("component")), "least")
     named = stored(classes.join(comps.join(least, "root"), "v", "left").select("v", F.coalesce("component", "rep").alias("component")), "named")
     return sets.join(named, "v", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def _joined(packed: DataFrame, maps: DataFrame, comps: DataFrame, base: DataFrame, classes: DataFrame, buckets: int, fresh: bool = False) -> DataFrame:
+    """comps (v, root) with the links of packed pairs (to, pairs) added: rounds of the closest pairs between different
+    components, sixteen times as many for each two of them in each round, until no pair is left."""
+    k = 1
+    step = stored(closest(crossing(packed, maps, None if fresh else comps, buckets), k, buckets), "chosen")
+    if step.isEmpty():
+        return comps
+    texts = stored(_texts_of(base, _keys_of(step).join(classes, "v").select("v", F.col("rep").alias("doc_id"))), "texts")
+    while not step.isEmpty():
+        links = stored(verify(step.filter("v is not null").select("v", "p"), texts), "verified").filter("linked")
+        edges = comps.select(F.col("v").alias("a"), F.col("root").alias("b")).unionAll(links.select("v", "p"))
+        comps = stored(components(edges), "components")
+        rest, k = step.filter("pairs is not null").select("to", "pairs"), 16 * k
+        if rest.isEmpty():
+            break
+        step = stored(closest(crossing(rest, None, comps, buckets), k, buckets), "chosen")
+    return comps
+
+
 def _texts_of(base: DataFrame, wanted: DataFrame) -> DataFrame:
     """(v, text) of the wanted (v, doc_id); of rows with equal ids the one whose set has the key."""
 
