@@ -282,7 +282,7 @@ def _meet(postings: DataFrame, buckets: int) -> DataFrame:
         two = start[size == 2]
         a, b = member[index[two + 1]], member[index[two]]
         ok = may_link(a, b)
-        pairs, out, done = [(a["key"][ok], b["key"][ok])], [], set()
+        pairs, out, done, sent = [(a["key"][ok], b["key"][ok])], [], set(), set()
         for at, n in zip(start[size > 2].tolist(), size[size > 2].tolist()):
             group = member[index[at : at + n]]
             gid = _group_id(group["key"])
@@ -293,8 +293,8 @@ def _meet(postings: DataFrame, buckets: int) -> DataFrame:
             pairs += more
             for star in stars:
                 gid = _group_id(star)
-                if gid not in done:
-                    done.add(gid)
+                if gid not in sent:  # a star may be its whole group, so groups are no measure here
+                    sent.add(gid)
                     out.append((None, None, gid, int(star[0]), star[1:]) + (None,) * 5)
         pair = np.unique(np.stack([np.concatenate([x for x, _ in pairs]), np.concatenate([y for _, y in pairs])], 1), axis=0)
         out += [(to, raw) + (None,) * 8 for to, raw in zip(*(_packed(pair, buckets)[c].to_pylist() for c in ("to", "pairs")))]

@@ -354,6 +354,23 @@ def test_near_duplicates_match_brute_force(spark, texts, docs, empty):
     assert jaccard.near_duplicates(empty).count() == 0
 
 
+def test_large_sets_that_link_to_one_base_only(spark):
+    rng = random.Random(17)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(604)]
+    rows = [" ".join(base)]
+    for v in range(200):
+        own = list(base)
+        for k in range(13):  # 65 of 600 shingles: 535 / 665 is over 0.8, two of these have about 470 / 730
+            own[40 + 43 * k + rng.randrange(38)] = f"x{v}-{k}"
+        rows.append(" ".join(own))
+    sets = [set(zip(*(r.split()[i:] for i in range(5)))) for r in rows]
+    links = [(a, b) for a in range(len(sets)) for b in range(a) if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])]
+    assert links == [(a, 0) for a in range(1, len(sets))]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(df).collect()}
+    assert got == dict.fromkeys(range(len(rows)), 0)
+
+
 def test_components(spark, empty):
     rng = random.Random(1)
     pairs = [(i, i + 1) for i in range(0, 40)] + [(100, 100 + rng.randint(1, 30)) for _ in range(40)] + [(7, 7), (200, 201), (201, 200)]
