@@ -1,12 +1,15 @@
 """Substring dedup by sliding sentence spans.
 
-Every run of SPAN sentences in a row is hashed. The runs meet by their hashes; of a run that occurs more than once the
-first occurrence (least document, then place) stays, and the sentences that any other occurrence covers are removed.
+From every sentence, forwards and backwards, the shortest run that has two sentences and LEAST_WORDS words is hashed.
+The runs meet by their hashes; of a run that occurs more than once the first occurrence (least document, then place)
+stays, and the sentences that any other occurrence covers are removed. A repeated passage of two and more sentences
+with enough words consists of such runs, so none of its sentences is missed, however short they are.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +21,7 @@ from pyspark.sql.window import Window
 
 from barloom.llm.common import slices, stored, table
 
-#: Sentences of a run, and words that a repeated run must have to count.
+#: Sentences of a passage that counts (two do as well; 1 lets single ones count), and words it must have.
 SPAN, LEAST_WORDS = 3, 10
 #: A sentence with the blanks after it: up to . ! or ? before a blank, or to the end of a line. Fixed pattern.
 _SENTENCE = re.compile(r"(?:[^.!?\n]|[.!?](?![\s]|$))*(?:[.!?]+(?=\s|$)|\n|$)\s*")
@@ -36,18 +39,22 @@ def plain(sentence: str) -> str:
 
 
 def run_hashes(sentences: list[str], span: int, least: int) -> list[tuple[int, int, int]]:
-    """(hash, place, sentences) of each run: span sentences with words in a row; of a text with fewer, all of them.
-    Sentences without words belong to the run around them."""
+    """(hash, place, sentences) of each run: the fewest sentences with words, two at least, that have least words, from
+    and up to every sentence; of a text with one sentence that one. Longer runs, those of span sentences too, consist
+    of these. Sentences without words belong to the run around them."""
     own = [(i, p) for i, p in ((i, plain(s)) for i, s in enumerate(sentences)) if p]
-    if not own:
+    fewest = min(2, span, len(own))
+    so_far = [0]
+    for _, p in own:
+        so_far.append(so_far[-1] + p.count(" ") + 1)
+    if not own or so_far[-1] < least:
         return []
-    width = min(span, len(own))
+    ends = ((a, max(a + fewest, bisect_left(so_far, so_far[a] + least))) for a in range(len(own)))
+    begins = ((min(b - fewest, bisect_right(so_far, so_far[b] - least) - 1), b) for b in range(1, len(own) + 1))
     out = []
-    for a in range(len(own) - width + 1):
-        text = "\n".join(p for _, p in own[a : a + width])
-        if text.count(" ") + text.count("\n") + 1 >= least:
-            first, last = own[a][0], own[a + width - 1][0]
-            out.append((xxhash.xxh3_64_intdigest(text) - (1 << 63), first, last - first + 1))
+    for a, b in sorted({(a, b) for a, b in (*ends, *begins) if a >= 0 and b <= len(own)}):
+        first, last = own[a][0], own[b - 1][0]
+        out.append((xxhash.xxh3_64_intdigest("\n".join(p for _, p in own[a:b])) - (1 << 63), first, last - first + 1))
     return out
 
 
@@ -55,8 +62,8 @@ def span_dedup(docs: DataFrame, span: int = SPAN, least: int = LEAST_WORDS, id_c
     """(doc_id, n_sentences, n_removed, removed array<int>, text) for every row of docs: removed are the places of
     the sentences (from 0) that a repeated run other than its first occurrence covers, text is what stays.
 
-    A run is span sentences in a row (all of a text with fewer) with least words or more; runs are equal if their
-    words are, whatever their case and the blanks and signs between them. First is the least doc_id, then the row
+    A run is two sentences in a row, or as many more as it takes to have least words (the one sentence of a text with
+    one); with span 1 single sentences are runs as well. Runs are equal if their words are, whatever their case and the blanks and signs between them. First is the least doc_id, then the row
     with the least text, then the least place; a null id comes before all numbers. Equal rows are each other's
     repeats. Null texts count as empty and stay null. No rows give none.
     """

@@ -277,6 +277,23 @@ def test_sentence_spans_match_brute_force(docs, texts, empty):
     assert twice[2] > twice[1] == 0
 
 
+def test_repeated_passages_of_short_and_of_two_sentences_go(spark):
+    short = " ".join(f"W{i} go!" for i in range(30))
+    two = "The quiet river runs past the old mill. Nobody has seen the miller since spring."
+    uneven = "One two three four five six. Seven eight nine. Ten eleven twelve thirteen fourteen fifteen."
+    rows = [short, short, f"A first text begins here. {two} It ends here.", f"Another one has it too. {two} So it goes on.", uneven, f"Before. {uneven} After."]
+    got = [r.removed for r in sentences.span_dedup(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got == [[], list(range(30)), [], [1, 2], [], [1, 2, 3]]
+    rng = random.Random(2)
+    for _ in range(300):  # every sentence of a repeated passage is in a run of the passage
+        passage = [" ".join(rng.choice(WORDS) for _ in range(rng.randint(1, 8))) + ". " for _ in range(rng.randint(2, 12))]
+        if len(sentences.plain("".join(passage)).split()) < 10:
+            continue
+        a, b = ([f"Start{x} here. "] + passage + [f"End{x} there."] for x in (1, 2))
+        runs = {h for h, _, _ in sentences.run_hashes(a, 3, 10)}
+        assert {i for h, p, n in sentences.run_hashes(b, 3, 10) if h in runs for i in range(p, p + n)} >= set(range(1, len(passage) + 1))
+
+
 # --- licences ---
 
 
