@@ -1,9 +1,9 @@
 """Mixing sources to target weights: a Pfair schedule of source blocks, in DataFrame operations only.
 
-Weights become whole numbers of slots of one period. Block i (from 1) of a source that owns a of D slots is released
-at floor((i-1)*D/a) and due at ceil(i*D/a); earliest deadline first over the released blocks gives each slot its
-source. The slots of the sources add up to D, so every block meets its deadline, and after any number of slots a
-source is less than one block away from its share. The schedule repeats after D slots.
+Block i (from 1) of a source with the share w of the weights is released at floor((i-1)/w) and due at ceil(i/w);
+earliest deadline first over the released blocks gives each slot its source. The shares add up to one, so every block
+meets its deadline, and after any number of slots a source is less than one block away from its share, as long as no
+source has run out. The slots are scheduled one after the other, in periods that only bound what is in hand.
 """
 
 from __future__ import annotations
@@ -14,8 +14,10 @@ from pyspark.sql.window import Window
 
 from barloom.llm.common import table
 
-#: Slots of one period: the resolution of the weights.
+#: Slots that are scheduled in one go: a unit of work, it changes no result.
 PERIOD = 1000
+#: Slots by which a release or deadline may be off through the arithmetic of doubles.
+SLACK = 1e-6
 #: Documents of a block.
 BLOCK_DOCS = 8
 #: Documents of a source that one window group orders, about.
@@ -27,43 +29,42 @@ def target_weights(docs: DataFrame, temperature: float = 0.5, source_col: str =
     return docs.groupBy(F.coalesce(source_col, F.lit("")).alias("source")).agg(F.pow(F.count("*").cast("double"), F.lit(temperature)).alias("weight"))
 
 
-def period_schedule(weights: DataFrame, period: int = PERIOD) -> DataFrame:
-    """One period: (source, slots, index, release, deadline, slot), a row for each slot.
-
-    weights: (source, weight), a row for each source; sources with no positive weight get one slot. Every source gets
-    one slot, the rest go by largest remainder (ties: first name), so there may be at most `period` sources; more than
-    that raises. Ties between deadlines go to the first name. Bounded by period whatever the documents are.
-    """
-    everyone = Window.orderBy("source")  # a row for each source, at most period
-    clean = weights.select("source", F.when(F.col("weight") > 0, F.col("weight")).otherwise(0.0).alias("weight")).withColumn("all", F.sum("weight").over(Window.partitionBy()))
-    counted = clean.withColumn("n", F.count("*").over(Window.partitionBy()))
-    spare = F.lit(period) - F.col("n")
-    ideal = F.when(F.col("all") > 0, F.col("weight") / F.col("all")).otherwise(1 / F.col("n")) * spare
-    shared = counted.withColumn("ideal", ideal).withColumn("base", F.floor(F.round("ideal", 9)).cast("int"))
-    left = spare - F.sum("base").over(Window.partitionBy())
-    place = F.row_number().over(Window.orderBy(F.round(F.col("base") - F.col("ideal"), 9), "source"))
-    slots = (F.lit(1) + F.col("base") + F.when(place <= left, 1).otherwise(0)).cast("int")
-    owned = shared.select("source", slots.alias("slots")).withColumn("k", (F.row_number().over(everyone) - 1).cast("int"))
-    owned = owned.withColumn("ok", F.when(F.sum("slots").over(Window.partitionBy()) == period, True).otherwise(F.raise_error(F.lit(f"more than {period} sources"))))
-
-    one = owned.filter("ok").agg(F.array_sort(F.collect_list(F.struct("k", "source", "slots"))).alias("s"))
-    # the state of the fold: how many blocks of each source have run, and which source had each slot
-    fold = one.select(
-        "s",
-        F.expr(f"""
-            aggregate(sequence(0, {period - 1}),
-              named_struct('done', transform(s, x -> 0), 'ran', cast(array() as array<int>)),
-              (st, t) -> transform(array(array_min(filter(transform(s, x -> named_struct(
-                    'late', cast(-floor(-(st.done[x.k] + 1) * {period} / x.slots) as int),
-                    'ready', cast(floor(st.done[x.k] * {period} / x.slots) as int) <= t, 'k', x.k)), e -> e.ready))),
-                  p -> named_struct('done', transform(st.done, (d, i) -> d + if(i = p.k, 1, 0)), 'ran', concat(st.ran, array(p.k))))[0],
-              st -> st.ran) as ran
-        """),
-    )
-    rows = fold.select("s", F.posexplode("ran").alias("slot", "k")).select("slot", F.element_at("s", F.col("k") + 1).alias("x"))
-    index = F.row_number().over(Window.partitionBy("source").orderBy("slot"))
-    placed = rows.select("x.source", "x.slots", "slot").withColumn("index", index)
-    return placed.select("source", "slots", "index", F.floor((F.col("index") - 1) * period / F.col("slots")).alias("release"), F.ceil(F.col("index") * period / F.col("slots")).alias("deadline"), F.col("slot").cast("long").alias("slot"))
+def schedule(weights: DataFrame, blocks: DataFrame, period: int = PERIOD) -> DataFrame:
+    """(source, block, slot, release, deadline), a row for each slot until all blocks have one; block is from 0, and
+    sources that have run out go on with blocks that there are not.
+
+    weights: (source, weight), a row for each source; blocks: (source, blocks). A source with no positive weight has
+    no share: its blocks come after all others, by name. If no weight is positive, all are equal. Ties between
+    deadlines go to the first name. One task makes as many steps as there are slots, each over all sources."""
+    clean = weights.select("source", F.when(F.col("weight") > 0, F.col("weight")).otherwise(0.0).cast("double").alias("weight"))
+    clean = clean.withColumn("weight", F.when(F.sum("weight").over(Window.partitionBy()) > 0, F.col("weight")).otherwise(1.0))
+    every = F.sum("weight").over(Window.partitionBy()) / F.col("weight")  # slots for each block
+    given = clean.withColumn("every", F.when(F.col("weight") > 0, every)).join(blocks, "source", "left").withColumn("blocks", F.coalesce("blocks", F.lit(0)))
+
+    one = given.filter("every is not null").agg(F.array_sort(F.collect_list(F.struct("source", "every", "blocks"))).alias("s"))
+    one = one.withColumn("slots", F.expr(f"coalesce(array_max(transform(s, x -> ceil(x.blocks * x.every - {SLACK}))), 0L)"))
+    # the state of the fold: the next block of each source, and which source had each slot
+    block = f"named_struct('late', ceil(({{i}} + 1) * {{every}} - {SLACK}), 'ready', floor({{i}} * {{every}} + {SLACK}), 'k', {{k}}, 'block', {{i}}, 'every', {{every}})"
+    ran = "array<int>"
+    step = f"""(st, t) -> transform(array(array_min(filter(st.next, e -> e.ready <= t))),
+                 p -> named_struct('next', transform(st.next, e -> if(e.k = p.k, {block.format(i="(e.block + 1L)", every="e.every", k="e.k")}, e)),
+                   'ran', concat(st.ran, array(p.k))))[0]"""
+    inner = f"aggregate(sequence(c * {period}L, c * {period}L + {period - 1}L), named_struct('next', o.next, 'ran', cast(array() as {ran})), {step})"
+    fold = one.filter("slots > 0").select("s", "slots", F.expr(f"""
+        aggregate(sequence(0L, (slots - 1) div {period}L),
+          named_struct('next', transform(s, (x, k) -> {block.format(i="0L", every="x.every", k="k")}), 'ran', cast(array() as array<{ran}>)),
+          (o, c) -> transform(array({inner}), r -> named_struct('next', r.next, 'ran', concat(o.ran, array(r.ran))))[0],
+          o -> o.ran) as periods"""))
+    turns = fold.select("s", "slots", F.posexplode("periods").alias("c", "ran")).select("s", "slots", "c", F.posexplode("ran").alias("i", "k"))
+    timed = turns.select(F.element_at("s", F.col("k") + 1).alias("x"), (F.col("c").cast("long") * period + F.col("i")).alias("slot"), "slots").filter("slot < slots")
+    timed = timed.select("x.source", "x.every", "slot").withColumn("block", F.row_number().over(Window.partitionBy("source").orderBy("slot")).cast("long") - 1)
+    timed = timed.select("source", "block", "slot", F.floor(F.col("block") * F.col("every") + SLACK).alias("release"), F.ceil((F.col("block") + 1) * F.col("every") - SLACK).alias("deadline"))
+
+    before = F.sum("blocks").over(Window.orderBy("source")) - F.col("blocks")  # a row for each source without a share
+    rest = given.filter("every is null and blocks > 0").withColumn("before", before).crossJoin(one.select("slots"))
+    rest = rest.select("source", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("slots") + F.col("before"))
+    rest = rest.toDF("source", "block", "begin").select("source", "block", (F.col("begin") + F.col("block")).alias("slot"))
+    return timed.unionAll(rest.select("source", "block", "slot", F.col("slot").alias("release"), (F.col("slot") + 1).alias("deadline")))
 
 
 def mix(docs: DataFrame, weights: DataFrame, period: int = PERIOD, block_docs: int = BLOCK_DOCS, seed: int = 7, id_col: str = "doc_id", source_col: str = "source", group_docs: int = GROUP_DOCS) -> DataFrame:
@@ -76,8 +77,8 @@ def mix(docs: DataFrame, weights: DataFrame, period: int = PERIOD, block_docs: i
     replaced; no rows give no rows. A source that weights does not name raises.
 
     A large source is ordered in groups of about group_docs documents by the leading hex digits of the hash; the
-    groups' sizes, a few numbers a source, add up to where each group begins. Slots are found by a join with the
-    schedule of one period.
+    groups' sizes, a few numbers a source, add up to where each group begins. Slots are found by a join of blocks with
+    the schedule; period is the number of slots scheduled in one go.
     """
     base = [c for c in docs.columns if c not in ("mix_block", "mix_slot", "mix_release", "mix_deadline", "mix_offset")]
     keyed = docs.select(*base, F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("__source"), F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))).alias("__key"))
@@ -93,13 +94,11 @@ def mix(docs: DataFrame, weights: DataFrame, period: int = PERIOD, block_docs: i
     number = F.col("__before") + F.col("__rank")
     blocked = ranked.withColumn("mix_block", F.floor(number / block_docs)).withColumn("mix_offset", (number % block_docs).cast("int"))
 
-    plan = period_schedule(weights, period).withColumnRenamed("source", "__source")
-    owned = plan.groupBy("__source").agg(F.first("slots").alias("__slots"), F.array_sort(F.collect_list(F.struct("index", "slot", "release", "deadline"))).alias("__plan"))
-    timed = blocked.join(owned, "__source", "left")
-    known = F.when(F.col("__slots").isNull(), F.raise_error(F.lit("a source without a weight"))).otherwise(F.col("mix_block"))
-    turn = F.floor(known / F.col("__slots"))
-    at = F.element_at("__plan", ((F.col("mix_block") % F.col("__slots")) + 1).cast("int"))
-    return timed.select(*base, "mix_block", (turn * period + at["slot"]).alias("mix_slot"), (turn * period + at["release"]).alias("mix_release"), (turn * period + at["deadline"]).alias("mix_deadline"), "mix_offset")
+    blocks = sizes.groupBy(F.col("__source").alias("source")).agg(F.ceil(F.sum("__n") / block_docs).alias("blocks"))
+    plan = schedule(weights, blocks, period).toDF("__source", "mix_block", "__slot", "__release", "__deadline")
+    timed = blocked.join(plan, ["__source", "mix_block"], "left")
+    slot = F.when(F.col("__slot").isNull(), F.raise_error(F.lit("a source without a weight"))).otherwise(F.col("__slot"))
+    return timed.select(*base, "mix_block", slot.alias("mix_slot"), F.col("__release").alias("mix_release"), F.col("__deadline").alias("mix_deadline"), "mix_offset")
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -189,6 +189,38 @@ def test_mix_is_pfair(spark, empty):
     assert mixing.mix(empty, mixing.target_weights(empty)).count() == 0
 
 
+def test_mix_keeps_to_target_weights(spark):
+    # one of 20 sources holds a third of the rows; a further one has no weight
+    size = {f"s{k:02}": 38 for k in range(19)} | {"hot": 361}
+    names = [s for s, n in size.items() for _ in range(n)] + ["none"] * 3
+    docs = spark.createDataFrame([(i, s) for i, s in enumerate(names)], "doc_id long, source string")
+    weight = {s: math.sqrt(n) for s, n in size.items()}
+    weights = spark.createDataFrame([*weight.items(), ("none", 0.0)], "source string, weight double")
+    rows = mixing.mix(docs, weights, period=64, block_docs=1).collect()
+    slots = {r.mix_slot: r.source for r in rows}
+    assert len(slots) == len(rows) == len(names)
+    assert [slots[t] for t in sorted(slots)[-3:]] == ["none"] * 3
+    for r in rows:
+        if r.source != "none":
+            w = weight[r.source] / sum(weight.values())
+            assert abs(r.mix_release - math.floor(r.mix_block / w + 1e-6)) == abs(r.mix_deadline - math.ceil((r.mix_block + 1) / w - 1e-6)) == 0
+            assert r.mix_release <= r.mix_slot < r.mix_deadline
+    # the schedule itself, over slots enough for a weight of three digits to go astray
+    blocks = spark.createDataFrame([(s, 1) for s in size if s != "hot"] + [("hot", 700)], "source string, blocks long")
+    seen = collections.Counter()
+    plan = mixing.schedule(weights, blocks).orderBy("slot").collect()
+    assert len(plan) > 4000
+    for t, r in enumerate(plan):
+        seen[r.source] += 1
+        assert r.slot == t and all(abs(seen[s] - (t + 1) * w / sum(weight.values())) < 1 for s, w in weight.items())
+
+
+def test_mix_of_more_sources_than_a_period(spark):
+    docs = spark.range(0, 1500).select(F.col("id").alias("doc_id"), F.format_string("s%04d", F.col("id")).alias("source"))
+    rows = mixing.mix(docs, mixing.target_weights(docs)).collect()
+    assert {r.mix_slot for r in rows} == set(range(1500))
+
+
 # --- decontamination ---
 
 
