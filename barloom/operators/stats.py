@@ -43,12 +43,13 @@ def _corr(a: str, b: str) -> Column:
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     """(f1, f2, corr) for each pair f1 before f2, over the rows that have both; null where one does not vary.
 
-    All pairs are one aggregation over one scan."""
-    pairs = list(combinations(columns, 2))
-    one = df.agg(*[_corr(a, b).alias(f"{i}") for i, (a, b) in enumerate(pairs)])
-    long = one.unpivot([], [f"{i}" for i in range(len(pairs))], "i", "corr")
-    names = F.create_map(*[F.lit(x) for i, (a, b) in enumerate(pairs) for x in (f"{i}", f"{a}\t{b}")])
-    return long.select(F.split(names[F.col("i")], "\t").alias("f"), "corr").select(F.col("f")[0].alias("f1"), F.col("f")[1].alias("f2"), "corr")
+    All pairs are one aggregation over one scan, grouped by the pair, so any number of columns will do."""
+    pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in combinations(range(len(columns)), 2)])
+    long = df.select(F.array(*[F.col(c).cast("double") for c in columns]).alias("v"), F.explode(pairs).alias("p"))
+    long = long.select("p.i", "p.j", F.col("v")[F.col("p.i")].alias("x"), F.col("v")[F.col("p.j")].alias("y"))
+    every = df.sparkSession.createDataFrame(list(combinations(range(len(columns)), 2)), "i int, j int")  # without rows too
+    names = F.array(*[F.lit(c) for c in columns])
+    return every.join(long.groupBy("i", "j").agg(_corr("x", "y").alias("corr")), ["i", "j"], "left").select(names[F.col("i")].alias("f1"), names[F.col("j")].alias("f2"), "corr")
 
 
 def high_pairs(df: DataFrame, columns: list[str], least: float = 0.7) -> DataFrame:

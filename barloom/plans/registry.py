@@ -230,25 +230,28 @@ query("time_range", f"WITH {sql.bars(4)} SELECT symbol, interval, min(timestamp)
 E8 = [f"e{i}" for i in range(8)]
 
 
-def vectors(spark: SparkSession, d: str, n: int = 8) -> DataFrame:
+E64 = [f"e{i}" for i in range(64)]
+
+
+def vectors(spark: SparkSession, d: str, n: int = 64) -> DataFrame:
     return spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(n)])
 
 
 VEC = "v AS (SELECT vec_id, label, " + ", ".join(f"embedding[{i + 1}]::DOUBLE AS e{i}" for i in range(8)) + " FROM embeddings)"
-query("corr_pairs", f"WITH {VEC} " + " UNION ALL ".join(f"SELECT '{a}' AS f1, '{b}' AS f2, round(covar_samp({a}, {b}) / (stddev_samp({a}) * stddev_samp({b})), 6) AS corr FROM v" for i, a in enumerate(E8) for b in E8[i + 1 :]))(lambda s, d: shown(stats.correlations(vectors(s, d), E8), ["corr"], ["f1", "f2"]))
+query("corr_pairs", f"WITH {VEC} " + " UNION ALL ".join(f"SELECT '{a}' AS f1, '{b}' AS f2, round(covar_samp({a}, {b}) / (stddev_samp({a}) * stddev_samp({b})), 6) AS corr FROM v" for i, a in enumerate(E8) for b in E8[i + 1 :]))(lambda s, d: shown(stats.correlations(vectors(s, d, 8), E8), ["corr"], ["f1", "f2"]))
+query("corr_pairs_all")(lambda s, d: shown(stats.correlations(vectors(s, d), E64), ["corr"], ["f1", "f2"]))
 query("autocorr", f"WITH {sql.bars(4)}, x AS (SELECT symbol, interval, close, " + ", ".join(f"{sql.lag('close', k)} AS l{k}" for k in range(1, 6)) + " FROM bars) " + " UNION ALL ".join(f"SELECT symbol, interval, {k} AS lag, round(covar_samp(close, l{k}) / (stddev_samp(close) FILTER (l{k} IS NOT NULL) * stddev_samp(l{k})), 6) AS corr FROM x GROUP BY symbol, interval" for k in range(1, 6)))(lambda s, d: shown(stats.autocorrelation(at(s, d), "close", 5), ["corr"], ["symbol", "interval", "lag"]))
 query("cv_stability", f"WITH {sql.bars(4)} " + " UNION ALL ".join(f"SELECT '{c}' AS feature, round(stddev_samp({c}) / abs(avg({c})), 6) AS cv FROM bars" for c in DESC))(lambda s, d: shown(stats.variation(at(s, d), DESC), ["cv"], ["feature"]))
 simple("rolling_cv", {"close_cv_20": f"{sql.roll('stddev_samp', 'close', 20)} / abs({sql.roll('avg', 'close', 20)})"}, lambda df: stats.rolling_variation(df, "close", 20))
 query("top_per_group", f"WITH {sql.bars(4)} SELECT symbol, feature, round(volume, 6) AS volume, place::INT AS place FROM (SELECT symbol, strftime(timestamp, '%Y-%m-%d %H:%M:%S') AS feature, volume, row_number() OVER (PARTITION BY symbol ORDER BY volume DESC, timestamp) AS place FROM bars) WHERE place <= 2")(
     lambda s, d: shown(stats.top_per_group(at(s, d).withColumn("feature", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss")), "symbol", "volume", 2), ["volume", "place"], ["symbol", "feature"])
 )
-query("mutual_information")(lambda s, d: stats.mutual_information(vectors(s, d), E8, "label"))
+query("mutual_information")(lambda s, d: stats.mutual_information(vectors(s, d), E64, "label"))
 
 
 @query("pca_variance")
 def pca_variance(spark: SparkSession, d: str) -> DataFrame:
-    df = vectors(spark, d, 16)
-    return spark.createDataFrame(stats.variance_table(stats.fit_pca(df, [f"e{i}" for i in range(16)], 16)), "component int, share double, cumulative double, eigenvalue double")
+    return spark.createDataFrame(stats.variance_table(stats.fit_pca(vectors(spark, d), E64, 64)), "component int, share double, cumulative double, eigenvalue double")
 
 
 @query("pca_export")

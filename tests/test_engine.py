@@ -1,6 +1,7 @@
 import json
 import math
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.recursive import ema
 from barloom.operators import align, backtest, families, geometry, splits, stats
+from barloom.plans import registry
 from barloom.sources import candles
 from barloom.streaming.trades import macd_histogram
 
@@ -207,3 +209,25 @@ def test_trend_state_uses_weighted_averages(walk):
     x = pd.Series(walk[:50])
     line = x.ewm(span=12).mean() - x.ewm(span=26).mean()
     assert np.allclose(macd_histogram(list(walk[:50])), line - line.ewm(span=9).mean())
+
+
+FOLDER = "/root/testdata/sf0.001"
+tables = pytest.mark.skipif(not Path(FOLDER).exists(), reason="needs the test tables")
+
+
+@tables
+def test_statistics_of_all_embedding_columns(spark):
+    x = np.array(pd.read_parquet(f"{FOLDER}/embeddings.parquet")["embedding"].tolist(), float)
+    want = np.corrcoef(x.T)
+    got = {(r.f1, r.f2): r.corr for r in registry.queries()["corr_pairs_all"](spark, FOLDER).collect()}
+    assert len(got) == 64 * 63 // 2 and all(abs(got[f"e{i}", f"e{j}"] - want[i, j]) < 1e-6 for i in range(64) for j in range(i + 1, 64))
+    shares = [r.share for r in registry.queries()["pca_variance"](spark, FOLDER).orderBy("component").collect()]
+    assert np.allclose(shares, np.sort(np.linalg.eigvalsh(want))[::-1] / 64, atol=1e-8)
+    label = pd.read_parquet(f"{FOLDER}/embeddings.parquet")["label"].to_numpy()
+    mi = {r.feature: r.mi for r in registry.queries()["mutual_information"](spark, FOLDER).collect()}
+    for i in range(64):
+        b = (x[:, i, None] > np.quantile(x[:, i], np.arange(1, 10) / 10)).sum(1)
+        p = pd.crosstab(b, label).to_numpy() / len(x)
+        own = p * np.log(np.where(p > 0, p / (p.sum(1, keepdims=True) * p.sum(0)), 1))
+        assert abs(mi[f"e{i}"] - own.sum()) < 0.02
+    assert len(mi) == 64
