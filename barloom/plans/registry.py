@@ -312,17 +312,28 @@ query("trendlines", f"WITH {sql.bars(12)}{WIN}{LINES} SELECT symbol, interval, w
     lambda s, d: shown(geometry.trend_lines(geometry.windows(at(s, d, 12), 30, 30), least=2), ["window_id", "trend", "x1", "y1", "x2", "y2", "touches"], ["symbol", "interval"])
 )
 
+#: The windows of the reference: 50 bars, moved on by one. The three queries above are compared with SQL on windows of
+#: 30 that don't overlap; these three and those below take every window.
+SIZE, STEP = 50, 1
+query("trend_all")(lambda s, d: geometry.trend(geometry.windows(at(s, d, 12), SIZE, STEP)))
+query("wick_overlap_all")(
+    lambda s, d: geometry.wick_overlaps(geometry.windows(at(s, d, 12), SIZE, STEP)).select("symbol", "interval", "window_id", "bar", F.size("upper").alias("upper"), F.size("lower").alias("lower"))
+)
+query("trendlines_all")(
+    lambda s, d: shown(geometry.trend_lines(geometry.windows(at(s, d, 12), SIZE, STEP), least=2), ["window_id", "trend", "x1", "y1", "x2", "y2", "touches"], ["symbol", "interval"])
+)
+
 
 @query("trendline_breakouts")
 def trendline_breakouts(spark: SparkSession, d: str) -> DataFrame:
     df = at(spark, d, 12)
-    best = geometry.best_lines(geometry.trend_lines(geometry.windows(df, 30, 15), least=2))
-    return geometry.breakouts(best, df, 30, 15, 15)
+    best = geometry.best_lines(geometry.trend_lines(geometry.windows(df, SIZE, STEP), least=2))
+    return geometry.breakouts(best, df, SIZE, STEP)
 
 
 @query("trendline_offsets")
 def trendline_offsets(spark: SparkSession, d: str) -> DataFrame:
-    w = geometry.windows(at(spark, d, 12), 30, 30)
+    w = geometry.windows(at(spark, d, 12), SIZE, STEP)
     return geometry.clear_offset(geometry.best_lines(geometry.trend_lines(w, least=2)), w, 0.5)
 
 # --- streams: the files of the table as a stream, run over what is there ---

@@ -231,3 +231,42 @@ def test_statistics_of_all_embedding_columns(spark):
         own = p * np.log(np.where(p > 0, p / (p.sum(1, keepdims=True) * p.sum(0)), 1))
         assert abs(mi[f"e{i}"] - own.sum()) < 0.02
     assert len(mi) == 64
+
+
+def lines_of(bars):
+    """The lines of one window by brute force."""
+    o, h, l, c = (np.array([r[k] for r in bars]) for k in ("open", "high", "low", "close"))
+    up, lo, hi = sum(c - o) > 0, np.minimum(o, c), np.maximum(o, c)
+    tip, edge = (l, lo) if up else (h, hi)
+    points = [(b, y) for b in range(len(bars)) for y in sorted({tip[b] + (edge[b] - tip[b]) * k / 2 for k in range(3)})]
+    out = {}
+    for x1, y1 in points:
+        for x2, y2 in points:
+            slope = (y2 - y1) / (x2 - x1) if x1 < x2 else None
+            if slope is None or (slope < 0 if up else slope > 0):
+                continue
+            y = y1 + slope * (np.arange(len(bars)) - x1)
+            if (((lo <= y) & (y < hi)) | (y > h if up else y < l)).any():
+                continue
+            at, a, b = np.floor(y * 1e6 + 0.5), np.floor(np.minimum(tip, edge) * 1e6 + 0.5), np.floor(np.maximum(tip, edge) * 1e6 + 0.5)
+            touches = int(((a <= at) & (at <= b)).sum())
+            if touches >= 2:
+                out[x1, round(y1, 6), x2, round(y2, 6)] = touches
+    return out
+
+
+@tables
+def test_every_window_is_searched(spark):
+    bars = registry.at(spark, FOLDER, 12).orderBy("timestamp").collect()
+    series_of = {s: [b for b in bars if b.symbol == s] for s in {b.symbol for b in bars}}
+    every = {(s, i) for s, b in series_of.items() for i in range(len(b) - 49)}
+    assert len(every) > 5
+    lines = {}
+    for r in registry.queries()["trendlines_all"](spark, FOLDER).collect():
+        lines.setdefault((r.symbol, r.window_id), {})[r.x1, r.y1, r.x2, r.y2] = r.touches
+    want = {k: lines_of(series_of[k[0]][k[1] : k[1] + 50]) for k in every if k[0] == min(series_of)}
+    assert {k: v for k, v in lines.items() if k[0] == min(series_of)} == {k: v for k, v in want.items() if v}
+    for name in ("trend_all", "wick_overlap_all"):
+        assert {(r.symbol, r.window_id) for r in registry.queries()[name](spark, FOLDER).collect()} == every
+    for name in ("trendline_offsets", "trendline_breakouts"):
+        assert {(r.symbol, r.window_id) for r in registry.queries()[name](spark, FOLDER).collect()} == set(lines)
