@@ -608,14 +608,21 @@ def _joined(packed: DataFrame, maps: DataFrame, comps: DataFrame, base: DataFram
 
 
 def _texts_of(base: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(v, text) of the wanted (v, doc_id); of rows with equal ids the one whose set has the key."""
+    """(v, text) of the wanted (v, doc_id); of rows with equal ids the one whose set has the key. Keys without an id
+    find their texts among the rows without one, by the key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             h, begin = shingle_sets(part["text"])
             yield part.filter(pa.array(set_keys(h, begin) == part["v"].to_numpy()))
 
-    return base.join(wanted, "doc_id").select("v", "text").mapInArrow(run, "v long, text string")
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(set_keys(*shingle_sets(part["text"]))), part["text"]], ["v", "text"])
+
+    named = base.join(wanted, "doc_id").select("v", "text").mapInArrow(run, "v long, text string")
+    nameless = base.filter("doc_id is null").select("text").mapInArrow(keyed, "v long, text string")
+    return named.unionAll(nameless.join(wanted.filter("doc_id is null").select("v"), "v").groupBy("v").agg(F.min("text").alias("text")))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

@@ -420,6 +420,19 @@ def test_large_sets_that_link_to_one_base_only(spark):
     assert got == dict.fromkeys(range(len(rows)), 0)
 
 
+def test_link_through_a_null_id(spark):
+    base = [f"w{i}" for i in range(104)]
+    a, c = list(base), list(base)
+    a[20], c[70] = "x", "y"  # each has 90 of 110 shingles in common with base, but 80 of 120 with each other
+    a[40], c[90] = "x", "y"
+    rows = [(1, " ".join(a)), (None, " ".join(base)), (2, " ".join(c)), (None, "some other text that is quite alone here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = [set(zip(*(r.split()[i:] for i in range(5)))) for _, r in rows[:3]]
+    linked = lambda x, y: 10 * len(x & y) >= 8 * len(x | y)
+    assert linked(sets[0], sets[1]) and linked(sets[1], sets[2]) and not linked(sets[0], sets[2])
+    assert {(r.doc_id, r.component_id) for r in jaccard.near_duplicates(df).collect()} == {(1, 1), (2, 1), (None, 1), (None, None)}
+
+
 def test_components(spark, empty):
     rng = random.Random(1)
     pairs = [(i, i + 1) for i in range(0, 40)] + [(100, 100 + rng.randint(1, 30)) for _ in range(40)] + [(7, 7), (200, 201), (201, 200)]
