@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a task holds as arrays at a time.
 SLICE_BYTES = 2 << 20
+#: Bytes of text in a block and for a bucket of postings, about.
+BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,9 +30,12 @@ def partitions(spark: SparkSession) -> int:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the session names in spark.checkpoint.dir; a temporary one only where it names none."""
+    """The folder that the session names in spark.checkpoint.dir, which all executors and the driver share. Where it
+    names none, a temporary one if all runs in one process; on a cluster that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='barloom-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -38,7 +46,86 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path, compression="zstd")
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    return out
+
+
+def discard(*dfs: DataFrame) -> None:
+    """Deletes what stored() wrote for frames that nothing reads any more."""
+    for df in dfs:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def bucket_count(docs: DataFrame, text_col: str = "text") -> int:
+    """How many buckets postings of the texts are dealt to: as many as there are shuffle partitions, and so many more
+    that a bucket stands for BUCKET_BYTES of text at most."""
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    return max(partitions(docs.sparkSession), -(-size // BUCKET_BYTES))
+
+
+def pack(*columns: np.ndarray) -> bytes:
+    """Columns of one length as compressed bytes, each number's bytes in planes."""
+    return zstandard.compress(b"".join(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes() for x in columns), 1)
+
+
+def unpack(raw: bytes, *kinds) -> list[np.ndarray]:
+    """The columns that pack() was given, of these kinds."""
+    plain = np.frombuffer(zstandard.decompress(raw), np.uint8)
+    sizes = [np.dtype(k).itemsize for k in kinds]
+    n, at, out = len(plain) // sum(sizes), 0, []
+    for kind, size in zip(kinds, sizes):
+        out.append(np.ascontiguousarray(plain[at : at + n * size].reshape(size, n).T).view(kind).ravel())
+        at += n * size
+    return out
+
+
+def cuts(values: np.ndarray) -> list[tuple[int, int]]:
+    """(first, end) of each run of equal values."""
+    c = np.concatenate([[0], np.flatnonzero(np.diff(values)) + 1, [len(values)]]).tolist()
+    return [(a, b) for a, b in zip(c, c[1:]) if b > a]
+
+
+def batch_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, schema)], schema=schema)
+
+
+def table_of(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    return pa.Table.from_batches([batch_of(rows, schema)])
+
+
+def ipc(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def from_ipc(raw: bytes) -> pa.Table:
+    return pa.ipc.open_stream(raw).read_all()
+
+
+def in_blocks(docs: DataFrame, build: Callable[[int, pa.Table], tuple], schema: pa.Schema, ddl: str, limit: int = BLOCK_BYTES) -> DataFrame:
+    """A row of schema for each block of rows of docs (doc_id, text) with about limit bytes of text, by build(number of
+    the block, its rows). The numbers are unique; a text over limit is a block of its own or ends one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 32
+        parts, size = [], 0
+        for part in slices(batches):
+            parts.append(part)
+            size += pc.sum(pc.binary_length(part["text"])).as_py() or 0
+            if size >= limit:
+                yield batch_of([build(number, pa.Table.from_batches(parts).combine_chunks())], schema)
+                number, parts, size = number + 1, [], 0
+        if parts:
+            yield batch_of([build(number, pa.Table.from_batches(parts).combine_chunks())], schema)
+
+    return docs.mapInArrow(run, ddl)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -102,7 +189,3 @@ def spread(counts: np.ndarray) -> np.ndarray:
     """0..n-1 for each n of counts, one after the other."""
     ends = np.cumsum(counts)
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - counts, counts)
-
-
-def frame_of(schema: pa.Schema, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if not isinstance(columns[f.name], pa.Array) else columns[f.name] for f in schema], schema=schema)
