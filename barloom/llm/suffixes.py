@@ -1,16 +1,19 @@
 """Exact substring dedup with suffix arrays.
 
-Two equal strings of SPAN bytes contain the same least K-gram (by hash) at the same place. So each start of a SPAN-byte
+Two equal strings of SHARED bytes contain the same least GRAM bytes (by hash) at the same place. So each start of such a
 string belongs to one anchor, the starts of an anchor form a region, and equal strings meet where the regions of equal
-anchors meet. Only anchors that occur twice matter; equal regions are sent once, with their number. A group of regions
-is sorted as one text in two stages: suffixes smaller than their successors directly, the rest induced by scans over
-the buckets of first bytes; adjacent suffixes with a common prefix of SPAN bytes are repeats.
+anchors meet. Texts are stored in blocks; a block posts each distinct region once, by hashes. Only anchors that occur
+twice matter, and only where an anchor has different regions are these sent, each once. A bucket of regions is sorted
+as one text in two stages: suffixes smaller than their successors directly, the rest induced by scans over the buckets
+of first bytes; adjacent suffixes with a common prefix of SPAN bytes are repeats.
+
+An anchor with over HOT different regions (a line that stands in many texts) would gather them in one place; its strings
+are posted one by one instead, by 128-bit digests that spread over all buckets, each once for a block.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,24 +21,33 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.common import mix64, partitions, slices, spread, stored, table, text_bytes
+from barloom.llm.common import bucket_count, cuts, from_ipc, in_blocks, ipc, mix64, pack, spread, stored, table, table_of, text_bytes, unpack
 
-#: Bytes of a string that counts when it repeats, and of the hashed K-grams (a power of two).
-SPAN, GRAM = 400, 128
+#: Bytes of a string that is removed when it repeats, of one that counts as shared with another row (about 50 short
+#: words), and of the hashed grams (a power of two).
+SPAN, SHARED, GRAM = 400, 240, 64
+#: Different regions of an anchor that are sorted together at most.
+HOT = 1000
 _U = np.uint64
 _TABLE = mix64(np.arange(1, 257, dtype=_U) * _U(0x9E3779B97F4A7C15))
+#: Marks of a region: it occurs again; in another row; its bytes are wanted; as digests.
+MANY, CROSS, SEND, BY_DIGEST = 1, 2, 4, 8
 
 
-def gram_hashes(joined: np.ndarray, size: int = GRAM) -> np.ndarray:
+def gram_hashes(joined: np.ndarray, size: int = GRAM, power: int = 0xD6E8FEB86659FD93) -> np.ndarray:
     """A 64-bit hash of joined[i:i+size] for each i; the last size-1 are of what is left."""
-    h, power, n = _TABLE[joined], _U(0xD6E8FEB86659FD93), 1
+    h, power, n = _TABLE[joined], _U(power), 1
     with np.errstate(over="ignore"):
-        while n < size:
+        while 2 * n <= size:
             shifted = np.zeros_like(h)
             shifted[:-n] = h[n:]
             h = h * power + shifted
             power = power * power
             n *= 2
+        if n < size:  # the rest overlaps
+            shifted = np.zeros_like(h)
+            shifted[: n - size] = h[size - n :]
+            h = mix64(h) * _U(0x9E3779B97F4A7C15) + shifted
     return mix64(h)
 
 
@@ -152,181 +164,280 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, most: int = SPAN) -> np
     return length
 
 
-def repeated_starts(text: np.ndarray, wanted: np.ndarray, span: int = SPAN) -> np.ndarray:
-    """Which of the wanted positions begin a string of span bytes that also begins at another wanted one."""
-    order = suffix_order(text, wanted, span + 48)
-    far = common_prefixes(text, order, span) >= span
-    out = np.zeros(len(text), bool)
-    out[order[:-1][far]] = True
-    out[order[1:][far]] = True
-    return out
-
-
-def row_keys(doc_ids: list, texts: list[bytes]) -> np.ndarray:
-    return np.array([xxhash.xxh3_64_intdigest(x, xxhash.xxh3_64_intdigest(str(i)) & 0xFFFFFFFF) for i, x in zip(doc_ids, texts)], _U)
-
-
-def _cut(bucket: np.ndarray) -> Iterator[tuple[int, int]]:
-    c = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
-    return ((a, b) for a, b in zip(c[:-1].tolist(), c[1:].tolist()) if b > a)
-
-
-def _all(rows: pa.Table, column: str, kind) -> np.ndarray:
-    return np.frombuffer(b"".join(rows[column].to_pylist()), kind)
-
-
-_POSTING = np.dtype([("anchor", "<u8"), ("content", "<u8"), ("row", "<u8"), ("first", "<u4"), ("starts", "<u2"), ("doc", "<u4")])
-_OCCURRENCE = np.dtype([("anchor", "<u8"), ("content", "<u8"), ("row", "<u8"), ("first", "<u4"), ("starts", "<u2"), ("many", "?"), ("send", "?"), ("doc", "<u4")])
-_REMOVAL = np.dtype([("row", "<u8"), ("first", "<u4"), ("last", "<u4")])
-
-
-def repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept binary) for every row of docs.
+def classes(text: np.ndarray, wanted: np.ndarray, lengths: tuple[int, ...]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The wanted positions in suffix order, and for each length the numbers of their classes: positions are in one
+    class if they begin with as many equal bytes."""
+    order = suffix_order(text, wanted, max(lengths) + 48)
+    common = common_prefixes(text, order, max(lengths))
+    return order, [np.concatenate([[0], np.cumsum(common < n)])[: len(order)] for n in lengths]
+
+
+_ASKED = pa.struct([("bucket", pa.int32()), ("at", pa.int32()), ("regions", pa.binary())])
+_BLOCK = pa.schema([("block", pa.int64()), ("texts", pa.binary()), ("regions", pa.binary()), ("asked", pa.list_(_ASKED))])
+_BLOCK_SQL = "block long, texts binary, regions binary, asked array<struct<bucket:int,at:int,regions:binary>>"
+#: A distinct region of a block: anchor, hash of its bytes, whether it occurs again there (MANY), in another row (CROSS).
+_ASKED_KINDS = (_U, _U, "u1")
+#: An occurrence of a region: number of the distinct region, row, first start in the text, starts.
+_REGION_KINDS = ("<u4", "<u4", "<u4", "<u4")
+_ANSWER = pa.schema([("block", pa.int64()), ("numbers", pa.binary())])
+_SENT = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("at", pa.int32()), ("header", pa.binary()), ("blob", pa.binary())])
+#: A sent region: its number, marks, row, starts and bytes; a sent digest: its two halves, length and marks.
+_HEADER_KINDS = ("<u4", "u1", "<u4", "<u4", "<u4")
+_DIGEST_KINDS = (_U, _U, "u1", "u1")
+_RESULT = pa.schema([("block", pa.int64()), ("runs", pa.binary()), ("digests", pa.binary())])
+_OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("n_shared", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
+
+
+def _block(number: int, rows: pa.Table, span: int, shared: int, gram: int, buckets: int) -> tuple:
+    """A block's texts, its regions, and what it posts to each bucket."""
+    column = rows["text"].combine_chunks()
+    joined, start = text_bytes(column)
+    raw, end = joined.tobytes(), start[1:]
+    row, first, starts, anchor = regions(joined, start, min(span, shared), gram)
+    last = np.minimum(first + starts - 1 + span, end[row]) if len(row) else first
+    digest = xxhash.xxh3_64_intdigest
+    content = np.array([digest(raw[a:b]) for a, b in zip(first.tolist(), last.tolist())], _U)
+    bucket = (anchor % _U(buckets)).astype(np.int64)
+    order = np.lexsort((row, content, anchor, bucket))
+    row, first, starts, anchor, content, bucket = (x[order] for x in (row, first - start[row], starts, anchor, content, bucket))
+    new = np.ones(len(row), bool)
+    new[1:] = (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1])
+    a = np.flatnonzero(new)
+    z = np.append(a[1:], len(row))[: len(a)] - 1
+    marks = ((z > a) * MANY + (row[z] != row[a]) * CROSS).astype(np.uint8)
+    asked = [{"bucket": int(bucket[a[x]]), "at": x, "regions": pack(anchor[a[x:y]], content[a[x:y]], marks[x:y])} for x, y in cuts(bucket[a])]
+    kept = pa.RecordBatch.from_arrays([rows["doc_id"].combine_chunks(), column.cast(pa.large_string())], ["doc_id", "text"])
+    return number, ipc(kept), pack(*(x.astype("<u4") for x in (np.cumsum(new) - 1, row, first, starts))), asked
+
+
+def _meet(rows: pa.Table, hot: int) -> pa.Table:
+    """For each block of a bucket its regions whose anchors occur again, with their marks."""
+    blocks, at, packed = (rows[c].to_pylist() for c in ("block", "at", "regions"))
+    parts = [unpack(x, *_ASKED_KINDS) for x in packed]
+    size = [len(x[0]) for x in parts]
+    anchor, content, marks = (np.concatenate(x) for x in zip(*parts))
+    block = np.repeat(np.array(blocks, np.int64), size)
+    number = np.concatenate([np.arange(a, a + n) for a, n in zip(at, size)])
+    order = np.lexsort((block, content, anchor))
+    anchor, content, marks, block, number = (x[order] for x in (anchor, content, marks, block, number))
+    new_a = np.ones(len(anchor), bool)
+    new_a[1:] = anchor[1:] != anchor[:-1]
+    new_c = new_a.copy()
+    new_c[1:] |= content[1:] != content[:-1]
+    by_a, by_c = np.cumsum(new_a) - 1, np.cumsum(new_c) - 1
+    entries_a, entries_c = np.bincount(by_a), np.bincount(by_c)
+    again = (entries_a > 1) | (np.bincount(by_a, marks & MANY) > 0)
+    different = np.bincount(by_a, new_c).astype(np.int64)
+    own = np.maximum.reduceat(marks, np.flatnonzero(new_c)) | (entries_c > 1) * np.uint8(MANY | CROSS)
+    marks = own[by_c] | (new_c & (different[by_a] > 1)) * np.uint8(SEND) | (different[by_a] > hot) * np.uint8(BY_DIGEST)
+    keep = again[by_a]
+    block, number, marks = block[keep], number[keep].astype("<u4"), marks[keep].astype(np.uint8)
+    order = np.argsort(block, kind="stable")
+    block, number, marks = block[order], number[order], marks[order]
+    return table_of([(int(block[a]), pack(number[a:b], marks[a:b])) for a, b in cuts(block)], _ANSWER)
+
+
+class _Block:
+    """A stored block with the marks of its distinct regions."""
+
+    def __init__(self, row: dict, answers: list[bytes]):
+        texts = from_ipc(row["texts"])
+        self.ids = texts["doc_id"]
+        self.joined, self.start = text_bytes(texts["text"].combine_chunks())
+        self.of, self.row, self.first, self.starts = (x.astype(np.int64) for x in unpack(row["regions"], *_REGION_KINDS))
+        self.marks = np.zeros(int(self.of[-1]) + 1 if len(self.of) else 0, np.uint8)
+        for x in answers:
+            number, marks = unpack(x, "<u4", "u1")
+            self.marks[number] = marks
+
+    def chosen(self, by_digest: bool, span: int) -> tuple[np.ndarray, ...]:
+        """(number, place of the first byte, bytes, row) of the regions to send, one occurrence of each."""
+        want = (self.marks & SEND > 0) & ((self.marks & BY_DIGEST > 0) == by_digest)
+        number = np.flatnonzero(want)
+        i = np.searchsorted(self.of, number)
+        place = self.start[self.row[i]] + self.first[i]
+        size = np.minimum(place + self.starts[i] - 1 + span, self.start[self.row[i] + 1]) - place
+        return number, place, size, i
+
+    def digests(self, span: int, shared: int, buckets: int) -> tuple[np.ndarray, ...]:
+        """Of the regions that go by digest: (bucket, two halves, length's number, marks) of each distinct string, in
+        the order of buckets, and (number of the distinct string, region, offset, length's number) of each string."""
+        number, place, size, i = self.chosen(True, span)
+        starts = self.starts[i]
+        at = np.cumsum(size) - size
+        text = self.joined[np.repeat(place, size) + spread(size)]
+        items = []
+        for k, n in enumerate((span, shared)):
+            who, offset = np.repeat(np.arange(len(number)), starts), spread(starts)
+            whole = offset + n <= size[who]
+            who, offset = who[whole], offset[whole]
+            p = at[who] + offset
+            items.append((gram_hashes(text, n)[p], gram_hashes(text, n, 0xA0761D6478BD642F)[p], np.full(len(p), k, np.uint8), who, offset))
+        x, y, k, who, offset = (np.concatenate(z) for z in zip(*items))
+        bucket = (x % _U(buckets)).astype(np.int64)
+        order = np.lexsort((self.row[i][who], k, y, x, bucket))
+        x, y, k, who, offset, bucket = (z[order] for z in (x, y, k, who, offset, bucket))
+        new = np.ones(len(x), bool)
+        new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1]) | (k[1:] != k[:-1])
+        a = np.flatnonzero(new)
+        z = np.append(a[1:], len(x))[: len(a)] - 1
+        own = np.maximum.reduceat(self.marks[number[who]] & (MANY | CROSS), a) if len(a) else np.zeros(0, np.uint8)
+        rows = self.row[i][who]
+        marks = (own | (z > a) * np.uint8(MANY) | (rows[z] != rows[a]) * np.uint8(CROSS)).astype(np.uint8)
+        return (bucket[a], x[a], y[a], k[a], marks), (np.cumsum(new) - 1, number[who], offset, k)
+
+
+def _send(blocks: pa.Table, answers: pa.Table, span: int, shared: int, buckets: int) -> pa.Table:
+    """The bytes of the wanted regions, and the digests of the strings of those that go by digest, by bucket."""
+    out = []
+    for row in blocks.to_pylist():
+        b = _Block(row, answers["numbers"].to_pylist())
+        raw = b.joined.tobytes()
+        number, place, size, i = b.chosen(False, span)
+        # numbers are in the order of anchors' buckets; those of each are known from where the block's postings begin
+        to = np.searchsorted(np.array([x["at"] for x in row["asked"]]), number, side="right") - 1
+        for x, y in cuts(to):
+            blob = b"".join(raw[p : p + n] for p, n in zip(place[x:y].tolist(), size[x:y].tolist()))
+            header = pack(number[x:y].astype("<u4"), b.marks[number[x:y]], b.row[i[x:y]].astype("<u4"), b.starts[i[x:y]].astype("<u4"), size[x:y].astype("<u4"))
+            out.append((row["asked"][to[x]]["bucket"], row["block"], None, header, blob))
+        if (b.marks & BY_DIGEST).any():
+            (bucket, *columns), _ = b.digests(span, shared, buckets)
+            out += [(int(bucket[x]), row["block"], x, pack(*(c[x:y] for c in columns)), None) for x, y in cuts(bucket)]
+    return table_of(out, _SENT)
+
+
+def _sort(rows: pa.Table, span: int, shared: int) -> pa.Table:
+    """What repeats in a bucket: runs of starts of the sent regions, and digests, by block."""
+    blocks, at, headers, blobs = (rows[c].to_pylist() for c in ("block", "at", "header", "blob"))
+    out = []
+    sent = [i for i, x in enumerate(blobs) if x is not None]
+    if sent:
+        parts = [unpack(headers[i], *_HEADER_KINDS) for i in sent]
+        number, marks, row, starts, size = (np.concatenate(x) for x in zip(*parts))
+        block = np.repeat(np.array([blocks[i] for i in sent], np.int64), [len(x[0]) for x in parts])
+        starts, size = starts.astype(np.int64), size.astype(np.int64)
+        text = np.frombuffer(b"".join(blobs[i] for i in sent), np.uint8)
+        begin = np.cumsum(size) - size
+        owner, offset = np.repeat(np.arange(len(size)), starts), spread(starts)
+        wanted = np.zeros(len(text), bool)
+        wanted[begin[owner] + offset] = True
+        order, (far, near) = classes(text, wanted, (span, shared))
+        which = np.zeros(len(text), np.int64)
+        which[begin[owner] + offset] = np.arange(len(owner))
+        which = which[order]
+        runs = []
+        for kind, n, cls in ((0, span, far), (1, shared, near)):
+            true = offset[which] + n <= size[owner[which]]
+            w, cls = which[true], cls[true]
+            if not len(w):
+                continue
+            first = np.flatnonzero(np.concatenate([[True], np.diff(cls) > 0]))
+            many = np.diff(np.append(first, len(cls)))
+            if kind:  # in several rows: another block or row, or a region that has several
+                rank = np.unique(np.stack([block, row.astype(np.int64)], 1), axis=0, return_inverse=True)[1].reshape(-1)[owner[w]]
+                again = (np.minimum.reduceat(rank, first) != np.maximum.reduceat(rank, first)) | (np.maximum.reduceat(marks[owner[w]] & CROSS, first) > 0)
+                told = marks[owner[w]] & CROSS > 0
+            else:
+                again, told = many > 1, marks[owner[w]] & MANY > 0
+            w = np.sort(w[np.repeat(again, many) & ~told])  # of the others the blocks know already
+            if len(w):
+                new = np.concatenate([[True], (np.diff(w) > 1) | (np.diff(owner[w]) > 0)])
+                a = np.flatnonzero(new)
+                z = np.append(a[1:], len(w)) - 1
+                runs.append((owner[w[a]], offset[w[a]], offset[w[z]], np.full(len(a), kind, np.uint8)))
+        if runs:
+            o, low, high, kind = (np.concatenate(x) for x in zip(*runs))
+            order = np.argsort(block[o], kind="stable")
+            o, low, high, kind = o[order], low[order], high[order], kind[order]
+            out += [(int(block[o[x]]), pack(number[o[x:y]], low[x:y].astype("<u4"), high[x:y].astype("<u4"), kind[x:y]), None) for x, y in cuts(block[o])]
+    posted = [i for i, x in enumerate(blobs) if x is None]
+    if posted:
+        parts = [unpack(headers[i], *_DIGEST_KINDS) for i in posted]
+        length = [len(x[0]) for x in parts]
+        x, y, k, marks = (np.concatenate(z) for z in zip(*parts))
+        block = np.repeat(np.array([blocks[i] for i in posted], np.int64), length)
+        number = np.concatenate([np.arange(at[i], at[i] + n) for i, n in zip(posted, length)]).astype("<u4")
+        order = np.lexsort((block, k, y, x))
+        x, y, k, marks, block, number = (z[order] for z in (x, y, k, marks, block, number))
+        new = np.ones(len(x), bool)
+        new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1]) | (k[1:] != k[:-1])
+        group = np.cumsum(new) - 1
+        again = (np.bincount(group) > 1)[group] | (marks & np.where(k > 0, CROSS, MANY).astype(np.uint8) > 0)
+        block, number = block[again], number[again]
+        order = np.argsort(block, kind="stable")
+        block, number = block[order], number[order]
+        out += [(int(block[a]), None, pack(number[a:b])) for a, b in cuts(block)]
+    return table_of(out, _RESULT)
+
+
+def _cut(blocks: pa.Table, told: pa.Table, span: int, shared: int, buckets: int) -> pa.Table:
+    """What stays of a block's texts. told: answers and results."""
+    out = []
+    for row in blocks.to_pylist():
+        b = _Block(row, [x for x in told["numbers"].to_pylist() if x is not None])
+        runs = [unpack(x, "<u4", "<u4", "<u4", "u1") for x in told["runs"].to_pylist() if x is not None]
+        if any(x is not None for x in told["digests"].to_pylist()):
+            distinct, (of, number, offset, kind) = b.digests(span, shared, buckets)
+            again = np.zeros(len(distinct[0]), bool)
+            for x in told["digests"].to_pylist():
+                if x is not None:
+                    again[unpack(x, "<u4")[0]] = True
+            hit = again[of]
+            runs.append((number[hit], offset[hit], offset[hit], kind[hit]))
+        for kind, mark in ((0, MANY), (1, CROSS)):
+            whole = np.flatnonzero(b.marks & mark)
+            runs.append((whole, np.zeros(len(whole), np.int64), np.full(len(whole), 1 << 31), np.full(len(whole), kind)))
+        number, low, high, kind = (np.concatenate([np.asarray(y, np.int64) for y in x]) for x in zip(*runs))
+        a, z = np.searchsorted(b.of, number), np.searchsorted(b.of, number, side="right")
+        times = z - a
+        i = np.repeat(a, times) + spread(times)  # every occurrence of the region
+        low, high, kind = (np.repeat(x, times) for x in (low, high, kind))
+        place, end = b.start[b.row[i]] + b.first[i], b.start[b.row[i] + 1]
+        covers = []
+        for k, n in enumerate((span, shared)):
+            first, last = place + low, np.minimum(place + np.minimum(high, b.starts[i] - 1), end - n) + n
+            use = (kind == k) & (last - n >= first)
+            mark = np.zeros(len(b.joined) + 1, np.int32)
+            np.add.at(mark, first[use], 1)
+            np.add.at(mark, last[use], -1)
+            covers.append(np.cumsum(mark)[:-1] > 0)
+        gone, common = covers
+        opens = gone.copy()
+        opens[1:] &= ~gone[:-1]
+        edge = b.start[:-1][np.diff(b.start) > 0]
+        opens[edge] = gone[edge]
+        upto = lambda x: np.concatenate([[0], np.cumsum(x)])
+        per_row = lambda x: np.diff(upto(x)[b.start])
+        kept, at = b.joined[~gone].tobytes(), upto(~gone)[b.start]
+        pieces = [kept[x:y] for x, y in zip(at[:-1].tolist(), at[1:].tolist())]
+        out.append(pa.Table.from_arrays([b.ids.combine_chunks(), *(pa.array(x, pa.int64()) for x in (np.diff(b.start), per_row(gone), per_row(opens), per_row(common))), pa.array([hashlib.sha256(x).hexdigest() for x in pieces], pa.string()), pa.array(pieces, pa.binary())], schema=_OUT))
+    return pa.concat_tables(out) if out else _OUT.empty_table()
+
+
+def repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", shared: int = SHARED, hot: int = HOT) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, n_shared, kept_sha256, kept binary) for every row of docs.
 
     Removed is each byte covered by a span-byte string that also starts anywhere else, in the same text or another,
-    as the input stands; n_spans counts maximal removed runs. Null texts count as empty; rows with equal ids are rows
-    of their own, and equal rows are each other's repeats; a null id is an id as any other; no rows give none.
+    as the input stands; n_spans counts maximal removed runs. n_shared counts the bytes covered by a shared-byte string
+    (shared is at most span) that also starts in another row: shorter passages show there, and repeats within one text
+    do not. Null texts count as empty; rows with equal ids are rows of their own, and equal rows are each other's
+    repeats; a null id is an id as any other; no rows give none. Other columns are not looked at.
     """
-    if span <= gram:
-        raise ValueError("span must be larger than gram")
-    spark = docs.sparkSession
-    groups = 4 * partitions(spark)
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    placed = base.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int"))
-
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            joined, start = text_bytes(part["text"])
-            raw = joined.tobytes()
-            text, first, starts, anchor = regions(joined, start, span, gram)
-            if not len(text):
-                continue
-            row = row_keys(part["doc_id"].to_pylist(), [raw[a:b] for a, b in zip(start[:-1], start[1:])])
-            out = np.zeros(len(text), _POSTING)
-            out["anchor"], out["row"], out["first"], out["starts"] = anchor, row[text], first - start[text], starts
-            out["doc"] = part["bucket"].to_numpy()[text]
-            digest = xxhash.xxh3_64_intdigest
-            out["content"] = [digest(raw[a : a + n + span - 1]) for a, n in zip(first.tolist(), starts.tolist())]
-            to = (anchor % _U(groups)).astype(np.int64)
-            order = np.argsort(to, kind="stable")
-            out, to = out[order], to[order]
-            cuts = list(_cut(to))
-            yield pa.RecordBatch.from_arrays([pa.array([int(to[a]) for a, _ in cuts], pa.int32()), pa.array([out[a:b].tobytes() for a, b in cuts], pa.binary())], ["bucket", "postings"])
-
-    postings = placed.mapInArrow(post, "bucket int, postings binary")
-
-    def meet(rows: pa.Table) -> pa.Table:
-        p = _all(rows, "postings", _POSTING)
-        p = p[np.lexsort((p["first"], p["row"], p["content"], p["anchor"]))]
-        new_a = np.ones(len(p), bool)
-        new_a[1:] = p["anchor"][1:] != p["anchor"][:-1]
-        new_c = new_a.copy()
-        new_c[1:] |= p["content"][1:] != p["content"][:-1]
-        count = lambda new: np.diff(np.append(np.flatnonzero(new), len(p)))[np.cumsum(new) - 1]
-        keep = count(new_a) > 1
-        out = np.zeros(int(keep.sum()), _OCCURRENCE)
-        for c in _POSTING.names:
-            out[c] = p[c][keep]
-        out["many"], out["send"] = (count(new_c) > 1)[keep], new_c[keep]
-        return pa.Table.from_arrays([pa.array(rows["bucket"].to_pylist()[:1], pa.int32()), pa.array([out.tobytes()], pa.binary())], ["bucket", "found"]) if len(out) else pa.table({"bucket": pa.array([], pa.int32()), "found": pa.array([], pa.binary())})
-
-    found = stored(postings.groupBy("bucket").applyInArrow(meet, "bucket int, found binary"), "anchors")
-
-    def requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for raw in batch["found"].to_pylist():
-                x = np.frombuffer(raw, _OCCURRENCE)
-                x = x[x["send"]]
-                x = x[np.argsort(x["doc"], kind="stable")]
-                cuts = list(_cut(x["doc"]))
-                yield pa.RecordBatch.from_arrays([pa.array([int(x["doc"][a]) for a, _ in cuts], pa.int32()), pa.array([x[a:b].tobytes() for a, b in cuts], pa.binary())], ["bucket", "asked"])
-
-    asked = found.mapInArrow(requests, "bucket int, asked binary")
-
-    def rows_of(texts: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        raw = [x.encode() for x in texts["text"].to_pylist()]
-        row = row_keys(texts["doc_id"].to_pylist(), raw)
-        order = np.argsort(row, kind="stable")
-        return raw, row[order], order
-
-    def send(texts: pa.Table, asked_rows: pa.Table) -> pa.Table:
-        x = _all(asked_rows, "asked", _OCCURRENCE)
-        raw, keys, order = rows_of(texts)
-        which = order[np.searchsorted(keys, x["row"])] if len(x) else x["row"]
-        to = (x["anchor"] % _U(groups)).astype(np.int64)
-        o = np.argsort(to, kind="stable")
-        x, to, which = x[o], to[o], which[o]
-        out = []
-        for a, b in _cut(to):
-            blob = b"".join(raw[w][f : f + n + span - 1] for w, f, n in zip(which[a:b].tolist(), x["first"][a:b].tolist(), x["starts"][a:b].tolist()))
-            out.append((int(to[a]), x[a:b].tobytes(), blob))
-        c = list(zip(*out)) or [()] * 3
-        return pa.Table.from_arrays([pa.array(c[0], pa.int32()), pa.array(c[1], pa.binary()), pa.array(c[2], pa.binary())], ["bucket", "sent", "blob"])
-
-    sent = placed.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(send, "bucket int, sent binary, blob binary")
-
-    def sort(sent_rows: pa.Table, found_rows: pa.Table) -> pa.Table:
-        x = _all(sent_rows, "sent", _OCCURRENCE)
-        every = _all(found_rows, "found", _OCCURRENCE)
-        text = np.frombuffer(b"".join(sent_rows["blob"].to_pylist()), np.uint8)
-        starts = x["starts"].astype(np.int64)
-        size = starts + span - 1
-        begin = np.cumsum(size) - size
-        position = np.repeat(begin, starts) + spread(starts)
-        wanted = np.zeros(len(text), bool)
-        wanted[position] = True
-        again = repeated_starts(text, wanted, span)[position] | np.repeat(x["many"], starts)
-        # runs of repeated starts within each region
-        owner = np.repeat(np.arange(len(x)), starts)
-        p, offset = owner[again], spread(starts)[again]
-        new = np.ones(len(p), bool)
-        new[1:] = (p[1:] != p[:-1]) | (offset[1:] != offset[:-1] + 1)
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(p)) - 1 if len(first) else first
-        run_owner, low, high = p[first], offset[first], offset[last] if len(first) else offset[first]
-        # every occurrence of a region gets the region's runs
-        pair = lambda y: np.rec.fromarrays([y["anchor"], y["content"]])
-        by = np.argsort(pair(x), kind="stable") if len(x) else np.zeros(0, np.int64)
-        rank = np.searchsorted(pair(x)[by], pair(every)) if len(every) else np.zeros(0, np.int64)
-        region = by[rank]
-        n_runs = np.bincount(run_owner, minlength=len(x))
-        run_at = np.cumsum(n_runs) - n_runs
-        times = n_runs[region] if len(region) else np.zeros(0, np.int64)
-        o = np.repeat(np.arange(len(every)), times)
-        r = np.repeat(run_at[region], times) + spread(times) if len(region) else np.zeros(0, np.int64)
-        out = np.zeros(len(o), _REMOVAL)
-        out["row"], out["first"], out["last"] = every["row"][o], every["first"][o] + low[r], every["first"][o] + high[r] + span
-        doc = every["doc"][o]
-        order = np.argsort(doc, kind="stable")
-        out, doc = out[order], doc[order]
-        cuts = list(_cut(doc))
-        return pa.Table.from_arrays([pa.array([int(doc[a]) for a, _ in cuts], pa.int32()), pa.array([out[a:b].tobytes() for a, b in cuts], pa.binary())], ["bucket", "removed"])
-
-    removed = stored(sent.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(sort, "bucket int, removed binary"), "removed")
-
-    def cut(texts: pa.Table, removed_rows: pa.Table) -> pa.Table:
-        x = _all(removed_rows, "removed", _REMOVAL)
-        x = x[np.argsort(x["row"], kind="stable")]
-        raw, keys, order = rows_of(texts)
-        a, b = np.searchsorted(x["row"], keys), np.searchsorted(x["row"], keys, side="right")
-        out: list[tuple] = [()] * len(raw)
-        ids = texts["doc_id"].to_pylist()
-        for i, lo, hi in zip(order.tolist(), a.tolist(), b.tolist()):
-            whole = raw[i]
-            kept, gone, spans = whole, 0, 0
-            if hi > lo:
-                mark = np.zeros(len(whole) + 1, np.int32)
-                np.add.at(mark, x["first"][lo:hi], 1)
-                np.add.at(mark, x["last"][lo:hi], -1)
-                cover = np.cumsum(mark)[:-1] > 0
-                kept = np.frombuffer(whole, np.uint8)[~cover].tobytes()
-                gone = int(cover.sum())
-                spans = int(cover[0]) + int((cover[1:] & ~cover[:-1]).sum())
-            out[i] = (ids[i], len(whole), gone, spans, hashlib.sha256(kept).hexdigest(), kept)
-        c = list(zip(*out)) or [()] * 6
-        return pa.Table.from_arrays([pa.array(y, k) for y, k in zip(c, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-    return placed.groupBy("bucket").cogroup(removed.groupBy("bucket")).applyInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    if not gram < shared <= span:
+        raise ValueError("gram must be smaller than shared, shared at most span")
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    buckets = bucket_count(base)
+    blocks = stored(in_blocks(base, lambda number, rows: _block(number, rows, span, shared, gram, buckets), _BLOCK, _BLOCK_SQL), "blocks")
+    asked = blocks.select("block", F.explode("asked").alias("x")).select("block", "x.bucket", "x.at", "x.regions")
+    answers = stored(asked.groupBy("bucket").applyInArrow(lambda rows: _meet(rows, hot), "block long, numbers binary"), "answers")
+    light = blocks.select("block", "texts", "regions", F.transform("asked", lambda x: x.dropFields("regions")).alias("asked"))
+    sent = light.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda x, y: _send(x, y, span, shared, buckets), "bucket int, block long, at int, header binary, blob binary")
+    results = sent.groupBy("bucket").applyInArrow(lambda rows: _sort(rows, span, shared), "block long, runs binary, digests binary")
+    told = answers.unionByName(stored(results, "results"), allowMissingColumns=True)
+    return (
+        blocks.select("block", "texts", "regions").groupBy("block").cogroup(told.groupBy("block"))
+        .applyInArrow(lambda x, y: _cut(x, y, span, shared, buckets), "doc_id long, n_bytes long, n_removed long, n_spans long, n_shared long, kept_sha256 string, kept binary")
+    )
 
 
 def op10_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

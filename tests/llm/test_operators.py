@@ -453,20 +453,25 @@ def test_suffix_order():
         assert suffixes.suffix_order(x, wanted).tolist() == sorted(np.flatnonzero(wanted).tolist(), key=lambda i: raw[i:])
 
 
-@pytest.mark.parametrize("span,gram", [(400, 128), (40, 16)])
-def test_repeats_match_brute_force(docs, texts, empty, span, gram):
-    got = {r.doc_id: r for r in suffixes.repeats(docs, span, gram).collect()}
+@pytest.mark.parametrize("span,gram,shared,hot", [(400, 128, 400, 1000), (400, 64, 240, 1000), (40, 16, 40, 1000), (40, 16, 24, 2), (40, 16, 30, 0)])
+def test_repeats_match_brute_force(docs, texts, empty, span, gram, shared, hot):
+    got = {r.doc_id: r for r in suffixes.repeats(docs, span, gram, shared=shared, hot=hot).collect()}
     raw = [(t or "").encode() for t in texts]
     count = collections.Counter(b[k : k + span] for b in raw for k in range(len(b) - span + 1))
+    rows_of = collections.Counter(x for b in raw for x in {b[k : k + shared] for k in range(len(b) - shared + 1)})
     for i, b in enumerate(raw):
-        cover = np.zeros(len(b), bool)
+        cover, common = np.zeros(len(b), bool), np.zeros(len(b), bool)
         for k in range(len(b) - span + 1):
             if count[b[k : k + span]] > 1:
                 cover[k : k + span] = True
+        for k in range(len(b) - shared + 1):
+            if rows_of[b[k : k + shared]] > 1:
+                common[k : k + shared] = True
         kept = np.frombuffer(b, np.uint8)[~cover].tobytes()
         runs = int((np.diff(np.concatenate([[0], cover.astype(int)])) == 1).sum())
         r = got[i * 3]
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(b), int(cover.sum()), runs, hashlib.sha256(kept).hexdigest())
+        assert r.n_shared == int(common.sum())
     assert suffixes.repeats(empty).count() == 0
     twice = suffixes.repeats(docs.unionAll(docs)).filter("doc_id = 27").collect()
-    assert len(twice) == 2 and all(r.n_removed == r.n_bytes for r in twice)
+    assert len(twice) == 2 and all(r.n_removed == r.n_bytes == r.n_shared for r in twice)
