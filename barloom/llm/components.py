@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import stored
+from barloom.llm.common import discard, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -23,7 +23,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = stored(large, "large")
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select("a", "m", F.explode(F.array("a", "b")).alias("x")).filter("x <> m")
-        e = stored(small.select(F.greatest("x", "m").alias("a"), F.least("x", "m").alias("b")).distinct(), "edges")
+        last, e = e, stored(small.select(F.greatest("x", "m").alias("a"), F.least("x", "m").alias("b")).distinct(), "edges")
+        discard(last, large)
         before, state = state, _state(e)
         if state == before:
             break

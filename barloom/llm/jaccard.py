@@ -2,9 +2,10 @@
 
 The shingles of a set are hashed into segments, as many as two sets of the size band may differ by, plus one: then two
 similar sets agree on a segment. Some segments are also indexed by their one-deletion neighbourhoods; agreeing on none
-of those takes two differences, so they count twice. How many of them, and how far down the list of segments each set
-goes, follows from its size and empty segments (the cost of an empty segment's long list is never paid but by the few
-sets that have no other choice). Candidates are verified exactly.
+of those takes two differences, so they count twice. Which bands take them is decided by cost: a first pass counts, for
+one segment of each kind, how long the lists of all sets are. How far down the list of segments each set goes follows
+from its empty segments (the cost of an empty segment's long list is never paid but by the few sets that have no other
+choice). Candidates are verified exactly.
 """
 
 from __future__ import annotations
@@ -17,14 +18,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from barloom.llm.common import hash64, mix64, partitions, slices, spread, stored, table, words
+from barloom.llm.common import bucket_count, discard, hash64, mix64, partitions, slices, spread, stored, table, words
 from barloom.llm.components import components
 
 WIDTH, PERCENT = 5, 80
 _U = np.uint64
-#: Sets of bands up to this size take double segments with neighbourhoods.
-SMALL = 256
+#: What a pair of candidates costs, in signatures.
+PAIR_COST = 4
+#: Members of a list that are paired with each other as they are; longer lists are stars, whose members are compared by
+#: bit maps of MAP_BITS at most, in tiles of TILE by TILE.
+PAIRED, MAP_BITS, TILE = 16, 1024, 4096
 #: Partners of a document that one verification group holds, about.
 GROUP_PARTNERS = 256
 
@@ -74,15 +79,14 @@ def bands(most: int = 1 << 40, percent: int = PERCENT) -> list[int]:
     return out
 
 
-def scheme(upper: int, percent: int = PERCENT) -> tuple[int, int]:
+def scheme(upper: int, double: bool, percent: int = PERCENT) -> tuple[int, int]:
     """(segments, how many of the first ones have one-deletion neighbourhoods) of the band whose last size is upper.
 
     Plain segments cost one signature each, but short ones also agree where two texts only share a passage; segments
     of double length with their neighbourhoods cost about five times as many signatures and agree far more rarely.
-    Small sets, for which a passage is a large part, take the latter; large ones the former, with just so many
-    neighbourhoods as make up for empty segments."""
+    Plain ones still have just so many neighbourhoods as make up for empty segments."""
     budget = (100 - percent) * 2 * upper // (100 + percent)
-    if upper <= SMALL:
+    if double:
         m = budget // 2 + 2
         return m, m
     m = budget + 1
@@ -90,6 +94,49 @@ def scheme(upper: int, percent: int = PERCENT) -> tuple[int, int]:
     return m, min(m, math.ceil(empty + 3 * math.sqrt(empty) + 1))
 
 
+def list_lengths(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(upper, double, sets, signatures, pairs) of each band and kind of scheme: over all sets, the signatures of the
+    first segment and the pairs that share one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = np.array(bands(percent=percent), np.int64)
+        for part in slices(batches, limit=4 << 20):
+            h, begin = shingle_sets(part["text"])
+            key, size = set_keys(h, begin), np.diff(begin)
+            upper = first[np.searchsorted(first, np.maximum(size, 1), side="right")] - 1
+            doc = np.repeat(np.arange(len(size)), size)
+            out = []
+            for double in (False, True):
+                m = {u: scheme(u, double, percent)[0] for u in np.unique(upper).tolist()}
+                of = np.array([m[u] for u in upper.tolist()], _U)
+                segment = mix64(h ^ (upper[doc].astype(_U) * _U(0x9E3779B97F4A7C15))) % of[doc]
+                mine = segment == 0
+                d, x = doc[mine], mix64(h[mine] + _U(3))
+                total = np.zeros(len(size), _U)
+                np.add.at(total, d, x)
+                who = np.flatnonzero(np.bincount(d, minlength=len(size)))
+                if double:
+                    d, x = np.concatenate([who, d]), np.concatenate([total[who], total[d] - x])
+                else:
+                    d, x = who, total[who]
+                out.append(np.stack([upper[d], np.full(len(d), int(double)), x.view(np.int64), key[d]], 1))
+            distinct = np.unique(np.concatenate(out), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in distinct.T.copy()], ["upper", "double", "signature", "v"])
+
+    found = docs.mapInArrow(run, "upper long, double long, signature long, v long").distinct()
+    n = found.groupBy("upper", "double", "signature").agg(F.count("*").alias("n"))
+    return n.groupBy("upper", "double").agg(F.sum("n").alias("signatures"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs"))
+
+
+def allocation(docs: DataFrame, percent: int = PERCENT) -> frozenset[int]:
+    """The bands (their last sizes) whose segments take one-deletion neighbourhoods: those where all signatures and
+    the pairs that their lists make are estimated to cost less that way. A row for each band reaches the driver."""
+    cost: dict[int, dict[bool, float]] = {}
+    for upper, double, signatures, pairs in list_lengths(docs, percent).collect():
+        cost.setdefault(upper, {})[bool(double)] = scheme(upper, bool(double), percent)[0] * (signatures + PAIR_COST * pairs)
+    return frozenset(u for u, c in cost.items() if c.get(True, math.inf) < c.get(False, math.inf))
+
+
 def parity_bits(h: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """128 bits for each set (two 64-bit numbers): bit i tells whether an odd number of members hash to i. Two sets
     differ by at least as many members as their bits differ."""
@@ -123,8 +170,9 @@ def map_distance(n: int, a: bytes, m: int, b: bytes) -> float | None:
     return differ / (n + m) if differ * (100 + PERCENT) <= (100 - PERCENT) * (n + m) else None
 
 
-def signatures(h: np.ndarray, begin: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """(number of the set, 64-bit signature): two sets with a Jaccard similarity of percent/100 share a signature."""
+def signatures(h: np.ndarray, begin: np.ndarray, doubled: frozenset[int], percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the set, 64-bit signature): two sets with a Jaccard similarity of percent/100 share a signature.
+    doubled: the bands with neighbourhoods, the same for all sets."""
     size = np.diff(begin)
     first = np.array(bands(percent=percent), np.int64)
     band = np.searchsorted(first, size, side="right") - 1
@@ -135,7 +183,7 @@ def signatures(h: np.ndarray, begin: np.ndarray, percent: int = PERCENT) -> tupl
         partner = np.minimum(upper, size * 100 // percent)  # of the larger set, at most
         budget = (100 - percent) * (size + partner) // (100 + percent)
         used = (size > 0) & (partner >= first[b]) & (budget > 0)
-        per_band = {x: scheme(int(x), percent) for x in np.unique(upper[used])}
+        per_band = {x: scheme(int(x), int(x) in doubled, percent) for x in np.unique(upper[used])}
         if not per_band:
             continue
         m = np.array([per_band[x][0] if k else 1 for x, k in zip(upper.tolist(), used)], np.int64)
@@ -180,25 +228,25 @@ def signatures(h: np.ndarray, begin: np.ndarray, percent: int = PERCENT) -> tupl
 _MEMBER = np.dtype([("key", "<i8"), ("size", "<u4"), ("count", "<u4"), ("bits", "<u8", 2)])
 
 
-def _sets_and_postings(docs: DataFrame, buckets: int) -> DataFrame:
-    """One pass over the texts: the sets (doc_ids, n, v) of each slice, and packed postings by bucket (members: key,
+def _sets_and_postings(docs: DataFrame, doubled: frozenset[int], buckets: int) -> DataFrame:
+    """One pass over the texts: the sets (doc_ids, t, n, v) of each slice, and packed postings by bucket (members: key,
     size, parity bits and number of signatures; signatures). A task sends the postings of equal sets once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        names = ["bucket", "doc_ids", "n", "v", "members", "sigs", "maps"]
-        kinds = [pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
+        names = ["bucket", "doc_ids", "t", "n", "v", "members", "sigs", "maps"]
+        kinds = [pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
         for part in slices(batches, limit=4 << 20):
             h, begin = shingle_sets(part["text"])
             key, size = set_keys(h, begin), np.diff(begin)
-            rows: list[tuple] = [(int(key[0] % buckets), part["doc_id"].to_pylist(), size, key, None, None, None)]
+            rows: list[tuple] = [(int(key[0] % buckets), part["doc_id"].to_pylist(), part["t"].to_pylist(), size, key, None, None, None)]
             fresh = np.zeros(len(key), bool)
             for i, k in enumerate(key.tolist()):
                 if k and k not in seen:
                     seen.add(k)
                     fresh[i] = True
             own_h, own_begin = h[np.repeat(fresh, size)], np.concatenate([[0], np.cumsum(size[fresh])])
-            doc, sig = signatures(own_h, own_begin)
+            doc, sig = signatures(own_h, own_begin, doubled)
             member = np.zeros(int(fresh.sum()), _MEMBER)
             member["key"], member["size"], member["bits"] = key[fresh], size[fresh], parity_bits(own_h, own_begin)
             bucket = (sig % _U(buckets)).astype(np.int64)
@@ -208,7 +256,7 @@ def _sets_and_postings(docs: DataFrame, buckets: int) -> DataFrame:
                 who, n = np.unique(doc[a:b], return_counts=True)
                 sent = member[who]
                 sent["count"] = n
-                rows.append((int(bucket[a]), None, None, None, sent.tobytes(), sig[a:b].tobytes(), None))
+                rows.append((int(bucket[a]), None, None, None, None, sent.tobytes(), sig[a:b].tobytes(), None))
             # the bit maps go where their keys' pairs go
             length, joined = bit_maps(own_h, own_begin)
             first = np.cumsum(length) - length
@@ -217,10 +265,10 @@ def _sets_and_postings(docs: DataFrame, buckets: int) -> DataFrame:
             for a, b in _cuts(home[order]):
                 i = order[a:b]
                 blob = b"".join(joined[f : f + n] for f, n in zip(first[i].tolist(), length[i].tolist()))
-                rows.append((int(home[i[0]]), None, None, None, member[i].tobytes(), None, blob))
+                rows.append((int(home[i[0]]), None, None, None, None, member[i].tobytes(), None, blob))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
-    return docs.mapInArrow(run, "bucket int, doc_ids array<long>, n array<long>, v array<long>, members binary, sigs binary, maps binary")
+    return docs.mapInArrow(run, "bucket int, doc_ids array<long>, t array<long>, n array<long>, v array<long>, members binary, sigs binary, maps binary")
 
 
 def _home(key: np.ndarray, buckets: int) -> np.ndarray:
@@ -240,31 +288,22 @@ def may_link(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (100 * least >= PERCENT * (n - least)) & (differ * (100 + PERCENT) <= (100 - PERCENT) * n)
 
 
-def candidates(group: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[np.ndarray]]:
-    """Of members that share a signature: the pairs to verify, and the stars (pivot, then its partners).
-
-    The least member is paired with all that may link to it. The others can't be in a component through it alone:
-    each is paired with those partners to which it may link, and the others go on among themselves."""
-    pairs, stars = [], []
-    while len(group) > 1:
-        pivot, rest = group[0], group[1:]
-        near = may_link(pivot, rest)
-        close, group = rest[near], rest[~near]
-        if len(close):
-            pairs.append((close["key"], np.full(len(close), pivot["key"])))
-        if len(close) > 1:
-            stars.append(np.concatenate([[pivot["key"]], close["key"]]))
-        few, many = (close, group) if len(close) < len(group) else (group, close)
-        for x in few if len(many) else ():
-            with_x = many[may_link(x, many)]["key"]
-            if len(with_x):
-                pairs.append((np.maximum(with_x, x["key"]), np.minimum(with_x, x["key"])))
-    return pairs, stars
+def candidates(group: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray | None]:
+    """Of members that share a signature: the pairs to verify, and the star, if there are over PAIRED members.
+
+    Few members are paired with each other. Of many the least is paired with all that may link to it, and the others
+    are left to the star."""
+    pairs = []
+    for i in range(len(group) - 1 if len(group) <= PAIRED else 1):
+        near = group["key"][i + 1 :][may_link(group[i], group[i + 1 :])]
+        if len(near):
+            pairs.append((near, np.full(len(near), group["key"][i])))
+    return pairs, group["key"] if len(group) > PAIRED else None
 
 
 def _meet(postings: DataFrame, buckets: int) -> DataFrame:
-    """Where sets share a signature: packed pairs (to, pairs) that may link, and stars of three and more (gid, pivot,
-    members). The sets pass through."""
+    """Where sets share a signature: packed pairs (to, pairs) that may link, and stars (gid, members). The sets pass
+    through."""
 
     def run(rows: pa.Table) -> pa.Table:
         members = [np.frombuffer(x, _MEMBER) for x, m in zip(rows["members"].to_pylist(), rows["maps"].to_pylist()) if x is not None and m is None]
@@ -282,30 +321,26 @@ def _meet(postings: DataFrame, buckets: int) -> DataFrame:
         two = start[size == 2]
         a, b = member[index[two + 1]], member[index[two]]
         ok = may_link(a, b)
-        pairs, out, done, sent = [(a["key"][ok], b["key"][ok])], [], set(), set()
+        pairs, out, done = [(a["key"][ok], b["key"][ok])], [], set()
         for at, n in zip(start[size > 2].tolist(), size[size > 2].tolist()):
             group = member[index[at : at + n]]
             gid = _group_id(group["key"])
-            if gid in done:
-                continue
-            done.add(gid)
-            more, stars = candidates(group)
-            pairs += more
-            for star in stars:
-                gid = _group_id(star)
-                if gid not in sent:  # a star may be its whole group, so groups are no measure here
-                    sent.add(gid)
-                    out.append((None, None, gid, int(star[0]), star[1:]) + (None,) * 5)
+            if gid not in done:
+                done.add(gid)
+                more, star = candidates(group)
+                pairs += more
+                if star is not None:
+                    out.append((None, None, gid, star) + (None,) * 6)
         pair = np.unique(np.stack([np.concatenate([x for x, _ in pairs]), np.concatenate([y for _, y in pairs])], 1), axis=0)
         out += [(to, raw) + (None,) * 8 for to, raw in zip(*(_packed(pair, buckets)[c].to_pylist() for c in ("to", "pairs")))]
         out += [(b,) + (None,) * 7 + (x, m) for b, x, m in zip(*(rows[c].to_pylist() for c in ("bucket", "members", "maps"))) if m is not None]
-        out += [(None,) * 5 + x + (None, None) for x in zip(*(rows[c].to_pylist() for c in ("doc_ids", "n", "v"))) if x[0] is not None]
+        out += [(None,) * 4 + x + (None, None) for x in zip(*(rows[c].to_pylist() for c in ("doc_ids", "t", "n", "v"))) if x[0] is not None]
         longs = pa.list_(pa.int64())
-        kinds = [pa.int32(), pa.binary(), pa.int64(), pa.int64(), longs, longs, longs, longs, pa.binary(), pa.binary()]
+        kinds = [pa.int32(), pa.binary(), pa.int64(), longs, longs, longs, longs, longs, pa.binary(), pa.binary()]
         c = list(zip(*out)) or [()] * 10
-        return pa.Table.from_arrays([pa.array(x, k) for x, k in zip(c, kinds)], ["to", "pairs", "gid", "pivot", "members", "doc_ids", "n", "v", "keys", "maps"])
+        return pa.Table.from_arrays([pa.array(x, k) for x, k in zip(c, kinds)], ["to", "pairs", "gid", "members", "doc_ids", "t", "n", "v", "keys", "maps"])
 
-    return postings.groupBy("bucket").applyInArrow(run, "to int, pairs binary, gid long, pivot long, members array<long>, doc_ids array<long>, n array<long>, v array<long>, keys binary, maps binary")
+    return postings.groupBy("bucket").applyInArrow(run, "to int, pairs binary, gid long, members array<long>, doc_ids array<long>, t array<long>, n array<long>, v array<long>, keys binary, maps binary")
 
 
 def _group_id(keys: np.ndarray) -> int:
@@ -459,59 +494,117 @@ def _keys_of(step: DataFrame) -> DataFrame:
     return step.mapInArrow(run, "v long").distinct()
 
 
+#: A member of a tile: which tile, which of its two sides, component, key.
+_PLACE = np.dtype([("tile", "<i8"), ("side", "u1"), ("root", "<i8"), ("key", "<i8")])
+
+
+def _by_home(x: np.ndarray, by: np.ndarray, buckets: int) -> list[tuple[int, np.ndarray]]:
+    """x cut by the homes of by."""
+    home = _home(by, buckets)
+    order = np.argsort(home, kind="stable")
+    return [(int(home[order[a]]), order[a:b]) for a, b in _cuts(home[order])] if len(x) else []
+
+
+def _bytes_table(rows: list[tuple], *names: str) -> pa.Table:
+    c = list(zip(*rows)) or [()] * (1 + len(names))
+    return pa.Table.from_arrays([pa.array(c[0], pa.int32()), *(pa.array(x, pa.binary()) for x in c[1:])], ["to", *names])
+
+
+def tiles(star: np.ndarray, width: int = TILE) -> list[np.ndarray]:
+    """The members (_PLACE, tile: the star's id) of a star dealt to tiles, so that any two of different components meet
+    in one; of a star of one component none."""
+    star = star[np.lexsort((star["key"], star["root"]))]
+    if star["root"][0] == star["root"][-1]:
+        return []
+    blocks = [star[i : i + width] for i in range(0, len(star), width)]
+    out = []
+    for i, x in enumerate(blocks):
+        for j, y in enumerate(blocks[i:], i):
+            if x["root"][0] == y["root"][-1]:  # all of one component
+                continue
+            both = np.concatenate([x, y] if j > i else [x])
+            both["side"][len(x) :] = 1
+            both["tile"] = int(mix64(np.array([mix64(np.array([star["tile"][0]], np.int64).astype(_U))[0] + _U(i * len(blocks) + j)], _U))[0] >> _U(1))
+            out.append(both)
+    return out
+
+
+def may_link_by_maps(size: np.ndarray, maps: np.ndarray, one: int, others: np.ndarray) -> np.ndarray:
+    """Which of the others may link to one, by sizes and bit maps of one width; never wrong about a pair that links."""
+    n, least = size[others] + size[one], np.minimum(size[others], size[one])
+    differ = np.bitwise_count(maps[others] ^ maps[one]).astype(np.int64).sum(1)
+    return (100 * least >= PERCENT * (n - least)) & (differ * (100 + PERCENT) <= (100 - PERCENT) * n)
+
+
 def strays(stars: DataFrame, maps: DataFrame, comps: DataFrame, buckets: int) -> DataFrame:
     """Packed pairs (to, pairs) of members of a star (gid, members) that are in different components and may link by
-    size and parity bits. A member learns its component at its home and then meets the others of the star."""
-    fact = np.dtype([("gid", "<i8"), ("root", "<i8"), *_MEMBER.descr])
+    their bit maps. A member learns its component at its home; where a star has several, its members fetch their maps
+    and meet in tiles of bounded size."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key = batch["members"].flatten().to_numpy(zero_copy_only=False)
-            gid = np.repeat(batch["gid"].to_numpy(), batch["members"].value_lengths().to_numpy())
-            pair = np.stack([key, gid], 1)
-            home = _home(key, buckets)
-            order = np.argsort(home, kind="stable")
-            cuts = _cuts(home[order])
-            yield pa.RecordBatch.from_arrays([pa.array([int(home[order[x]]) for x, _ in cuts], pa.int32()), pa.array([pair[order[x:y]].tobytes() for x, y in cuts], pa.binary())], ["to", "pairs"])
+            x = np.zeros(len(batch["members"].flatten()), _PLACE)
+            x["key"] = batch["members"].flatten().to_numpy(zero_copy_only=False)
+            x["tile"] = np.repeat(batch["gid"].to_numpy(), batch["members"].value_lengths().to_numpy())
+            yield from _bytes_table([(to, x[i].tobytes()) for to, i in _by_home(x, x["key"], buckets)], "places").to_batches()
 
     def place(rows: pa.Table, known: pa.Table) -> pa.Table:
-        pair = np.unique(_read_some(rows, "pairs").reshape(-1, 2), axis=0)
-        member = _read_some(known, "keys", _MEMBER)
-        member = member[np.argsort(member["key"], kind="stable")]
+        x = np.unique(_read_some(rows, "places", _PLACE))
         root_of = _roots_of(known)
-        out = np.zeros(len(pair), fact)
-        at = np.searchsorted(member["key"], pair[:, 0])
-        for c in _MEMBER.names:
-            out[c] = member[c][at]
-        out["gid"], out["root"] = pair[:, 1], [root_of.get(k, k) for k in pair[:, 0].tolist()]
-        home = _home(out["gid"], buckets)
-        order = np.argsort(home, kind="stable")
-        out, home = out[order], home[order]
-        cuts = _cuts(home)
-        return pa.Table.from_arrays([pa.array([int(home[x]) for x, _ in cuts], pa.int32()), pa.array([out[x:y].tobytes() for x, y in cuts], pa.binary())], ["to", "facts"])
+        x["root"] = [root_of.get(k, k) for k in x["key"].tolist()]
+        return _bytes_table([(to, x[i].tobytes()) for to, i in _by_home(x, x["tile"], buckets)], "places")
+
+    def part(rows: pa.Table) -> pa.Table:
+        x = _read_some(rows, "places", _PLACE)
+        x = x[np.argsort(x["tile"], kind="stable")]
+        found = [np.zeros(0, _PLACE)]
+        for a, b in _cuts(x["tile"]):
+            found += tiles(x[a:b])
+        x = np.concatenate(found)
+        return _bytes_table([(to, x[i].tobytes()) for to, i in _by_home(x, x["key"], buckets)], "places")
+
+    def fetch(rows: pa.Table, known: pa.Table) -> pa.Table:
+        x = _read_some(rows, "places", _PLACE)
+        map_of = _maps_of(known["keys"].to_pylist(), known["maps"].to_pylist())
+        out = []
+        for to, i in _by_home(x, x["tile"], buckets):
+            sizes, folded = [], []
+            for k in x["key"][i].tolist():
+                n, m = map_of[k]
+                y = np.frombuffer(m, _U)
+                while len(y) > MAP_BITS // 64:
+                    y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+                sizes.append((n, len(y)))
+                folded.append(y.tobytes())
+            out.append((to, x[i].tobytes(), np.array(sizes, np.int64).tobytes(), b"".join(folded)))
+        return _bytes_table(out, "places", "sizes", "maps")
 
     def meet(rows: pa.Table) -> pa.Table:
-        all_ = _read_some(rows, "facts", fact)
-        all_ = all_[np.lexsort((all_["root"], all_["gid"]))]
+        x, sizes, flat = _read_some(rows, "places", _PLACE), _read_some(rows, "sizes").reshape(-1, 2), _read_some(rows, "maps", _U)
+        begin = np.cumsum(sizes[:, 1]) - sizes[:, 1]
+        order = np.lexsort((x["key"], x["side"], x["tile"]))
         pairs = [np.zeros((0, 2), np.int64)]
-        for x, y in _cuts(all_["gid"]):
-            star = all_[x:y]
-            own = _cuts(star["root"])
-            main = max(own, key=lambda c: c[1] - c[0])
-            outside = np.ones(len(star), bool)
-            outside[main[0] : main[1]] = False
-            for lo, hi in (c for c in own if c != main):  # each stray against the main component and later strays
-                others = star[~outside | (np.arange(len(star)) >= hi)]
-                for f in star[lo:hi]:
-                    near = others["key"][may_link(f, others)]
-                    pairs.append(np.stack([np.maximum(near, f["key"]), np.minimum(near, f["key"])], 1))
-        pair = np.unique(np.concatenate(pairs), axis=0)
-        return _packed(pair, buckets)
-
-    facts = _facts(maps.drop("maps").withColumn("maps", F.lit(None).cast("binary")), comps, buckets)
-    dealt = stars.select("gid", "members").mapInArrow(deal, "to int, pairs binary")
-    met = dealt.groupBy("to").cogroup(facts.groupBy("to")).applyInArrow(place, "to int, facts binary")
-    return met.groupBy("to").applyInArrow(meet, "to int, pairs binary")
+        for a, b in _cuts(x["tile"][order]):
+            i = order[a:b]
+            tile, size, width = x[i], sizes[i, 0], sizes[i, 1]
+            least = int(width.min())
+            folded = np.zeros((len(i), least), _U)
+            for k, (at, w) in enumerate(zip(begin[i].tolist(), width.tolist())):
+                folded[k] = np.bitwise_xor.reduce(flat[at : at + w].reshape(-1, least))
+            half = int(np.searchsorted(tile["side"], 1))
+            for k in range(half):
+                others = np.arange(half, len(i)) if half < len(i) else np.arange(k + 1, len(i))
+                others = others[tile["root"][others] != tile["root"][k]]
+                near = tile["key"][others[may_link_by_maps(size, folded, k, others)]]
+                if len(near):
+                    pairs.append(np.stack([np.maximum(near, tile["key"][k]), np.minimum(near, tile["key"][k])], 1))
+        return _packed(np.unique(np.concatenate(pairs), axis=0), buckets)
+
+    dealt = stars.select("gid", "members").mapInArrow(deal, "to int, places binary")
+    placed = dealt.groupBy("to").cogroup(_facts(None, comps, buckets).groupBy("to")).applyInArrow(place, "to int, places binary")
+    parted = placed.groupBy("to").applyInArrow(part, "to int, places binary")
+    fetched = parted.groupBy("to").cogroup(maps.groupBy("to")).applyInArrow(fetch, "to int, places binary, sizes binary, maps binary")
+    return fetched.groupBy("to").applyInArrow(meet, "to int, pairs binary")
 
 
 def _packed(pair: np.ndarray, buckets: int) -> pa.Table:
@@ -565,27 +658,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component_id is the smallest id that can be reached by links. Equal sets are one vertex; rows with equal ids are
     rows of their own; a null id is never the smallest of several. Other columns are not looked at.
 
-    Of a group of sets that share a signature, the least member is paired with those that may link to it by size and
-    parity bits, and those are a star. Each set is first verified against the closest of its partners; then only pairs
+    Of a few sets that share a signature all pairs that may link are verified; of many the least is paired with the
+    others, and they are a star. Each set is first verified against the closest of its partners; then only pairs
     between different components are left to verify, ever more for each two of them until none is left. Where members
-    of a star are in different components, these are paired too. So no link between components is lost, and a family
-    of copies costs about as many verifications as it has members.
+    of a star are in different components, their bit maps are compared, and pairs made only of those that may link. So
+    no link between components is lost, and a family of copies costs about as many verifications as it has members.
     """
+    sets, groups = _classes(docs, id_col, text_col)
+    least = groups.groupBy("root").agg(F.min("rep").alias("component"))
+    named = stored(groups.join(least, "root").select("v", "component"), "named")
+    return sets.join(named, "v", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, t, n, v) of every row: a hash of its text, the size and the key of its set (0: none); and (v, rep,
+    root) of every set: its least doc_id, and the key that stands for its component."""
     spark = docs.sparkSession
-    buckets = partitions(spark)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    hits = stored(_meet(_sets_and_postings(base, buckets), buckets), "hits")
-    zipped = F.explode(F.arrays_zip("doc_ids", "n", "v")).alias("x")
-    sets = stored(hits.filter("doc_ids is not null").select(zipped).select("x.doc_ids", "x.n", "x.v").toDF("doc_id", "n", "v"), "sets")
+    hashed = base.withColumn("t", F.xxhash64(F.coalesce("text", F.lit(""))))
+    buckets = bucket_count(base)
+    hits = stored(_meet(_sets_and_postings(hashed, allocation(base), buckets), buckets), "hits")
+    zipped = F.explode(F.arrays_zip("doc_ids", "t", "n", "v")).alias("x")
+    sets = stored(hits.filter("doc_ids is not null").select(zipped).select("x.doc_ids", "x.t", "x.n", "x.v").toDF("doc_id", "t", "n", "v"), "sets")
     classes = stored(sets.filter("v <> 0").groupBy("v").agg(F.min("doc_id").alias("rep")), "classes")
     maps = hits.filter("maps is not null").select("to", "keys", "maps")
     comps = spark.createDataFrame([], "v long, root long")
     comps = _joined(hits.filter("pairs is not null").select("to", "pairs"), maps, comps, base, classes, buckets, fresh=True)
     left = stored(strays(hits.filter("gid is not null"), maps, comps, buckets), "strays")
     comps = _joined(left, maps, comps, base, classes, buckets)
-    least = stored(comps.join(classes, "v").groupBy("root").agg(F.min("rep").alias("component")), "least")
-    named = stored(classes.join(comps.join(least, "root"), "v", "left").select("v", F.coalesce("component", "rep").alias("component")), "named")
-    return sets.join(named, "v", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    groups = stored(classes.join(comps, "v", "left").select("v", "rep", F.coalesce("root", "v").alias("root")), "groups")
+    discard(hits, left, classes)
+    return sets, groups
 
 
 def _joined(packed: DataFrame, maps: DataFrame, comps: DataFrame, base: DataFrame, classes: DataFrame, buckets: int, fresh: bool = False) -> DataFrame:
@@ -597,13 +700,16 @@ def _joined(packed: DataFrame, maps: DataFrame, comps: DataFrame, base: DataFram
         return comps
     texts = stored(_texts_of(base, _keys_of(step).join(classes, "v").select("v", F.col("rep").alias("doc_id"))), "texts")
     while not step.isEmpty():
-        links = stored(verify(step.filter("v is not null").select("v", "p"), texts), "verified").filter("linked")
-        edges = comps.select(F.col("v").alias("a"), F.col("root").alias("b")).unionAll(links.select("v", "p"))
+        links = stored(verify(step.filter("v is not null").select("v", "p"), texts), "verified")
+        edges = comps.select(F.col("v").alias("a"), F.col("root").alias("b")).unionAll(links.filter("linked").select("v", "p"))
         comps = stored(components(edges), "components")
-        rest, k = step.filter("pairs is not null").select("to", "pairs"), 16 * k
+        discard(links)
+        rest, k, last = step.filter("pairs is not null").select("to", "pairs"), 16 * k, step
         if rest.isEmpty():
             break
         step = stored(closest(crossing(rest, None, comps, buckets), k, buckets), "chosen")
+        discard(last)
+    discard(step, texts)
     return comps
 
 
@@ -626,10 +732,21 @@ def _texts_of(base: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs that are the first of their component: those whose doc_id is its component_id. Rows without
-    words stay; so do those with a null id."""
-    found = near_duplicates(docs).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(stored(found, "dropped"), "doc_id", "left_anti").select(*docs.columns)
+    """One row of docs of each component, with the columns of docs: of its rows the one with the least doc_id, of
+    those with equal ids the one with the least hash of its text; a null id comes last. Of rows with equal id and text
+    one stays, whichever. Rows without words stay all."""
+    sets, groups = _classes(docs, "doc_id", "text")
+    of = sets.filter("v <> 0").join(groups.select("v", "root"), "v").select("root", F.coalesce("doc_id", F.lit(-(2**63))).alias("_id"), "t", F.struct(F.col("doc_id").isNull(), "doc_id", "t").alias("place"))
+    first = stored(of.groupBy("root").agg(F.min("place").alias("first"), F.count("*").alias("c")).filter("c > 1"), "first")
+    rows = of.join(first, "root")
+    dropped = stored(rows.filter("place <> first").select("_id", "t").distinct(), "dropped")
+    twins = stored(rows.filter("place = first").groupBy("_id", "t").agg(F.count("*").alias("c")).filter("c > 1").select("_id", "t"), "twins")
+    names = [f"`{c}`" for c in docs.columns]
+    keyed = docs.select(F.struct(*names).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"))
+    kept = keyed.join(dropped, ["_id", "t"], "left_anti")
+    single = kept.join(twins, ["_id", "t"], "left_anti")
+    double = kept.join(twins, ["_id", "t"], "left_semi").withColumn("n", F.row_number().over(Window.partitionBy("_id", "t").orderBy("_id"))).filter("n = 1")
+    return single.select("row.*").unionAll(double.select("row.*"))
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from barloom.llm.common import stored
 from barloom.llm import components, decontaminate, fingerprint, jaccard, katz, licenses, mixing, pii, sentences, suffixes, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, v long, h long, id long, bucket int"
@@ -357,8 +358,9 @@ def test_signatures_never_miss():
             continue
         h = np.concatenate([np.sort(np.array(list(s), np.uint64)) for s in (a, b)])
         begin = np.array([0, len(a), len(a) + len(b)])
-        doc, sig = jaccard.signatures(h, begin)
-        assert set(sig[doc == 0].tolist()) & set(sig[doc == 1].tolist())
+        for doubled in (frozenset(), frozenset(jaccard.bands()[k + 1] - 1 for k in range(40)), frozenset(jaccard.bands()[k + 1] - 1 for k in range(0, 40, 2))):
+            doc, sig = jaccard.signatures(h, begin, doubled)
+            assert set(sig[doc == 0].tolist()) & set(sig[doc == 1].tolist())
         m = np.zeros(2, jaccard._MEMBER)
         m["size"], m["bits"] = [len(a), len(b)], jaccard.parity_bits(h, begin)
         assert jaccard.may_link(m[0], m[1:])[0]
@@ -420,6 +422,52 @@ def test_large_sets_that_link_to_one_base_only(spark):
     assert got == dict.fromkeys(range(len(rows)), 0)
 
 
+def test_template_family_makes_few_pairs(spark):
+    # 600 texts of 500 words share 300 of them: lists are long, no two texts link, and one pair does
+    rng = random.Random(23)
+    shared = [f"t{rng.randrange(10**6)}" for _ in range(300)]
+    rows = []
+    for v in range(600):
+        own = list(shared)
+        own[150:150] = [f"o{v}-{k}" for k in range(200)]
+        rows.append(" ".join(own))
+    rows[599] = rows[598].replace("o598-7 ", "x ")
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    base = df.select("doc_id", "text", F.xxhash64("text").alias("t"))
+    met = stored(jaccard._meet(jaccard._sets_and_postings(base, frozenset(), 4), 4), "hits")
+    assert met.filter("gid is not null").count() > 0  # lists over the limit
+    maps = met.filter("maps is not null").select("to", "keys", "maps")
+    none = spark.createDataFrame([], "v long, root long")
+    made = jaccard.strays(met.filter("gid is not null"), maps, none, 4).collect()
+    assert sum(len(r.pairs) for r in made) // jaccard._PAIR.itemsize < 600  # of 179700
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(df).collect()}
+    assert got == {i: min(i, 598) for i in range(600)}
+
+
+def test_tiles_let_all_strays_meet():
+    star = np.zeros(25, jaccard._PLACE)
+    star["tile"], star["key"], star["root"] = 5, np.arange(25), [0] * 12 + list(range(12, 25))
+    met = set()
+    for tile in jaccard.tiles(star, 4):
+        for a in tile:
+            for b in tile:
+                if a["root"] != b["root"] and (a["side"] != b["side"] or not tile["side"].any()):
+                    met.add((int(a["key"]), int(b["key"])))
+    assert met == {(a, b) for a in range(25) for b in range(25) if star["root"][a] != star["root"][b]}
+    assert jaccard.tiles(star[:12], 4) == []
+
+
+def test_one_of_each_goes_by_rows(spark):
+    words = {c: " ".join(f"{c}{i}" for i in range(30)) for c in "abtn"}
+    rows = [(1, words["a"], "p"), (5, words["a"] + " x", "q"), (5, words["b"], "r"), (7, words["t"], "s"), (7, words["t"], "u"), (None, words["n"], "v"), (None, words["n"], "w"), (8, "", "x"), (8, None, "y"), (None, words["a"], "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, t string")
+    got = jaccard.one_of_each(df)
+    assert got.columns == df.columns
+    kept = sorted(((r.doc_id, r.text) for r in got.collect()), key=str)
+    assert kept == sorted([(1, words["a"]), (5, words["b"]), (7, words["t"]), (None, words["n"]), (8, ""), (8, None)], key=str)
+    assert jaccard.one_of_each(df.limit(0)).count() == 0
+
+
 def test_link_through_a_null_id(spark):
     base = [f"w{i}" for i in range(104)]
     a, c = list(base), list(base)
