@@ -1,22 +1,26 @@
 """Personal data: fixed patterns, and a linear-chain conditional random field over word-shape features.
 
-The field is trained on the driver from a small labelled table and decoded by Viterbi in numpy batches. It finds what
-the patterns miss: card-like numbers that fail the checksum, phone numbers without a plus, addresses written out
-("kim at host dot org"), and quoted secrets.
+The field is trained on the driver from a small labelled table and decoded by Viterbi in numpy batches, each text as one
+chain from its first word to its last. A stretch of words with the same features is one step, by a power of its matrix
+in max-plus algebra, so common prose costs little and the result is that of word-by-word decoding. The field finds what
+the patterns miss: card-like numbers that fail the checksum, phone numbers without a plus, addresses written out ("kim
+at host dot org"), and quoted secrets.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.common import SLICE_BYTES, slices, table
+from barloom.llm.common import SLICE_BYTES, slices, table, words
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -112,33 +116,47 @@ def labelled_table(copies: int = 10, seed: int = 3) -> list[list[tuple[str, str]
     return out
 
 
+_TAIL = ".,;:!?&%$#*|"
+_SPECIAL = re.compile("[0-9@=:]")
+#: What the features of a word are made of: shape, itself if it is a word of CONTEXT, digits (20 at most), @ in it,
+#: four numbers with dots. PLAIN: any other word; EDGES: what stands before the first and after the last word.
+PLAIN, EDGES = ("w", None, 0, False, False), (("<", None, 0, False, False), (">", None, 0, False, False))
+
+
 def shape(word: str) -> str:
-    """d1..d20+ for runs of digits, x for runs of hex letters and digits of 20 or more, a for letters, else itself."""
-    core = word.rstrip(".,;:!?&%$#*|")
+    """d1..d20+ for runs of digits, a for letters, "quoted" for a long quoted key, else itself."""
+    core = word.rstrip(_TAIL)
     if re.fullmatch(r"[\"'][0-9A-Za-z_+/=-]{16,}[\"']", core):
         return "quoted"
-    out = re.sub("[0-9]+", lambda m: f"d{min(len(m[0]), 20)}", re.sub(r"[^\W\d_]+", "a", core))
-    return out[:24]
+    return re.sub("[0-9]+", lambda m: f"d{min(len(m[0]), 20)}", re.sub(r"[^\W\d_]+", "a", core))
+
+
+def attributes(word: str) -> tuple:
+    low = word.lower().rstrip(_TAIL) or word[:1]
+    special, known = _SPECIAL.search(word), low if low in CONTEXT else None
+    if not special:
+        return PLAIN if known is None else ("w", known, 0, False, False)
+    return shape(word), known, min(sum(ch.isdigit() for ch in word), 20), "@" in word, bool(re.fullmatch(r"\d+(\.\d+){3}\W*", word))
+
+
+def features_at(before: tuple, own: tuple, after: tuple) -> list[str]:
+    """The features of a word from its attributes and its neighbours'."""
+    if before == own == after == PLAIN:
+        return ["plain"]
+    less = lambda x: re.sub(r"d[0-9]+", "d", x)
+    s, coarse = own[0], less(own[0])
+    f = [f"s{s}", f"c{coarse}", f"b{less(before[0])}", f"a{less(after[0])}", f"n{own[2]}", f"c{coarse}|a{after[0]}", f"c{coarse}|b{before[0]}"]
+    f += [f"={own[1]}"] if own[1] else []
+    f += [f"p{before[1]}"] if before[1] else []
+    f += [f"q{after[1]}"] if after[1] else []
+    f += ["@"] if own[3] else []
+    f += ["4dots"] if own[4] else []
+    return f
 
 
 def features(window: list[str]) -> list[list[str]]:
-    shapes = [shape(w) if re.search("[0-9@=:]", w) else "w" for w in window]
-    lows = [w.lower().rstrip(".,;:!?&%$#*|") or w[:1] for w in window]
-    out = []
-    for i, s in enumerate(shapes):
-        before, after = shapes[i - 1] if i else "<", shapes[i + 1] if i + 1 < len(shapes) else ">"
-        if s == "w" and before == after == "w" and lows[i] not in CONTEXT and not any(x in CONTEXT for x in lows[max(0, i - 1) : i + 2]):
-            out.append(["plain"])
-            continue
-        coarse = re.sub(r"d\d+", "d", s)
-        f = [f"s{s}", f"c{coarse}", f"b{re.sub(r'd[0-9]+', 'd', before)}", f"a{re.sub(r'd[0-9]+', 'd', after)}", f"n{min(sum(ch.isdigit() for ch in window[i]), 20)}", f"c{coarse}|a{after}", f"c{coarse}|b{before}"]
-        f += [f"={lows[i]}"] if lows[i] in CONTEXT else []
-        f += [f"p{lows[i - 1]}"] if i and lows[i - 1] in CONTEXT else []
-        f += [f"q{lows[i + 1]}"] if i + 1 < len(lows) and lows[i + 1] in CONTEXT else []
-        f += ["@"] if "@" in window[i] else []
-        f += ["4dots"] if re.fullmatch(r"\d+(\.\d+){3}\W*", window[i]) else []
-        out.append(f)
-    return out
+    chain = [EDGES[0], *map(attributes, window), EDGES[1]]
+    return [features_at(*chain[i : i + 3]) for i in range(len(window))]
 
 
 class Field:
@@ -162,27 +180,109 @@ class Field:
                 out[a, b, : len(known)] = known
         return out, np.array([len(x) for x in windows])
 
+    def emission(self, fs: list[str]) -> np.ndarray:
+        return self.emit[[self.names[f] for f in fs if f in self.names]].sum(0)
+
     def viterbi(self, windows: list[list[list[str]]]) -> list[np.ndarray]:
-        """The best labels of each window, all windows at once."""
-        if not windows:
-            return []
-        ids, length = self.ids(windows)
-        score = self.scores(ids)
-        n, longest, k = score.shape
-        best, back = score[:, 0], np.zeros((n, longest, k), np.int8)
-        ends = [best.copy()]
-        for t in range(1, longest):
-            total = best[:, :, None] + self.move[None]
-            back[:, t] = total.argmax(1)
-            best = total.max(1) + score[:, t]
-            ends.append(best.copy())
-        out = []
-        for a in range(n):
-            path = np.zeros(length[a], np.int64)
-            path[-1] = ends[length[a] - 1][a].argmax()
-            for t in range(length[a] - 1, 0, -1):
-                path[t - 1] = back[a, t, path[t]]
-            out.append(path)
+        """The best labels of each window of features."""
+        score = [np.array([self.emission(fs) for fs in w]).reshape(-1, len(LABELS)) for w in windows]
+        kinds, of = np.unique(np.concatenate(score), axis=0, return_inverse=True) if windows else (np.zeros((0, len(LABELS))), np.zeros(0, np.int64))
+        begin = np.cumsum([0, *map(len, windows)])
+        paths = [np.zeros(len(w), np.int64) for w in windows]
+        for i, at, label in zip(*Chains(self.move).decode(of.reshape(-1), begin, kinds)):
+            paths[i][at] = label
+        return paths
+
+
+class Chains:
+    """Viterbi over chains of words, stretch by stretch. A stretch is a run of words with the same emission."""
+
+    def __init__(self, move: np.ndarray):
+        self.move = move
+        self.powers: dict[tuple[int, int], tuple[np.ndarray, float]] = {}
+
+    def power(self, kind: int, n: int) -> tuple[np.ndarray, float]:
+        """The best scores of n words of this kind, from each label before them to each label of the last one; and the
+        score of those words if all labels are 0."""
+        found = self.powers.get((kind, n))
+        if found is None:
+            if n == 1:
+                a = self.move + self.kinds[kind][None]
+                found = (a, float(a[0, 0]))
+            else:
+                (a, x), (b, y) = self.power(kind, n // 2), self.power(kind, n - n // 2)
+                found = ((a[:, :, None] + b[None]).max(1), x + y)
+            self.powers[kind, n] = found
+        return found
+
+    def inside(self, kind: int, n: int, before: int, last: int) -> list[int]:
+        """The best labels of a stretch, from the label before it to its last one."""
+        a, zeros = self.power(kind, n)
+        if n == 1 or (before == last == 0 and a[0, 0] <= zeros + 1e-9):
+            return [0] * (n - 1) + [last]
+        half = n // 2
+        middle = int((self.power(kind, half)[0][before] + self.power(kind, n - half)[0][:, last]).argmax())
+        return self.inside(kind, half, before, middle) + self.inside(kind, n - half, middle, last)
+
+    def decode(self, of: np.ndarray, begin: np.ndarray, kinds: np.ndarray) -> tuple[list[int], list[int], list[int]]:
+        """(chain, word of the chain, label) wherever the best label is not 0, in order. of: the number of each word's
+        emission among kinds; begin: where each chain begins (one more than chains)."""
+        self.kinds, n_words = kinds, np.diff(begin)
+        if not len(of):
+            return [], [], []
+        if len(self.powers) > 100_000:  # what is kept is bounded; kinds keep their numbers
+            self.powers = {}
+        new = np.ones(len(of), bool)
+        new[1:] = of[1:] != of[:-1]
+        new[begin[:-1][n_words > 0]] = True
+        new[begin[:-1][n_words > 1] + 1] = True  # the first word has no label before it
+        at = np.flatnonzero(new)
+        size, kind = np.diff(np.append(at, len(of))), of[at]
+        steps = np.searchsorted(at, begin)
+        n_steps = np.diff(steps)
+        pair, which = np.unique(kind * (1 << 40) + size, return_inverse=True)
+        found = [self.power(int(p >> 40), int(p & ((1 << 40) - 1))) for p in pair.tolist()]
+        matrix = np.stack([m for m, _ in found])
+        trivial = np.array([m[0, 0] <= z + 1e-9 for m, z in found])
+        label = np.zeros(len(at), np.int64)
+        chains = np.argsort(-n_steps, kind="stable")
+        for first in range(0, len(chains), 512):  # chains with about as many steps
+            some = chains[first : first + 512]
+            some = some[n_steps[some] > 0]
+            if not len(some):
+                break
+            best = kinds[kind[steps[some]]]
+            longest = int(n_steps[some[0]])
+            back = np.zeros((longest, len(some), len(LABELS)), np.int8)
+            live = len(some)
+            ends = np.zeros((len(some), len(LABELS)))
+            for t in range(1, longest + 1):
+                more = int(np.searchsorted(-n_steps[some], -t))  # chains with over t steps
+                ends[more:live] = best[more:live]
+                live, best = more, best[:more]
+                if not live:
+                    break
+                total = best[:, :, None] + matrix[which[steps[some[:live]] + t]]
+                back[t, :live] = total.argmax(1)
+                best = total.max(1)
+            path = ends.argmax(1)
+            for t in range(longest - 1, -1, -1):
+                live = int(np.searchsorted(-n_steps[some], -t))
+                label[steps[some[:live]] + t] = path[:live]
+                path[:live] = back[t, np.arange(live), path[:live]]
+        out: tuple[list[int], list[int], list[int]] = [], [], []
+        before = np.zeros(len(at), np.int64)
+        before[1:] = label[:-1]
+        start = np.zeros(len(at), bool)
+        start[steps[:-1][n_steps > 0]] = True
+        for s in np.flatnonzero((label > 0) | (before > 0) & ~start & (size > 1) | ~trivial[which] & (size > 1)).tolist():
+            chain = int(np.searchsorted(begin, at[s], side="right")) - 1
+            labels = [int(label[s])] if size[s] == 1 else self.inside(int(kind[s]), int(size[s]), int(before[s]), int(label[s]))
+            for k, x in enumerate(labels):
+                if x:
+                    out[0].append(chain)
+                    out[1].append(int(at[s] - begin[chain]) + k)
+                    out[2].append(x)
         return out
 
 
@@ -191,6 +291,28 @@ def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
     return (top + np.log(np.exp(x - top).sum(axis, keepdims=True))).squeeze(axis)
 
 
+def expectations(field: Field, ids: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By forward-backward: the log of each window's sum over all paths, and how often each feature and label, and each
+    two labels in a row, are expected over all windows."""
+    longest, k = ids.shape[1], len(LABELS)
+    score = field.scores(ids)
+    ahead, behind = np.zeros_like(score), np.zeros_like(score)
+    ahead[:, 0] = score[:, 0]
+    for t in range(1, longest):
+        ahead[:, t] = np.where(mask[:, t, None], _logsum(ahead[:, t - 1, :, None] + field.move[None], 1) + score[:, t], ahead[:, t - 1])
+    for t in range(longest - 2, -1, -1):
+        behind[:, t] = np.where(mask[:, t + 1, None], _logsum(field.move[None] + (score[:, t + 1] + behind[:, t + 1])[:, None, :], 2), 0)
+    z = _logsum(ahead[:, -1], 1)
+    p = np.exp(ahead + behind - z[:, None, None]) * mask[:, :, None]
+    got = np.zeros_like(field.emit)
+    np.add.at(got, ids[mask], p[mask][:, None, :])
+    moved = np.zeros((k, k))
+    for t in range(1, longest):
+        w = ahead[:, t - 1, :, None] + field.move[None] + (score[:, t] + behind[:, t])[:, None, :] - z[:, None, None]
+        moved += (np.exp(w) * mask[:, t, None, None]).sum(0)
+    return z, got, moved
+
+
 def train(sentences: list[list[tuple[str, str]]], rounds: int = 120, penalty: float = 0.02) -> Field:
     """Maximum conditional likelihood by forward-backward and Adam, all sentences at once."""
     windows = [features([w for w, _ in s]) for s in sentences]
@@ -214,21 +336,7 @@ def train(sentences: list[list[tuple[str, str]]], rounds: int = 120, penalty: fl
     both = mask[:, 1:]
     np.add.at(gold_move, (gold[:, :-1][both], gold[:, 1:][both]), 1.0)
     for step in range(1, rounds + 1):
-        score = field.scores(ids)
-        ahead, behind = np.zeros_like(score), np.zeros_like(score)
-        ahead[:, 0] = score[:, 0]
-        for t in range(1, longest):
-            ahead[:, t] = np.where(mask[:, t, None], _logsum(ahead[:, t - 1, :, None] + field.move[None], 1) + score[:, t], ahead[:, t - 1])
-        for t in range(longest - 2, -1, -1):
-            behind[:, t] = np.where(mask[:, t + 1, None], _logsum(field.move[None] + (score[:, t + 1] + behind[:, t + 1])[:, None, :], 2), 0)
-        z = _logsum(ahead[:, -1], 1)
-        p = np.exp(ahead + behind - z[:, None, None]) * mask[:, :, None]
-        got = np.zeros_like(field.emit)
-        np.add.at(got, ids[mask], p[mask][:, None, :])
-        moved = np.zeros((k, k))
-        for t in range(1, longest):
-            w = ahead[:, t - 1, :, None] + field.move[None] + (score[:, t] + behind[:, t])[:, None, :] - z[:, None, None]
-            moved += (np.exp(w) * mask[:, t, None, None]).sum(0)
+        _, got, moved = expectations(field, ids, mask)
         for x, g, m in ((field.emit, (gold_emit - got) / n, moments[0]), (field.move, (gold_move - moved) / n, moments[1])):
             g = g - penalty / 10 * x
             m[0] = 0.9 * m[0] + 0.1 * g
@@ -278,55 +386,77 @@ _TRIM = {0: r"[A-Za-z0-9].*[A-Za-z0-9]", 1: r"[0-9].*[0-9]", 2: r"[0-9].*[0-9]",
 #: What a span of the field must have to count.
 _VALID = (re.compile(r"@.*\.|\bat\b.*\bdot\b"), re.compile(r"^\d{1,3}(\.\d{1,3}){3}$"), re.compile(r"^(\D?\d){12,19}$"), re.compile(r"^(\D*\d){7,15}\D*$"), re.compile(r"^\S{16,}$"))
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_MARK = re.compile("[0-9@=]| at ")
-
-
-def added_spans(texts: list[str], field: Field) -> list[list[tuple[int, int, int]]]:
-    """For each text the field's spans, as base_spans gives them.
-
-    The field is decoded on the runs of words within four words of a mark (a digit, @, = or the word "at"); all other
-    words are outside by definition, so most texts need no decoding."""
-    windows, where = [], []
-    for i, text in enumerate(texts):
-        if not _MARK.search(text):
-            continue
-        found = list(_WORD.finditer(text))
-        near = np.zeros(len(found) + 8, bool)
-        for j, m in enumerate(found):
-            w = m[0]
-            if w == "at" or _MARK.search(w):
-                near[j : j + 9] = True  # shifted by four: four words on each side
-        at = np.flatnonzero(near[4 : 4 + len(found)])
-        for run in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1) if len(at) else []:
-            for k in range(0, len(run), 400):  # a very long run is decoded in overlapping pieces
-                piece = [found[j] for j in run[max(0, k - 8) : k + 408]]
-                windows.append(features([m[0] for m in piece]))
-                where.append((i, piece))
-    out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    for begin in range(0, len(windows), 2000):
-        for path, (i, piece) in zip(field.viterbi(windows[begin : begin + 2000]), where[begin : begin + 2000]):
-            t = 0
-            while t < len(path):
-                if path[t] == 0:
-                    t += 1
-                    continue
-                kind, a = (path[t] - 1) // 2, t
-                t += 1
-                while t < len(path) and path[t] == 2 * kind + 2:
-                    t += 1
-                text = texts[i][piece[a].start() : piece[t - 1].end()]
-                m = re.search(_TRIM[kind], text, re.S)
+
+
+class Decoder:
+    """The field over whole texts. Emissions are kept by the attributes of a word and its neighbours."""
+
+    def __init__(self, field: Field):
+        self.field, self.chains = field, Chains(field.move)
+        self.attribute: dict[tuple, int] = {PLAIN: 0, EDGES[0]: 1, EDGES[1]: 2}
+        self.tuples = [PLAIN, *EDGES]
+        self.emission: dict[tuple[int, int, int], int] = {(0, 0, 0): 0}
+        self.kinds = [field.emission(features_at(PLAIN, PLAIN, PLAIN))]
+
+    def _attribute(self, word: str) -> int:
+        x = attributes(word)
+        if x not in self.attribute:
+            self.attribute[x] = len(self.tuples)
+            self.tuples.append(x)
+        return self.attribute[x]
+
+    def labels(self, texts: pa.Array) -> tuple[list[int], list[int], list[int]]:
+        """(text, word, label) of all words whose label is not 0."""
+        code, distinct, begin = words(texts)
+        if not len(code):
+            return [], [], []
+        if len(self.kinds) > 200_000:  # what is kept is bounded
+            self.__init__(self.field)
+        own = np.array([self._attribute(w) for w in distinct], np.int64)[code]
+        before, after = np.concatenate([[0], own[:-1]]), np.concatenate([own[1:], [0]])
+        full = np.diff(begin) > 0
+        before[begin[:-1][full]], after[begin[1:][full] - 1] = 1, 2
+        of = np.zeros(len(own), np.int64)
+        special = np.flatnonzero(before | own | after)
+        if len(special):
+            triple, which = np.unique(np.stack([before[special], own[special], after[special]], 1), axis=0, return_inverse=True)
+            number = np.zeros(len(triple), np.int64)
+            for i, x in enumerate(map(tuple, triple.tolist())):
+                if x not in self.emission:
+                    self.emission[x] = len(self.kinds)
+                    self.kinds.append(self.field.emission(features_at(*(self.tuples[y] for y in x))))
+                number[i] = self.emission[x]
+            of[special] = number[which.reshape(-1)]
+        return self.chains.decode(of, begin, np.stack(self.kinds))
+
+    def added_spans(self, texts: list[str]) -> list[list[tuple[int, int, int]]]:
+        """For each text the field's spans, as base_spans gives them. A span is trimmed to letters and digits, and
+        counts if it has what its kind must have (_VALID)."""
+        runs: dict[int, list[list[int]]] = {}
+        for i, at, label in zip(*self.labels(pa.array(texts, pa.string()))):
+            kind, own = (label - 1) // 2, runs.setdefault(i, [])
+            if own and label == 2 * kind + 2 and own[-1][0] == kind and own[-1][2] == at - 1:
+                own[-1][2] = at
+            else:
+                own.append([kind, at, at])
+        out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+        for i, own in runs.items():
+            places = [m.span() for m in _WORD.finditer(texts[i])]
+            for kind, first, last in own:
+                a, b = places[first][0], places[last][1]
+                m = re.search(_TRIM[kind], texts[i][a:b], re.S)
                 if m and _VALID[kind].search(m[0]):
-                    out[i].append((piece[a].start() + m.start(), int(kind), piece[a].start() + m.end()))
-    return [sorted(set(x)) for x in out]
+                    out[i].append((a + m.start(), kind, a + m.end()))
+        return [sorted(set(x)) for x in out]
 
 
 def all_spans(base: list[tuple[int, int, int]], added: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """The base spans, and the added ones that overlap neither them nor an earlier added one."""
-    taken, out = sorted((a, b) for a, _, b in base), list(base)
-    last = -1
+    """The base spans, and the added ones (sorted) that overlap neither them nor an earlier added one."""
+    starts, ends = [a for a, _, _ in base], list(accumulate((b for _, _, b in base), max))
+    out, last = list(base), -1
     for a, k, b in added:
-        if a >= last and not any(x < b and a < y for x, y in taken):
+        i = bisect_left(starts, b)
+        if a >= last and not (i and ends[i - 1] > a):
             out.append((a, k, b))
             last = b
     return sorted(out)
@@ -343,17 +473,18 @@ def trained() -> Field:
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_email, n_ip, n_card, n_phone, base_sha256, spans) for every row of docs.
 
-    The counts and base_sha256 are of the fixed patterns; spans also has the field's, kind:start:end in code points,
+    Whole texts are read, of any length, each as one chain. The counts and base_sha256 are of the fixed patterns; spans also has the field's, kind:start:end in code points,
     by start, then kind. A null text counts as empty; rows that repeat give repeated rows; other columns are not
     looked at.
     """
     field = trained()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoder = Decoder(field)
         for part in slices(batches):
             texts = [x or "" for x in part["text"].to_pylist()]
             base = [base_spans(x) for x in texts]
-            added = added_spans(texts, field)
+            added = decoder.added_spans(texts)
             count = lambda k: pa.array([sum(s[1] == k for s in x) for x in base], pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [part["id"], count(0), count(1), count(2), count(3), pa.array([hashlib.sha256(joined(x).encode()).hexdigest() for x in base], pa.string()), pa.array([joined(all_spans(x, y)) for x, y in zip(base, added)], pa.string())],
@@ -372,6 +503,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     def run(texts):
         import pandas as pd
 
+        decoder = Decoder(field)
         out, values = [], [x if isinstance(x, str) else None for x in texts]
         size = 0
         group: list[str | None] = []
@@ -380,7 +512,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
             group.append(x)
             if size > SLICE_BYTES or len(out) + len(group) == len(values) + 1:
                 plain = [y or "" for y in group]
-                for y, own, more in zip(group, map(base_spans, plain), added_spans(plain, field)):
+                for y, own, more in zip(group, map(base_spans, plain), decoder.added_spans(plain)):
                     if y is not None:
                         pieces, at = [], 0
                         for a, k, b in all_spans(own, more):

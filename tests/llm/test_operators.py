@@ -116,14 +116,78 @@ def test_base_patterns_match_brute_force():
         assert pii.base_spans(x) == brute_spans(x), x
 
 
-def test_field_on_unseen_examples():
-    field = pii.trained()
-    held_out = pii.labelled_table(3, seed=77)
+def test_field_on_lines_held_out(monkeypatch):
+    every = pii.LABELLED.strip().splitlines()
     right = total = 0
-    for sentence, path in zip(held_out, field.viterbi([pii.features([w for w, _ in s]) for s in held_out])):
-        right += sum(pii.LABELS[a] == b for a, (_, b) in zip(path, sentence))
-        total += len(sentence)
-    assert right / total > 0.98
+    for k in (0, 4):  # whole lines of the table that training does not see
+        own = every[k::7]
+        monkeypatch.setattr(pii, "LABELLED", "\n".join(x for x in every if x not in own))
+        field = pii.trained()
+        monkeypatch.setattr(pii, "LABELLED", "\n".join(own))
+        held_out = pii.labelled_table(5, seed=77)
+        for sentence, path in zip(held_out, field.viterbi([pii.features([w for w, _ in s]) for s in held_out])):
+            right += sum(pii.LABELS[a] == b for a, (_, b) in zip(path, sentence))
+            total += len(sentence)
+    assert right / total > 0.95
+
+
+def test_viterbi_matches_brute_force():
+    rng = np.random.default_rng(4)
+    k = len(pii.LABELS)
+    for n in (1, 2, 3, 4):
+        field = pii.Field({f"f{i}": i for i in range(4)})
+        field.emit[:-1], field.move = rng.normal(size=(4, k)), rng.normal(size=(k, k))
+        for _ in range(10):
+            window = [[f"f{x}"] for x in rng.integers(0, 2, n)]
+            score = np.stack([field.emission(f) for f in window])
+            paths = np.stack([x.ravel() for x in np.meshgrid(*[np.arange(k)] * n, indexing="ij")], 1)
+            value = score[np.arange(n), paths].sum(1) + field.move[paths[:, :-1], paths[:, 1:]].sum(1)
+            assert field.viterbi([window])[0].tolist() == paths[value.argmax()].tolist()
+    # stretches of thousands of words: as word by word
+    field.move = rng.normal(size=(k, k)) * 0.1
+    window = [["f0"]] * 5000 + [["f1"]] * 3 + [["f0"]] * 777 + [["f2"]]
+    score = np.stack([field.emission(f) for f in window])
+    best, back = score[0], []
+    for e in score[1:]:
+        total = best[:, None] + field.move
+        back.append(total.argmax(0))
+        best = total.max(0) + e
+    path = [int(best.argmax())]
+    for x in reversed(back):
+        path.append(int(x[path[-1]]))
+    got = field.viterbi([window, window[4990:], []])
+    value = lambda p: score[np.arange(len(p)), p].sum() + field.move[p[:-1], p[1:]].sum()
+    assert math.isclose(value(got[0]), value(np.array(path[::-1])), rel_tol=1e-12) and len(got[2]) == 0
+
+
+def test_expectations_are_the_gradient():
+    rng = np.random.default_rng(1)
+    windows = [pii.features([w for w, _ in s]) for s in pii.labelled_table(1)[:12]]
+    field = pii.Field({f: i for i, f in enumerate(dict.fromkeys(f for w in windows for fs in w for f in fs))})
+    field.emit[:-1], field.move = rng.normal(size=field.emit[:-1].shape), rng.normal(size=field.move.shape)
+    ids, length = field.ids(windows)
+    mask = np.arange(ids.shape[1])[None] < length[:, None]
+    _, got, moved = pii.expectations(field, ids, mask)
+    for values, slope in ((field.emit, got), (field.move, moved)):
+        for _ in range(12):
+            i = rng.integers(len(values) - 1), rng.integers(len(pii.LABELS))
+            total = []
+            for step in (1e-5, -2e-5):
+                values[i] += step
+                total.append(pii.expectations(field, ids, mask)[0].sum())
+            values[i] += 1e-5
+            assert math.isclose((total[0] - total[1]) / 2e-5, slope[i], rel_tol=1e-4, abs_tol=1e-6)
+
+
+def test_pii_of_long_texts_is_as_of_short_ones():
+    decoder = pii.Decoder(pii.trained())
+    short = "please call (555) 123-4567 today or write to kim at host dot org , thanks"
+    filler = "the of and river stone glass " * 3000
+    alone, inside = decoder.added_spans([short, filler + short + " " + filler])
+    assert alone and inside == [(a + len(filler), k, b + len(filler)) for a, k, b in alone]
+    many = [(i * 10, 0, i * 10 + 5) for i in range(20000)]
+    assert len(pii.all_spans(many, [(a + 6, 1, a + 8) for a, _, _ in many] + [(10**6, 1, 10**6 + 3)])) == 40001
+    assert pii.all_spans([(0, 1, 50), (5, 3, 9)], [(20, 2, 30), (50, 2, 60)]) == [(0, 1, 50), (5, 3, 9), (50, 2, 60)]
 
 
 def test_pii_rows(spark, empty):
