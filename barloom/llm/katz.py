@@ -1,10 +1,12 @@
-"""Language-model scoring by Katz backoff over words.
+"""Language-model scoring by Katz backoff over words, of any order.
 
 Texts are coded in blocks. Each block asks the hash-partitioned count tables for the n-grams it holds, each once; the
-tables add up the training counts and answer. With the answers a block scores the pairs that training has seen
-(Good-Turing discounted), and sends what the others need, their backoff weights, to the partition of the history,
-which adds up the history's left-over mass and the lower-order mass of its followers, so that all weights are exactly
-normalised. A pair that training has not seen is the history's weight times the lower order's probability.
+tables add up the training counts and answer. With the answers a block knows the Good-Turing discounted probabilities of
+the n-grams that training has seen. An n-gram that it has not seen has the backoff weight of its history times the
+probability of the next lower order, and so on down to single words. The weights come from the histories' partitions:
+each distinct trained n-gram adds, once, what its history has lost by discounting and what the lower order gives to its
+word, so all weights are exactly normalised. A block asks for each weight once. A history that stands in one block alone
+is weighed there.
 """
 
 from __future__ import annotations
@@ -14,16 +16,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.common import hash64, mix64, partitions, slices, spread, stored, table, words
+from barloom.llm.common import BLOCK_BYTES, bucket_count, cuts, hash64, mix64, pack, slices, stored, table, table_of, unpack, words
 
+#: Words of an n-gram at most.
+ORDER = 3
 #: Counts above this are not discounted, but for TAIL of a count, so that every history has mass left.
 LARGEST, TAIL = 5, 0.01
-#: Bytes of text in a block, about.
-BLOCK_BYTES = 8 << 20
 _U = np.uint64
 _END, _START = _U(0x51ED270B27A4F3D1), _U(0x2545F4914F6CDD1D)
 
@@ -55,16 +56,6 @@ def pair_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mix64(before * _U(0x9E3779B97F4A7C15) + mix64(word))
 
 
-def _pack(x: np.ndarray) -> bytes:
-    return zstandard.compress(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes(), 3)
-
-
-def _unpack(raw: bytes, kind) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    plain = np.frombuffer(zstandard.decompress(raw), np.uint8)
-    return np.ascontiguousarray(plain.reshape(size, -1).T).view(kind).ravel()
-
-
 def code_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Texts as blocks: ids, held-out marks, where each text begins, the words' codes (0: the end), their hashes."""
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out_column(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
@@ -79,7 +70,7 @@ def code_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         def block() -> pa.RecordBatch:
             size = np.concatenate(sizes)
             valid = pa.array([x for part in ids for x in part], pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([valid], pa.list_(pa.int64())), pa.array([_pack(np.concatenate(held))], pa.binary()), pa.array([_pack(size.astype(np.int32))], pa.binary()), pa.array([_pack(np.concatenate(codes).astype(np.int32))], pa.binary()), pa.array([np.concatenate(hashes).tobytes()], pa.binary())], ["block", "doc_ids", "held", "sizes", "codes", "words"])
+            return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([valid], pa.list_(pa.int64())), pa.array([pack(np.concatenate(held))], pa.binary()), pa.array([pack(size.astype(np.int32))], pa.binary()), pa.array([pack(np.concatenate(codes).astype(np.int32))], pa.binary()), pa.array([np.concatenate(hashes).tobytes()], pa.binary())], ["block", "doc_ids", "held", "sizes", "codes", "words"])
 
         for part in slices(batches):
             code, distinct, begin = words(part["text"])
@@ -113,40 +104,44 @@ def code_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 class Block:
-    """The n-grams of one block: word codes, pairs as (before, word), and each distinct one once, by partition."""
+    """The n-grams of one block. For each order the distinct ones, their histories (of the order below; of single words
+    none) and suffixes (likewise), and the n-gram that ends at each word, -1 where the text has not yet so many."""
 
-    def __init__(self, row: dict, parts: int):
+    def __init__(self, row: dict, parts: int, order: int):
         self.ids = row["doc_ids"]
-        self.held = _unpack(row["held"], np.uint8).astype(bool)
-        size = _unpack(row["sizes"], np.int32).astype(np.int64)
-        self.code = _unpack(row["codes"], np.int32).astype(np.int64)
-        self.word = np.frombuffer(row["words"], _U)
+        self.held = unpack(row["held"], np.uint8)[0].astype(bool)
+        size = unpack(row["sizes"], np.int32)[0].astype(np.int64)
+        code = unpack(row["codes"], np.int32)[0].astype(np.int64)
+        word = np.frombuffer(row["words"], _U)
         self.doc = np.repeat(np.arange(len(size)), size)
-        before = np.empty_like(self.code)
-        before[1:] = self.code[:-1]
-        before[np.cumsum(size) - size] = len(self.word)  # the start
-        self.before = before
-        self.trained = ~self.held[self.doc]
-        pair = before * len(self.word) + self.code
-        distinct, self.pair_of = np.unique(pair, return_inverse=True)
-        self.pair_before, self.pair_word = distinct // len(self.word), distinct % len(self.word)
-        with_start = np.append(self.word, _START)
-        self.kinds = []
-        for key, index in ((mix64(self.word), self.code), (pair_keys(with_start[self.pair_before], self.word[self.pair_word]), self.pair_of)):
-            part = (key % _U(parts)).astype(np.int64)
-            order = np.lexsort((key, part))
-            count = np.bincount(index[self.trained], minlength=len(key)).astype(np.uint32)
-            self.kinds.append((key[order], part[order], count[order], order))
-        self.start_key = with_start
-
-
-def _cuts(part: np.ndarray) -> list[tuple[int, int]]:
-    c = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]]).tolist()
-    return [(a, b) for a, b in zip(c, c[1:]) if b > a]
+        trained = ~self.held[self.doc]
+        place = np.arange(len(code)) - np.repeat(np.cumsum(size) - size, size)
+        self.of, self.keys = [code], [np.append(mix64(word), mix64(np.array([_START])))]  # the start is a history only
+        self.history, self.suffix = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for n in range(2, order + 1):
+            before = np.full(len(code), -1)
+            before[1:] = self.of[-1][:-1]
+            before[place == 0] = len(word) if n == 2 else -1
+            at = np.flatnonzero(before >= 0)
+            gram, first, which = np.unique(before[at] * len(word) + code[at], return_index=True, return_inverse=True)
+            of = np.full(len(code), -1)
+            of[at] = which
+            self.history.append(gram // len(word))
+            self.suffix.append(self.of[-1][at[first]])
+            self.keys.append(pair_keys(self.keys[-1][gram // len(word)], word[gram % len(word)]))
+            self.of.append(of)
+        self.n = [len(word), *map(len, self.history[1:])]
+        self.count, self.part, self.order = [], [], []
+        for of, key, n in zip(self.of, self.keys, self.n):
+            self.count.append(np.bincount(of[trained & (of >= 0)], minlength=n))
+            part = (key[:n] % _U(parts)).astype(np.int64)
+            self.order.append(np.lexsort((key[:n], part)))
+            self.part.append(part[self.order[-1]])
 
 
 def _six(key: np.ndarray) -> bytes:
-    """The 48 high bits of each key (the partition tells more of it)."""
+    """The 48 high bits of each key. The partition tells log2(partitions) bits more: of a million n-grams in a
+    partition any two are the same with a probability of 0.2 %."""
     return np.ascontiguousarray(key).view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
 
 
@@ -156,170 +151,187 @@ def _from_six(raw: bytes) -> np.ndarray:
     return out.view(_U).ravel()
 
 
-def _ask(blocks: DataFrame, parts: int) -> DataFrame:
+_ASK = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+_TOLD = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("kind", pa.int32()), ("answer", pa.binary()), ("totals", pa.list_(pa.int64()))])
+#: Marks of an n-gram in an answer: this block is the first that has it in training; no other block has it at all.
+OWN, SOLE = 1, 2
+
+
+def _ask(blocks: DataFrame, parts: int, order: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                b = Block(row, parts)
-                out = [(int(part[x]), kind, row["block"], _six(key[x:y]), _pack(count[x:y])) for kind, (key, part, count, _) in enumerate(b.kinds) for x, y in _cuts(part)]
-                c = list(zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int32()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.binary()), pa.array(c[4], pa.binary())], ["part", "kind", "block", "keys", "counts"])
+                b = Block(row, parts, order)
+                for kind in range(order):
+                    o, part = b.order[kind], b.part[kind]
+                    key, count = b.keys[kind][o], b.count[kind][o].astype(np.uint32)
+                    yield from table_of([(int(part[x]), kind, row["block"], _six(key[x:y]), pack(count[x:y])) for x, y in cuts(part)], _ASK).to_batches()
 
     return blocks.mapInArrow(run, "part int, kind int, block long, keys binary, counts binary")
 
 
 def _answer(asked: DataFrame) -> DataFrame:
-    """For each asking block the training counts of its n-grams, with a mark at the one block that owns each; and for
-    each partition the number, the sum and the counts of counts."""
+    """For each asking block the training counts and marks of its n-grams; and for each partition and order the number,
+    the sum and the counts of counts."""
 
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("kind", "ascending"), ("block", "ascending")])
-        part = rows["part"][0].as_py()
-        kinds, block = rows["kind"].to_pylist(), rows["block"].to_pylist()
+        part, kinds, block = rows["part"][0].as_py(), rows["kind"].to_numpy(), rows["block"].to_pylist()
         keys, counts = rows["keys"].to_pylist(), rows["counts"].to_pylist()
         out = []
-        for kind in (0, 1):
-            mine = [i for i, k in enumerate(kinds) if k == kind]
-            if not mine:
-                continue
+        for first, end in cuts(kinds):
+            kind, mine = int(kinds[first]), range(first, end)
             key = np.concatenate([_from_six(keys[i]) for i in mine])
-            count = np.concatenate([_unpack(counts[i], np.uint32) for i in mine]).astype(np.int64)
+            count = np.concatenate([unpack(counts[i], np.uint32)[0] for i in mine]).astype(np.int64)
             order = np.argsort(key, kind="stable")
             new = np.ones(len(key), bool)
             new[1:] = key[order][1:] != key[order][:-1]
-            group = np.cumsum(new) - 1
+            group, begin = np.cumsum(new) - 1, np.flatnonzero(new)
             total = np.bincount(group, count[order]).astype(np.int64)
-            answer = np.empty(len(key), np.uint32)
+            answer, mark = np.empty(len(key), np.uint32), np.zeros(len(key), np.uint8)
             answer[order] = total[group]
-            # the owner: the first block that has the n-gram in training
-            has = np.where(count[order] > 0, np.arange(len(key)), len(key))
-            first = np.minimum.reduceat(has, np.flatnonzero(new))
-            own = np.zeros(len(key), bool)
-            own[order[first[first < len(key)]]] = True
+            has = np.minimum.reduceat(np.where(count[order] > 0, np.arange(len(key)), len(key)), begin)
+            mark[order[has[has < len(key)]]] = OWN
+            mark[order[begin[np.diff(np.append(begin, len(key))) == 1]]] |= SOLE
             at = 0
             for i in mine:
                 n = len(keys[i]) // 6
-                out.append((block[i], part, kind, _pack(answer[at : at + n]), _pack(own[at : at + n].astype(np.uint8)), None))
+                out.append((block[i], part, kind, pack(answer[at : at + n], mark[at : at + n]), None))
                 at += n
             seen = total[total > 0]
-            out.append((None, part, kind, None, None, [len(seen), int(seen.sum()), *np.bincount(np.minimum(seen, LARGEST + 2), minlength=LARGEST + 3)[1 : LARGEST + 2].tolist()]))
-        c = list(zip(*out))
-        return pa.Table.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.binary()), pa.array(c[4], pa.binary()), pa.array(c[5], pa.list_(pa.int64()))], ["block", "part", "kind", "answer", "own", "totals"])
+            out.append((None, part, kind, None, [len(seen), int(seen.sum()), *np.bincount(np.minimum(seen, LARGEST + 2), minlength=LARGEST + 3)[1 : LARGEST + 2].tolist()]))
+        return table_of(out, _TOLD)
+
+    return asked.groupBy("part").applyInArrow(run, "block long, part int, kind int, answer binary, totals array<long>")
 
-    return asked.groupBy("part").applyInArrow(run, "block long, part int, kind int, answer binary, own binary, totals array<long>")
 
+#: What a block sends: contributions to weights (lost, lower) and wishes for weights, both by the keys of histories; and
+#: to itself its rows and what they lack: (document, number of the wish).
+_SENT = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("at", pa.int32()), ("keys", pa.binary()), ("lost", pa.binary()), ("rows", pa.binary()), ("lacks", pa.binary())])
+_WEIGHT = pa.schema([("block", pa.int64()), ("at", pa.int32()), ("weights", pa.binary()), ("rows", pa.binary()), ("lacks", pa.binary())])
+_OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of docs.
 
     Tokens: words (A-Z in lower case), then one end; a null text has the end alone. Documents that are not held out
-    train the model: a bigram model with Good-Turing discounts that backs off to discounted unigrams; all words that
-    training lacks share what the unigrams leave. score: log10 probability of the text; base_score: that of unigrams
-    with half a count added. Rows with equal ids are rows of their own; without training rows every token is unknown.
+    train the model: n-grams of up to order words with Good-Turing discounts that back off to one word less; all words
+    that training lacks share what the single words leave. A text's first word follows its start. score: log10
+    probability of the text; base_score: that of single words with half a count added. Rows with equal ids are rows of
+    their own; without training rows every token is unknown; no rows give none. Other columns are not looked at.
     """
-    spark = docs.sparkSession
-    parts = 2 * partitions(spark)
+    if order < 1:
+        raise ValueError("order must be at least 1")
+    parts = 2 * bucket_count(docs, text_col)
     blocks = stored(code_blocks(docs, id_col, text_col), "blocks")
-    answers = stored(_answer(_ask(blocks, parts)), "counts")
-    totals = {0: np.zeros(LARGEST + 3, np.int64), 1: np.zeros(LARGEST + 3, np.int64)}
+    answers = stored(_answer(_ask(blocks, parts, order)), "counts")
+    totals = np.zeros((order, LARGEST + 3), np.int64)
     for r in answers.filter("totals is not null").groupBy("kind").agg(*[F.sum(F.col("totals")[i]).alias(f"t{i}") for i in range(LARGEST + 3)]).collect():
         totals[r["kind"]] = np.array(r[1:], np.int64)
     n_words, n_tokens = int(totals[0][0]), int(totals[0][1])
-    d1, d2 = discounts(totals[0][2:]), discounts(totals[1][2:])
+    d = [discounts(t[2:]) for t in totals]
     base_log = lambda c: np.log10((c + 0.5) / (n_tokens + 0.5 * (n_words + 1)))
-    lost = float(((1 - d1[1 : LARGEST + 1]) * np.arange(1, LARGEST + 1) * totals[0][2 : LARGEST + 2]).sum() + TAIL * (n_words - totals[0][2 : LARGEST + 2].sum()))
-    unknown = lost / n_tokens if n_tokens else 1.0
+    known = totals[0][2 : LARGEST + 2]
+    lost_words = float(((1 - d[0][1 : LARGEST + 1]) * np.arange(1, LARGEST + 1) * known).sum() + TAIL * (n_words - known.sum()))
+    unknown = lost_words / n_tokens if n_tokens else 1.0
     starts = docs.filter(~held_out_column(F.col(id_col))).count()
 
     def weigh(block_rows: pa.Table, answer_rows: pa.Table) -> pa.Table:
         row = block_rows.to_pylist()[0]
-        b = Block(row, parts)
+        b = Block(row, parts, order)
         given = answer_rows.sort_by([("kind", "ascending"), ("part", "ascending")])
-        counts, owns = [], []
-        for kind, (key, _, _, order) in enumerate(b.kinds):
-            mine = [i for i, k in enumerate(given["kind"].to_pylist()) if k == kind]
-            count, own = np.empty(len(key), np.int64), np.empty(len(key), bool)
-            count[order] = np.concatenate([_unpack(given["answer"][i].as_py(), np.uint32) for i in mine])
-            own[order] = np.concatenate([_unpack(given["own"][i].as_py(), np.uint8) for i in mine]).astype(bool)
-            counts.append(count)
-            owns.append(own)
-        c1, c2 = counts
-        p1 = np.where(c1 > 0, discounted(c1, d1) / max(n_tokens, 1), unknown)
-        history = np.append(c1, starts)[b.pair_before]
-        seen = c2 > 0
-        with np.errstate(divide="ignore", invalid="ignore"):
-            log_p = np.log10(np.where(seen, discounted(c2, d2) / np.maximum(history, 1), p1[b.pair_word]))
+        kinds, raw = given["kind"].to_numpy(), given["answer"].to_pylist()
+        count, marks = [], []
+        for kind in range(order):
+            c, m = (np.concatenate(x) for x in zip(*(unpack(raw[i], np.uint32, "u1") for i in np.flatnonzero(kinds == kind)))) if b.n[kind] else (np.zeros(0), np.zeros(0))
+            count.append(np.empty(b.n[kind], np.int64))
+            marks.append(np.empty(b.n[kind], np.uint8))
+            count[kind][b.order[kind]], marks[kind][b.order[kind]] = c, m
+        with_start = [np.append(count[0], starts), *count[1:]]
+        alone = [np.append(marks[0] & SOLE > 0, False), *(m & SOLE > 0 for m in marks[1:])]
+        p = [np.where(count[0] > 0, discounted(count[0], d[0]) / max(n_tokens, 1), unknown)]
+        out, wishes, found = [], [], []
+        for k in range(1, order):
+            c, h = count[k], b.history[k]
+            of_history = np.maximum(with_start[k - 1][h], 1)
+            p.append(discounted(c, d[k]) / of_history)
+            own = marks[k] & OWN > 0
+            n = len(with_start[k - 1])
+            lost = np.bincount(h[own], (c[own] - discounted(c[own], d[k])) / of_history[own], n)
+            lower = np.bincount(h[own], p[k - 1][b.suffix[k]][own], n)
+            adds = np.bincount(h[own], minlength=n) > 0
+            asks = np.zeros(n, bool)
+            asks[h[(c == 0) & (with_start[k - 1][h] > 0)]] = True
+            weight = np.zeros(n)
+            mine = adds & alone[k - 1]
+            weight[mine] = np.log10(np.maximum(lost[mine], 1e-300)) - np.log10(np.maximum(1 - lower[mine], 1e-12))
+            found.append(weight)
+            asks &= ~mine
+            adds &= ~mine
+            key = mix64(b.keys[k - 1] + _U(k))  # orders apart
+            for some, values in ((np.flatnonzero(adds), (lost, lower)), (np.flatnonzero(asks), None)):
+                part = (key[some] % _U(parts)).astype(np.int64)
+                o = np.argsort(part, kind="stable")
+                some, part = some[o], part[o]
+                begin = sum(map(len, wishes))
+                for x, y in cuts(part):
+                    i = some[x:y]
+                    out.append((int(part[x]), row["block"], None if values else begin + x, _six(key[i]), np.stack([v[i] for v in values]).tobytes() if values else None, None, None))
+                if values is None:
+                    wishes.append(some)
+        # down the orders: what training has not seen backs off
+        value, open_ = np.zeros(len(b.doc)), np.ones(len(b.doc), bool)
+        lacks = []
+        for k in range(order - 1, 0, -1):
+            at = np.flatnonzero(open_ & (b.of[k] >= 0))
+            gram = b.of[k][at]
+            seen = count[k][gram] > 0
+            value[at[seen]] += np.log10(p[k][gram[seen]])
+            open_[at[seen]] = False
+            at, h = at[~seen], b.history[k][gram[~seen]]
+            value[at] += found[k - 1][h]
+            number = np.full(len(with_start[k - 1]), -1)
+            number[wishes[k - 1]] = np.arange(len(wishes[k - 1])) + sum(map(len, wishes[: k - 1]))
+            wants = number[h] >= 0
+            lacks.append((b.doc[at[wants]], number[h[wants]]))
+        value[open_] += np.log10(p[0][b.of[0][open_]])
         n = len(b.ids)
-        value = np.bincount(b.doc, log_p[b.pair_of], n)
-        known = np.bincount(b.doc, c1[b.code] > 0, n).astype(np.int64)
-        basis = np.bincount(b.doc, base_log(c1)[b.code], n)
-        size = np.bincount(b.doc, minlength=n)
-        out = [(zlib.crc32(str(row["block"]).encode()) % parts, row["block"], None, None, None, None, None, [b.ids, b.held.tolist(), size.tolist(), known.tolist(), basis.tolist(), value.tolist()])]
-        # what the weights of histories are made of, from the pairs that this block owns
-        key_of = np.append(mix64(b.word), mix64(np.array([_START])))
-        own = owns[1]
-        left = np.bincount(b.pair_before[own], (c2[own] - discounted(c2[own], d2)) / history[own], len(key_of))
-        lower = np.bincount(b.pair_before[own], p1[b.pair_word[own]], len(key_of))
-        has = np.flatnonzero(np.bincount(b.pair_before[own], minlength=len(key_of)))
-        part = (key_of[has] % _U(parts)).astype(np.int64)
-        o = np.argsort(part, kind="stable")
-        has, part = has[o], part[o]
-        for x, y in _cuts(part):
-            i = has[x:y]
-            out.append((int(part[x]), row["block"], _six(key_of[i]), left[i].astype(np.float32).tobytes(), lower[i].astype(np.float32).tobytes(), None, None, None))
-        # and which documents need the weight of which history
-        lacks = ~seen[b.pair_of] & (history[b.pair_of] > 0)
-        who, need = b.doc[lacks], b.before[lacks]
-        part = (key_of[need] % _U(parts)).astype(np.int64)
-        o = np.lexsort((who, part))
-        who, need, part = who[o], need[o], part[o]
-        for x, y in _cuts(part):
-            out.append((int(part[x]), row["block"], _six(key_of[need[x:y]]), None, None, _pack(who[x:y].astype(np.uint32)), None, None))
-        c = list(zip(*out))
-        docs_of = pa.array([None if x is None else [dict(zip(("doc_id", "held", "size", "known", "basis", "value"), y)) for y in zip(*x)] for x in c[7]], _DOCS)
-        return pa.Table.from_arrays([pa.array(c[0], pa.int32()), pa.array(c[1], pa.int64()), *(pa.array(x, pa.binary()) for x in c[2:6]), docs_of], ["part", "block", "keys", "left", "lower", "who", "docs"])
-
-    sent = blocks.groupBy("block").cogroup(answers.filter("block is not null").groupBy("block")).applyInArrow(weigh, f"part int, block long, keys binary, left binary, lower binary, who binary, docs {_DOCS_SQL}")
+        rows = pack(np.bincount(b.doc, minlength=n), np.bincount(b.doc, count[0][b.of[0]] > 0, n).astype(np.int64), np.bincount(b.doc, base_log(count[0])[b.of[0]], n), np.bincount(b.doc, value, n), b.held.astype(np.uint8), np.array([i is not None for i in b.ids], np.uint8), np.array([i or 0 for i in b.ids], np.int64))
+        doc, wish = (np.concatenate(x) for x in zip(*lacks)) if lacks else (np.zeros(0), np.zeros(0))
+        out.append((zlib.crc32(str(row["block"]).encode()) % parts, row["block"], None, None, None, rows, pack(doc.astype(np.uint32), wish.astype(np.uint32))))
+        return table_of(out, _SENT)
+
+    sent = blocks.groupBy("block").cogroup(answers.filter("block is not null").drop("totals").groupBy("block")).applyInArrow(weigh, "part int, block long, at int, keys binary, lost binary, rows binary, lacks binary")
 
     def back_off(rows: pa.Table) -> pa.Table:
-        out = []
-        keys, left, lower, who, docs_of, block = (rows[c].to_pylist() for c in ("keys", "left", "lower", "who", "docs", "block"))
-        made = [i for i in range(len(keys)) if left[i] is not None]
+        block, at, keys, lost, own, lacks = (rows[c].to_pylist() for c in ("block", "at", "keys", "lost", "rows", "lacks"))
+        made = [i for i, x in enumerate(lost) if x is not None]
         key = np.concatenate([_from_six(keys[i]) for i in made] or [np.zeros(0, _U)])
-        order = np.argsort(key, kind="stable")
-        key = key[order]
+        both = np.concatenate([np.frombuffer(lost[i], float).reshape(2, -1) for i in made] or [np.zeros((2, 0))], 1)
+        order_ = np.lexsort((both[1], both[0], key))  # sums don't depend on who comes first
+        key, both = key[order_], both[:, order_]
         start = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1]) if len(key) else np.zeros(0, np.int64)
-        add = lambda x: np.add.reduceat(np.concatenate([np.frombuffer(x[i], np.float32) for i in made]).astype(float)[order], start) if len(key) else np.zeros(0)
-        log_weight = np.log10(np.maximum(add(left), 1e-300)) - np.log10(np.maximum(1 - add(lower), 1e-12))
+        left, lower = np.add.reduceat(both, start, axis=1) if len(key) else both
+        weight = np.log10(np.maximum(left, 1e-300)) - np.log10(np.maximum(1 - lower, 1e-12))
         key = key[start]
-        for i in range(len(keys)):
-            if who[i] is not None:
-                doc = _unpack(who[i], np.uint32).astype(np.int64)
-                w = log_weight[np.searchsorted(key, _from_six(keys[i]))]
-                total = np.bincount(doc, w)
-                some = np.unique(doc)
-                out.append((block[i], some.astype(np.uint32).tobytes(), total[some].tobytes(), None))
-            elif docs_of[i] is not None:
-                out.append((block[i], None, None, docs_of[i]))
-        c = list(zip(*out)) or [()] * 4
-        return pa.Table.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.binary()), pa.array(c[2], pa.binary()), pa.array(c[3], _DOCS)], ["block", "who", "weights", "docs"])
-
-    weighed = sent.groupBy("part").applyInArrow(back_off, f"block long, who binary, weights binary, docs {_DOCS_SQL}")
+        out = [(block[i], at[i], weight[np.searchsorted(key, _from_six(keys[i]))].tobytes(), None, None) for i in range(len(keys)) if at[i] is not None]
+        out += [(block[i], None, None, own[i], lacks[i]) for i in range(len(keys)) if own[i] is not None]
+        return table_of(out, _WEIGHT)
+
+    weighed = sent.groupBy("part").applyInArrow(back_off, "block long, at int, weights binary, rows binary, lacks binary")
 
     def finish(rows: pa.Table) -> pa.Table:
-        own = next(x for x in rows["docs"].to_pylist() if x is not None)
-        value = np.array([x["value"] for x in own])
-        for who, weights in sorted((a, b) for a, b in zip(rows["who"].to_pylist(), rows["weights"].to_pylist()) if a is not None):
-            value[np.frombuffer(who, np.uint32)] += np.frombuffer(weights, np.float64)
-        col = lambda k, t: pa.array([x[k] for x in own], t)
-        return pa.Table.from_arrays([col("doc_id", pa.int64()), col("held", pa.bool_()), col("size", pa.int64()), col("known", pa.int64()), pa.array([n_tokens] * len(own), pa.int64()), col("basis", pa.float64()), pa.array(value)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        at, weights, own, lacks = (rows[c].to_pylist() for c in ("at", "weights", "rows", "lacks"))
+        i = next(i for i, x in enumerate(own) if x is not None)
+        size, known_, basis, value, held, has_id, ids = unpack(own[i], np.int64, np.int64, float, float, "u1", "u1", np.int64)
+        doc, wish = unpack(lacks[i], np.uint32, np.uint32)
+        weight = np.concatenate([np.frombuffer(weights[k], float) for k in sorted((k for k in range(len(at)) if at[k] is not None), key=lambda k: at[k])] or [np.zeros(0)])
+        value = value + np.bincount(doc, weight[wish], len(value)) if len(doc) else value
+        return pa.Table.from_arrays([pa.array(ids, pa.int64(), mask=has_id == 0), pa.array(held > 0), pa.array(size), pa.array(known_), pa.array(np.full(len(ids), n_tokens)), pa.array(basis), pa.array(value)], schema=_OUT)
 
     return weighed.groupBy("block").applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-_DOCS = pa.list_(pa.struct([("doc_id", pa.int64()), ("held", pa.bool_()), ("size", pa.int64()), ("known", pa.int64()), ("basis", pa.float64()), ("value", pa.float64())]))
-_DOCS_SQL = "array<struct<doc_id:long,held:boolean,size:long,known:long,basis:double,value:double>>"
-
-
 def op3_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"))

@@ -204,36 +204,51 @@ def test_pii_rows(spark, empty):
 # --- language model ---
 
 
-def test_katz_matches_brute_force(docs, texts, spark, empty):
-    got = {r.doc_id: r for r in katz.score(docs).collect()}
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_katz_matches_brute_force(docs, texts, spark, empty, order):
+    got = {r.doc_id: r for r in katz.score(docs.repartition(5), order=order).collect()}
     tok = {i * 3: [*tokens(t), "\n"] for i, t in enumerate(texts)}
     held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in tok}
-    uni, pairs, before = collections.Counter(), collections.Counter(), collections.Counter()
+    count = [collections.Counter() for _ in range(order + 1)]  # by length; the history's is that of its followers
     for i, w in tok.items():
         if not held[i]:
-            uni.update(w)
-            pairs.update(zip(["\t", *w], w))
-            before.update(["\t", *w[:-1]])
-    n, v = sum(uni.values()), len(uni)
+            w = ["\t", *w]
+            for n in range(1, order + 1):
+                count[n].update(tuple(w[k - n + 1 : k + 1]) for k in range(1, len(w)) if k - n + 1 >= 0)
+    n_tokens, v = sum(count[1].values()), len(count[1])
     of = lambda c: np.array([sum(x == r for x in c.values()) for r in range(1, 7)])
-    d1, d2 = katz.discounts(of(uni)), katz.discounts(of(pairs))
-    less = lambda c, d: float(katz.discounted(np.array([c]), d)[0])
-    p1 = {w: less(c, d1) / n for w, c in uni.items()}
-    unknown = 1 - sum(p1.values())
+    d = [None, *(katz.discounts(of(c)) for c in count[1:])]
+    less = lambda c, n: float(katz.discounted(np.array([c]), d[n])[0])
     follow = collections.defaultdict(dict)
-    for (h, w), c in pairs.items():
-        follow[h][w] = c
-    weight = {h: (1 - sum(less(c, d2) for c in x.values()) / before[h]) / (1 - sum(p1[w] for w in x)) for h, x in follow.items()}
-    prob = lambda h, w: less(follow[h][w], d2) / before[h] if w in follow.get(h, {}) else weight.get(h, 1) * p1.get(w, unknown)
-    for h in list(follow)[:20]:
-        assert math.isclose(sum(prob(h, w) for w in uni) + prob(h, "unseen"), 1, rel_tol=1e-9)
+    for c in count[1:]:
+        for g, x in c.items():
+            follow[g[:-1]][g[-1]] = x
+    unknown = 1 - sum(less(c, 1) for c in count[1].values()) / n_tokens
+
+    def prob(h, w):
+        if not h:
+            return less(count[1][w,], 1) / n_tokens if (w,) in count[1] else unknown
+        if h not in follow:
+            return prob(h[1:], w)
+        if w in follow[h]:
+            return less(follow[h][w], len(h) + 1) / sum(follow[h].values())
+        if h not in weight:
+            weight[h] = (1 - sum(prob(h, x) for x in follow[h])) / (1 - sum(prob(h[1:], x) for x in follow[h]))
+        return weight[h] * prob(h[1:], w)
+
+    weight = {}
+    for h in [h for h in follow if h][:: max(1, len(follow) // 20)]:
+        assert math.isclose(sum(prob(h, w) for (w,) in count[1]) + prob(h, "unseen"), 1, rel_tol=1e-9)
     for i, w in tok.items():
         r = got[i]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(w), sum(x in uni for x in w), n)
-        assert math.isclose(r.score, sum(math.log10(prob(h, x)) for h, x in zip(["\t", *w], w)), rel_tol=1e-5)
-        assert math.isclose(r.base_score, sum(math.log10((uni[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w), rel_tol=1e-9)
-    assert katz.score(empty).count() == 0
-    assert katz.score(spark.createDataFrame([(3, "a b"), (None, None)], "doc_id long, text string")).count() == 2
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(w), sum((x,) in count[1] for x in w), n_tokens)
+        padded = ["\t", *w]
+        want = sum(math.log10(prob(tuple(padded[max(0, k - order + 1) : k]), padded[k])) for k in range(1, len(padded)))
+        assert math.isclose(r.score, want, rel_tol=1e-9)
+        assert math.isclose(r.base_score, sum(math.log10((count[1][x,] + 0.5) / (n_tokens + 0.5 * (v + 1))) for x in w), rel_tol=1e-9)
+    assert katz.score(empty, order=order).count() == 0
+    odd = katz.score(spark.createDataFrame([(3, "a b"), (3, "a b"), (None, None)], "doc_id long, text string"), order=order).collect()
+    assert len(odd) == 3 and sum(r.doc_id is None for r in odd) == 1
 
 
 # --- mixing ---
@@ -587,3 +602,9 @@ def test_repeats_match_brute_force(docs, texts, empty, span, gram, shared, hot):
     assert suffixes.repeats(empty).count() == 0
     twice = suffixes.repeats(docs.unionAll(docs)).filter("doc_id = 27").collect()
     assert len(twice) == 2 and all(r.n_removed == r.n_bytes == r.n_shared for r in twice)
+
+
+def test_short_texts_only(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, None), (3, ""), (3, "a")], "doc_id long, text string")
+    assert {(r.n_removed, r.n_shared, r.n_spans) for r in suffixes.repeats(rows).collect()} == {(0, 0, 0)}
+    assert {(r.n_removed, r.n_shared) for r in sentences.span_dedup(rows).collect()} == {(0, 0)}
