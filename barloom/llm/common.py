@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -58,6 +59,13 @@ def discard(*dfs: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the files of shuffles whose results are stored and whose frames are gone: it does so when the
+    driver collects its garbage, which may be long after a large shuffle."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def bucket_count(docs: DataFrame, text_col: str = "text") -> int:
     """How many buckets postings of the texts are dealt to: as many as there are shuffle partitions, and so many more
     that a bucket stands for BUCKET_BYTES of text at most."""

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.common import BLOCK_BYTES, bucket_count, cuts, hash64, mix64, pack, slices, stored, table, table_of, unpack, words
+from barloom.llm.common import bucket_count, cuts, hash64, mix64, pack, release_shuffles, slices, stored, table, table_of, unpack, words
 
 #: Words of an n-gram at most.
 ORDER = 3
@@ -131,30 +131,32 @@ class Block:
             self.keys.append(pair_keys(self.keys[-1][gram // len(word)], word[gram % len(word)]))
             self.of.append(of)
         self.n = [len(word), *map(len, self.history[1:])]
-        self.count, self.part, self.order = [], [], []
+        self.count, self.in_held, self.part, self.order = [], [], [], []
         for of, key, n in zip(self.of, self.keys, self.n):
             self.count.append(np.bincount(of[trained & (of >= 0)], minlength=n))
+            self.in_held.append(np.bincount(of[~trained & (of >= 0)], minlength=n) > 0)
             part = (key[:n] % _U(parts)).astype(np.int64)
             self.order.append(np.lexsort((key[:n], part)))
             self.part.append(part[self.order[-1]])
 
 
-def _six(key: np.ndarray) -> bytes:
-    """The 48 high bits of each key. The partition tells log2(partitions) bits more: of a million n-grams in a
-    partition any two are the same with a probability of 0.2 %."""
-    return np.ascontiguousarray(key).view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+def _packed(key: np.ndarray) -> bytes:
+    """The 48 high bits of each key, keys in order. The partition tells log2(partitions) bits more: of a million n-grams
+    in a partition any two are the same with a probability of 0.2 %."""
+    return pack(np.diff(key >> _U(16), prepend=_U(0)))
 
 
-def _from_six(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, 2:] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return out.view(_U).ravel()
+def _keys(raw: bytes) -> np.ndarray:
+    return np.cumsum(unpack(raw, _U)[0], dtype=_U)
 
 
 _ASK = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
 _TOLD = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("kind", pa.int32()), ("answer", pa.binary()), ("totals", pa.list_(pa.int64()))])
-#: Marks of an n-gram in an answer: this block is the first that has it in training; no other block has it at all.
-OWN, SOLE = 1, 2
+#: Marks of an n-gram in an answer: this block is the first that has it in training; no other block has it at all; a
+#: held-out text has it, so its weight as a history may be wanted.
+OWN, SOLE, HELD = 1, 2, 4
+#: Bytes of text in a block, about.
+BLOCK_BYTES = 4 << 20
 
 
 def _ask(blocks: DataFrame, parts: int, order: int) -> DataFrame:
@@ -164,8 +166,8 @@ def _ask(blocks: DataFrame, parts: int, order: int) -> DataFrame:
                 b = Block(row, parts, order)
                 for kind in range(order):
                     o, part = b.order[kind], b.part[kind]
-                    key, count = b.keys[kind][o], b.count[kind][o].astype(np.uint32)
-                    yield from table_of([(int(part[x]), kind, row["block"], _six(key[x:y]), pack(count[x:y])) for x, y in cuts(part)], _ASK).to_batches()
+                    key, count = b.keys[kind][o], (2 * b.count[kind][o] + b.in_held[kind][o]).astype(np.uint32)
+                    yield from table_of([(int(part[x]), kind, row["block"], _packed(key[x:y]), pack(count[x:y])) for x, y in cuts(part)], _ASK).to_batches()
 
     return blocks.mapInArrow(run, "part int, kind int, block long, keys binary, counts binary")
 
@@ -181,8 +183,10 @@ def _answer(asked: DataFrame) -> DataFrame:
         out = []
         for first, end in cuts(kinds):
             kind, mine = int(kinds[first]), range(first, end)
-            key = np.concatenate([_from_six(keys[i]) for i in mine])
+            parts = [_keys(keys[i]) for i in mine]
+            key = np.concatenate(parts)
             count = np.concatenate([unpack(counts[i], np.uint32)[0] for i in mine]).astype(np.int64)
+            count, held = count >> 1, count & 1
             order = np.argsort(key, kind="stable")
             new = np.ones(len(key), bool)
             new[1:] = key[order][1:] != key[order][:-1]
@@ -193,9 +197,9 @@ def _answer(asked: DataFrame) -> DataFrame:
             has = np.minimum.reduceat(np.where(count[order] > 0, np.arange(len(key)), len(key)), begin)
             mark[order[has[has < len(key)]]] = OWN
             mark[order[begin[np.diff(np.append(begin, len(key))) == 1]]] |= SOLE
+            mark[order] |= (np.maximum.reduceat(held[order], begin)[group] * HELD).astype(np.uint8)
             at = 0
-            for i in mine:
-                n = len(keys[i]) // 6
+            for i, n in zip(mine, map(len, parts)):
                 out.append((block[i], part, kind, pack(answer[at : at + n], mark[at : at + n]), None))
                 at += n
             seen = total[total > 0]
@@ -226,6 +230,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     parts = 2 * bucket_count(docs, text_col)
     blocks = stored(code_blocks(docs, id_col, text_col), "blocks")
     answers = stored(_answer(_ask(blocks, parts, order)), "counts")
+    release_shuffles(docs.sparkSession)
     totals = np.zeros((order, LARGEST + 3), np.int64)
     for r in answers.filter("totals is not null").groupBy("kind").agg(*[F.sum(F.col("totals")[i]).alias(f"t{i}") for i in range(LARGEST + 3)]).collect():
         totals[r["kind"]] = np.array(r[1:], np.int64)
@@ -250,6 +255,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
             count[kind][b.order[kind]], marks[kind][b.order[kind]] = c, m
         with_start = [np.append(count[0], starts), *count[1:]]
         alone = [np.append(marks[0] & SOLE > 0, False), *(m & SOLE > 0 for m in marks[1:])]
+        wanted = [np.append(marks[0] & HELD > 0, True), *(m & HELD > 0 for m in marks[1:])]
         p = [np.where(count[0] > 0, discounted(count[0], d[0]) / max(n_tokens, 1), unknown)]
         out, wishes, found = [], [], []
         for k in range(1, order):
@@ -268,16 +274,16 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
             weight[mine] = np.log10(np.maximum(lost[mine], 1e-300)) - np.log10(np.maximum(1 - lower[mine], 1e-12))
             found.append(weight)
             asks &= ~mine
-            adds &= ~mine
+            adds &= ~mine & wanted[k - 1]
             key = mix64(b.keys[k - 1] + _U(k))  # orders apart
             for some, values in ((np.flatnonzero(adds), (lost, lower)), (np.flatnonzero(asks), None)):
                 part = (key[some] % _U(parts)).astype(np.int64)
-                o = np.argsort(part, kind="stable")
+                o = np.lexsort((key[some], part))
                 some, part = some[o], part[o]
                 begin = sum(map(len, wishes))
                 for x, y in cuts(part):
                     i = some[x:y]
-                    out.append((int(part[x]), row["block"], None if values else begin + x, _six(key[i]), np.stack([v[i] for v in values]).tobytes() if values else None, None, None))
+                    out.append((int(part[x]), row["block"], None if values else begin + x, _packed(key[i]), np.stack([v[i] for v in values]).tobytes() if values else None, None, None))
                 if values is None:
                     wishes.append(some)
         # down the orders: what training has not seen backs off
@@ -307,7 +313,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     def back_off(rows: pa.Table) -> pa.Table:
         block, at, keys, lost, own, lacks = (rows[c].to_pylist() for c in ("block", "at", "keys", "lost", "rows", "lacks"))
         made = [i for i, x in enumerate(lost) if x is not None]
-        key = np.concatenate([_from_six(keys[i]) for i in made] or [np.zeros(0, _U)])
+        key = np.concatenate([_keys(keys[i]) for i in made] or [np.zeros(0, _U)])
         both = np.concatenate([np.frombuffer(lost[i], float).reshape(2, -1) for i in made] or [np.zeros((2, 0))], 1)
         order_ = np.lexsort((both[1], both[0], key))  # sums don't depend on who comes first
         key, both = key[order_], both[:, order_]
@@ -315,7 +321,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
         left, lower = np.add.reduceat(both, start, axis=1) if len(key) else both
         weight = np.log10(np.maximum(left, 1e-300)) - np.log10(np.maximum(1 - lower, 1e-12))
         key = key[start]
-        out = [(block[i], at[i], weight[np.searchsorted(key, _from_six(keys[i]))].tobytes(), None, None) for i in range(len(keys)) if at[i] is not None]
+        out = [(block[i], at[i], weight[np.searchsorted(key, _keys(keys[i]))].tobytes(), None, None) for i in range(len(keys)) if at[i] is not None]
         out += [(block[i], None, None, own[i], lacks[i]) for i in range(len(keys)) if own[i] is not None]
         return table_of(out, _WEIGHT)
 

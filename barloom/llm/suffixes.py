@@ -26,6 +26,8 @@ from barloom.llm.common import bucket_count, cuts, from_ipc, in_blocks, ipc, mix
 #: Bytes of a string that is removed when it repeats, of one that counts as shared with another row (about 50 short
 #: words), and of the hashed grams (a power of two).
 SPAN, SHARED, GRAM = 400, 240, 64
+#: Bytes of text in a block, and of those whose regions are found at a time, about.
+BLOCK_BYTES, REGION_BYTES = 4 << 20, 1 << 20
 #: Different regions of an anchor that are sorted together at most.
 HOT = 1000
 _U = np.uint64
@@ -193,7 +195,11 @@ def _block(number: int, rows: pa.Table, span: int, shared: int, gram: int, bucke
     column = rows["text"].combine_chunks()
     joined, start = text_bytes(column)
     raw, end = joined.tobytes(), start[1:]
-    row, first, starts, anchor = regions(joined, start, min(span, shared), gram)
+    found = []  # by runs of rows, for bounded arrays
+    for a, b in cuts(start[:-1] // REGION_BYTES):
+        r, f, n, h = regions(joined[start[a] : start[b]], start[a : b + 1] - start[a], min(span, shared), gram)
+        found.append((r + a, f + start[a], n, h))
+    row, first, starts, anchor = (np.concatenate(x) for x in zip(*found))
     last = np.minimum(first + starts - 1 + span, end[row]) if len(row) else first
     digest = xxhash.xxh3_64_intdigest
     content = np.array([digest(raw[a:b]) for a, b in zip(first.tolist(), last.tolist())], _U)
@@ -427,7 +433,7 @@ def repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, id_col: str = "
         raise ValueError("gram must be smaller than shared, shared at most span")
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     buckets = bucket_count(base)
-    blocks = stored(in_blocks(base, lambda number, rows: _block(number, rows, span, shared, gram, buckets), _BLOCK, _BLOCK_SQL), "blocks")
+    blocks = stored(in_blocks(base, lambda number, rows: _block(number, rows, span, shared, gram, buckets), _BLOCK, _BLOCK_SQL, BLOCK_BYTES), "blocks")
     asked = blocks.select("block", F.explode("asked").alias("x")).select("block", "x.bucket", "x.at", "x.regions")
     answers = stored(asked.groupBy("bucket").applyInArrow(lambda rows: _meet(rows, hot), "block long, numbers binary"), "answers")
     light = blocks.select("block", "texts", "regions", F.transform("asked", lambda x: x.dropFields("regions")).alias("asked"))
