@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -62,8 +63,10 @@ def discard(*dfs: DataFrame) -> None:
 def release_shuffles(spark: SparkSession) -> None:
     """Lets Spark delete the files of shuffles whose results are stored and whose frames are gone: it does so when the
     driver collects its garbage, which may be long after a large shuffle."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the driver learns of what Python has dropped after a moment
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
 
 
 def bucket_count(docs: DataFrame, text_col: str = "text") -> int:

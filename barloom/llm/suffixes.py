@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.common import bucket_count, cuts, from_ipc, in_blocks, ipc, mix64, pack, spread, stored, table, table_of, text_bytes, unpack
+from barloom.llm.common import bucket_count, cuts, from_ipc, in_blocks, ipc, mix64, pack, release_shuffles, spread, stored, table, table_of, text_bytes, unpack
 
 #: Bytes of a string that is removed when it repeats, of one that counts as shared with another row (about 50 short
 #: words), and of the hashed grams (a power of two).
@@ -432,7 +432,7 @@ def repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, id_col: str = "
     if not gram < shared <= span:
         raise ValueError("gram must be smaller than shared, shared at most span")
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    buckets = bucket_count(base)
+    buckets = 4 * bucket_count(base)  # a bucket's sorting takes sixty bytes for each byte of its regions
     blocks = stored(in_blocks(base, lambda number, rows: _block(number, rows, span, shared, gram, buckets), _BLOCK, _BLOCK_SQL, BLOCK_BYTES), "blocks")
     asked = blocks.select("block", F.explode("asked").alias("x")).select("block", "x.bucket", "x.at", "x.regions")
     answers = stored(asked.groupBy("bucket").applyInArrow(lambda rows: _meet(rows, hot), "block long, numbers binary"), "answers")
@@ -440,6 +440,7 @@ def repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, id_col: str = "
     sent = light.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda x, y: _send(x, y, span, shared, buckets), "bucket int, block long, at int, header binary, blob binary")
     results = sent.groupBy("bucket").applyInArrow(lambda rows: _sort(rows, span, shared), "block long, runs binary, digests binary")
     told = answers.unionByName(stored(results, "results"), allowMissingColumns=True)
+    release_shuffles(docs.sparkSession)
     return (
         blocks.select("block", "texts", "regions").groupBy("block").cogroup(told.groupBy("block"))
         .applyInArrow(lambda x, y: _cut(x, y, span, shared, buckets), "doc_id long, n_bytes long, n_removed long, n_spans long, n_shared long, kept_sha256 string, kept binary")
