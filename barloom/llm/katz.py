@@ -2,7 +2,8 @@
 
 Texts are coded in blocks. Each block asks the hash-partitioned count tables for the n-grams it holds, each once; the
 tables add up the training counts and answer. With the answers a block knows the Good-Turing discounted probabilities of
-the n-grams that training has seen. An n-gram that it has not seen has the backoff weight of its history times the
+the n-grams that training has seen. An n-gram of three and more words is only asked for where other blocks have both its
+history and its suffix; else no other block can have it, and the block's own count is the count. An n-gram that it has not seen has the backoff weight of its history times the
 probability of the next lower order, and so on down to single words. The weights come from the histories' partitions:
 each distinct trained n-gram adds, once, what its history has lost by discounting and what the lower order gives to its
 word, so all weights are exactly normalised. A block asks for each weight once. A history that stands in one block alone
@@ -16,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +54,11 @@ def discounted(count: np.ndarray, d: np.ndarray) -> np.ndarray:
     return np.where(count > LARGEST, count - TAIL, d[np.minimum(count, LARGEST)] * count)
 
 
+def taken(d: np.ndarray) -> np.ndarray:
+    """What is taken off counts of 1..LARGEST and of more."""
+    return np.append((1 - d[1 : LARGEST + 1]) * np.arange(1, LARGEST + 1), TAIL)
+
+
 def pair_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mix64(before * _U(0x9E3779B97F4A7C15) + mix64(word))
 
@@ -150,7 +157,8 @@ def _keys(raw: bytes) -> np.ndarray:
     return np.cumsum(unpack(raw, _U)[0], dtype=_U)
 
 
-_ASK = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+_ASK = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("totals", pa.list_(pa.int64()))])
+_ASK_SQL = "part int, kind int, block long, keys binary, counts binary, totals array<long>"
 _TOLD = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("kind", pa.int32()), ("answer", pa.binary()), ("totals", pa.list_(pa.int64()))])
 #: Marks of an n-gram in an answer: this block is the first that has it in training; no other block has it at all; a
 #: held-out text has it, so its weight as a history may be wanted.
@@ -159,17 +167,65 @@ OWN, SOLE, HELD = 1, 2, 4
 BLOCK_BYTES = 4 << 20
 
 
-def _ask(blocks: DataFrame, parts: int, order: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                b = Block(row, parts, order)
-                for kind in range(order):
-                    o, part = b.order[kind], b.part[kind]
-                    key, count = b.keys[kind][o], (2 * b.count[kind][o] + b.in_held[kind][o]).astype(np.uint32)
-                    yield from table_of([(int(part[x]), kind, row["block"], _packed(key[x:y]), pack(count[x:y])) for x, y in cuts(part)], _ASK).to_batches()
+def _counts_of_counts(seen: np.ndarray) -> list[int]:
+    """Number, sum, and how many of them are 1..LARGEST+1."""
+    return [len(seen), int(seen.sum()), *np.bincount(np.minimum(seen, LARGEST + 2), minlength=LARGEST + 3)[1 : LARGEST + 2].tolist()]
+
+
+def _ask(row: dict, b: Block, kind: int, some: np.ndarray, parts: int) -> list[tuple]:
+    """What a block asks about some of its n-grams of an order; the others are its own, of which it tells the totals."""
+    o = b.order[kind][some[b.order[kind]]]
+    key, count = b.keys[kind][o], (2 * b.count[kind][o] + b.in_held[kind][o]).astype(np.uint32)
+    part = (key % _U(parts)).astype(np.int64)
+    out = [(int(part[x]), kind, row["block"], _packed(key[x:y]), pack(count[x:y]), None) for x, y in cuts(part)]
+    own = b.count[kind][~some]
+    if len(own):
+        out.append((zlib.crc32(str(row["block"]).encode()) % parts, kind, None, None, None, _counts_of_counts(own[own > 0])))
+    return out
+
+
+class Answers:
+    """The counts and marks of a block's n-grams, as far as they have been answered."""
+
+    def __init__(self, b: Block, rows: pa.Table, kinds: int):
+        given = rows.sort_by([("kind", "ascending"), ("part", "ascending")])
+        kind_of, raw = given["kind"].to_numpy(), given["answer"].to_pylist()
+        self.count, self.marks = [], []
+        for kind in range(kinds):
+            asked = self.asked(b, kind)
+            count, marks = b.count[kind].copy(), (SOLE + OWN * (b.count[kind] > 0) + HELD * b.in_held[kind]).astype(np.uint8)
+            o = b.order[kind][asked[b.order[kind]]]
+            if len(o):
+                count[o], marks[o] = (np.concatenate(x) for x in zip(*(unpack(raw[i], np.uint32, "u1") for i in np.flatnonzero(kind_of == kind))))
+            self.count.append(count)
+            self.marks.append(marks)
+
+    def asked(self, b: Block, kind: int) -> np.ndarray:
+        """Which n-grams of an order other blocks may have: those of up to two words, and those whose parts others have."""
+        if kind < 2:
+            return np.ones(b.n[kind], bool)
+        others = self.marks[kind - 1] & SOLE == 0
+        return others[b.history[kind]] & others[b.suffix[kind]]
+
+
+def _asks(blocks: DataFrame, told: DataFrame | None, kinds: tuple[int, ...], parts: int) -> DataFrame:
+    if told is None:
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    b = Block(row, parts, kinds[-1] + 1)
+                    for kind in kinds:
+                        yield from table_of(_ask(row, b, kind, np.ones(b.n[kind], bool), parts), _ASK).to_batches()
+
+        return blocks.mapInArrow(run, _ASK_SQL)
+
+    def with_answers(block_rows: pa.Table, answer_rows: pa.Table) -> pa.Table:
+        row, (kind,) = block_rows.to_pylist()[0], kinds
+        b = Block(row, parts, kind + 1)
+        return table_of(_ask(row, b, kind, Answers(b, answer_rows, kind).asked(b, kind), parts), _ASK)
 
-    return blocks.mapInArrow(run, "part int, kind int, block long, keys binary, counts binary")
+    return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(with_answers, _ASK_SQL)
 
 
 def _answer(asked: DataFrame) -> DataFrame:
@@ -177,10 +233,13 @@ def _answer(asked: DataFrame) -> DataFrame:
     the sum and the counts of counts."""
 
     def run(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("kind", "ascending"), ("block", "ascending")])
+        own = [(None, None, k, None, t) for k, t in zip(rows["kind"].to_pylist(), rows["totals"].to_pylist()) if t is not None]
+        rows = rows.filter(pc.is_valid(rows["block"])).sort_by([("kind", "ascending"), ("block", "ascending")])
+        if not rows.num_rows:
+            return table_of(own, _TOLD)
         part, kinds, block = rows["part"][0].as_py(), rows["kind"].to_numpy(), rows["block"].to_pylist()
         keys, counts = rows["keys"].to_pylist(), rows["counts"].to_pylist()
-        out = []
+        out = own
         for first, end in cuts(kinds):
             kind, mine = int(kinds[first]), range(first, end)
             parts = [_keys(keys[i]) for i in mine]
@@ -203,7 +262,7 @@ def _answer(asked: DataFrame) -> DataFrame:
                 out.append((block[i], part, kind, pack(answer[at : at + n], mark[at : at + n]), None))
                 at += n
             seen = total[total > 0]
-            out.append((None, part, kind, None, [len(seen), int(seen.sum()), *np.bincount(np.minimum(seen, LARGEST + 2), minlength=LARGEST + 3)[1 : LARGEST + 2].tolist()]))
+            out.append((None, part, kind, None, _counts_of_counts(seen)))
         return table_of(out, _TOLD)
 
     return asked.groupBy("part").applyInArrow(run, "block long, part int, kind int, answer binary, totals array<long>")
@@ -211,6 +270,8 @@ def _answer(asked: DataFrame) -> DataFrame:
 
 #: What a block sends: contributions to weights (lost, lower) and wishes for weights, both by the keys of histories; and
 #: to itself its rows and what they lack: (document, number of the wish).
+#: A contribution: order, count of the history, what the lower order gives, followers by counts of 1..LARGEST and more.
+_LOST_KINDS = ("u1", np.int64, float, *[np.uint32] * (LARGEST + 1))
 _SENT = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("at", pa.int32()), ("keys", pa.binary()), ("lost", pa.binary()), ("rows", pa.binary()), ("lacks", pa.binary())])
 _WEIGHT = pa.schema([("block", pa.int64()), ("at", pa.int32()), ("weights", pa.binary()), ("rows", pa.binary()), ("lacks", pa.binary())])
 _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
@@ -229,8 +290,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
         raise ValueError("order must be at least 1")
     parts = 2 * bucket_count(docs, text_col)
     blocks = stored(code_blocks(docs, id_col, text_col), "blocks")
-    answers = stored(_answer(_ask(blocks, parts, order)), "counts")
+    answers = stored(_answer(_asks(blocks, None, tuple(range(min(order, 2))), parts)), "counts")
     release_shuffles(docs.sparkSession)
+    for kind in range(2, order):
+        told = answers.filter("block is not null").drop("totals")
+        answers = answers.unionAll(stored(_answer(_asks(blocks, told, (kind,), parts)), "counts"))
+        release_shuffles(docs.sparkSession)
     totals = np.zeros((order, LARGEST + 3), np.int64)
     for r in answers.filter("totals is not null").groupBy("kind").agg(*[F.sum(F.col("totals")[i]).alias(f"t{i}") for i in range(LARGEST + 3)]).collect():
         totals[r["kind"]] = np.array(r[1:], np.int64)
@@ -245,14 +310,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     def weigh(block_rows: pa.Table, answer_rows: pa.Table) -> pa.Table:
         row = block_rows.to_pylist()[0]
         b = Block(row, parts, order)
-        given = answer_rows.sort_by([("kind", "ascending"), ("part", "ascending")])
-        kinds, raw = given["kind"].to_numpy(), given["answer"].to_pylist()
-        count, marks = [], []
-        for kind in range(order):
-            c, m = (np.concatenate(x) for x in zip(*(unpack(raw[i], np.uint32, "u1") for i in np.flatnonzero(kinds == kind)))) if b.n[kind] else (np.zeros(0), np.zeros(0))
-            count.append(np.empty(b.n[kind], np.int64))
-            marks.append(np.empty(b.n[kind], np.uint8))
-            count[kind][b.order[kind]], marks[kind][b.order[kind]] = c, m
+        given = Answers(b, answer_rows, order)
+        count, marks = given.count, given.marks
         with_start = [np.append(count[0], starts), *count[1:]]
         alone = [np.append(marks[0] & SOLE > 0, False), *(m & SOLE > 0 for m in marks[1:])]
         wanted = [np.append(marks[0] & HELD > 0, True), *(m & HELD > 0 for m in marks[1:])]
@@ -264,7 +323,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
             p.append(discounted(c, d[k]) / of_history)
             own = marks[k] & OWN > 0
             n = len(with_start[k - 1])
-            lost = np.bincount(h[own], (c[own] - discounted(c[own], d[k])) / of_history[own], n)
+            followers = np.bincount(h[own] * (LARGEST + 1) + np.minimum(c[own], LARGEST + 1) - 1, minlength=n * (LARGEST + 1)).reshape(n, LARGEST + 1)
+            lost = followers @ taken(d[k]) / np.maximum(with_start[k - 1], 1)
             lower = np.bincount(h[own], p[k - 1][b.suffix[k]][own], n)
             adds = np.bincount(h[own], minlength=n) > 0
             asks = np.zeros(n, bool)
@@ -276,15 +336,16 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
             asks &= ~mine
             adds &= ~mine & wanted[k - 1]
             key = mix64(b.keys[k - 1] + _U(k))  # orders apart
-            for some, values in ((np.flatnonzero(adds), (lost, lower)), (np.flatnonzero(asks), None)):
+            for some, adding in ((np.flatnonzero(adds), True), (np.flatnonzero(asks), False)):
                 part = (key[some] % _U(parts)).astype(np.int64)
                 o = np.lexsort((key[some], part))
                 some, part = some[o], part[o]
                 begin = sum(map(len, wishes))
                 for x, y in cuts(part):
                     i = some[x:y]
-                    out.append((int(part[x]), row["block"], None if values else begin + x, _packed(key[i]), np.stack([v[i] for v in values]).tobytes() if values else None, None, None))
-                if values is None:
+                    lost_there = pack(np.full(len(i), k, np.uint8), with_start[k - 1][i].astype(np.int64), lower[i], *followers[i].T.astype(np.uint32)) if adding else None
+                    out.append((int(part[x]), row["block"], None if adding else begin + x, _packed(key[i]), lost_there, None, None))
+                if not adding:
                     wishes.append(some)
         # down the orders: what training has not seen backs off
         value, open_ = np.zeros(len(b.doc)), np.ones(len(b.doc), bool)
@@ -314,12 +375,14 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
         block, at, keys, lost, own, lacks = (rows[c].to_pylist() for c in ("block", "at", "keys", "lost", "rows", "lacks"))
         made = [i for i, x in enumerate(lost) if x is not None]
         key = np.concatenate([_keys(keys[i]) for i in made] or [np.zeros(0, _U)])
-        both = np.concatenate([np.frombuffer(lost[i], float).reshape(2, -1) for i in made] or [np.zeros((2, 0))], 1)
-        order_ = np.lexsort((both[1], both[0], key))  # sums don't depend on who comes first
-        key, both = key[order_], both[:, order_]
+        k, total, lower, *followers = (np.concatenate(x) for x in zip(*(unpack(lost[i], *_LOST_KINDS) for i in made))) if made else (np.zeros(0, np.int64),) * (LARGEST + 4)
+        order_ = np.lexsort((lower, key))  # sums don't depend on who comes first
+        key = key[order_]
         start = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1]) if len(key) else np.zeros(0, np.int64)
-        left, lower = np.add.reduceat(both, start, axis=1) if len(key) else both
-        weight = np.log10(np.maximum(left, 1e-300)) - np.log10(np.maximum(1 - lower, 1e-12))
+        add = lambda x: np.add.reduceat(x[order_], start) if len(key) else np.zeros(0)
+        of_order = k[order_][start].astype(np.int64)
+        left = sum(np.array([taken(x)[r] for x in d])[of_order] * add(f.astype(np.int64)) for r, f in enumerate(followers)) / np.maximum(total[order_][start], 1)
+        weight = np.log10(np.maximum(left, 1e-300)) - np.log10(np.maximum(1 - add(lower), 1e-12))
         key = key[start]
         out = [(block[i], at[i], weight[np.searchsorted(key, _keys(keys[i]))].tobytes(), None, None) for i in range(len(keys)) if at[i] is not None]
         out += [(block[i], None, None, own[i], lacks[i]) for i in range(len(keys)) if own[i] is not None]
