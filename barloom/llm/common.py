@@ -78,7 +78,7 @@ def bucket_count(docs: DataFrame, text_col: str = "text") -> int:
 
 def pack(*columns: np.ndarray) -> bytes:
     """Columns of one length as compressed bytes, each number's bytes in planes."""
-    return zstandard.compress(b"".join(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes() for x in columns), 1)
+    return zstandard.compress(b"".join(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes() for x in columns), 3)
 
 
 def unpack(raw: bytes, *kinds) -> list[np.ndarray]:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.common import slices, table
+from barloom.llm.common import slices, stored, table
 
 #: Edits allowed for a character of an item.
 ERROR_RATE = 0.05
@@ -109,12 +109,12 @@ class Matcher:
         return sorted(out)
 
 
-def blocks(benchmark: DataFrame, chars: int = BLOCK_CHARS) -> Iterator[list[tuple]]:
-    """The items (item_id, text) in blocks of about chars characters, one block at a time on the driver."""
+def blocks(benchmark: DataFrame, chars: int = BLOCK_CHARS) -> Iterator[tuple[bool, list[tuple]]]:
+    """Whether it is the last one, and the items (item_id, text) of each block of about chars characters."""
     size = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
     n = -(-size // chars)
     for i in range(n):
-        yield [tuple(r) for r in benchmark.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).select("item_id", "text").orderBy("item_id", "text").collect()]
+        yield i == n - 1, [tuple(r) for r in benchmark.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).select("item_id", "text").orderBy("item_id", "text").collect()]
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, id_col: str = "doc_id", text_col: str = "text", chars: int = BLOCK_CHARS) -> DataFrame:
@@ -138,15 +138,18 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE,
 
         return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kinds[0]}, item_id {kinds[1]}, distance int, ends long")
 
-    parts = [over(items) for items in blocks(benchmark, chars)]
+    parts = []
+    for last, items in blocks(benchmark, chars):
+        parts.append(over(items) if last and not parts else stored(over(items), "leaks"))  # of several blocks the driver has one at a time
     if not parts:
         parts = [docs.sparkSession.createDataFrame([], f"id {kinds[0]}, item_id {kinds[1]}, distance int, ends long")]
     return reduce(DataFrame.unionAll, parts).withColumnRenamed("id", id_col)
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, text_col: str = "text", chars: int = BLOCK_CHARS) -> DataFrame:
-    """The rows of docs that have no passage of an item, with the columns of docs."""
-    for items in blocks(benchmark, chars):
+    """The rows of docs that have no passage of an item, with the columns of docs. Rows with null or empty texts stay,
+    repeated rows stay or go together; without items all rows stay."""
+    for last, items in blocks(benchmark, chars):
 
         def leaks(parts, items=items):
             import pandas as pd
@@ -156,6 +159,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RAT
                 yield pd.Series([bool(isinstance(x, str) and matcher.matches(x)) for x in part], dtype=bool)
 
         docs = docs.filter(~F.pandas_udf(leaks, "boolean", F.PandasUDFType.SCALAR_ITER)(text_col))
+        docs = docs if last else stored(docs, "unleaked")
     return docs
 
 

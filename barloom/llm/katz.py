@@ -164,7 +164,7 @@ _TOLD = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("kind", pa.int3
 #: held-out text has it, so its weight as a history may be wanted.
 OWN, SOLE, HELD = 1, 2, 4
 #: Bytes of text in a block, about.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 6 << 20
 
 
 def _counts_of_counts(seen: np.ndarray) -> list[int]:

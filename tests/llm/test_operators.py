@@ -335,8 +335,12 @@ def test_leaks_match_brute_force(spark, empty):
                 if p and d <= int(len(p) * decontaminate.ERROR_RATE):
                     want.append((i, k, d))
         assert got == sorted(want) and got
+    assert decontaminate.without_leaks(docs, bench, chars=100).count() == decontaminate.without_leaks(docs, bench).count()
     kept = decontaminate.without_leaks(docs, bench)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, _ in rows} - {i for i, _, _ in got}
+    long = spark.createDataFrame([(1, "of the river " * 40000 + items[2][1], 7)], "doc_id long, text string, item_id long")
+    assert [(r.doc_id, r.item_id, r.distance) for r in decontaminate.find_leaks(long, bench).collect()] == [(1, 2, 0)]
+    assert decontaminate.without_leaks(empty, bench).count() == 0
     assert decontaminate.find_leaks(empty, bench).count() == 0 and decontaminate.find_leaks(docs, bench.limit(0)).count() == 0
 
 
