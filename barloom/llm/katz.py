@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.common import bucket_count, cuts, hash64, mix64, pack, release_shuffles, slices, stored, table, table_of, unpack, words
+from barloom.llm.common import bucket_count, cuts, discard, hash64, mix64, pack, release_shuffles, slices, stored, table, table_of, unpack, words
 
 #: Words of an n-gram at most.
 ORDER = 3
@@ -268,12 +268,12 @@ def _answer(asked: DataFrame) -> DataFrame:
     return asked.groupBy("part").applyInArrow(run, "block long, part int, kind int, answer binary, totals array<long>")
 
 
-#: What a block sends: contributions to weights (lost, lower) and wishes for weights, both by the keys of histories; and
-#: to itself its rows and what they lack: (document, number of the wish).
+#: What a block sends: contributions to weights (lost, lower) and wishes for weights, both by the keys of histories; and,
+#: without a partition, what it keeps: its rows and what they lack, (document, number of the wish).
 #: A contribution: order, count of the history, what the lower order gives, followers by counts of 1..LARGEST and more.
 _LOST_KINDS = ("u1", np.int64, float, *[np.uint32] * (LARGEST + 1))
 _SENT = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("at", pa.int32()), ("keys", pa.binary()), ("lost", pa.binary()), ("rows", pa.binary()), ("lacks", pa.binary())])
-_WEIGHT = pa.schema([("block", pa.int64()), ("at", pa.int32()), ("weights", pa.binary()), ("rows", pa.binary()), ("lacks", pa.binary())])
+_WEIGHT = pa.schema([("block", pa.int64()), ("at", pa.int32()), ("weights", pa.binary())])
 _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
@@ -290,11 +290,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
         raise ValueError("order must be at least 1")
     parts = 2 * bucket_count(docs, text_col)
     blocks = stored(code_blocks(docs, id_col, text_col), "blocks")
-    answers = stored(_answer(_asks(blocks, None, tuple(range(min(order, 2))), parts)), "counts")
+    written = [blocks, stored(_answer(_asks(blocks, None, tuple(range(min(order, 2))), parts)), "counts")]
+    answers = written[-1]
     release_shuffles(docs.sparkSession)
     for kind in range(2, order):
         told = answers.filter("block is not null").drop("totals")
-        answers = answers.unionAll(stored(_answer(_asks(blocks, told, (kind,), parts)), "counts"))
+        written.append(stored(_answer(_asks(blocks, told, (kind,), parts)), "counts"))
+        answers = answers.unionAll(written[-1])
         release_shuffles(docs.sparkSession)
     totals = np.zeros((order, LARGEST + 3), np.int64)
     for r in answers.filter("totals is not null").groupBy("kind").agg(*[F.sum(F.col("totals")[i]).alias(f"t{i}") for i in range(LARGEST + 3)]).collect():
@@ -366,13 +368,17 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
         n = len(b.ids)
         rows = pack(np.bincount(b.doc, minlength=n), np.bincount(b.doc, count[0][b.of[0]] > 0, n).astype(np.int64), np.bincount(b.doc, base_log(count[0])[b.of[0]], n), np.bincount(b.doc, value, n), b.held.astype(np.uint8), np.array([i is not None for i in b.ids], np.uint8), np.array([i or 0 for i in b.ids], np.int64))
         doc, wish = (np.concatenate(x) for x in zip(*lacks)) if lacks else (np.zeros(0), np.zeros(0))
-        out.append((zlib.crc32(str(row["block"]).encode()) % parts, row["block"], None, None, None, rows, pack(doc.astype(np.uint32), wish.astype(np.uint32))))
+        out.append((None, row["block"], None, None, None, rows, pack(doc.astype(np.uint32), wish.astype(np.uint32))))
         return table_of(out, _SENT)
 
-    sent = blocks.groupBy("block").cogroup(answers.filter("block is not null").drop("totals").groupBy("block")).applyInArrow(weigh, "part int, block long, at int, keys binary, lost binary, rows binary, lacks binary")
+    weighing = blocks.groupBy("block").cogroup(answers.filter("block is not null").drop("totals").groupBy("block")).applyInArrow(weigh, "part int, block long, at int, keys binary, lost binary, rows binary, lacks binary")
+    sent = stored(weighing, "sent")
+    del weighing, answers
+    discard(*written)  # all that follows reads what has been sent alone
+    release_shuffles(docs.sparkSession)
 
     def back_off(rows: pa.Table) -> pa.Table:
-        block, at, keys, lost, own, lacks = (rows[c].to_pylist() for c in ("block", "at", "keys", "lost", "rows", "lacks"))
+        block, at, keys, lost = (rows[c].to_pylist() for c in ("block", "at", "keys", "lost"))
         made = [i for i, x in enumerate(lost) if x is not None]
         key = np.concatenate([_keys(keys[i]) for i in made] or [np.zeros(0, _U)])
         k, total, lower, *followers = (np.concatenate(x) for x in zip(*(unpack(lost[i], *_LOST_KINDS) for i in made))) if made else (np.zeros(0, np.int64),) * (LARGEST + 4)
@@ -384,22 +390,19 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
         left = sum(np.array([taken(x)[r] for x in d])[of_order] * add(f.astype(np.int64)) for r, f in enumerate(followers)) / np.maximum(total[order_][start], 1)
         weight = np.log10(np.maximum(left, 1e-300)) - np.log10(np.maximum(1 - add(lower), 1e-12))
         key = key[start]
-        out = [(block[i], at[i], weight[np.searchsorted(key, _keys(keys[i]))].tobytes(), None, None) for i in range(len(keys)) if at[i] is not None]
-        out += [(block[i], None, None, own[i], lacks[i]) for i in range(len(keys)) if own[i] is not None]
-        return table_of(out, _WEIGHT)
-
-    weighed = sent.groupBy("part").applyInArrow(back_off, "block long, at int, weights binary, rows binary, lacks binary")
-
-    def finish(rows: pa.Table) -> pa.Table:
-        at, weights, own, lacks = (rows[c].to_pylist() for c in ("at", "weights", "rows", "lacks"))
-        i = next(i for i, x in enumerate(own) if x is not None)
-        size, known_, basis, value, held, has_id, ids = unpack(own[i], np.int64, np.int64, float, float, "u1", "u1", np.int64)
-        doc, wish = unpack(lacks[i], np.uint32, np.uint32)
-        weight = np.concatenate([np.frombuffer(weights[k], float) for k in sorted((k for k in range(len(at)) if at[k] is not None), key=lambda k: at[k])] or [np.zeros(0)])
+        return table_of([(block[i], at[i], pack(weight[np.searchsorted(key, _keys(keys[i]))])) for i in range(len(keys)) if at[i] is not None], _WEIGHT)
+
+    weighed = sent.filter("part is not null").select("part", "block", "at", "keys", "lost").groupBy("part").applyInArrow(back_off, "block long, at int, weights binary")
+
+    def finish(kept: pa.Table, told: pa.Table) -> pa.Table:
+        size, known_, basis, value, held, has_id, ids = unpack(kept["rows"][0].as_py(), np.int64, np.int64, float, float, "u1", "u1", np.int64)
+        doc, wish = unpack(kept["lacks"][0].as_py(), np.uint32, np.uint32)
+        weight = np.concatenate([unpack(x, float)[0] for x in told.sort_by("at")["weights"].to_pylist()] or [np.zeros(0)])
         value = value + np.bincount(doc, weight[wish], len(value)) if len(doc) else value
         return pa.Table.from_arrays([pa.array(ids, pa.int64(), mask=has_id == 0), pa.array(held > 0), pa.array(size), pa.array(known_), pa.array(np.full(len(ids), n_tokens)), pa.array(basis), pa.array(value)], schema=_OUT)
 
-    return weighed.groupBy("block").applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    kept = sent.filter("part is null").select("block", "rows", "lacks")
+    return kept.groupBy("block").cogroup(weighed.groupBy("block")).applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op3_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
