@@ -289,9 +289,27 @@ simple("backtest", {"portfolio": "pf", "peak": "pk", "drawdown": "dd"}, lambda d
 query("backtest_summary", f"""WITH {sql.bars(4)}{BT} SELECT symbol, interval, sum(buy)::BIGINT AS trades, round(arg_max(pf, timestamp) - 1, 6) AS total_return, round(pow(arg_max(pf, timestamp), 365.0 / (count(*) * 4)) - 1, 6) AS annual_return,
   round(max(dd), 6) AS max_drawdown, round(count(*) FILTER (buy = 1 AND close > open) / nullif(sum(buy), 0), 6) AS win_rate FROM q GROUP BY ALL""")(lambda s, d: shown(backtest.summary(backtest.portfolio(forecast(at(s, d)), "forecast")), ["trades", "total_return", "annual_return", "max_drawdown", "win_rate"], ["symbol", "interval"]))
 simple("arima_features", {"close_log": f"ln(close / {sql.lag('close')})", "sma_6": sql.roll("avg", "close", 6), "ema_6": sql.ema("l", "sma", 6), "rma_6": sql.ema("l", "wilder", 6), "ema_84": sql.ema("l", "sma", 84), "rvol": f"volume / {sql.roll('avg', 'volume', 21)}", "upper_wick": "high - greatest(open, close)", "body_2": "pow(close - open, 2)", "range_sma": sql.roll("avg", "(high - low)", 42)}, backtest.arima_features, before=f", l AS (SELECT *, {sql.so_far('close')} AS l FROM bars)", source="l")
-query("live_bollinger")(lambda s, d: backtest.live_bollinger(at(s, d)).select(*KEY, "label"))
-query("live_rsi")(lambda s, d: backtest.live_rsi(families.rsi(at(s, d))).select(*KEY, "label"))
-query("live_macd")(lambda s, d: backtest.live_macd(at(s, d)).select(*KEY, "label"))
+LIVE_BANDS = f""", d AS (SELECT *, {sql.roll('avg', 'close', 20)} AS mid, 2 * {sql.roll('stddev_pop', 'close', 20)} AS dev FROM bars),
+  b AS (SELECT *, mid + dev AS up, mid - dev AS lo FROM d)"""
+CROSSED_BANDS = f"""CASE WHEN {sql.lag('close')} < {sql.lag('up')} AND {sql.lag('close', 2)} >= {sql.lag('up', 2)} THEN 'BBandSE'
+  WHEN {sql.lag('close')} > {sql.lag('lo')} AND {sql.lag('close', 2)} <= {sql.lag('lo', 2)} THEN 'BBandLE' END"""
+query("live_bollinger", f"WITH {sql.bars(4)}{LIVE_BANDS}, {sql.labels('b', CROSSED_BANDS, 1)}")(
+    lambda s, d: backtest.live_bollinger(at(s, d)).select(*KEY, "label")
+)
+CROSSED_RSI = f"""CASE WHEN {sql.lag('rsi')} > 30 AND {sql.lag('rsi', 2)} <= 30 THEN 'RsiLE'
+  WHEN {sql.lag('rsi')} < 70 AND {sql.lag('rsi', 2)} >= 70 THEN 'RsiSE' END"""
+query("live_rsi", f"WITH {sql.bars(4)}{RSI}, {sql.labels('x', CROSSED_RSI, 2)}")(
+    lambda s, d: backtest.live_rsi(families.rsi(at(s, d))).select(*KEY, "label")
+)
+LIVE_MACD = f""", c AS (SELECT symbol, timestamp, {sql.index()} AS i, {sql.so_far('close')} AS closes FROM bars),
+  l AS (SELECT *, {sql.ema('closes', 'sma', 18)} - {sql.ema('closes', 'sma', 30)} AS line FROM c),
+  t AS (SELECT *, coalesce(lead(line, 29) {sql.ORDER}, 0.0::DOUBLE) AS late FROM l),
+  v AS (SELECT symbol, timestamp, i, line, {sql.so_far('late')} AS lates FROM t),
+  z AS (SELECT *, {sql.ema('lates', 'sma', 18)} AS sig FROM v), g AS (SELECT *, line - lag(sig, 29) {sql.ORDER} AS gap FROM z),
+  m AS (SELECT *, CASE WHEN i >= 46 AND gap > 0 THEN 'MacdLE' WHEN i >= 46 AND gap < 0 THEN 'MacdSE' END AS side FROM g)"""
+query("live_macd", f"WITH {sql.bars(4)}{LIVE_MACD}, {sql.labels('m', sql.lag('side'), 0)}")(
+    lambda s, d: backtest.live_macd(at(s, d)).select(*KEY, "label")
+)
 query("autoregression")(lambda s, d: backtest.fit_autoregression(at(s, d).withColumn("r", F.log(F.col("close") / lag("close"))), "r").select(*KEY, "r", "fitted"))
 
 WIN = f", n AS (SELECT *, {sql.index()} AS i, count(*) OVER (PARTITION BY symbol) AS n FROM bars), w AS (SELECT *, i // 30 AS window_id, (i % 30)::INT AS bar FROM n WHERE (i // 30 + 1) * 30 <= n)"

@@ -44,5 +44,14 @@ def ema(values: str, kind: str, span: float) -> str:
     return f"(CASE WHEN {n} >= {s} THEN list_sum(list_transform({values}, lambda v, k: v * CASE WHEN k <= {s} THEN pow({q!r}, {n} - {s}) / {s} ELSE {a!r} * pow({q!r}, {n} - k) END)) END)"
 
 
+def labels(source: str, raw: str, skip: int) -> str:
+    """A label where raw differs from the last one, without the first `skip` of them: two CTEs after a source's, and the
+    select."""
+    before = "last_value(raw IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY timestamp ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    return f"""lr AS (SELECT symbol, timestamp, {raw} AS raw FROM {source}),
+      lk AS (SELECT *, CASE WHEN raw IS NOT NULL AND raw IS DISTINCT FROM {before} THEN raw END AS kept FROM lr)
+      SELECT symbol, timestamp, CASE WHEN count(kept) {ORDER} > {skip} THEN kept END AS label FROM lk"""
+
+
 def rounded(columns: list[str], digits: int = 6) -> str:
     return ", ".join(f'round({c}, {digits}) AS "{c}"' for c in columns)

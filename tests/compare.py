@@ -20,12 +20,13 @@ def rows_of(frame: pd.DataFrame, columns: list[str]) -> list:
     return sorted(tuple(map(str, map(_plain, r))) for r in frame[columns].astype(object).itertuples(index=False))
 
 
-def assert_same(spark, query, sql: str, folder: str) -> None:
+def assert_same(spark, query, sql: str, folder: str, tables: list[str] = TABLES) -> pd.DataFrame:
     ours = query(spark, folder).toPandas()
     db = duckdb.connect()
-    for name in TABLES:
+    for name in tables:
         db.sql(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet'")
     theirs = db.sql(sql).df()
     assert sorted(ours.columns) == sorted(theirs.columns)
     columns = sorted(ours.columns)
     assert rows_of(ours, columns) == rows_of(theirs, columns)
+    return ours
