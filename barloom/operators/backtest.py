@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -97,12 +101,26 @@ def agreement(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def fit_autoregression(df: DataFrame, target: str, lags: int = 3) -> DataFrame:
-    """df with fitted: a least-squares autoregression of the target on its lags, for all series at once by
-    LinearRegression. It stands in for a maximum-likelihood ARIMA fit, which Spark has no operator for."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
-
+    """df with fitted: a least-squares autoregression of the target on its lags, one for each series, from the means and
+    covariances of its lags. It stands in for a maximum-likelihood ARIMA fit, which Spark has no operator for. Rows
+    without a target or without all its lags go; where lags depend on each other the smallest weights are taken."""
     x = [f"__{k}" for k in range(1, lags + 1)]
-    rows = VectorAssembler(inputCols=x, outputCol="__x", handleInvalid="skip").transform(add(df, **{f"__{k}": lag(target, k) for k in range(1, lags + 1)}).filter(F.col(target).isNotNull()))
-    model = LinearRegression(featuresCol="__x", labelCol=target, predictionCol="fitted", solver="normal").fit(rows)
-    return model.transform(rows).drop("__x", *x)
+    rows = add(df, **{f"__{k}": lag(target, k) for k in range(1, lags + 1)}).dropna(subset=[target, *x])
+    means = F.array(*[F.avg(c) for c in [target, *x]]).alias("means")
+    covariances = F.array(*[F.covar_pop(a, b) for a in x for b in [*x, target]]).alias("covariances")
+    moments = rows.groupBy(*[F.col(k).alias(f"__{k}") for k in KEYS]).agg(means, covariances)
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in batches:
+            weights = []
+            for mean, covariance in zip(g["means"], g["covariances"]):
+                c = np.reshape(covariance, (lags, lags + 1))
+                w = np.linalg.lstsq(c[:, :-1], c[:, -1], rcond=None)[0]
+                weights.append([mean[0] - w @ mean[1:], *w])
+            yield g[[f"__{k}" for k in KEYS]].assign(__w=weights)
+
+    keys = ", ".join(f"__{k} {df.schema[k].dataType.simpleString()}" for k in KEYS)
+    fits = moments.mapInPandas(solve, f"{keys}, __w array<double>")
+    same = " AND ".join(f"{k} <=> __{k}" for k in KEYS)
+    fitted = sum((F.col("__w")[k] * F.col(f"__{k}") for k in range(1, lags + 1)), F.col("__w")[0])
+    return rows.join(fits, F.expr(same)).withColumn("fitted", fitted).drop("__w", *x, *[f"__{k}" for k in KEYS])

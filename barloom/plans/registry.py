@@ -310,7 +310,16 @@ LIVE_MACD = f""", c AS (SELECT symbol, timestamp, {sql.index()} AS i, {sql.so_fa
 query("live_macd", f"WITH {sql.bars(4)}{LIVE_MACD}, {sql.labels('m', sql.lag('side'), 0)}")(
     lambda s, d: backtest.live_macd(at(s, d)).select(*KEY, "label")
 )
-query("autoregression")(lambda s, d: backtest.fit_autoregression(at(s, d).withColumn("r", F.log(F.col("close") / lag("close"))), "r").select(*KEY, "r", "fitted"))
+AUTOREGRESSION = f"""WITH {sql.bars(4)}, q AS (SELECT symbol, timestamp, ln(close / {sql.lag('close')}) AS r FROM bars),
+  p AS (SELECT *, {sql.lag('r')} AS x1, {sql.lag('r', 2)} AS x2, {sql.lag('r', 3)} AS x3 FROM q), k AS (SELECT * FROM p WHERE r + x1 + x2 + x3 IS NOT NULL),
+  c AS (SELECT symbol, avg(r) AS m0, avg(x1) AS m1, avg(x2) AS m2, avg(x3) AS m3, covar_pop(x1, x1) AS a11, covar_pop(x1, x2) AS a12, covar_pop(x1, x3) AS a13,
+    covar_pop(x2, x2) AS a22, covar_pop(x2, x3) AS a23, covar_pop(x3, x3) AS a33, covar_pop(x1, r) AS b1, covar_pop(x2, r) AS b2, covar_pop(x3, r) AS b3 FROM k GROUP BY symbol),
+  e AS (SELECT *, a22 - a12 * a12 / a11 AS s22, a23 - a12 * a13 / a11 AS s23, a33 - a13 * a13 / a11 AS s33, b2 - a12 * b1 / a11 AS t2, b3 - a13 * b1 / a11 AS t3 FROM c),
+  f AS (SELECT *, (t3 - s23 * t2 / s22) / (s33 - s23 * s23 / s22) AS w3 FROM e), g AS (SELECT *, (t2 - s23 * w3) / s22 AS w2 FROM f), h AS (SELECT *, (b1 - a12 * w2 - a13 * w3) / a11 AS w1 FROM g)
+  SELECT symbol, timestamp, round(r, 6) AS r, round(m0 + w1 * (x1 - m1) + w2 * (x2 - m2) + w3 * (x3 - m3), 6) AS fitted FROM k JOIN h USING (symbol)"""
+query("autoregression", AUTOREGRESSION)(
+    lambda s, d: backtest.fit_autoregression(at(s, d).withColumn("r", F.log(F.col("close") / lag("close"))), "r").select(*KEY, F.round("r", 6).alias("r"), F.round("fitted", 6).alias("fitted"))
+)
 
 WIN = f", n AS (SELECT *, {sql.index()} AS i, count(*) OVER (PARTITION BY symbol) AS n FROM bars), w AS (SELECT *, i // 30 AS window_id, (i % 30)::INT AS bar FROM n WHERE (i // 30 + 1) * 30 <= n)"
 query("trend", f"WITH {sql.bars(12)}{WIN} SELECT symbol, interval, window_id::BIGINT AS window_id, CASE WHEN sum(close - open) > 0 THEN 'UP' WHEN sum(close - open) < 0 THEN 'DOWN' ELSE 'None' END AS trend FROM w GROUP BY ALL")(lambda s, d: geometry.trend(geometry.windows(at(s, d, 12), 30, 30)))
