@@ -104,3 +104,17 @@ def append_features(features: DataFrame, new_bars: DataFrame, pipeline, lookback
     last = features.groupBy("symbol", "interval").agg(F.max("timestamp").alias("__m"))
     out = pipeline(recent.unionByName(new_bars.select(*bars))).join(last, ["symbol", "interval"], "left")
     return features.unionByName(out.filter(F.col("__m").isNull() | (F.col("timestamp") > F.col("__m"))).drop("__m"))
+
+
+def common_rows(frames: list[DataFrame], features: list[str]) -> DataFrame:
+    """(symbol, interval, timestamp, features) of the rows that all frames have; each feature from the first frame that
+    has it, null as 0. A feature of no frame raises. Each frame keeps only what it gives, so all joins are on one key."""
+    keys, left, out = ["symbol", "interval", "timestamp"], list(features), None
+    for f in frames:
+        own = [c for c in left if c in f.columns]
+        left = [c for c in left if c not in own]
+        part = f.select(*keys, *own)
+        out = part if out is None else out.join(part, keys)
+    if left:
+        raise ValueError(f"no frame has {', '.join(left)}")
+    return out.select(*keys, *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in features])

@@ -38,6 +38,19 @@ def rolling(df: DataFrame, windows: int, train: float = 0.85, val: float = 0.10,
     return out.drop("__n", "__i")
 
 
+def rolling_fixed(df: DataFrame, windows: int, val_start: int, val_rows: int, seq_len: int = 4, offset: int = 1, samples: int = 5) -> DataFrame:
+    """df for each rolling window (window_id) with fixed places: val begins at row val_start (from 1), `offset * samples`
+    rows further in each window, and takes one row more than val_rows, the one between val and test. The test rows
+    follow and shrink at the end; rows after are "unknown". A window whose test would not hold seq_len rows ends."""
+    n, i = F.count("*").over(Window.partitionBy(*KEYS)), F.col("__i")
+    base = df.withColumn("__n", n).withColumn("__i", row_index()).withColumn("window_id", F.explode(F.sequence(F.lit(0), F.lit(windows - 1))))
+    start = F.lit(val_start - 1) + offset * samples * F.col("window_id")
+    end = start + val_rows + 1
+    size = F.least(F.lit(seq_len + offset * (samples - 1)), F.col("__n") - end)
+    split = F.when(i < start, "train").when(i < end, "val").when(i < end + size, "test").otherwise("unknown")
+    return base.filter(F.col("__n") - end >= seq_len).withColumn("split", split).drop("__n", "__i")
+
+
 def fit_zscore(df: DataFrame, features: list[str], skip: int = 0) -> DataFrame:
     """(symbol, interval, feature, mean, std) over the train rows from row `skip` on; a std of 0 or none counts as 1,
     a mean of nothing as 0. One aggregation for all features."""

@@ -128,12 +128,13 @@ def composite_scores(parts: DataFrame, core: list[str]) -> DataFrame:
     return parts.select("feature", (F.when(F.col("feature").isin(core), 10.0).otherwise(1.0) + sum(5 * F.coalesce(p, F.lit(0.0)) for p in points)).alias("score"))
 
 
-def select_best(scores: DataFrame, core: list[str], total: int, per_group: int = 2) -> list[str]:
-    """Core features, then the best of each group, then the best of the rest, up to total. One row per feature."""
-    ranked = scores.withColumn("group", feature_group()).withColumn("place", F.row_number().over(Window.partitionBy("group").orderBy(F.desc("score"), "feature")))
-    rows = ranked.select("feature", "score", "place").collect()
-    order = sorted(rows, key=lambda r: (r["feature"] not in core, r["place"] > per_group, -r["score"], r["feature"]))
-    return [r["feature"] for r in order[:total]]
+def select_best(scores: DataFrame, core: list[str], total: int, per_group: int = 2) -> DataFrame:
+    """(place, feature, score) of the selected: core features, then the best of each group but prices, then the best of
+    the rest up to total; core and groups stay whole where they are more. Scores have one row for each feature."""
+    ranked = scores.withColumn("group", feature_group()).withColumn("rank", F.row_number().over(Window.partitionBy("group").orderBy(F.desc("score"), "feature")))
+    kind = F.when(F.col("feature").isin(core), 0).when((F.col("rank") <= per_group) & (F.col("group") != "Price"), 1).otherwise(2)
+    ordered = ranked.withColumn("kind", kind).withColumn("place", F.row_number().over(Window.orderBy("kind", F.desc("score"), "feature")))
+    return ordered.filter((F.col("kind") < 2) | (F.col("place") <= total)).select("place", "feature", "score")
 
 
 def fit_pca(train: DataFrame, columns: list[str], k: int, robust: bool = False) -> PipelineModel:

@@ -279,6 +279,30 @@ def feature_selection(spark: SparkSession, d: str) -> DataFrame:
     return stats.composite_scores(parts, ["close", "volume", "RSI_14"])
 
 
+@query("selected_features")
+def selected_features(spark: SparkSession, d: str) -> DataFrame:
+    return stats.select_best(feature_selection(spark, d), ["open", "high", "low", "close", "volume"], 30).select("place", "feature", F.round("score", 6).alias("score"))
+
+
+ROLLING_FIXED = f"""WITH {sql.bars(4)}, n AS (SELECT symbol, timestamp, {sql.index()} AS i, count(*) OVER (PARTITION BY symbol) AS n FROM bars),
+  e AS (SELECT *, 39 + 5 * k AS s, 39 + 5 * k + 13 AS t FROM n, (SELECT unnest(range(4)) AS k))
+  SELECT symbol, timestamp, k::INT AS window_id, CASE WHEN i < s THEN 'train' WHEN i < t THEN 'val' WHEN i < t + least(8, n - t) THEN 'test' ELSE 'unknown' END AS split
+  FROM e WHERE n - t >= 4"""
+query("rolling_split_fixed", ROLLING_FIXED)(
+    lambda s, d: splits.rolling_fixed(at(s, d), 4, 40, 12).select(*KEY, "window_id", "split")
+)
+SPANS = (5, 10, 20, 50)
+COMMON = f"""WITH {sql.bars(4)}, a AS (SELECT symbol, interval, timestamp, {", ".join(f"{sql.roll('avg', 'close', n)} AS avg_{n}" for n in SPANS)} FROM bars)
+  SELECT symbol, timestamp, {sql.rounded([f"avg_{n}" for n in SPANS])} FROM a WHERE avg_50 IS NOT NULL"""
+
+
+@query("common_rows", COMMON)
+def common_rows(spark: SparkSession, d: str) -> DataFrame:
+    df = at(spark, d)
+    frames = [df.withColumn(f"avg_{n}", roll(F.avg, "close", n)).dropna(subset=[f"avg_{n}"]) for n in SPANS]
+    return shown(align.common_rows(frames, [f"avg_{n}" for n in SPANS]), [f"avg_{n}" for n in SPANS])
+
+
 # --- back-tests, labels, lines ---
 
 simple("running_peak", {"peak": f"max(close) {sql.ORDER}", "fall": f"1 - close / max(close) {sql.ORDER}"}, lambda df: df.withColumn("peak", F.max("close").over(backtest.so_far())).withColumn("fall", 1 - F.col("close") / F.col("peak")))
@@ -329,7 +353,7 @@ query("wick_overlap", f"""WITH {sql.bars(12)}{WIN}, k AS (SELECT *, greatest(ope
 )
 LINES = """, tr AS (SELECT symbol, window_id, CASE WHEN sum(close - open) > 0 THEN 'UP' WHEN sum(close - open) < 0 THEN 'DOWN' END AS trend FROM w GROUP BY ALL),
   s AS (SELECT w.*, trend, CASE WHEN trend = 'UP' THEN low ELSE high END AS tip, CASE WHEN trend = 'UP' THEN least(open, close) ELSE greatest(open, close) END AS edge FROM w JOIN tr USING (symbol, window_id) WHERE trend IS NOT NULL),
-  pt AS (SELECT DISTINCT symbol, interval, window_id, trend, bar, tip + (edge - tip) * k / 2 AS y FROM s, (SELECT unnest(range(3)) AS k)),
+  pt AS (SELECT DISTINCT symbol, interval, window_id, trend, bar, tip + (edge - tip) * k / 5 AS y FROM s, (SELECT unnest(range(6)) AS k)),
   ln AS (SELECT a.symbol, a.interval, a.window_id, a.trend, a.bar AS x1, a.y AS y1, b.bar AS x2, b.y AS y2, (b.y - a.y) / (b.bar - a.bar) AS sl FROM pt a JOIN pt b ON a.symbol = b.symbol AND a.window_id = b.window_id AND a.bar < b.bar),
   lf AS (SELECT * FROM ln WHERE CASE WHEN trend = 'UP' THEN sl >= 0 ELSE sl <= 0 END),
   j AS (SELECT lf.*, s.open, s.high, s.low, s.close, s.tip, s.edge, y1 + sl * (s.bar - x1) AS y FROM lf JOIN s ON s.symbol = lf.symbol AND s.window_id = lf.window_id),
@@ -361,7 +385,22 @@ def trendline_breakouts(spark: SparkSession, d: str) -> DataFrame:
 @query("trendline_offsets")
 def trendline_offsets(spark: SparkSession, d: str) -> DataFrame:
     w = geometry.windows(at(spark, d, 12), SIZE, STEP)
-    return geometry.clear_offset(geometry.best_lines(geometry.trend_lines(w, least=2)), w, 0.5)
+    return geometry.clear_offset(geometry.best_lines(geometry.trend_lines(w, least=2)), w, TICK)
+
+
+#: One unit of the last decimal of the prices, which have two.
+TICK = 0.01
+
+
+@query("trendline_channels")
+def trendline_channels(spark: SparkSession, d: str) -> DataFrame:
+    """Each window's best channel of all its lines: cleared copy, middle line, far line, new line and first breakout."""
+    df = at(spark, d, 12)
+    w = geometry.windows(df, SIZE, STEP)
+    lines = geometry.clear_offset(geometry.trend_lines(w, least=3), w, TICK)
+    far = geometry.far_lines(geometry.middle_lines(lines, w, TICK), w)
+    return geometry.channel_breakouts(geometry.best_far_lines(far), df, TICK, SIZE, STEP)
+
 
 # --- streams: the files of the table as a stream, run over what is there ---
 

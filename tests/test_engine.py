@@ -189,6 +189,85 @@ def test_lines_cross_no_body(spark, walk):
             assert free == (k == line.offset)
 
 
+def channels_of(bars, lines, tick):
+    """The best channel of one window by loops: lines are (x1, y1, x2, y2, offset)."""
+    up = sum(b.close - b.open for b in bars) > 0
+    sign, rows = (1 if up else -1), []
+    body = [(min(b.open, b.close), max(b.open, b.close)) for b in bars]
+    wick = {True: [(b.low, lo) for b, (lo, hi) in zip(bars, body)], False: [(hi, b.high) for b, (lo, hi) in zip(bars, body)]}
+
+    def count(y1, x1, slope, lower):
+        return sum(a <= round(y1 + slope * (b - x1), 6) <= e for b, (a, e) in enumerate(wick[lower]))
+
+    for x1, y1, x2, y2, offset in lines:
+        slope, gap, places, t = (y2 - y1) / (x2 - x1), offset * tick, [], tick
+        for k in range(6):
+            t = tick + k * gap * 0.2
+            if t < gap:
+                places.append((count(y1 + sign * t, x1, slope, up), t))
+        for score, shift in places:
+            if score < max(places)[0]:
+                continue
+            far = [(count(y1 + sign * (shift + shift * m), x1, slope, not up), -m) for m in (1, 1.4, 1.8)]
+            best, m = max(far)
+            tips = [bars[x].low if up else bars[x].high for x in (x1, x2)]
+            back = min(abs(y1 - max(tips)) + 0.05 * (max(b.high for b in bars) - min(b.low for b in bars)), shift)
+            rows.append((-best, slope if slope > 0 else math.inf, x1, y1, x2, y2, shift, offset, shift - shift * m, back))
+    return min(rows) if rows else None
+
+
+def test_channels_match_loops(spark, walk):
+    df, tick = series(spark, walk[:120]), 0.01
+    w = geometry.windows(df, 20, 10)
+    lines = geometry.clear_offset(geometry.trend_lines(w, grid=2, least=2), w, tick).cache()
+    best = geometry.best_far_lines(geometry.far_lines(geometry.middle_lines(lines, w, tick), w))
+    found = {r.window_id: r for r in geometry.channel_breakouts(best, df, tick, 20, 10, ahead=2).collect()}
+    every, bars = df.orderBy("timestamp").collect(), {}
+    for r in lines.collect():
+        bars.setdefault(r.window_id, []).append((r.x1, r.y1, r.x2, r.y2, r.offset))
+    assert len(found) > 3
+    for k, own in bars.items():
+        want = channels_of(every[10 * k : 10 * k + 20], own, tick)
+        if want is None:
+            assert k not in found
+            continue
+        r = found[k]
+        _, _, x1, y1, x2, y2, shift, offset, far, back = want
+        assert (r.x1, r.x2, r.offset, r.far_touches) == (x1, x2, offset, -want[0])
+        assert np.allclose([r.y1, r.y2, r.shift, r.far_shift, r.back_shift], [y1, y2, shift, far, back])
+        sign, out = (1 if r.trend == "UP" else -1), None
+        for i in range(10 * k + 20, len(every)):
+            y = y1 + (y2 - y1) / (x2 - x1) * (i - 10 * k - x1)
+            near, clear, b = y - sign * back, y + sign * offset * tick, every[i]
+            if (b.low < near or b.high > clear) if sign > 0 else (b.high > near or b.low < clear):
+                out = i - 10 * k
+                break
+        assert r.breakout == out
+    away = best.withColumn("offset", F.lit(10**5)).withColumn("back_shift", F.lit(1000.0))  # no bar leaves these
+    assert geometry.channel_breakouts(away, df, tick, 20, 10).filter("breakout is not null").count() == 0
+    late = best.withColumn("offset", F.lit(300)).withColumn("back_shift", F.lit(3.0))  # bars that leave later than the next two
+    one, two = (sorted(map(tuple, geometry.channel_breakouts(late, df, tick, 20, 10, ahead=n).collect())) for n in (2, 200))
+    assert one == two
+
+
+def test_best_features_by_group(spark):
+    scores = [("close", 1.0), ("open", 9.0), ("RSI_14", 8.0), ("RSI_a", 8.0), ("RSI_b", 2.0), ("MACD_x", 3.0), ("other", 7.0), ("HORIZON_z", 0.5)]
+    got = stats.select_best(spark.createDataFrame(scores, "feature string, score double"), ["close"], 7, 2).orderBy("place").collect()
+    assert [r.feature for r in got] == ["close", "RSI_14", "RSI_a", "MACD_x", "HORIZON_z", "open", "other"]
+    few = stats.select_best(spark.createDataFrame(scores, "feature string, score double"), ["close"], 2, 2)
+    assert few.count() == 5  # core and groups stay whole
+
+
+def test_common_rows_take_the_first_frame(spark, walk):
+    df = series(spark, walk[:6]).select("symbol", "interval", "timestamp", "close")
+    a, b = df.filter(F.col("close") != walk[2]).withColumn("x", F.lit(1.0)), df.limit(5).withColumn("x", F.lit(2.0)).withColumn("z", F.lit(None).cast("double"))
+    out = align.common_rows([a, b], ["x", "z"])
+    assert out.columns == ["symbol", "interval", "timestamp", "x", "z"] and {(r.x, r.z) for r in out.collect()} == {(1.0, 0.0)}
+    assert align.common_rows([a, b.limit(0)], ["x"]).count() == 0
+    with pytest.raises(ValueError, match="no frame has"):
+        align.common_rows([a, b], ["nothing"])
+
+
 def test_csv_pages_and_times(spark, tmp_path):
     (tmp_path / "x.csv").write_text("time,open,high,low,close,volume,extra\n1704067200,1,2,0.5,1.5,10,7\n2024-01-01 01:00:00,1,2,x,1.5,10,7\n")
     rows = candles.read_csv(spark, str(tmp_path / "x.csv"), "s", "1h").orderBy("timestamp").collect()
@@ -238,7 +317,7 @@ def lines_of(bars):
     o, h, l, c = (np.array([r[k] for r in bars]) for k in ("open", "high", "low", "close"))
     up, lo, hi = sum(c - o) > 0, np.minimum(o, c), np.maximum(o, c)
     tip, edge = (l, lo) if up else (h, hi)
-    points = [(b, y) for b in range(len(bars)) for y in sorted({tip[b] + (edge[b] - tip[b]) * k / 2 for k in range(3)})]
+    points = [(b, y) for b in range(len(bars)) for y in sorted({tip[b] + (edge[b] - tip[b]) * k / 5 for k in range(6)})]
     out = {}
     for x1, y1 in points:
         for x2, y2 in points:
