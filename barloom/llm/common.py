@@ -167,17 +167,18 @@ _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 
 
-def words(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
-    """Words [^\\x20\\x09-\\x0D]+ with A-Z in lower case: a code for each word in order, the distinct words, and where
-    each text's words begin (one more than texts). Null counts as empty."""
+def words(texts: pa.Array, blank: np.ndarray = _BLANK, lower: bool = True) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """Words [^\\x20\\x09-\\x0D]+, or runs of bytes that blank[byte] doesn't mark, with A-Z in lower case unless told
+    otherwise: a code for each word in order, the distinct words, and where each text's words begin (one more than
+    texts). Null counts as empty."""
     raw, start = text_bytes(texts)
-    inside = ~_BLANK[raw]
+    inside = ~blank[raw]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     edge = start[:-1][np.diff(start) > 0]
     first[edge] = inside[edge]
     at = np.flatnonzero(first)
-    kept = _LOWER[raw[inside]]
+    kept = _LOWER[raw[inside]] if lower else raw[inside]
     offset = np.append(np.cumsum(inside)[at] - 1, len(kept)).astype(np.int64)
     coded = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(offset), pa.py_buffer(kept)).dictionary_encode()
     return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist(), np.searchsorted(at, start)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barloom.llm import decontaminate, fingerprint, jaccard, katz, licenses, mixing, pii, sentences, suffixes, toxicity
+from barloom.llm import decontaminate, fingerprint, jaccard, katz, licenses, mixing, periodic, pii, resample, sentences, suffixes, toxicity, warc
 
 
 def queries() -> dict:
@@ -17,8 +17,16 @@ def queries() -> dict:
         "op8_license_scan": licenses.op8_license_scan,
         "op9_near_duplicates": jaccard.op9_near_duplicates,
         "op10_repeated_substrings": suffixes.op10_repeated_substrings,
+        "op11_importance_resample": resample.op11_importance_resample,
+        "op12_periodic_runs": periodic.op12_periodic_runs,
+        "op13_warc_archive": warc.op13_warc_archive,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op4_mix_sources": mixing.OP4_SQL}
+    return {
+        "op4_mix_sources": mixing.OP4_SQL,
+        "op11_importance_resample": resample.OP11_SQL,
+        "op12_periodic_runs": periodic.OP12_SQL,
+        "op13_warc_archive": warc.OP13_SQL,
+    }
