@@ -7,10 +7,11 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 def _plain(v):
-    if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+    if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
         return None
     if isinstance(v, float):
-        return float(f"{v:.9g}") + 0.0
+        v = float(f"{v:.9g}") + 0.0
+        return int(v) if abs(v) < 1e9 and v == int(v) else v  # integers with nulls among them come as floats
     if hasattr(v, "isoformat"):
         return pd.Timestamp(v).isoformat()
     return v if isinstance(v, (str, bool)) else int(v) if type(v).__name__.startswith("int") else str(v)
