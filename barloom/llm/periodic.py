@@ -11,6 +11,8 @@ the others and has the same ends: of equal stretches the one with the smallest p
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -165,15 +167,31 @@ def periodic_runs(docs: DataFrame, text_col: str = "text", lags: int = LAGS, lea
     return _short(docs.filter(~long), text_col, least, repeats).unionByName(_long(docs.filter(long), text_col, lags, least, repeats))
 
 
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def loop(doc_id: int, text: str | None) -> str | None:
+    """The text, or its words with those of a short stretch coming again and again: word i >= a is word a + (i - a) % p,
+    with a and p from crc32 of the id."""
+    h = zlib.crc32(str(doc_id).encode())
+    ws = _WORD.findall(text or "") if h % 10 == 0 else []
+    if not ws:
+        return text
+    n, g = len(ws), h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return " ".join(ws[:a] + (ws[a : a + p] * (1 + (n - a) // p))[: n - a])
+
+
 def looped(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) with a loop in every tenth document, by crc32 of its id: from some word on, the words of a short
-    stretch come again and again. A null id has no loop, a null text stays null."""
-    ws, h = F.col("ws"), F.crc32(F.col("doc_id").cast("string").cast("binary"))
-    d = docs.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), 1)).alias("ws"))
-    d = d.withColumns({"n": F.size(ws), "g": F.floor(F.col("h") / 10)}).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
-    d = d.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
-    tail = F.transform(F.sequence(F.lit(0), F.col("n") - F.col("a") - 1), lambda i: F.get(ws, F.col("a") + i % F.col("p")))
-    return d.select("doc_id", F.when(F.col("n") > 0, F.concat_ws(" ", F.slice(ws, 1, F.col("a")), tail)).otherwise(F.col("text")).alias("text"))
+    """(doc_id, text) with a loop in every tenth document, by crc32 of its id. A null id has no loop, a null text stays."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            texts = [t if i is None else loop(i, t) for i, t in zip(part["doc_id"].to_pylist(), part["text"].to_pylist())]
+            yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(texts, pa.string())], names=["doc_id", "text"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, text string")
 
 
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Periodic runs against a plain search, in one piece and dealt out by lags, and on odd rows."""
 
 import random
+import zlib
 from pathlib import Path
 
 import pytest
@@ -63,6 +64,19 @@ def test_long_texts_are_dealt_out_by_lags(spark):
     assert [tuple(x) for x in periodic.periodic_runs(df, lags=100).first().runs] == [(0, 3500, 700), (3500, 9, 1)]
 
 
+def test_loops():
+    """Word i >= a is word a + (i - a) % p."""
+    for doc_id in range(300):
+        h = zlib.crc32(str(doc_id).encode())
+        ws = [f"w{i}" for i in range(doc_id % 70)]
+        want = list(ws)
+        if h % 10 == 0 and ws:
+            a = h // 10 % len(ws)
+            want[a:] = [ws[a + (i - a) % (1 + (len(ws) - a) // (3 + h // 10 % 8))] for i in range(a, len(ws))]
+        assert periodic.loop(doc_id, " ".join(ws)) == " ".join(want)
+    assert periodic.loop(1, None) is None
+
+
 def test_empty_table(spark):
     assert periodic.periodic_runs(spark.createDataFrame([], "text string")).count() == 0
 
