@@ -11,7 +11,7 @@ from barloom.functions.frames import lag, roll
 from barloom.functions.recursive import ema
 from barloom.operators import align, backtest, families, geometry, splits, stats
 from barloom.operators.bars import bars, daily_bars, direction, forward_label, forward_return, ticks
-from barloom.plans import sql
+from barloom.plans import sql, streams
 from barloom.streaming import trades
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,11 +32,11 @@ def query(name: str, oracle: str | None = None):
 
 
 def queries() -> dict[str, Query]:
-    return dict(QUERIES)
+    return QUERIES | streams.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE)
+    return ORACLE | streams.ORACLE
 
 
 def at(spark: SparkSession, d: str, hours: int = 4) -> DataFrame:
@@ -407,4 +407,3 @@ def trendline_channels(spark: SparkSession, d: str) -> DataFrame:
 query("stream_bars_12h", f"WITH {sql.bars(12)}, m AS (SELECT max(ts) - INTERVAL 1 hour AS mark FROM events) SELECT symbol, timestamp, open, high, low, close, round(volume, 6) AS volume, trades FROM bars, m WHERE timestamp + INTERVAL 12 hours <= mark")(
     lambda s, d: shown(trades.run_once(trades.stream_bars(trades.read_trades(s, d), 12), "bars").withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz")), ["open", "high", "low", "close", "volume", "trades"])
 )
-query("stream_trends")(lambda s, d: trades.run_once(trades.trends(trades.read_trades(s, d).select("symbol", "ts", F.col("price").alias("close")), 40), "trends"))

@@ -1,16 +1,13 @@
-"""Streams of trades: candles with a watermark, and a keyed trend state."""
+"""Streams of trades, and candles of them with a watermark."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from barloom.functions.folders import shared_folder
 from barloom.operators.bars import bars
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -30,44 +27,7 @@ def stream_bars(trades: DataFrame, hours: int, late: str = "1 hour") -> DataFram
 def run_once(df: DataFrame, name: str) -> DataFrame:
     """Runs a stream over what is there, to files in the session's shared folder, and reads them."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='barloom-')}"
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     query = df.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/log").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{path}/out")
-
-
-def _average(values: list[float], span: int) -> float:
-    a, top, bottom = 2 / (span + 1), 0.0, 0.0
-    for v in values:
-        top, bottom = top * (1 - a) + v, bottom * (1 - a) + 1
-    return top / bottom if bottom else 0.0
-
-
-def macd_histogram(closes: list[float], fast: int = 12, slow: int = 26, signal: int = 9) -> list[float]:
-    """Line minus signal for each close of a short list."""
-    line = [_average(closes[: i + 1], fast) - _average(closes[: i + 1], slow) for i in range(len(closes))]
-    return [x - _average(line[: i + 1], signal) for i, x in enumerate(line)]
-
-
-def trends(closes: DataFrame, length: int = 60) -> DataFrame:
-    """(symbol, ts, close, trend) for each closed bar of a stream (symbol, ts, close): a state for each symbol keeps
-    the last `length` closes, oldest out, skips prices of 0, and tells UP or DOWN when the histogram changes sign;
-    the first sign is the initial trend."""
-
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept, trend = (list(state.get[0]), state.get[1]) if state.exists else ([], "None")
-        out = []
-        for row in pd.concat(list(parts)).sort_values("ts").itertuples():
-            if not row.close:
-                continue
-            kept = [*kept, row.close][-length:]
-            h = macd_histogram(kept)[-1]
-            now = "UP" if h > 0 else "DOWN" if h < 0 else trend
-            if now != trend:
-                trend = now
-                out.append((key[0], row.ts, row.close, trend))
-        state.update((kept, trend))
-        yield pd.DataFrame(out, columns=["symbol", "ts", "close", "trend"])
-
-    return closes.groupBy("symbol").applyInPandasWithState(step, "symbol string, ts timestamp, close double, trend string", "closes array<double>, trend string", "append", GroupStateTimeout.NoTimeout)

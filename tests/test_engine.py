@@ -12,7 +12,7 @@ from barloom.functions.recursive import ema
 from barloom.operators import align, backtest, families, geometry, splits, stats
 from barloom.plans import registry
 from barloom.sources import candles
-from barloom.streaming.trades import macd_histogram
+from barloom.streaming.trends import Averages
 
 START = datetime(2024, 1, 1)
 
@@ -287,7 +287,8 @@ def test_csv_pages_and_times(spark, tmp_path):
 def test_trend_state_uses_weighted_averages(walk):
     x = pd.Series(walk[:50])
     line = x.ewm(span=12).mean() - x.ewm(span=26).mean()
-    assert np.allclose(macd_histogram(list(walk[:50])), line - line.ewm(span=9).mean())
+    found = [Averages.of(list(walk[: n + 1]), (12, 26, 9)).histogram() for n in range(50)]
+    assert np.allclose(found, line - line.ewm(span=9).mean())
 
 
 FOLDER = "/root/testdata/sf0.001"
