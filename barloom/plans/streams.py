@@ -39,7 +39,7 @@ _SIGN = "CASE WHEN abs({h}) <= {flat} * price THEN 0 WHEN {h} > 0 THEN 1 ELSE -1
 TICK_SQL = f"""
 WITH trade AS (
     SELECT event_type AS symbol, event_id, time_bucket(INTERVAL 1 millisecond, ts) AS ts, date_trunc('minute', ts) AS m, value AS price
-    FROM events),
+    FROM events WHERE value <> 0),
 age AS (SELECT i AS j FROM range({LENGTH}) t(i)),
 line AS (
     SELECT a.j, b.j AS i, pow({_F}, a.j - b.j) / ((1 - pow({_F}, a.j + 1)) / (1 - {_F})) - pow({_S}, a.j - b.j) / ((1 - pow({_S}, a.j + 1)) / (1 - {_S})) AS w
@@ -60,7 +60,7 @@ bar AS (SELECT closed.*, nf / f - ns / s - ng / g AS h FROM closed JOIN df ON n
 bars AS (SELECT *, {_SIGN.format(h="h", flat=trends.FLAT)} AS closed_sign FROM bar),
 tick AS (
     SELECT t.symbol, t.event_id, t.ts, t.price, b.closed_sign, (b.nf * {_F} + t.price) / f - (b.ns * {_S} + t.price) / s AS line, b.ng, g
-    FROM trade t JOIN bars b USING (symbol, m) JOIN df ON n = {LENGTH + 1} WHERE t.ts >= TIMESTAMP '{START}' AND t.price <> 0),
+    FROM trade t JOIN bars b USING (symbol, m) JOIN df ON n = {LENGTH + 1} WHERE t.ts >= TIMESTAMP '{START}'),
 hist AS (SELECT *, line - (ng * {_G} + line) / g AS h FROM tick),
 signs AS (SELECT *, {_SIGN.format(h="h", flat=trends.FLAT)} AS now FROM hist),
 first AS (SELECT symbol, closed_sign AS start FROM bars WHERE m = TIMESTAMP '{START}'),

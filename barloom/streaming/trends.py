@@ -173,11 +173,12 @@ TREND = "symbol string, ts timestamp, event_id long, price double, histogram dou
 
 def minute_closes(trades: DataFrame, at: str, length: int = 60) -> DataFrame:
     """(symbol, edge, close): the closes of the `length` minutes before the time `at`, each the last price before the
-    minute's end, edge in ms; minutes before a symbol's first trade have none."""
+    minute's end, edge in ms; minutes before a symbol's first trade have none, trades
+    without a price count for nothing."""
     spans = F.explode(F.sequence(F.lit(length - 1), F.lit(0))).alias("k")
     edges = trades.select("symbol").distinct().select("symbol", spans)
     edges = edges.select("symbol", (F.lit(at).cast("timestamp") - F.make_dt_interval(mins=F.col("k"))).cast("timestamp_ntz").alias("boundary"))
-    ticks = trades.select("symbol", F.col("ts").cast("timestamp_ntz").alias("ts"), "event_id", "price")
+    ticks = trades.filter((F.col("price") != 0) & ~F.isnan("price")).select("symbol", F.col("ts").cast("timestamp_ntz").alias("ts"), "event_id", "price")
     found = last_before(ticks, edges).filter("price IS NOT NULL")
     return found.select("symbol", F.unix_millis(F.col("boundary").cast("timestamp")).alias("edge"), F.col("price").alias("close"))
 
