@@ -8,6 +8,7 @@ share the partitioning of the series.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,18 +19,19 @@ from barloom.functions.frames import KEYS, TIME, add, row_index
 BLOCK = 512
 
 
-def scan(df: DataFrame, inputs: dict[str, tuple[Column, float]]) -> DataFrame:
-    """df with a column for each name: y of the input u (null counts as 0) and the factor q, 0 < q < 1."""
+def scan(df: DataFrame, inputs: dict[str, tuple[Column, float]], keys: Sequence[str] = KEYS, time: str = TIME) -> DataFrame:
+    """df with a column for each name: y of the input u (null counts as 0) and the factor q, 0 < q < 1, by keys in the
+    order of time."""
     k = F.col("__scan_i") % BLOCK
-    df = add(df, __scan_i=row_index())
+    df = add(df, __scan_i=F.row_number().over(Window.partitionBy(*keys).orderBy(time)) - 1)
     df = add(df, __scan_b=F.floor(F.col("__scan_i") / BLOCK), **{f"__scan_u{n}": F.coalesce(u, F.lit(0.0)) for n, (u, _) in enumerate(inputs.values())})
-    own = Window.partitionBy(*KEYS, "__scan_b").orderBy(TIME).rowsBetween(Window.unboundedPreceding, 0)
+    own = Window.partitionBy(*keys, "__scan_b").orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
     df = add(df, **{f"__scan_y{n}": F.sum(F.col(f"__scan_u{n}") * F.pow(F.lit(q), -k)).over(own) * F.pow(F.lit(q), k) for n, (_, q) in enumerate(inputs.values())})
 
     def earlier(n: int, q: float) -> Column:
         total = F.lit(0.0)
         for m in range(1, max(1, math.ceil(46 / (-BLOCK * math.log(q)))) + 1):
-            block = Window.partitionBy(*KEYS).orderBy("__scan_b").rangeBetween(-m, -m)
+            block = Window.partitionBy(*keys).orderBy("__scan_b").rangeBetween(-m, -m)
             end = F.max(F.when(k == BLOCK - 1, F.col(f"__scan_y{n}"))).over(block)
             total = total + F.coalesce(end, F.lit(0.0)) * F.pow(F.lit(q), k + 1 + (m - 1) * BLOCK)
         return total

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from barloom.functions.longseries import ROWS, last_value_before
+
 
 def _prefixed(df: DataFrame, prefix: str, skip: tuple[str, ...]) -> DataFrame:
     return df.select(*[F.col(c) if c in skip else F.col(c).alias(prefix + c) for c in df.columns])
@@ -72,13 +74,13 @@ def three_frames(half_day: DataFrame, four_hours: DataFrame, day: DataFrame) ->
     return joined.withColumn("pair", F.floor(F.col("pos") / 2).cast("int")).join(days, ["symbol", "pair"])
 
 
-def last_before(trades: DataFrame, boundaries: DataFrame) -> DataFrame:
+def last_before(trades: DataFrame, boundaries: DataFrame, rows: int = ROWS) -> DataFrame:
     """For each boundary (symbol, boundary) the last trade strictly before it: (symbol, boundary, price, ts), null
-    where there is none. One sort of the union of both; no pairs are made."""
-    ticks = trades.select("symbol", F.col("ts").alias("t"), F.lit(1).alias("kind"), F.struct("price", "ts").alias("x"), F.col("event_id").alias("tie"))
-    edges = boundaries.select("symbol", F.col("boundary").alias("t"), F.lit(0).alias("kind"), F.lit(None).cast("struct<price:double,ts:timestamp_ntz>").alias("x"), F.lit(0).cast("long").alias("tie"))
-    w = Window.partitionBy("symbol").orderBy("t", "kind", "tie").rowsBetween(Window.unboundedPreceding, 0)
-    found = ticks.unionByName(edges).withColumn("last", F.last("x", ignorenulls=True).over(w)).filter("kind = 0")
+    where there is none. Trades of one time go by event_id. Time is cut into buckets of about `rows` trades, so that no
+    symbol is sorted as a whole; no pairs are made."""
+    ticks = trades.select("symbol", F.col("ts").alias("t"), "price", "event_id")
+    edges = boundaries.select("symbol", F.col("boundary").alias("t"))
+    found = last_value_before(ticks, edges, "symbol", F.struct("price", F.col("t").alias("ts")), ["event_id"], rows)
     return found.select("symbol", F.col("t").alias("boundary"), "last.price", "last.ts")
 
 

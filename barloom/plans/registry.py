@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.functions.frames import lag, roll
+from barloom.functions.longseries import ema_long
 from barloom.functions.recursive import ema
 from barloom.operators import align, backtest, families, geometry, splits, stats
 from barloom.operators.bars import bars, daily_bars, direction, forward_label, forward_return, ticks
@@ -93,7 +94,7 @@ simple("obv", {f"{M}obv_change": "oc", f"{M}obv": "obv", **{f"{M}obv_slope_{n}":
 # --- averages, MACD, Bollinger, RSI ---
 
 KINDS = {"weighted_12": ("weighted", 12), "first_10": ("first", 10), "sma_18": ("sma", 18), "wilder_14": ("wilder", 14)}
-simple("moving_averages", {f"avg_{k}": sql.ema("l", *v) for k, v in KINDS.items()}, lambda df: ema(df, {f"avg_{k}": (v[0], "close", v[1]) for k, v in KINDS.items()}), before=f", l AS (SELECT *, {sql.so_far('close')} AS l FROM bars)", source="l")
+simple("moving_averages", {f"avg_{k}": sql.ema("l", *v) for k, v in KINDS.items()}, lambda df: ema_long(df, {f"avg_{k}": (v[0], "close", v[1]) for k, v in KINDS.items()}), before=f", l AS (SELECT *, {sql.so_far('close')} AS l FROM bars)", source="l")
 
 
 def _slope(x: str, k: int, floor: str) -> str:
