@@ -3,8 +3,6 @@ features by features come to the driver."""
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import PCA, RobustScaler, StandardScaler, VectorAssembler
 from pyspark.sql import Column, DataFrame
@@ -12,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from barloom.functions.frames import KEYS, div, lag, roll
+from barloom.operators.gram import correlations
 
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -40,18 +39,6 @@ def _corr(a: str, b: str) -> Column:
     return div(F.covar_samp(px, py), F.stddev_samp(px) * F.stddev_samp(py))
 
 
-def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(f1, f2, corr) for each pair f1 before f2, over the rows that have both; null where one does not vary.
-
-    All pairs are one aggregation over one scan, grouped by the pair, so any number of columns will do."""
-    pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in combinations(range(len(columns)), 2)])
-    long = df.select(F.array(*[F.col(c).cast("double") for c in columns]).alias("v"), F.explode(pairs).alias("p"))
-    long = long.select("p.i", "p.j", F.col("v")[F.col("p.i")].alias("x"), F.col("v")[F.col("p.j")].alias("y"))
-    every = df.sparkSession.createDataFrame(list(combinations(range(len(columns)), 2)), "i int, j int")  # without rows too
-    names = F.array(*[F.lit(c) for c in columns])
-    return every.join(long.groupBy("i", "j").agg(_corr("x", "y").alias("corr")), ["i", "j"], "left").select(names[F.col("i")].alias("f1"), names[F.col("j")].alias("f2"), "corr")
-
-
 def high_pairs(df: DataFrame, columns: list[str], least: float = 0.7) -> DataFrame:
     return correlations(df, columns).filter(F.abs("corr") > least)
 
@@ -171,13 +158,3 @@ def pca_importance(model: PipelineModel, columns: list[str], components: int = 1
     loadings, share = model.stages[-1].pc.toArray(), model.stages[-1].explainedVariance
     n = min(components, loadings.shape[1])
     return {c: float(sum(abs(loadings[i, j]) * share[j] for j in range(n))) for i, c in enumerate(columns)}
-
-
-def rolling_pca(windows: DataFrame, columns: list[str], k: int) -> list[dict]:
-    """A summary for each window_id: fitted on its train rows."""
-    ids = [r[0] for r in windows.select("window_id").distinct().orderBy("window_id").collect()]
-    out = []
-    for w in ids:
-        model = fit_pca(windows.filter((F.col("window_id") == w) & (F.col("split") == "train")), columns, k)
-        out.append({"window_id": w, **component_counts(variance_table(model))})
-    return out

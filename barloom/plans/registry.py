@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barloom.functions.folders import shared_folder
 from barloom.functions.frames import lag, roll
 from barloom.functions.longseries import ema_long
 from barloom.functions.recursive import ema
-from barloom.operators import align, backtest, families, geometry, splits, stats
+from barloom.operators import align, backtest, families, geometry, gram, splits, stats
 from barloom.operators.bars import bars, daily_bars, direction, forward_label, forward_return, ticks
 from barloom.plans import sql, streams
 from barloom.streaming import trades
@@ -169,9 +171,9 @@ query("label_balance", f"WITH {sql.bars(4)}, t AS (SELECT symbol, coalesce((lead
 SPLIT = f", n AS (SELECT *, {sql.index()} AS i, count(*) OVER (PARTITION BY symbol) AS n FROM bars), s AS (SELECT *, CASE WHEN i < floor(n * 0.7::DOUBLE) THEN 'train' WHEN i < floor(n * (0.7::DOUBLE + 0.15::DOUBLE)) THEN 'val' ELSE 'test' END AS split FROM n)"
 query("chrono_split", f"WITH {sql.bars(4)}{SPLIT} SELECT symbol, timestamp, split FROM s")(lambda s, d: splits.chronological(at(s, d)).select(*KEY, "split"))
 query("fixed_split", f"WITH {sql.bars(4)} SELECT symbol, timestamp, CASE WHEN {sql.index()} + 1 < 101 THEN 'train' WHEN {sql.index()} + 1 < 131 THEN 'val' ELSE 'test' END AS split FROM bars")(lambda s, d: splits.fixed(at(s, d), 101, 30).select(*KEY, "split"))
-query("rolling_split", f"""WITH {sql.bars(4)}, n AS (SELECT *, {sql.index()} AS i, count(*) OVER (PARTITION BY symbol) AS n FROM bars), w AS (SELECT *, unnest(range(3)) AS k FROM n),
+query("rolling_split", f"""WITH {sql.bars(4)}, n AS (SELECT *, {sql.index()} AS i, count(*) OVER (PARTITION BY symbol) AS n FROM bars), w AS (SELECT *, unnest(range(100)) AS k FROM n),
   e AS (SELECT *, floor(n * 0.85::DOUBLE) + 5 * k AS t, floor(n * (0.85::DOUBLE + 0.1::DOUBLE)) + 5 * k AS v FROM w)
-  SELECT symbol, timestamp, k::INT AS window_id, CASE WHEN i < t THEN 'train' WHEN i < v THEN 'val' WHEN i < v + least(8, n - v) THEN 'test' ELSE 'unknown' END AS split FROM e WHERE n - v >= 4""")(lambda s, d: splits.rolling(at(s, d), 3).select(*KEY, "window_id", "split"))
+  SELECT symbol, timestamp, k::INT AS window_id, CASE WHEN i < t THEN 'train' WHEN i < v THEN 'val' WHEN i < v + least(8, n - v) THEN 'test' ELSE 'unknown' END AS split FROM e WHERE n - v >= 4""")(lambda s, d: splits.rolling(at(s, d), 100).select(*KEY, "window_id", "split"))
 
 
 @query("zscore_train", f"WITH {sql.bars(4)}{SPLIT}, p AS (SELECT symbol, avg(close) AS mc, stddev_samp(close) AS sc, avg(volume) AS mv, stddev_samp(volume) AS sv FROM s WHERE split = 'train' AND i >= 10 GROUP BY symbol) SELECT symbol, timestamp, split, round((close - mc) / sc, 6) AS close_norm, round((volume - mv) / sv, 6) AS volume_norm FROM s JOIN p USING (symbol)")
@@ -228,9 +230,6 @@ query("describe", f"""WITH {sql.bars(4)}{LONG}, q AS (SELECT feature, count(*) A
   SELECT feature, n, nulls, zeros, {sql.rounded(['mean', 'std', 'min', 'p25', 'median', 'p75', 'max'])}, outliers FROM q JOIN o USING (feature)""")(lambda s, d: shown(stats.describe(at(s, d), DESC), ["n", "nulls", "zeros", "mean", "std", "min", "p25", "median", "p75", "max", "outliers"], ["feature"]))
 query("value_counts", "SELECT event_type AS value, count(*) AS n FROM events GROUP BY ALL")(lambda s, d: stats.value_counts(s.read.parquet(f"{d}/events.parquet"), "event_type"))
 query("time_range", f"WITH {sql.bars(4)} SELECT symbol, interval, min(timestamp) AS first, max(timestamp) AS last, count(*) AS n FROM bars GROUP BY ALL")(lambda s, d: stats.time_range(at(s, d)))
-E8 = [f"e{i}" for i in range(8)]
-
-
 E64 = [f"e{i}" for i in range(64)]
 
 
@@ -238,10 +237,16 @@ def vectors(spark: SparkSession, d: str, n: int = 64) -> DataFrame:
     return spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(n)])
 
 
-VEC = "v AS (SELECT vec_id, label, " + ", ".join(f"embedding[{i + 1}]::DOUBLE AS e{i}" for i in range(8)) + " FROM embeddings)"
-query("corr_pairs", f"WITH {VEC} " + " UNION ALL ".join(f"SELECT '{a}' AS f1, '{b}' AS f2, round(covar_samp({a}, {b}) / (stddev_samp({a}) * stddev_samp({b})), 6) AS corr FROM v" for i, a in enumerate(E8) for b in E8[i + 1 :]))(lambda s, d: shown(stats.correlations(vectors(s, d, 8), E8), ["corr"], ["f1", "f2"]))
-query("corr_pairs_all")(lambda s, d: shown(stats.correlations(vectors(s, d), E64), ["corr"], ["f1", "f2"]))
-query("autocorr", f"WITH {sql.bars(4)}, x AS (SELECT symbol, interval, close, " + ", ".join(f"{sql.lag('close', k)} AS l{k}" for k in range(1, 6)) + " FROM bars) " + " UNION ALL ".join(f"SELECT symbol, interval, {k} AS lag, round(covar_samp(close, l{k}) / (stddev_samp(close) FILTER (l{k} IS NOT NULL) * stddev_samp(l{k})), 6) AS corr FROM x GROUP BY symbol, interval" for k in range(1, 6)))(lambda s, d: shown(stats.autocorrelation(at(s, d), "close", 5), ["corr"], ["symbol", "interval", "lag"]))
+CORR = """WITH x AS (SELECT vec_id, unnest(range(64)) AS k, unnest(embedding)::DOUBLE AS x FROM embeddings)
+  SELECT 'e' || a.k AS f1, 'e' || b.k AS f2, round(covar_samp(a.x, b.x) / (stddev_samp(a.x) * stddev_samp(b.x)), 6) AS corr
+  FROM x a JOIN x b ON a.vec_id = b.vec_id AND a.k < b.k GROUP BY a.k, b.k"""
+query("corr_pairs", CORR)(
+    lambda s, d: shown(gram.correlations(vectors(s, d), E64), ["corr"], ["f1", "f2"])
+)
+query("corr_pairs_all", CORR)(
+    lambda s, d: shown(gram.correlations(vectors(s, d), E64, listwise=True), ["corr"], ["f1", "f2"])
+)
+query("autocorr", f"WITH {sql.bars(4)}, x AS (SELECT symbol, interval, close, " + ", ".join(f"{sql.lag('close', k)} AS l{k}" for k in range(1, 11)) + " FROM bars) " + " UNION ALL ".join(f"SELECT symbol, interval, {k} AS lag, round(covar_samp(close, l{k}) / (stddev_samp(close) FILTER (l{k} IS NOT NULL) * stddev_samp(l{k})), 6) AS corr FROM x GROUP BY symbol, interval" for k in range(1, 11)))(lambda s, d: shown(stats.autocorrelation(at(s, d), "close", 10), ["corr"], ["symbol", "interval", "lag"]))
 query("cv_stability", f"WITH {sql.bars(4)} " + " UNION ALL ".join(f"SELECT '{c}' AS feature, round(stddev_samp({c}) / abs(avg({c})), 6) AS cv FROM bars" for c in DESC))(lambda s, d: shown(stats.variation(at(s, d), DESC), ["cv"], ["feature"]))
 simple("rolling_cv", {"close_cv_20": f"{sql.roll('stddev_samp', 'close', 20)} / abs({sql.roll('avg', 'close', 20)})"}, lambda df: stats.rolling_variation(df, "close", 20))
 query("top_per_group", f"WITH {sql.bars(4)} SELECT symbol, feature, round(volume, 6) AS volume, place::INT AS place FROM (SELECT symbol, strftime(timestamp, '%Y-%m-%d %H:%M:%S') AS feature, volume, row_number() OVER (PARTITION BY symbol ORDER BY volume DESC, timestamp) AS place FROM bars) WHERE place <= 2")(
@@ -263,10 +268,30 @@ def pca_export(spark: SparkSession, d: str) -> DataFrame:
     return stats.apply_pca(df, model).select(*KEY, "PC1", "PC2", "PC3", "direction", "close", "split")
 
 
+BAR = ["open", "high", "low", "close", "volume"]
+
+
 @query("rolling_pca")
 def rolling_pca(spark: SparkSession, d: str) -> DataFrame:
-    rows = stats.rolling_pca(splits.rolling(at(spark, d), 3), ["open", "high", "low", "close", "volume"], 5)
-    return spark.createDataFrame(rows)
+    """A row for each series and window: rows trained on, and how many components each rule keeps."""
+    return gram.counts_of(gram.window_models(at(spark, d), BAR))
+
+
+@query("rolling_pca_export")
+def rolling_pca_export(spark: SparkSession, d: str) -> DataFrame:
+    """The components of all rows by each window's own model, in the order of an export."""
+    df = at(spark, d).withColumn("direction", direction())
+    windows = splits.rolling(df, 100)
+    return gram.export(gram.apply_components(windows, gram.window_models(df, BAR, k=3), ("symbol", "interval", "window_id")), 3, ("symbol", "window_id"))
+
+
+@query("series_components")
+def series_components(spark: SparkSession, d: str) -> DataFrame:
+    """Components of each series by a model of its train rows that went to a store and back."""
+    df = splits.chronological(at(spark, d)).withColumn("direction", direction())
+    path = f"{shared_folder(spark)}/models-{uuid.uuid4().hex}"
+    gram.save_models(gram.fit_components(df.filter("split = 'train'"), BAR), path)
+    return gram.export(gram.apply_components(df, gram.load_models(spark, path, BAR)), 5)
 
 
 @query("feature_selection")
