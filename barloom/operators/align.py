@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from barloom.functions.longseries import ROWS, last_value_before
+from barloom.functions.longseries import BUCKET, ROWS, bucket_of, bucket_width, last_value_before
 
 
 def _prefixed(df: DataFrame, prefix: str, skip: tuple[str, ...]) -> DataFrame:
@@ -17,18 +22,73 @@ def _seconds(x: str) -> Column:
     return F.unix_timestamp(F.col(x).cast("timestamp"))
 
 
-def tolerance_join(a: DataFrame, b: DataFrame, seconds: int = 60) -> DataFrame:
-    """Rows of a and b of one symbol whose timestamps are at most `seconds` apart; columns of b that a has too get
-    the prefix dataset2_. One to one where bars are more than twice the tolerance apart.
-
-    The time axis is cut into cells of twice the tolerance; b goes to its own and the neighbouring cell, so the join
-    is an equi-join with a filter, not a comparison of all pairs."""
-    cell = 2 * seconds
-    right = b.select(F.col("symbol"), *[F.col(c).alias(f"dataset2_{c}" if c in a.columns else c) for c in b.columns if c not in ("symbol", "interval", "timestamp")], _seconds("timestamp").alias("dataset2_unix_timestamp"))
-    right = right.withColumn("__cell", F.explode(F.array_distinct(F.array(*[F.floor((F.col("dataset2_unix_timestamp") + d) / cell) for d in (-seconds, seconds)]))))
-    left = a.withColumn("dataset1_unix_timestamp", _seconds("timestamp")).withColumn("__cell", F.floor(F.col("dataset1_unix_timestamp") / cell))
-    near = F.abs(F.col("dataset1_unix_timestamp") - F.col("dataset2_unix_timestamp")) <= seconds
-    return left.join(right, ["symbol", "__cell"]).filter(near).drop("__cell")
+def _clusters(rows: DataFrame, seconds: int, bucket_rows: int) -> DataFrame:
+    """rows (symbol, t, ...) with cluster: the time from which no two rows in a row are more than `seconds` apart. Rows of
+    different clusters are never as near as that. Two carries over a table of time buckets, no sort by symbol alone."""
+    width = bucket_width(rows, ["symbol"], "at", bucket_rows)
+    rows = rows.withColumn(BUCKET, bucket_of("at", width))
+    own, before = Window.partitionBy("symbol", BUCKET).orderBy("t"), Window.partitionBy("symbol").orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy("symbol", BUCKET).agg(F.max("t").alias("end"), F.min("t").alias("begin"))
+    ends = ends.withColumn("earlier", F.max("end").over(before))
+    gap = F.col("t") - F.coalesce(F.lag("t").over(own), F.col("earlier"))
+    marked = rows.join(ends.select("symbol", BUCKET, "earlier"), ["symbol", BUCKET]).withColumn("start", F.when(F.coalesce(gap > seconds, F.lit(True)), F.col("t")))
+    starts = marked.groupBy("symbol", BUCKET).agg(F.max("start").alias("last"))
+    carried = starts.select("symbol", BUCKET, F.max("last").over(before).alias("carried"))
+    so_far = F.max("start").over(own.rangeBetween(Window.unboundedPreceding, 0))
+    return marked.join(carried, ["symbol", BUCKET]).withColumn("cluster", F.coalesce(so_far, F.col("carried"))).drop(BUCKET, "earlier", "start", "carried")
+
+
+def _matched(seconds: int):
+    """A task's rows, sorted by cluster and time, in pairs: the oldest row without a partner of one side with the next row
+    of the other, if it is near enough, each once. Rows wait only as long as one of the other side may still be near."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, waiting = None, []
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if held is None else pa.concat_tables([held, rows])
+            n, old = rows.num_rows, 0 if held is None else held.num_rows
+            t, side = rows["t"].to_pylist(), rows["side"].to_pylist()
+            key = list(zip(rows["symbol"].to_pylist(), rows["cluster"].to_pylist()))
+            waiting, left, right = deque(range(old)), [], []
+            for i in range(old, n):
+                while waiting and (key[waiting[0]] != key[i] or side[waiting[0]] != side[i] and t[i] - t[waiting[0]] > seconds):
+                    waiting.popleft()
+                if waiting and side[waiting[0]] != side[i]:
+                    j = waiting.popleft()
+                    left.append(j if side[j] == 0 else i)
+                    right.append(i if side[j] == 0 else j)
+                else:
+                    waiting.append(i)
+            yield from pa.table({"a": rows["a"].take(pa.array(left, pa.int64())), "b": rows["b"].take(pa.array(right, pa.int64()))}).combine_chunks().to_batches()
+            held = rows.take(pa.array(list(waiting), pa.int64()))
+
+    return run
+
+
+def tolerance_join(a: DataFrame, b: DataFrame, seconds: int = 60, from_later_start: bool = False, rows: int = ROWS) -> DataFrame:
+    """Rows of a and b of one symbol whose timestamps are at most `seconds` apart, one to one; columns of b that a has too
+    get the prefix dataset2_. Both sides are gone through in order of time: if the next two are near enough they are a
+    pair, else the earlier one has no partner. Rows of one time go by a hash of all their columns. from_later_start leaves
+    out what is before the later side's first row, by symbol. Null symbols and timestamps have no partner.
+
+    Rows are cut into clusters at gaps wider than the tolerance, and clusters are dealt to tasks, each of which goes
+    through its rows once, in order, and holds no more than those within the tolerance."""
+    second = b.select("symbol", *[F.col(c).alias(f"dataset2_{c}" if c in a.columns else c) for c in b.columns if c not in ("symbol", "interval", "timestamp")], _seconds("timestamp").alias("dataset2_unix_timestamp"))
+    first = a.withColumn("dataset1_unix_timestamp", _seconds("timestamp"))
+
+    def side(df: DataFrame, time: str, number: int) -> DataFrame:
+        row = F.struct(*[F.col(c) for c in df.columns if c != "symbol" or number == 0])
+        return df.select("symbol", F.col(time).alias("t"), F.timestamp_seconds(time).alias("at"), F.lit(number).alias("side"), F.xxhash64(*df.columns).alias("tie"), row.alias("ab"[number])).filter("symbol IS NOT NULL AND t IS NOT NULL")
+
+    left, right = side(first, "dataset1_unix_timestamp", 0), side(second, "dataset2_unix_timestamp", 1)
+    if from_later_start:
+        start = left.groupBy("symbol").agg(F.min("t").alias("l")).join(right.groupBy("symbol").agg(F.min("t").alias("r")), "symbol").select("symbol", F.greatest("l", "r").alias("start"))
+        left, right = (x.join(start, "symbol").filter("t >= start").drop("start") for x in (left, right))
+    both = _clusters(left.unionByName(right, allowMissingColumns=True), seconds, rows)
+    order = both.select("symbol", "cluster", "t", "side", "tie", "a", "b").repartition("symbol", "cluster").sortWithinPartitions("symbol", "cluster", "t", "side", "tie")
+    pairs = order.mapInArrow(_matched(seconds), T.StructType([order.schema["a"], order.schema["b"]]))
+    return pairs.select("a.*", "b.*")
 
 
 def numbered(df: DataFrame, start: DataFrame | None = None) -> DataFrame:

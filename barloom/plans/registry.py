@@ -12,7 +12,7 @@ from barloom.functions.folders import shared_folder
 from barloom.functions.frames import lag, roll
 from barloom.functions.longseries import ema_long
 from barloom.functions.recursive import ema
-from barloom.operators import align, backtest, families, geometry, gram, splits, stats
+from barloom.operators import align, backtest, families, geometry, gram, information, splits, stats
 from barloom.operators.bars import bars, daily_bars, direction, forward_label, forward_return, ticks
 from barloom.plans import sql, streams
 from barloom.streaming import trades
@@ -255,6 +255,20 @@ query("top_per_group", f"WITH {sql.bars(4)} SELECT symbol, feature, round(volume
 query("mutual_information")(lambda s, d: stats.mutual_information(vectors(s, d), E64, "label"))
 
 
+NEIGHBOURS = f"""WITH x AS (SELECT vec_id, label AS y, unnest(range(64)) AS k, unnest(embedding)::DOUBLE AS x FROM embeddings),
+  n AS (SELECT k, y, count(*) AS c FROM x GROUP BY ALL HAVING count(*) > 1), p AS (SELECT x.*, c FROM x JOIN n USING (k, y)),
+  near AS (
+    SELECT a.*, abs(b.x - a.x) AS d, row_number() OVER (PARTITION BY a.k, a.vec_id ORDER BY abs(b.x - a.x)) AS place
+    FROM p a JOIN p b ON a.k = b.k AND a.y = b.y AND a.vec_id <> b.vec_id),
+  r AS (SELECT * FROM near WHERE place = least(3, c - 1)),
+  m AS (SELECT r.k, r.vec_id, any_value(r.c) AS c, count(*) AS m FROM r JOIN p ON p.k = r.k AND (abs(p.x - r.x) < d OR d = 0 AND p.x = r.x) GROUP BY r.k, r.vec_id)
+  SELECT 'e' || k AS feature, round(greatest(0, {sql.digamma("count(*)")} + avg({sql.digamma("least(3, c - 1)")}) - avg({sql.digamma("c")}) - avg({sql.digamma("m")})), 6) AS mi
+  FROM m GROUP BY k"""
+query("neighbour_information", NEIGHBOURS)(
+    lambda s, d: shown(information.neighbour_information(vectors(s, d), E64, "label"), ["mi"], ["feature"])
+)
+
+
 @query("pca_variance")
 def pca_variance(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(stats.variance_table(stats.fit_pca(vectors(spark, d), E64, 64)), "component int, share double, cumulative double, eigenvalue double")

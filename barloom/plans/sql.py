@@ -55,3 +55,10 @@ def labels(source: str, raw: str, skip: int) -> str:
 
 def rounded(columns: list[str], digits: int = 6) -> str:
     return ", ".join(f'round({c}, {digits}) AS "{c}"' for c in columns)
+
+
+def digamma(x: str) -> str:
+    """psi(x): ten steps up, then the series."""
+    y = f"(({x}) + 10)::DOUBLE"
+    steps = " - ".join(f"1.0 / (({x}) + {i})" for i in range(10))
+    return f"(ln({y}) - 0.5 / {y} - 1 / (12 * pow({y}, 2)) + 1 / (120 * pow({y}, 4)) - 1 / (252 * pow({y}, 6)) + 1 / (240 * pow({y}, 8)) - {steps})"
