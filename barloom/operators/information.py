@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from barloom.functions.quantiles import range_of
+
 
 def digamma(x: Column) -> Column:
     """The logarithmic derivative of the gamma function for x >= 1, to about 1e-13: ten steps up, then its series."""
@@ -23,11 +25,6 @@ def digamma(x: Column) -> Column:
     return tail - sum((1 / (x + i) for i in range(10)), F.lit(0.0))
 
 
-def _range_of(x: Column, cuts: Column) -> Column:
-    """How many cut points are below x."""
-    return F.size(F.filter(cuts, lambda c: c < x))
-
-
 def neighbour_information(df: DataFrame, columns: Sequence[str], label: str, neighbours: int = 3, ranges: int | None = None) -> DataFrame:
     """(feature, mi) in nats, 0 at least: psi(n) + mean psi(k) - mean psi(rows of the label) - mean psi(rows within the
     radius), k the neighbours or as many as the label has besides the row.
@@ -43,7 +40,7 @@ def neighbour_information(df: DataFrame, columns: Sequence[str], label: str, nei
     labels = values.groupBy("feature", "y").agg(F.sum("w").alias("of_label")).filter("of_label > 1")
     cuts = values.groupBy("feature").agg(F.percentile_approx("x", F.array(*[F.lit(i / ranges) for i in range(1, ranges)]) if ranges > 1 else F.array(F.lit(0.5)), F.lit(1000)).alias("cuts"))
     d = values.join(labels, ["feature", "y"]).join(F.broadcast(cuts), "feature")  # a row a column
-    d = d.withColumn("range", _range_of(F.col("x"), F.col("cuts")))
+    d = d.withColumn("range", range_of(F.col("x"), F.col("cuts")))
 
     # the radius: k values on either side, those at a range's ends from the ranges before and after
     own, k = ["feature", "y", "range"], neighbours
@@ -65,7 +62,7 @@ def neighbour_information(df: DataFrame, columns: Sequence[str], label: str, nei
     asked = radius.join(F.broadcast(cuts), "feature").withColumn("q", F.explode(F.array(F.struct((F.col("x") - F.col("r")).alias("at"), F.lit(2).alias("kind")), F.struct((F.col("x") + F.col("r")).alias("at"), F.lit(0).alias("kind")))))
     # with r = 0 the values equal to x count: up to x itself, without those below
     kind = F.when(F.col("r") > 0, F.col("q.kind")).otherwise(2 - F.col("q.kind"))
-    asked = asked.select("feature", _range_of(F.col("q.at"), F.col("cuts")).alias("range"), F.col("q.at").alias("at"), kind.alias("kind"), F.lit(0).cast("long").alias("w"), F.struct("y", "x", F.col("w").alias("times"), "of_label", "k", (F.col("q.kind") == 0).alias("upper")).alias("row"))
+    asked = asked.select("feature", range_of(F.col("q.at"), F.col("cuts")).alias("range"), F.col("q.at").alias("at"), kind.alias("kind"), F.lit(0).cast("long").alias("w"), F.struct("y", "x", F.col("w").alias("times"), "of_label", "k", (F.col("q.kind") == 0).alias("upper")).alias("row"))
     told = d.select("feature", "range", F.col("x").alias("at"), F.lit(1).alias("kind"), "w").unionByName(asked, allowMissingColumns=True)
     counts = d.groupBy("feature", "range").agg(F.sum("w").alias("n"))
     every = told.select("feature", "range").distinct().join(counts, ["feature", "range"], "left")

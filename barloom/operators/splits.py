@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from barloom.functions.frames import KEYS, TIME, row_index, series
+from barloom.functions.quantiles import column_quantiles
 
 
 def chronological(df: DataFrame, train: float = 0.7, val: float = 0.15) -> DataFrame:
@@ -84,19 +85,19 @@ def sequences(df: DataFrame, features: list[str], target: str, length: int) -> D
 
 def winsorize(df: DataFrame, columns: list[str]) -> DataFrame:
     """Values beyond five times the 1..99 percentile range outside it are drawn in, by series."""
-    q = df.groupBy(*KEYS).agg(*[F.percentile(c, F.array(F.lit(0.01), F.lit(0.99))).alias(f"__{c}") for c in columns])
+    q = column_quantiles(df, KEYS, columns, [0.01, 0.99])
     bound: dict[str, Column] = {}
     for c in columns:
-        lo, hi = F.col(f"__{c}")[0], F.col(f"__{c}")[1]
+        lo, hi = F.col(f"__q_{c}")[0], F.col(f"__q_{c}")[1]
         bound[c] = F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c), lo - 5 * (hi - lo)), hi + 5 * (hi - lo)))
-    return df.join(q, list(KEYS)).withColumns(bound).drop(*[f"__{c}" for c in columns])
+    return df.join(q, list(KEYS), "left").withColumns(bound).drop(*[f"__q_{c}" for c in columns])
 
 
 def median_fill(df: DataFrame, columns: list[str]) -> DataFrame:
     """Nulls, NaN and infinities become the median of the train rows (split), by series."""
     clean = df.withColumns({c: F.when(F.isnan(c) | F.col(c).isin(float("inf"), float("-inf")), None).otherwise(F.col(c)) for c in columns})
-    q = clean.filter("split = 'train'").groupBy(*KEYS).agg(*[F.median(c).alias(f"__{c}") for c in columns])
-    return clean.join(q, list(KEYS), "left").withColumns({c: F.coalesce(F.col(c), F.col(f"__{c}")) for c in columns}).drop(*[f"__{c}" for c in columns])
+    q = column_quantiles(clean.filter("split = 'train'"), KEYS, columns, [0.5])
+    return clean.join(q, list(KEYS), "left").withColumns({c: F.coalesce(F.col(c), F.col(f"__q_{c}")[0]) for c in columns}).drop(*[f"__q_{c}" for c in columns])
 
 
 FORMATS = ("yyyy-MM-dd HH:mm:ss", "M/d/yy HH:mm", "yyyy/MM/dd HH:mm:ss", "d/M/yyyy HH:mm", "yyyy-MM-dd'T'HH:mm:ss", "M/d/yyyy h:mm:ss a")

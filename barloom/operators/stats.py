@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from barloom.functions.frames import KEYS, div, lag, roll
+from barloom.functions.quantiles import column_quantiles, quantiles
 from barloom.operators.gram import correlations
 
 
@@ -17,8 +18,10 @@ def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """A row for each column: n, nulls, zeros, mean, std, min, p25, median, p75, max, outliers (beyond 1.5 IQR)."""
     long = df.select(*[F.col(c).cast("double") for c in columns]).unpivot([], columns, "feature", "x")
     q = long.groupBy("feature").agg(
-        F.count("*").alias("n"), F.count_if(F.col("x").isNull()).alias("nulls"), F.count_if(F.col("x") == 0).alias("zeros"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.percentile("x", 0.25).alias("p25"), F.percentile("x", 0.5).alias("median"), F.percentile("x", 0.75).alias("p75"), F.max("x").alias("max")
+        F.count("*").alias("n"), F.count_if(F.col("x").isNull()).alias("nulls"), F.count_if(F.col("x") == 0).alias("zeros"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max")
     )
+    cuts = quantiles(long, ["feature"], "x", [0.25, 0.5, 0.75]).select("feature", *[F.col("q")[i].alias(c) for i, c in enumerate(("p25", "median", "p75"))])
+    q = q.join(cuts, "feature", "left")
     lo, hi = F.col("p25") - 1.5 * (F.col("p75") - F.col("p25")), F.col("p75") + 1.5 * (F.col("p75") - F.col("p25"))
     out = long.join(q, "feature").groupBy("feature").agg(F.count_if((F.col("x") < lo) | (F.col("x") > hi)).alias("outliers"))
     return q.join(out, "feature")
@@ -99,7 +102,8 @@ def feature_group(x: str = "feature") -> Column:
 def mutual_information(df: DataFrame, columns: list[str], label: str, bins: int = 10) -> DataFrame:
     """(feature, mi): between equal-frequency bins of each column and the label, in nats. A histogram estimate; it
     is not the nearest-neighbour one. Bin edges are exact quantiles, so no window over all rows is needed."""
-    edges = df.agg(*[F.percentile(c, F.array(*[F.lit(i / bins) for i in range(1, bins)])).alias(c) for c in columns]).first()
+    found = column_quantiles(df, [], columns, [i / bins for i in range(1, bins)]).first()
+    edges = {c: found[f"__q_{c}"] if found else None for c in columns}
     long = df.select(F.col(label).alias("y"), *[F.when(F.col(c).isNotNull(), sum(((F.col(c) > e).cast("int") for e in edges[c] or []), F.lit(0))).alias(c) for c in columns]).unpivot(["y"], columns, "feature", "b").filter("b is not null and y is not null")
     joint = long.groupBy("feature", "b", "y").agg(F.count("*").alias("n"))
     by = lambda *k: F.sum("n").over(Window.partitionBy("feature", *k))
