@@ -203,3 +203,9 @@ def breakouts(lines: DataFrame, df: DataFrame, size: int = 50, step: int = 50, a
     y = F.col("y1") + (F.col("y2") - F.col("y1")) / (F.col("x2") - F.col("x1")) * (x - F.col("x1"))
     hit = (x >= size) & (x < size + ahead) & (F.least("open", "close") <= y) & (y < F.greatest("open", "close"))
     return joined.groupBy(*lines.columns).agg(F.min(F.when(hit, x)).alias("breakout"))
+
+
+def intersection(slope_a: Column, level_a: Column, slope_b: Column, level_b: Column) -> Column:
+    """(x, y) where two lines y = slope * x + level meet; null where they are parallel."""
+    x = F.try_divide(level_b - level_a, slope_a - slope_b)
+    return F.when(x.isNotNull(), F.struct(x.alias("x"), (slope_a * x + level_a).alias("y")))

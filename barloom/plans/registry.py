@@ -12,7 +12,7 @@ from barloom.functions.folders import shared_folder
 from barloom.functions.frames import lag, roll
 from barloom.functions.longseries import ema_long
 from barloom.functions.recursive import ema
-from barloom.operators import align, backtest, families, geometry, gram, information, splits, stats
+from barloom.operators import align, backtest, families, geometry, gram, information, report, splits, stats
 from barloom.operators.bars import bars, daily_bars, direction, forward_label, forward_return, ticks
 from barloom.plans import sql, streams
 from barloom.streaming import trades
@@ -308,15 +308,49 @@ def series_components(spark: SparkSession, d: str) -> DataFrame:
     return gram.export(gram.apply_components(df, gram.load_models(spark, path, BAR)), 5)
 
 
-@query("feature_selection")
-def feature_selection(spark: SparkSession, d: str) -> DataFrame:
+def measured(spark: SparkSession, d: str) -> DataFrame:
+    """(feature, corr, pca, cv, mi) of the features that are neither constant nor copies of others."""
     df = families.market(families.rsi(families.bollinger(at(spark, d)))).withColumn("y", forward_label(1, 0.0)).fillna(0.0)
     x = [c for c, k in df.dtypes if k == "double" and c not in ("open", "high", "low")]
     kept = stats.prune_correlated(df, stats.prune_constant(df, x))
     corr = df.agg(*[stats._corr(c, "y").alias(c) for c in kept]).unpivot([], kept, "feature", "corr")
     pca = spark.createDataFrame(list(stats.pca_importance(stats.fit_pca(df, kept, min(10, len(kept)), robust=True), kept).items()), "feature string, pca double")
-    parts = corr.join(pca, "feature").join(stats.variation(df, kept), "feature", "left").join(stats.mutual_information(df, kept, "y"), "feature", "left")
-    return stats.composite_scores(parts, ["close", "volume", "RSI_14"])
+    return corr.join(pca, "feature").join(stats.variation(df, kept), "feature", "left").join(stats.mutual_information(df, kept, "y"), "feature", "left")
+
+
+@query("feature_selection")
+def feature_selection(spark: SparkSession, d: str) -> DataFrame:
+    return stats.composite_scores(measured(spark, d), ["close", "volume", "RSI_14"])
+
+
+@query("group_statistics")
+def group_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return report.group_statistics(measured(spark, d))
+
+
+ORDERS = {"o_orderkey": ("number", 8), "o_custkey": ("number", 8), "o_orderstatus": ("text", 0), "o_totalprice": ("number", 8), "o_orderdate": ("time", 8), "o_orderpriority": ("text", 0)}
+REPORT = "WITH report AS (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, '{k}' AS kind, count(*) AS n, count(*) - count({c}) AS nulls, 100.0 * (count(*) - count({c})) / count(*) AS null_pct, {f'count({c}) * {w}' if w else f'sum(strlen({c}))'}::BIGINT AS bytes FROM orders"
+    for c, (k, w) in ORDERS.items()
+) + ")"
+query("column_report", f"{REPORT} SELECT * FROM report")(
+    lambda s, d: report.column_report(s.read.parquet(f"{d}/orders.parquet"))
+)
+query("kind_report", f"{REPORT} SELECT kind, count(*) AS columns, max(n) AS n, sum(bytes)::BIGINT AS bytes FROM report GROUP BY kind")(
+    lambda s, d: report.kind_report(report.column_report(s.read.parquet(f"{d}/orders.parquet")))
+)
+query("decimals", "SELECT event_id, length(split_part(value::VARCHAR, '.', 2))::INT AS decimals FROM events")(
+    lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", report.decimals("value").alias("decimals"))
+)
+query("kept_signals", f"WITH {sql.bars(4)}, x AS (SELECT symbol, timestamp, coalesce((close > {sql.lag('close')})::INT, 0) AS direction FROM bars) SELECT * FROM x WHERE direction <> 0")(
+    lambda s, d: report.keep_signals(at(s, d).withColumn("direction", direction()), "direction", 0).select(*KEY, "direction")
+)
+query("line_intersection", f"""WITH {sql.bars(4)}, x AS (SELECT symbol, timestamp, close - open AS a, open AS b, {sql.lag('close')} - {sql.lag('open')} AS c, {sql.lag('open')} AS d FROM bars)
+  SELECT symbol, timestamp, round((d - b) / nullif(a - c, 0), 6) AS x, round(a * ((d - b) / nullif(a - c, 0)) + b, 6) AS y FROM x""")(
+    lambda s, d: shown(
+        at(s, d).withColumn("p", geometry.intersection(F.col("close") - F.col("open"), F.col("open"), lag("close") - lag("open"), lag("open"))).select(*KEY, F.col("p.x").alias("x"), F.col("p.y").alias("y")), ["x", "y"]
+    )
+)
 
 
 @query("selected_features")
