@@ -76,17 +76,44 @@ def recurrence(d: DataFrame, inputs: dict[str, tuple[Column, float]], keys: Sequ
     return out.withColumns({n: F.col(n) + F.col(f"c_{n}") * F.pow(F.lit(q), at + 1) for n, (_, q) in inputs.items()}).drop(*[f"c_{n}" for n in inputs])
 
 
-def ema_long(df: DataFrame, wanted: dict[str, tuple[str, str, float]], keys: Sequence[str] = KEYS, time: str = TIME, rows: int = ROWS) -> DataFrame:
-    """df with the exponential averages of recursive.ema, kinds alike, for series of any length."""
+def ema_long(df: DataFrame, wanted: dict[str, tuple[str, str, float]], keys: Sequence[str] = KEYS, time: str = TIME, rows: int = ROWS, state: DataFrame | None = None) -> DataFrame:
+    """df with the exponential averages of recursive.ema, kinds alike, for series of any length. With a state, what
+    ema_state gave for earlier rows of the series, df are the rows after them: the same values as in one run over all."""
+    return _averaged(df, wanted, keys, time, rows, state)[0].drop(BUCKET, "__i", "__k", "__state", *[f"__y_{n}" for n in wanted])
+
+
+def ema_state(df: DataFrame, wanted: dict[str, tuple[str, str, float]], keys: Sequence[str] = KEYS, time: str = TIME, rows: int = ROWS, state: DataFrame | None = None) -> DataFrame:
+    """(keys, n, y_name, seen_name, head_name): what the next rows of each series need. n rows so far; of each average the
+    filter's last value, how many values there were, and the sum of the first span values. With a state it is carried
+    on; series without new rows keep theirs. Stored after each append, it stands for the rows before."""
+    d, _ = _averaged(df, wanted, keys, time, rows, state)
+    s = lambda c: F.coalesce(F.first(F.col("__state")[c]), F.lit(0))
+    at = F.col("__i")
+    fields = [(s("n") + F.count("*")).alias("n")]
+    for name, (_, x, span) in wanted.items():
+        early = at + F.coalesce(F.col("__state.n"), F.lit(0)) < int(span)
+        fields += [F.max_by(f"__y_{name}", at).alias(f"y_{name}"), (s(f"seen_{name}") + F.count(x)).alias(f"seen_{name}"), (s(f"head_{name}") + F.coalesce(F.sum(F.when(early, F.col(x))), F.lit(0.0))).alias(f"head_{name}")]
+    new = d.groupBy(*keys).agg(*fields)
+    return new if state is None else new.unionByName(state.join(new.select(*keys), list(keys), "left_anti"))
+
+
+def _averaged(df: DataFrame, wanted: dict[str, tuple[str, str, float]], keys: Sequence[str], time: str, rows: int, state: DataFrame | None) -> tuple[DataFrame, dict]:
+    """numbered() rows with the averages, and __y_name, each filter's own value."""
     seen = {f"__c{k}": F.col(x) for k, (kind, x, _) in enumerate(wanted.values()) if kind == "weighted"}
     d = numbered(df, keys, time, rows, counts=seen)
-    seeded = {f"__s{k}": (x, int(span)) for k, (kind, x, span) in enumerate(wanted.values()) if kind in ("sma", "wilder")}
+    if state is None:
+        kept = F.struct(F.lit(0).cast("long").alias("n"), *[F.lit(0.0).alias(f"{f}_{n}") for n in wanted for f in ("y", "seen", "head")])
+        d = d.withColumn("__state", kept)
+    else:
+        d = d.join(state.select(*keys, F.struct("n", *[f"{f}_{n}" for n in wanted for f in ("y", "seen", "head")]).alias("__state")), list(keys), "left")
+    past = lambda c: F.coalesce(F.col("__state")[c], F.lit(0))
+    i = F.col("__i") + past("n")
+    seeded = {f"__s{k}": (name, x, int(span)) for k, (name, (kind, x, span)) in enumerate(wanted.items()) if kind in ("sma", "wilder")}
     if seeded:  # means of the first rows: one row a series, from the few buckets that have them
-        most = max(span for _, span in seeded.values())
-        firsts = d.filter(F.col("__i") < most).groupBy(*keys).agg(*[F.avg(F.when(F.col("__i") < span, F.col(x))).alias(s) for s, (x, span) in seeded.items()])
-        heads = d.filter(F.col("__i") < most).select(*keys, BUCKET).distinct().join(firsts, list(keys))
-        d = d.join(heads, [*keys, BUCKET], "left")
-    i, inputs = F.col("__i"), {}
+        head = d.filter(i < max(span for _, _, span in seeded.values()))
+        firsts = head.groupBy(*keys).agg(*[((F.coalesce(F.sum(F.when(i < span, F.col(x))), F.lit(0.0)) + F.coalesce(F.first(F.col("__state")[f"head_{name}"]), F.lit(0.0))) / span).alias(s) for s, (name, x, span) in seeded.items()])
+        d = d.join(head.select(*keys, BUCKET).distinct().join(firsts, list(keys)), [*keys, BUCKET], "left")
+    inputs = {}
     for k, (name, (kind, x, span)) in enumerate(wanted.items()):
         a, v = 1 / span if kind == "wilder" else 2 / (span + 1), F.col(x)
         if kind == "weighted":
@@ -95,17 +122,18 @@ def ema_long(df: DataFrame, wanted: dict[str, tuple[str, str, float]], keys: Seq
             u = F.when(i == 0, v).otherwise(v * a)
         else:
             u = F.when(i == int(span) - 1, F.col(f"__s{k}")).when(i >= int(span), v * a)
-        inputs[name] = (u, 1 - a)
-    out, made = recurrence(d, inputs, keys, time), {}
-    so_far = Window.partitionBy(*keys, BUCKET).orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
+        inputs[f"__y_{name}"] = (u, 1 - a)
+    out = recurrence(d, inputs, keys, time)
+    out = out.withColumns({y: F.col(y) + past(y[2:]) * F.pow(F.lit(q), F.col("__i") + 1) for y, (_, q) in inputs.items()})
+    made, so_far = {}, Window.partitionBy(*keys, BUCKET).orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
     for k, (name, (kind, x, span)) in enumerate(wanted.items()):
-        q = inputs[name][1]
+        y, q = F.col(f"__y_{name}"), inputs[f"__y_{name}"][1]
         if kind == "weighted":
-            n = F.col(f"__c{k}") + F.count(x).over(so_far)
-            made[name] = F.when(n > 0, F.col(name) * (1 - q) / (1 - F.pow(F.lit(q), n)))
-        elif kind in ("sma", "wilder"):
-            made[name] = F.when(i >= int(span) - 1, F.col(name))
-    return out.withColumns(made).drop(BUCKET, "__i", "__k", *seen, *seeded) if made else out.drop(BUCKET, "__i", "__k")
+            n = F.col(f"__c{k}") + F.count(x).over(so_far) + past(f"seen_{name}")
+            made[name] = F.when(n > 0, y * (1 - q) / (1 - F.pow(F.lit(q), n)))
+        else:
+            made[name] = y if kind == "first" else F.when(i >= int(span) - 1, y)
+    return out.withColumns(made).drop(*seen, *seeded), inputs
 
 
 def last_value_before(events: DataFrame, edges: DataFrame, key: str, value: Column, order: Sequence[str], rows: int = ROWS) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from barloom.functions.longseries import BUCKET, ROWS, bucket_of, bucket_width, last_value_before
+from barloom.functions.longseries import BUCKET, ROWS, bucket_of, bucket_width, ema_long, ema_state, last_value_before
 
 
 def _prefixed(df: DataFrame, prefix: str, skip: tuple[str, ...]) -> DataFrame:
@@ -180,3 +180,10 @@ def common_rows(frames: list[DataFrame], features: list[str]) -> DataFrame:
     if left:
         raise ValueError(f"no frame has {', '.join(left)}")
     return out.select(*keys, *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in features])
+
+
+def append_averages(old: DataFrame, state: DataFrame, new_bars: DataFrame, wanted: dict[str, tuple[str, str, float]]) -> tuple[DataFrame, DataFrame]:
+    """old (bars with averages) and the rows of new_bars with theirs, exactly as in one run over all bars, and the state
+    to store for the next append; nothing is computed again. new_bars are later than old, by series."""
+    new = ema_long(new_bars, wanted, state=state)
+    return old.unionByName(new.select(*old.columns)), ema_state(new_bars, wanted, state=state)

@@ -23,7 +23,9 @@ from barloom.functions.longseries import numbered
 #: Rows of a block, and rows of the one before that it begins with.
 BLOCK, WARM = 20_000, 500
 #: Steps at most; relative improvement of the sum of squares at which a series is done.
-STEPS, DONE = 60, 1e-12
+STEPS, DONE = 40, 1e-9
+#: Largest root of the recursions: errors of a block are forgotten over the rows it begins with.
+ROOT = 0.99
 
 FIT = "intercept_and_x array<double>, ar array<double>, ma array<double>, error array<double>, rows long, sigma2 double, loglik double, aic double, steps int"
 
@@ -92,7 +94,12 @@ def _passed(packed: DataFrame, tries: DataFrame, p: int, q: int, k: int) -> Data
     return each.groupBy(*KEYS).agg(*[F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(2 + m * m + m)]).select(*KEYS, F.array(*[F.col(f"s{i}") for i in range(2 + m * m + m)]).alias("sums"))
 
 
-def _step(state: list | None, sums: list[float], params: list[float], m: int) -> list:
+def stable(*recursions: np.ndarray) -> bool:
+    """Whether x[t] = c[0] x[t-1] + c[1] x[t-2] + ... dies out for each of the recursions' coefficients."""
+    return all(not len(c) or np.abs(np.linalg.eigvals(np.vstack([c, np.eye(len(c) - 1, len(c))]))).max() < ROOT for c in recursions)
+
+
+def _step(state: list | None, sums: list[float], params: list[float], k: int, p: int, m: int) -> list:
     """[params to try, best params, best sums, damping, done] after a pass at params."""
     sse = sums[1] if all(map(math.isfinite, sums)) else math.inf
     if state is None:
@@ -110,13 +117,17 @@ def _step(state: list | None, sums: list[float], params: list[float], m: int) ->
         done = int(better and gain < DONE or damping > 1e12 or kept[1] <= 1e-300)
     jj, je = np.reshape(kept[2 : 2 + m * m], (m, m)), np.asarray(kept[2 + m * m :])
     scale = np.diag(jj) + 1e-300
-    move = np.linalg.lstsq(jj + damping * np.diag(scale), -je, rcond=None)[0]
-    return [(np.asarray(best) + move).tolist(), best, kept, damping, done]
+    while True:  # shorter moves until the process stays stationary and invertible
+        move = np.asarray(best) + np.linalg.lstsq(jj + damping * np.diag(scale), -je, rcond=None)[0]
+        if stable(move[k : k + p], -move[k + p :]) or damping > 1e12:
+            break
+        damping *= 10
+    return [move.tolist(), best, kept, damping, done]
 
 
 def fit_arima(df: DataFrame, target: str, order: tuple[int, int] = (2, 3), regressors: Sequence[str] = (), block: int = BLOCK, warm: int = WARM, store=None) -> DataFrame:
     """A fit for each series: (symbol, interval, columns of FIT), by the conditional likelihood of an ARMA(order) process
-    about an intercept and the regressors. error has the standard errors of intercept, regressors, ar and ma in this
+    about an intercept and the regressors, stationary and invertible. error has the standard errors of intercept, regressors, ar and ma in this
     order (null where they can't be told); loglik and aic are those of normal errors, the variance counted.
 
     A series with fewer rows than twice its parameters and lags has no fit. Parameters come to the driver, one row a
@@ -140,7 +151,7 @@ def fit_arima(df: DataFrame, target: str, order: tuple[int, int] = (2, 3), regre
         told = _passed(packed, spark.createDataFrame([(*key, w) for key, w in open_.items()], schema), p, q, k)
         for r in told.collect():
             key = tuple(r)[: len(KEYS)]
-            states[key] = _step(states[key], r["sums"], tries[key], m)
+            states[key] = _step(states[key], r["sums"], tries[key], k, p, m)
             tries[key] = states[key][0]
     rows = []
     for key, state in states.items():

@@ -8,11 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.functions.folders import shared_folder
+from barloom.functions.folders import shared_folder, stored
 from barloom.functions.frames import lag, roll
-from barloom.functions.longseries import ema_long
+from barloom.functions.longseries import ema_long, ema_state
 from barloom.functions.recursive import ema
-from barloom.operators import align, backtest, families, geometry, gram, information, report, splits, stats
+from barloom.operators import align, arima, backtest, families, geometry, gram, information, report, splits, stats
 from barloom.operators.bars import bars, daily_bars, direction, forward_label, forward_return, ticks
 from barloom.plans import sql, streams
 from barloom.streaming import trades
@@ -96,7 +96,30 @@ simple("obv", {f"{M}obv_change": "oc", f"{M}obv": "obv", **{f"{M}obv_slope_{n}":
 # --- averages, MACD, Bollinger, RSI ---
 
 KINDS = {"weighted_12": ("weighted", 12), "first_10": ("first", 10), "sma_18": ("sma", 18), "wilder_14": ("wilder", 14)}
-simple("moving_averages", {f"avg_{k}": sql.ema("l", *v) for k, v in KINDS.items()}, lambda df: ema_long(df, {f"avg_{k}": (v[0], "close", v[1]) for k, v in KINDS.items()}), before=f", l AS (SELECT *, {sql.so_far('close')} AS l FROM bars)", source="l")
+AVERAGES = {f"avg_{k}": (v[0], "close", v[1]) for k, v in KINDS.items()}
+simple(
+    "moving_averages",
+    {f"avg_{k}": sql.ema("l", *v) for k, v in KINDS.items()},
+    lambda df: ema_long(df, AVERAGES),
+    before=f", l AS (SELECT *, {sql.so_far('close')} AS l FROM bars)",
+    source="l",
+)
+
+
+@query("appended_averages", ORACLE["moving_averages"])
+def appended_averages(spark: SparkSession, d: str) -> DataFrame:
+    """The same in three appends, each from the state that the one before has stored."""
+    df, out, state = at(spark, d), None, None
+    edges = [F.lit(x).cast("timestamp_ntz") for x in ("1970-01-01", "2024-01-01 20:00:00", "2024-01-15", "2100-01-01")]
+    for begin, end in zip(edges, edges[1:]):
+        part = df.filter((F.col("timestamp") >= begin) & (F.col("timestamp") < end))
+        if state is None:
+            out, state = ema_long(part, AVERAGES), ema_state(part, AVERAGES)
+        else:
+            out, state = align.append_averages(out, state, part, AVERAGES)
+        out, state = stored(out, "averages"), stored(state, "state")
+    return shown(out, list(AVERAGES))
+
 
 
 def _slope(x: str, k: int, floor: str) -> str:
@@ -328,6 +351,29 @@ def group_statistics(spark: SparkSession, d: str) -> DataFrame:
     return report.group_statistics(measured(spark, d))
 
 
+def grown(spark: SparkSession, d: str) -> DataFrame:
+    """4-hour bars with their log growth and what is known before each."""
+    df = at(spark, d).withColumn("growth", F.log(F.col("close") / lag("close")))
+    return df.withColumns({"body_1": lag((F.col("close") - F.col("open")) / F.col("open")), "volume_1": lag(F.log("volume"))})
+
+
+@query("arima_fits")
+def arima_fits(spark: SparkSession, d: str) -> DataFrame:
+    """ARMA(2, 3) of each series' growth about two regressors."""
+    return arima.fit_arima(grown(spark, d), "growth", (2, 3), ["body_1", "volume_1"], store=lambda df: stored(df, "arima"))
+
+
+@query("model_agreement")
+def model_agreement(spark: SparkSession, d: str) -> DataFrame:
+    """How the fitted values of ARMA(2, 3) and of the order with the least aic go together, by series."""
+    df, x = grown(spark, d), ["body_1", "volume_1"]
+    keep = {"store": lambda f: stored(f, "arima")}
+    one = arima.fitted_values(df, "growth", arima.fit_arima(df, "growth", (2, 3), x, **keep), x).withColumnRenamed("fitted", "a")
+    best = stored(arima.choose_order(df, "growth", [(0, 0), (1, 0), (1, 1)], x, **keep), "orders")
+    two = arima.fitted_values(df, "growth", best, x).withColumnRenamed("fitted", "b").drop("y")
+    return backtest.agreement(one.join(two, ["symbol", "interval", "timestamp"]), "a", "b")
+
+
 ORDERS = {"o_orderkey": ("number", 8), "o_custkey": ("number", 8), "o_orderstatus": ("text", 0), "o_totalprice": ("number", 8), "o_orderdate": ("time", 8), "o_orderpriority": ("text", 0)}
 REPORT = "WITH report AS (" + " UNION ALL ".join(
     f"SELECT '{c}' AS feature, '{k}' AS kind, count(*) AS n, count(*) - count({c}) AS nulls, 100.0 * (count(*) - count({c})) / count(*) AS null_pct, {f'count({c}) * {w}' if w else f'sum(strlen({c}))'}::BIGINT AS bytes FROM orders"

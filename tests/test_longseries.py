@@ -41,6 +41,25 @@ def test_leading_nulls_and_empty_tables(bars):
     assert longseries.ema_long(bars.limit(0), wanted).count() == 0
 
 
+@pytest.mark.parametrize("rows", [15, 100_000])
+def test_appending_with_a_state_equals_one_run(spark, bars, rows):
+    """Series in several parts, one of a few rows, one series that begins late and one that ends early."""
+    keys = ["symbol", "timestamp"]
+    edges = ["2024-01-01 00:00:04", "2024-01-01 01:00:00", "2024-01-02 00:00:00", "2100-01-01"]
+    before, state, out = "1970-01-01", None, []
+    for edge in edges:
+        part = bars.filter((F.col("timestamp") > before) & (F.col("timestamp") <= edge) & ((F.col("symbol") != "d") | (F.col("timestamp") > edges[0])))
+        out.append(longseries.ema_long(part, WANTED, rows=rows, state=state).toPandas())
+        state = spark.createDataFrame(longseries.ema_state(part, WANTED, rows=rows, state=state).toPandas())
+        before = edge
+    found = pd.concat(out).sort_values(keys).reset_index(drop=True)
+    whole = bars.filter((F.col("symbol") != "d") | (F.col("timestamp") > edges[0]))
+    want = ema(whole, WANTED).toPandas().sort_values(keys).reset_index(drop=True)
+    assert len(found) == len(want) and sum(map(len, out[:2])) > 20
+    for name in WANTED:
+        assert np.allclose(found[name].astype(float), want[name].astype(float), rtol=1e-9, equal_nan=True), name
+
+
 def test_no_task_sorts_a_whole_series(bars):
     """Sorted windows by the keys alone stand over the table of buckets only: every sort of the rows has the bucket."""
     plan = longseries.ema_long(bars, WANTED, rows=40)._jdf.queryExecution().executedPlan().toString()
