@@ -23,7 +23,7 @@ from barloom.functions.longseries import numbered
 #: Rows of a block, and rows of the one before that it begins with.
 BLOCK, WARM = 20_000, 500
 #: Steps at most; relative improvement of the sum of squares at which a series is done.
-STEPS, DONE = 40, 1e-9
+STEPS, DONE = 25, 1e-9
 #: Largest root of the recursions: errors of a block are forgotten over the rows it begins with.
 ROOT = 0.99
 
