@@ -275,7 +275,14 @@ simple("rolling_cv", {"close_cv_20": f"{sql.roll('stddev_samp', 'close', 20)} /
 query("top_per_group", f"WITH {sql.bars(4)} SELECT symbol, feature, round(volume, 6) AS volume, place::INT AS place FROM (SELECT symbol, strftime(timestamp, '%Y-%m-%d %H:%M:%S') AS feature, volume, row_number() OVER (PARTITION BY symbol ORDER BY volume DESC, timestamp) AS place FROM bars) WHERE place <= 2")(
     lambda s, d: shown(stats.top_per_group(at(s, d).withColumn("feature", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss")), "symbol", "volume", 2), ["volume", "place"], ["symbol", "feature"])
 )
-query("mutual_information")(lambda s, d: stats.mutual_information(vectors(s, d), E64, "label"))
+INFORMATION = """WITH x AS (SELECT label AS y, unnest(range(64)) AS k, unnest(embedding)::DOUBLE AS x FROM embeddings),
+  e AS (SELECT k, quantile_cont(x, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS cuts FROM x GROUP BY k),
+  b AS (SELECT k, y, len(list_filter(cuts, lambda c: x > c)) AS b FROM x JOIN e USING (k)), j AS (SELECT k, b, y, count(*) AS n FROM b GROUP BY ALL),
+  t AS (SELECT k, n, sum(n) OVER (PARTITION BY k) AS a, sum(n) OVER (PARTITION BY k, b) AS nb, sum(n) OVER (PARTITION BY k, y) AS ny FROM j)
+  SELECT 'e' || k AS feature, round(greatest(0, sum(n / a * ln(n * a / (nb * ny)))), 6) AS mi FROM t GROUP BY k"""
+query("mutual_information", INFORMATION)(
+    lambda s, d: shown(stats.mutual_information(vectors(s, d), E64, "label"), ["mi"], ["feature"])
+)
 
 
 NEIGHBOURS = f"""WITH x AS (SELECT vec_id, label AS y, unnest(range(64)) AS k, unnest(embedding)::DOUBLE AS x FROM embeddings),
@@ -483,14 +490,15 @@ query("trendlines", f"WITH {sql.bars(12)}{WIN}{LINES} SELECT symbol, interval, w
     lambda s, d: shown(geometry.trend_lines(geometry.windows(at(s, d, 12), 30, 30), least=2), ["window_id", "trend", "x1", "y1", "x2", "y2", "touches"], ["symbol", "interval"])
 )
 
-#: The windows of the reference: 50 bars, moved on by one. The three queries above are compared with SQL on windows of
-#: 30 that don't overlap; these three and those below take every window.
+#: Every window: 50 bars, moved on by one. The three queries above take windows of 30 that don't overlap.
 SIZE, STEP = 50, 1
-query("trend_all")(lambda s, d: geometry.trend(geometry.windows(at(s, d, 12), SIZE, STEP)))
-query("wick_overlap_all")(
+EVERY = f""", n AS (SELECT *, {sql.index()} AS i, count(*) OVER (PARTITION BY symbol) AS n FROM bars),
+  v AS (SELECT *, unnest(range(greatest(0, i - {SIZE - 1}), least(i, n - {SIZE}) + 1)) AS window_id FROM n), w AS (SELECT *, (i - window_id)::INT AS bar FROM v)"""
+query("trend_all", ORACLE["trend"].replace(WIN, EVERY))(lambda s, d: geometry.trend(geometry.windows(at(s, d, 12), SIZE, STEP)))
+query("wick_overlap_all", ORACLE["wick_overlap"].replace(WIN, EVERY))(
     lambda s, d: geometry.wick_overlaps(geometry.windows(at(s, d, 12), SIZE, STEP)).select("symbol", "interval", "window_id", "bar", F.size("upper").alias("upper"), F.size("lower").alias("lower"))
 )
-query("trendlines_all")(
+query("trendlines_all", ORACLE["trendlines"].replace(WIN, EVERY))(
     lambda s, d: shown(geometry.trend_lines(geometry.windows(at(s, d, 12), SIZE, STEP), least=2), ["window_id", "trend", "x1", "y1", "x2", "y2", "touches"], ["symbol", "interval"])
 )
 
