@@ -163,7 +163,8 @@ def periodic_runs(docs: DataFrame, text_col: str = "text", lags: int = LAGS, lea
     if least < 2 or repeats < 2:
         raise ValueError("a run has two words and two periods at least")
     docs = docs.drop(*({"runs", "collapsed"} - {text_col}))
-    long = F.coalesce(most_words(F.col(text_col)) > lags * repeats, F.lit(False))
+    text = F.col(text_col)
+    long = F.coalesce((F.octet_length(text) > 2 * lags * repeats) & (most_words(text) > lags * repeats), F.lit(False))  # most are told by size alone
     return _short(docs.filter(~long), text_col, least, repeats).unionByName(_long(docs.filter(long), text_col, lags, least, repeats))
 
 
