@@ -1,9 +1,11 @@
 """Toxicity by weak supervision.
 
-Voters are lexicon words and word beginnings that labelled training texts show to go with toxicity. A generative label
-model, a tree-shaped network over the voters given the hidden class, estimates by expectation-maximisation how
-accurate each voter is and how it depends on the voter it is most correlated with; the given label is one more noisy
-voter. Its posterior labels train a linear classifier over word and beginning features, which scores every text.
+Voters are lexicon words and word beginnings that are right in most of the labelled training texts they are in. A
+generative label model, a tree-shaped network over the voters given the hidden class, begins with the number of votes
+a text has and estimates by expectation-maximisation, from the voters' agreement, how accurate each voter is and how it
+depends on the voter it is most correlated with. The given label only tells the classes apart: it has a fixed, weak
+weight (LABEL_TRUST), which is not learned. The posterior labels train a linear classifier over word and beginning
+features, which scores every text.
 """
 
 from __future__ import annotations
@@ -16,12 +18,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.common import slices, table, words
+from barloom.llm.common import discard, slices, stored, table, words
 
 #: At most so many labelled rows are learned from (those with the least hash of their id).
 MAX_LABELLED = 20_000
-#: Features of the classifier: with most evidence for and against toxicity; the first VOTERS of the former vote.
-FEATURES_FOR, FEATURES_AGAINST, VOTERS = 400, 100, 80
+#: Features of the classifier: with most evidence for and against toxicity.
+FEATURES_FOR, FEATURES_AGAINST = 400, 100
+#: At most so many voters, each right in VOTER_PRECISION of its labelled texts at least, no two in VOTER_OVERLAP of
+#: the texts that either is in.
+VOTERS, VOTER_PRECISION, VOTER_OVERLAP = 160, 2 / 3, 0.8
+#: Votes that make a text certainly toxic at the start.
+CERTAIN = 4
+#: How often the label model takes a given label to be right. With fewer voters than three, whose agreement can't be
+#: told from chance, the label decides alone, right in LABEL_ALONE.
+LABEL_TRUST, LABEL_ALONE = 0.7, 0.95
 #: Lengths of word beginnings that count as patterns.
 BEGINNINGS = (3, 4, 5, 6)
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -88,47 +98,76 @@ def choose_features(counts: DataFrame, n_pos: int, n_neg: int) -> list[str]:
     return [r[0] for r in top + low]
 
 
-def label_model(votes: np.ndarray, label: np.ndarray, rounds: int = 12) -> np.ndarray:
-    """Posterior probability of the toxic class for each row of votes (0/1), under a tree of voters given the class.
+def voter_candidates(counts: DataFrame, n_pos: int, n_neg: int, most: int = 400) -> list[str]:
+    """Features right in VOTER_PRECISION of five texts or more, those first whose counts are least like chance (the
+    likelihood ratio of the two-by-two table)."""
+    p, n, every = F.col("pos"), F.col("neg"), float(n_pos + n_neg)
+    cells = [(p, n_pos, p + n), (n, n_neg, p + n), (n_pos - p, n_pos, every - p - n), (n_neg - n, n_neg, every - p - n)]
+    ratio = sum(F.when(seen > 0, seen * F.log(seen * every / (total * marked))).otherwise(0.0) for seen, total, marked in cells)
+    good = counts.filter((p + n >= 5) & (p >= VOTER_PRECISION * (p + n)) & (p * n_neg > n * n_pos))
+    return [r[0] for r in good.orderBy(F.desc(ratio), "feature").limit(most).select("feature").collect()]
 
-    The tree joins the voters with most mutual information given the class (their correlations); each voter's
-    accuracy is its rate given the class and its parent's vote. The label is one more voter, joined to none.
-    """
+
+def distinct_voters(x: np.ndarray, most: int = VOTERS, overlap: float = VOTER_OVERLAP) -> list[int]:
+    """The first columns of x (0/1), but those that share too many of their rows with one before."""
+    both = x.T @ x
+    one = np.diag(both)
+    alike = both / np.maximum(one[:, None] + one[None, :] - both, 1)
+    chosen: list[int] = []
+    for j in range(x.shape[1]):
+        if len(chosen) < most and all(alike[j, i] < overlap for i in chosen):
+            chosen.append(j)
+    return chosen
+
+
+def voter_tree(votes: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Each voter's parent (the root's is -1) in the tree with most mutual information between neighbours given the
+    class, where row i is toxic with probability q[i]."""
     n, k = votes.shape
+    information = np.zeros((k, k))
+    for weight in (1 - q, q):
+        total = weight.sum() + 1e-9
+        both = (votes * weight[:, None]).T @ votes / total
+        one = np.diag(both).copy()
+        for a, b, joint in ((1, 1, both), (1, 0, one[:, None] - both), (0, 1, one[None, :] - both), (0, 0, 1 - one[:, None] - one[None, :] + both)):
+            apart = (one if a else 1 - one)[:, None] * (one if b else 1 - one)[None, :]
+            joint = np.clip(joint, 1e-12, None)
+            information += total / n * joint * np.log(joint / np.clip(apart, 1e-12, None))
+    parent = np.full(k, -1)
+    inside, best, link = np.zeros(k, bool), np.full(k, -1.0), np.full(k, -1)
+    for _ in range(k):
+        j = int(np.argmax(np.where(inside, -2.0, best)))
+        inside[j], parent[j] = True, link[j]
+        closer = information[j] > best
+        best, link = np.where(closer, information[j], best), np.where(closer, j, link)
+    return parent
+
+
+def update(votes: np.ndarray, label: np.ndarray, q: np.ndarray, parent: np.ndarray, trust: float) -> np.ndarray:
+    """A step of expectation-maximisation: from q, each voter's rate given the class and its parent's vote (with 0.2 of
+    a vote in one more row, so that none is 0), and from the rates the new q. The label is right in trust of the rows."""
+    above = np.where(parent >= 0, votes[:, parent], 0.0)
+    log_odds = np.where(label == 1, 1.0, -1.0) * np.log(trust / (1 - trust))
+    for sign, weight in ((-1, 1 - q), (1, q)):
+        log_odds += sign * np.log((weight.sum() + 0.5) / (len(q) + 1))
+        rate = [(weight @ (votes * part) + 0.2) / (weight @ part + 1) for part in (1 - above, above)]
+        p = np.where(above == 1, rate[1], rate[0])
+        log_odds += sign * np.where(votes == 1, np.log(p), np.log1p(-p)).sum(1)
+    return 1 / (1 + np.exp(-np.clip(log_odds, -60, 60)))
+
+
+def label_model(votes: np.ndarray, label: np.ndarray, trust: float = LABEL_TRUST, rounds: int = 30) -> np.ndarray:
+    """Posterior probability of the toxic class for each row of votes (0/1), under a tree of voters given the class."""
+    if votes.shape[1] < 3:
+        return np.where(label == 1, LABEL_ALONE, 1 - LABEL_ALONE)
     v = votes.astype(np.float64)
-    q = np.where(label == 1, 0.95, 0.05)
+    q = np.clip(v.sum(1) / CERTAIN, 0.02, 0.98)
     for step in range(rounds):
-        weight = np.stack([1 - q, q])  # class x row
-        total = weight.sum(1) + 1e-9
-        if step in (0, 3):
-            information = np.zeros((k, k))
-            for c in (0, 1):
-                both = (v * weight[c][:, None]).T @ v / total[c]
-                one = np.diag(both).copy()
-                for a, b, joint in ((1, 1, both), (1, 0, one[:, None] - both), (0, 1, one[None, :] - both), (0, 0, 1 - one[:, None] - one[None, :] + both)):
-                    pa_, pb_ = (one if a else 1 - one)[:, None], (one if b else 1 - one)[None, :]
-                    joint = np.clip(joint, 1e-12, None)
-                    information += total[c] / n * joint * np.log(joint / np.clip(pa_ * pb_, 1e-12, None))
-            parent = np.full(k, -1)
-            inside, best, link = np.zeros(k, bool), np.full(k, -1.0), np.full(k, -1)
-            for _ in range(k):
-                j = int(np.argmax(np.where(inside, -2.0, best)))
-                inside[j], parent[j] = True, link[j]
-                closer = information[j] > best
-                best, link = np.where(closer, information[j], best), np.where(closer, j, link)
-        log_p = np.zeros((2, n))
-        for c in (0, 1):
-            w = weight[c]
-            log_p[c] = np.log(total[c] / n)
-            rate = (w @ label + 0.5) / (total[c] + 1)
-            log_p[c] += np.where(label == 1, np.log(rate), np.log(1 - rate))
-            for j in range(k):
-                above = v[:, parent[j]] if parent[j] >= 0 else np.zeros(n)
-                p1 = (w @ (v[:, j] * above) + 0.2) / (w @ above + 1)
-                p0 = (w @ (v[:, j] * (1 - above)) + 0.2) / (w @ (1 - above) + 1)
-                p = np.where(above == 1, p1, p0)
-                log_p[c] += np.where(v[:, j] == 1, np.log(p), np.log1p(-p))
-        q = 1 / (1 + np.exp(np.clip(log_p[0] - log_p[1], -60, 60)))
+        if step in (0, 3):  # links are learned from the votes alone, then once from what they have shown
+            parent = voter_tree(v, q)
+        before, q = q, update(v, label, q, parent, trust)
+        if step > 3 and np.abs(q - before).max() < 1e-6:
+            break
     return q
 
 
@@ -150,13 +189,23 @@ def fit_linear(x: np.ndarray, q: np.ndarray, penalty: float = 2.0, rounds: int =
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[str], np.ndarray]:
     """The classifier's features and weights. Without both kinds of labels there are no features, only a bias."""
-    rows = training_rows(docs, labels, most, id_col, text_col)
+    rows = stored(training_rows(docs, labels, most, id_col, text_col), "labelled")
+    try:
+        return fit_rows(rows)
+    finally:
+        discard(rows)
+
+
+def fit_rows(rows: DataFrame) -> tuple[list[str], np.ndarray]:
+    """fit() for rows (doc_id, text, toxic), which are read three times."""
     counted = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_pos, n_neg = counted.get(1, 0), counted.get(0, 0)
     if not n_pos or not n_neg:
         return [], np.array([0.0 if n_pos == n_neg else (4.0 if n_pos else -4.0)])
-    names = choose_features(count_features(rows), n_pos, n_neg)
-    known = {x: i for i, x in enumerate(names)}
+    counts = stored(count_features(rows), "features")
+    names, candidates = choose_features(counts, n_pos, n_neg), voter_candidates(counts, n_pos, n_neg)
+    discard(counts)
+    known = {x: i for i, x in enumerate(dict.fromkeys(names + candidates))}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -166,11 +215,12 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, id_col: st
             yield pa.RecordBatch.from_arrays([part["doc_id"], part["toxic"], lists], ["doc_id", "toxic", "has"])
 
     found = rows.mapInArrow(run, "doc_id long, toxic int, has array<int>").toPandas().sort_values(["doc_id", "toxic"], kind="stable")
-    x = np.zeros((len(found), len(names)), np.float32)
+    x = np.zeros((len(found), len(known)), np.float32)
     for i, has in enumerate(found["has"]):
         x[i, has] = 1
-    q = label_model(x[:, :VOTERS], found["toxic"].to_numpy())
-    return names, fit_linear(x, q)
+    may = x[:, [known[c] for c in candidates]]
+    q = label_model(may[:, distinct_voters(may)], found["toxic"].to_numpy())
+    return names, fit_linear(x[:, : len(names)], q)
 
 
 def score(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -220,4 +270,5 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score for every row of documents, see toxicity(): a null text counts as empty, equal texts have equal scores."""
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

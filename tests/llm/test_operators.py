@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -370,6 +371,93 @@ def test_toxicity_learns_words_and_beginnings(spark, empty):
     assert {r.score for r in toxicity.toxicity(docs, marks.limit(0)).collect()} == {0.5}
 
 
+def planted_votes(rng, n, rates):
+    """Rows with a hidden class, votes by the class's rates (the last voter mostly follows the first), a noisy label."""
+    truth = np.array([rng.random() < 0.3 for _ in range(n)])
+    votes = np.array([[rng.random() < rates[int(c)][j] for j in range(len(rates[0]))] for c in truth], float)
+    votes[:, -1] = [a if rng.random() < 0.9 else b for a, b in zip(votes[:, 0], votes[:, -1])]
+    return truth, votes, np.array([int(c != (rng.random() < 0.25)) for c in truth])
+
+
+def test_label_model_steps_match_brute_force():
+    rng = random.Random(3)
+    rates = ([0.05, 0.1, 0.02, 0.08, 0.05, 0.1], [0.6, 0.5, 0.3, 0.7, 0.4, 0.5])
+    truth, v, label = planted_votes(rng, 400, rates)
+    q = np.array([rng.random() for _ in range(400)])
+
+    def share(c, **seen):  # weighted share of rows of class c with these votes
+        w = q if c else 1 - q
+        return sum(w[i] for i in range(400) if all(v[i, int(j[1:])] == x for j, x in seen.items())) / w.sum()
+
+    def information(a, b):
+        out = 0.0
+        for c in (0, 1):
+            for x, y in itertools.product((0, 1), (0, 1)):
+                joint = share(c, **{f"v{a}": x, f"v{b}": y})
+                if joint > 0:
+                    out += (q if c else 1 - q).sum() / 400 * joint * math.log(joint / share(c, **{f"v{a}": x}) / share(c, **{f"v{b}": y}))
+        return out
+
+    pairs = {(a, b): information(a, b) for a, b in itertools.combinations(range(6), 2)}
+    best = 0.0
+    for edges in itertools.combinations(pairs, 5):  # all trees on six voters
+        reached = {0}
+        for _ in range(5):
+            reached |= {y for e in edges for y in e if set(e) & reached}
+        if len(reached) == 6:
+            best = max(best, sum(pairs[e] for e in edges))
+    parent = toxicity.voter_tree(v, q)
+    assert sorted(parent)[0] == -1 and (parent >= 0).sum() == 5
+    assert math.isclose(sum(pairs[tuple(sorted((j, int(p))))] for j, p in enumerate(parent) if p >= 0), best, rel_tol=1e-6)
+
+    got = toxicity.update(v, label, q, parent, 0.7)
+    for i in range(0, 400, 7):
+        chance = []
+        for c in (0, 1):
+            w = q if c else 1 - q
+            p = (w.sum() + 0.5) / 401 * (0.7 if label[i] == c else 0.3)
+            for j in range(6):
+                above = 0 if parent[j] < 0 else v[i, parent[j]]
+                like = [r for r in range(400) if (0 if parent[j] < 0 else v[r, parent[j]]) == above]
+                rate = (sum(w[r] for r in like if v[r, j] == 1) + 0.2) / (sum(w[r] for r in like) + 1)
+                p *= rate if v[i, j] == 1 else 1 - rate
+            chance.append(p)
+        assert math.isclose(got[i], chance[1] / sum(chance), rel_tol=1e-9)
+
+
+def test_label_model_learns_from_agreement():
+    rng = random.Random(4)
+    rates = ([0.03, 0.05, 0.02, 0.04, 0.05, 0.03, 0.02, 0.05], [0.5, 0.45, 0.4, 0.6, 0.5, 0.55, 0.4, 0.5])
+    truth, votes, label = planted_votes(rng, 3000, rates)
+    q = toxicity.label_model(votes, label)
+    assert ((label == 1) == truth).mean() < 0.78 < 0.96 < ((q >= 0.5) == truth).mean()
+    assert toxicity.distinct_voters(np.hstack([votes, votes[:, :3]])) == list(range(7))  # the last is like the first
+    assert set(toxicity.label_model(votes[:, :2], label)) == {toxicity.LABEL_ALONE, 1 - toxicity.LABEL_ALONE}
+
+
+def test_toxicity_of_long_repeated_and_clashing_rows(spark):
+    rng = random.Random(6)
+    bad = ["vexor", "grumpl", "snidge", "plonk"]
+    rows = []
+    for i in range(400):
+        words = lines(rng, 30).split()
+        if i % 4 == 0:
+            words[3:6] = rng.sample(bad, 3)
+        rows.append((i, " ".join(words), 0.5, 1))
+    long = " ".join(lines(rng, 60) for _ in range(3000))
+    rows += [(1000, long, 0.1, 0), (1001, long + " vexor grumpl snidge plonk", 0.1, 0), rows[4], rows[4], (None, "", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double, toxic int")
+    marks = spark.createDataFrame([(i, int(i % 4 == 0), "x") for i in range(400)] * 2, "doc_id long, toxic int, text string")
+    got = toxicity.toxicity(docs, marks).collect()
+    assert len(got) == len(rows)
+    by = collections.defaultdict(set)
+    for r in got:
+        by[r.doc_id].add(r.predicted)
+    assert all(by[i] == {int(i % 4 == 0)} for i in range(400)) and by[1000] == {0} and by[None] == {0}
+    kept = toxicity.keep_clean(docs, marks)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r[0] for r in rows if by[r[0]] == {0}}
+
+
 # --- sentence spans ---
 
 
