@@ -52,10 +52,12 @@ def live_bollinger(df: DataFrame, n: int = 20, mult: float = 2.0) -> DataFrame:
 
 
 def live_rsi(df: DataFrame, n: int = 14) -> DataFrame:
-    """RsiLE / RsiSE on delayed crossings of 30 and 70, alternating, the first two blanked."""
-    x = f"RSI_{n}"
+    """RsiLE / RsiSE on delayed crossings of 30 and 70, alternating, the first two blanked. The live index (of df with
+    RSI_n) doesn't show the row of its seed, the plain mean of the first n moves: it is 0 up to row n."""
+    df = add(df, __x=F.when(row_index() <= n, 0.0).otherwise(F.col(f"RSI_{n}")))
+    x = "__x"
     raw = F.when((lag(x) > 30) & (lag(x, 2) <= 30), "RsiLE").when((lag(x) < 70) & (lag(x, 2) >= 70), "RsiSE")
-    return _labelled(df, raw, 2)
+    return _labelled(df, raw, 2).drop("__x")
 
 
 def live_macd(df: DataFrame, fast: int = 18, slow: int = 30, signal: int = 18) -> DataFrame:
@@ -79,8 +81,16 @@ def _labelled(df: DataFrame, raw: Column, skip: int) -> DataFrame:
     return add(df, label=label).drop("__raw", "__kept")
 
 
-def arima_features(df: DataFrame, spans: tuple[int, ...] = (6, 14, 21, 42, 84)) -> DataFrame:
-    """Log returns, powers, averages of the given spans, relative volume, body and wick sizes, and one-bar lags."""
+#: Features of the models that are also given one bar late.
+LAGGED = [
+    "close_log", "high_log", "low_log", "hilo_log", "close_log_2", "close_log_3", "body", "upper_wick", "lower_wick", "upper_ratio", "lower_ratio",
+    "rvol", "rvol_growth", "range_sma", "body2_ema", "upper_ema", "lower_ema", "body_x_rvol", "wick_x_body", "ema_6", "rma_6", "rsi_ema",
+]
+
+
+def arima_features(df: DataFrame, spans: tuple[int, ...] = (6, 14, 21, 42, 84), rsi: str | None = None) -> DataFrame:
+    """Log returns, powers, averages of the given spans, relative volume, body and wick sizes, and one-bar lags; where
+    rsi names a column with the strength index, its average of three bars too."""
     o, h, low, c, v = (F.col(x) for x in ("open", "high", "low", "close", "volume"))
     logret = lambda x: F.log(div(x, lag(x)))
     df = add(df, close_log=logret("close"), high_log=logret("high"), low_log=logret("low"), hilo_log=F.log(div(h, low)))
@@ -91,8 +101,9 @@ def arima_features(df: DataFrame, spans: tuple[int, ...] = (6, 14, 21, 42, 84))
     df = add(df, body_2=F.col("body") ** 2, range=h - low, rvol_growth=div("rvol", roll(F.avg, "close", 21)))
     df = ema(df, {**{f"ema_{n}": ("sma", "close", n) for n in spans}, **{f"rma_{n}": ("wilder", "close", n) for n in spans}, "upper_ema": ("sma", "upper_wick", 6), "lower_ema": ("sma", "lower_wick", 6), "body2_ema": ("sma", "body_2", 42)})
     df = add(df, range_sma=roll(F.avg, "range", 42), body_x_rvol=F.col("body") * F.col("rvol"), wick_x_body=F.col("upper_wick") * F.col("body"))
-    back = ["close_log", "high_log", "low_log", "hilo_log", "close_log_2", "close_log_3", "body", "upper_wick", "lower_wick", "upper_ratio", "lower_ratio", "rvol", "rvol_growth", "range_sma", "body2_ema", "upper_ema", "lower_ema", "body_x_rvol", "wick_x_body", f"ema_{spans[0]}", f"rma_{spans[0]}"]
-    return add(df, **{f"{x}_lag1": lag(x) for x in back})
+    if rsi:
+        df = ema(df, {"rsi_ema": ("sma", rsi, 3)})
+    return add(df, **{f"{x}_lag1": lag(x) for x in LAGGED if x in df.columns})
 
 
 def agreement(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -20,6 +20,8 @@ from barloom.streaming import trades
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
+#: Of each query made by simple(): its columns as SQL, the common tables before them, and the table they are taken from.
+PIECES: dict[str, tuple[dict[str, str], str, str]] = {}
 KEY = ["symbol", "timestamp"]
 M = "MARKET_FEATURES_"
 
@@ -55,6 +57,7 @@ def shown(df: DataFrame, columns: list[str], keys: list[str] | None = None, digi
 def simple(name: str, columns: dict[str, str], build, hours: int = 4, before: str = "", source: str = "bars", digits: int = 6) -> None:
     """A query that adds columns to bars; columns: name -> SQL expression over source."""
     body = ", ".join(f'round({e}, {digits}) AS "{c}"' for c, e in columns.items())
+    PIECES[name] = (columns, before, source)
     query(name, f"WITH {sql.bars(hours)}{before} SELECT symbol, timestamp, {body} FROM {source}")(lambda s, d: shown(build(at(s, d, hours)), list(columns), digits=digits))
 
 
@@ -135,18 +138,50 @@ for tag, fast, slow, sig in (("long", 12, 26, 9), ("short", 8, 17, 9)):
         f"MACD_macd_slope_{tag}": _slope("line", 4, "1e-9"), f"MACD_signal_slope_{tag}": _slope("sig", 4, "1e-9"), f"MACD_histogram_slope_{tag}": _slope("hist", 4, "1e-9")},
         lambda df, fast=fast, slow=slow, sig=sig: families.macd(df, fast, slow, sig), before=before, source="h")
 
-BB = f""", b AS (SELECT *, {sql.index()} AS i, coalesce({sql.roll('avg', 'close', 20)}, 0) AS basis, coalesce({sql.roll('avg', 'close', 20)} + 2 * {sql.roll('stddev_samp', 'close', 20)}, 0) AS up, coalesce({sql.roll('avg', 'close', 20)} - 2 * {sql.roll('stddev_samp', 'close', 20)}, 0) AS lo FROM bars)"""
-simple("bollinger", {
-    "BB_basis_20": "basis", "BB_upper_band_20": "up", "BB_lower_band_20": "lo", "BB_band_width_20": "coalesce((up - lo) / nullif(basis, 0) * 100, 0)",
-    "BB_price_band_pos_20": "coalesce(least(greatest((close - lo) / nullif(up - lo, 0), 0), 1), 0)", "BB_upper_dist_20": "(up - close) / close * 100", "BB_lower_dist_20": "(close - lo) / close * 100",
-    "BB_basis_slope_20": _slope("basis", 2, "0"), "BB_upper_slope_20": _slope("up", 2, "0"), "BB_lower_slope_20": _slope("lo", 2, "0")}, families.bollinger, hours=12, before=BB, source="b")
-query("bb_signal", f"""WITH {sql.bars(4)}{BB}, r AS (SELECT symbol, timestamp, CASE WHEN i >= 21 AND {sql.lag('close')} < {sql.lag('up')} AND {sql.lag('close', 2)} >= {sql.lag('up', 2)} THEN 1
-  WHEN i >= 21 AND {sql.lag('close')} > {sql.lag('lo')} AND {sql.lag('close', 2)} <= {sql.lag('lo', 2)} THEN -1 ELSE 0 END AS raw FROM b)
-  SELECT symbol, timestamp, (CASE WHEN raw <> 0 AND count(*) FILTER (raw <> 0) {sql.ORDER} = 1 THEN 0 ELSE raw END)::INT AS "BB_bband_signal_20" FROM r""")(lambda s, d: families.bollinger(at(s, d)).select(*KEY, F.col("BB_bband_signal_20").cast("int").alias("BB_bband_signal_20")))
+
+
+def bands(n: int) -> str:
+    mean, dev = sql.roll("avg", "close", n), sql.roll("stddev_samp", "close", n)
+    return f""", b AS (SELECT *, {sql.index()} AS i, coalesce({mean}, 0) AS basis, coalesce({mean} + 2 * {dev}, 0) AS up,
+      coalesce({mean} - 2 * {dev}, 0) AS lo FROM bars)"""
+
+
+def band_columns(n: int) -> dict[str, str]:
+    return {
+        f"BB_basis_{n}": "basis",
+        f"BB_upper_band_{n}": "up",
+        f"BB_lower_band_{n}": "lo",
+        f"BB_band_width_{n}": "coalesce((up - lo) / nullif(basis, 0) * 100, 0)",
+        f"BB_price_band_pos_{n}": "coalesce(least(greatest((close - lo) / nullif(up - lo, 0), 0), 1), 0)",
+        f"BB_upper_dist_{n}": "(up - close) / close * 100",
+        f"BB_lower_dist_{n}": "(close - lo) / close * 100",
+        f"BB_basis_slope_{n}": _slope("basis", 2, "0"),
+        f"BB_upper_slope_{n}": _slope("up", 2, "0"),
+        f"BB_lower_slope_{n}": _slope("lo", 2, "0"),
+    }
+
+
+def band_signal(n: int) -> tuple[str, str]:
+    """The table r with raw crossings, and the signal as SQL over it."""
+    c1, c2, least = sql.lag("close"), sql.lag("close", 2), n + 1
+    raw = f"""r AS (SELECT symbol, timestamp, CASE WHEN i >= {least} AND {c1} < {sql.lag('up')} AND {c2} >= {sql.lag('up', 2)} THEN 1
+      WHEN i >= {least} AND {c1} > {sql.lag('lo')} AND {c2} <= {sql.lag('lo', 2)} THEN -1 ELSE 0 END AS raw FROM b)"""
+    return raw, f"(CASE WHEN raw <> 0 AND count(*) FILTER (raw <> 0) {sql.ORDER} = 1 THEN 0 ELSE raw END)::INT"
+
+
+BB = bands(20)
+simple("bollinger", band_columns(20), families.bollinger, hours=12, before=BB, source="b")
+RAW, SIGNAL = band_signal(20)
+query("bb_signal", f"WITH {sql.bars(4)}{BB}, {RAW} SELECT symbol, timestamp, {SIGNAL} AS \"BB_bband_signal_20\" FROM r")(
+    lambda s, d: families.bollinger(at(s, d)).select(*KEY, F.col("BB_bband_signal_20").cast("int").alias("BB_bband_signal_20"))
+)
 RSI = f""", c AS (SELECT *, {sql.index()} AS i, close - {sql.lag('close')} AS ch FROM bars), g AS (SELECT *, {sql.so_far('greatest(ch, 0)')} AS gl, {sql.so_far('greatest(-ch, 0)')} AS ll FROM c),
   h AS (SELECT *, {sql.ema('gl[2:]', 'wilder', 14)} AS ag, {sql.ema('ll[2:]', 'wilder', 14)} AS al FROM g), x AS (SELECT *, CASE WHEN i < 14 THEN 0 WHEN al = 0 THEN 100 ELSE 100 - 100 / (1 + ag / al) END AS rsi FROM h)"""
 simple("rsi", {"RSI_14": "rsi", "RSI_distance_14": "rsi - 50", "RSI_slope_14": f"coalesce(rsi - {sql.lag('rsi', 10)}, 0)", "RSI_oversold_14": "greatest(30 - rsi, 0)", "RSI_overbought_14": "greatest(rsi - 70, 0)"}, families.rsi, before=RSI, source="x")
-query("rsi_signal", f"WITH {sql.bars(4)}{RSI} SELECT symbol, timestamp, (CASE WHEN i >= 4 AND rsi < 30 THEN -1 WHEN i >= 4 AND rsi > 70 THEN 1 ELSE 0 END)::INT AS \"RSI_signal_14\" FROM x")(lambda s, d: families.rsi(at(s, d)).select(*KEY, "RSI_signal_14"))
+RSI_SIGNAL = "(CASE WHEN i >= 4 AND rsi < 30 THEN -1 WHEN i >= 4 AND rsi > 70 THEN 1 ELSE 0 END)::INT"
+query("rsi_signal", f"WITH {sql.bars(4)}{RSI} SELECT symbol, timestamp, {RSI_SIGNAL} AS \"RSI_signal_14\" FROM x")(
+    lambda s, d: families.rsi(at(s, d)).select(*KEY, "RSI_signal_14")
+)
 
 # --- horizon family, period 14 for the oscillators and 1 (computed over 3 rows) for the rest ---
 
@@ -158,20 +193,45 @@ simple("donchian_keltner", {f"{B1}DONCH_UPPER": "du", f"{B1}DONCH_LOWER": "dl",
 simple("tma", {f"{A1}FUTURE_BIAS": f"(lead(close) {sql.ORDER} / close - 1) * 100", f"{A1}TMA": sql.roll("avg", "s", 3)}, H1, before=f", s AS (SELECT *, {sql.roll('avg', 'close', 3)} AS s FROM bars)", source="s")
 MB = "HORIZON_ALIGNED_MA_14_"
 simple("band_position", {f"{MB}MA_BAND_POS": "(close - s) / nullif(round(f - s, 12), 0)"}, H14, before=f", s AS (SELECT *, {sql.roll('avg', 'close', 14)} AS s, {sql.roll('avg', 'close', 7)} AS f FROM bars)", source="s")
-HM = f", l AS (SELECT *, {sql.so_far('close')} AS l FROM bars), m AS (SELECT *, {sql.ema('l', 'first', 7)} - {sql.ema('l', 'first', 14)} AS line FROM l), n AS (SELECT *, {sql.so_far('line')} AS ll FROM m), o AS (SELECT *, {sql.ema('ll', 'weighted', 4)} AS sig FROM n)"
-simple("horizon_macd", {f"{MB}MACD": "line", f"{MB}SIGNAL": "sig", f"{MB}HIST": "line - sig", f"{MB}VOLUME_ROC": f"(volume / {sql.lag('volume', 14)} - 1) * 100"}, H14, before=HM, source="o")
+
+
+def crossing(fast: int, slow: int, signal: int) -> str:
+    return f""", l AS (SELECT *, {sql.so_far('close')} AS l FROM bars), m AS (SELECT *, {sql.ema('l', 'first', fast)} - {sql.ema('l', 'first', slow)} AS line FROM l),
+      n AS (SELECT *, {sql.so_far('line')} AS ll FROM m), o AS (SELECT *, {sql.ema('ll', 'weighted', signal)} AS sig FROM n)"""
+
+
+def crossing_columns(raw: int, p: int) -> dict[str, str]:
+    ma = f"HORIZON_ALIGNED_MA_{raw}_"
+    return {f"{ma}MACD": "line", f"{ma}SIGNAL": "sig", f"{ma}HIST": "line - sig", f"{ma}VOLUME_ROC": f"(volume / {sql.lag('volume', p)} - 1) * 100"}
+
+
+simple("horizon_macd", crossing_columns(14, 14), H14, before=crossing(7, 14, 4), source="o")
 simple("linreg", {f"{A1}LR_SLOPE": f"CASE WHEN count(close) {sql.rows(3)} = 3 THEN regr_slope(close, i) {sql.rows(3)} END", f"{A1}LR_R2": f"CASE WHEN count(close) {sql.rows(3)} = 3 THEN CASE WHEN max(close) {sql.rows(3)} = min(close) {sql.rows(3)} THEN 0 ELSE regr_r2(close, i) {sql.rows(3)} END END", f"{A1}LR_SLOPE_PCT": f"CASE WHEN count(close) {sql.rows(3)} = 3 THEN regr_slope(close, i) {sql.rows(3)} END / {sql.roll('avg', 'close', 3)} * 100"}, H1, before=f", x AS (SELECT *, {sql.index()}::DOUBLE AS i FROM bars)", source="x")
-O14 = "HORIZON_ALIGNED_MOM_14_"
-MOM = f""", t AS (SELECT *, close - {sql.lag('close', 14)} AS d, close - least({sql.lag('low')}, {sql.lag('close')}) AS bp, greatest(high - low, abs(high - {sql.lag('close')}), abs(low - {sql.lag('close')})) AS tr, (high + low + close) / 3 AS tp FROM bars),
-  u AS (SELECT *, CASE WHEN d IS NOT NULL THEN greatest(d, 0) END AS dp, CASE WHEN d IS NOT NULL THEN greatest(-d, 0) END AS dn, CASE WHEN tp > {sql.lag('tp')} THEN tp * volume ELSE 0 END AS fu, CASE WHEN tp < {sql.lag('tp')} THEN tp * volume ELSE 0 END AS fd FROM t)"""
-part = lambda n: f"{sql.roll('sum', 'bp2', n)} / {sql.roll('sum', 'tr', n)}"
-MOM += ", w AS (SELECT *, CASE WHEN d1 THEN bp END AS bp2 FROM (SELECT *, " + sql.index() + " >= 1 AS d1 FROM u))"
-simple("momentum", {
-    f"{O14}CMO": f"100 * ({sql.roll('sum', 'dp', 14)} - {sql.roll('sum', 'dn', 14)}) / (CASE WHEN {sql.roll('sum', 'dp', 14)} + {sql.roll('sum', 'dn', 14)} = 0 THEN 1 ELSE {sql.roll('sum', 'dp', 14)} + {sql.roll('sum', 'dn', 14)} END)",
-    f"{O14}COG": f"CASE WHEN count(close) {sql.rows(14)} = 14 THEN list_sum(list_transform(list(close) {sql.rows(14)}, lambda v, k: v * k)) / sum(close) {sql.rows(14)} END",
-    f"{O14}MOM_STRENGTH": f"{sql.roll('sum', 'sign(close - open)', 14)} / 14",
-    f"{O14}ULT_OSC": f"100 * (4 * {part(3)} + 2 * {part(7)} + {part(14)}) / 7",
-    f"{O14}MFI": f"100 - 100 / (1 + {sql.roll('sum', 'fu', 14)} / (CASE WHEN {sql.roll('sum', 'fd', 14)} = 0 THEN 1e-10 ELSE {sql.roll('sum', 'fd', 14)} END))"}, H14, before=MOM, source="w")
+
+
+def moves(p: int) -> str:
+    """Tables up to w: rises and falls over p rows, buying pressure, true range and flows."""
+    c1 = sql.lag("close")
+    return f""", t AS (SELECT *, close - {sql.lag('close', p)} AS d, close - least({sql.lag('low')}, {c1}) AS bp,
+      greatest(high - low, abs(high - {c1}), abs(low - {c1})) AS tr, (high + low + close) / 3 AS tp FROM bars),
+      u AS (SELECT *, CASE WHEN d IS NOT NULL THEN greatest(d, 0) END AS dp, CASE WHEN d IS NOT NULL THEN greatest(-d, 0) END AS dn,
+      CASE WHEN tp > {sql.lag('tp')} THEN tp * volume ELSE 0 END AS fu, CASE WHEN tp < {sql.lag('tp')} THEN tp * volume ELSE 0 END AS fd FROM t),
+      w AS (SELECT *, CASE WHEN d1 THEN bp END AS bp2 FROM (SELECT *, {sql.index()} >= 1 AS d1 FROM u))"""
+
+
+def move_columns(raw: int, p: int) -> dict[str, str]:
+    mom, up, down, lost = f"HORIZON_ALIGNED_MOM_{raw}_", sql.roll("sum", "dp", p), sql.roll("sum", "dn", p), sql.roll("sum", "fd", p)
+    part = lambda n: f"{sql.roll('sum', 'bp2', n)} / {sql.roll('sum', 'tr', n)}"
+    pressure = {f"{mom}ULT_OSC": f"100 * (4 * {part(max(3, p // 4))} + 2 * {part(max(5, p // 2))} + {part(p)}) / 7"} if p >= 7 else {}
+    return pressure | {
+        f"{mom}CMO": f"100 * ({up} - {down}) / (CASE WHEN {up} + {down} = 0 THEN 1 ELSE {up} + {down} END)",
+        f"{mom}COG": f"CASE WHEN count(close) {sql.rows(p)} = {p} THEN list_sum(list_transform(list(close) {sql.rows(p)}, lambda v, k: v * k)) / sum(close) {sql.rows(p)} END",
+        f"{mom}MOM_STRENGTH": f"{sql.roll('sum', 'sign(close - open)', p)} / {p}",
+        f"{mom}MFI": f"100 - 100 / (1 + {sql.roll('sum', 'fu', p)} / (CASE WHEN {lost} = 0 THEN 1e-10 ELSE {lost} END))",
+    }
+
+
+simple("momentum", move_columns(14, 14), H14, before=moves(14), source="w")
 VC = f""", v AS (SELECT *, {sql.lag('open', 2)} AS vo, {sql.roll('max', 'high', 3)} AS vh, {sql.roll('min', 'low', 3)} AS vl FROM bars), c AS (SELECT *, vh - vl AS rng, abs(close - vo) AS body, sign(close - vo)::DOUBLE AS dir FROM v)"""
 simple("virtual_candle", {f"{V1}OPEN": "vo", f"{V1}HIGH": "vh", f"{V1}LOW": "vl", f"{V1}CLOSE": "close", f"{V1}RANGE": "rng", f"{V1}BODY": "body", f"{V1}DIRECTION": "dir", f"{V1}EFFICIENCY": "body / nullif(rng, 0)"}, H1, before=VC, source="c")
 L = sql.lag
@@ -180,9 +240,47 @@ PAT = {"THREE_INSIDE": (f"{L('dir', 2)} < 0 AND {L('body', 1)} < {L('body', 2)}
 query("patterns", f"WITH {sql.bars(4)}{VC} SELECT symbol, timestamp, " + ", ".join(f'(CASE WHEN {p} THEN 1 WHEN {n} THEN -1 ELSE 0 END)::INT AS "{V1}{k}"' for k, (p, n) in PAT.items()) + " FROM c")(lambda s, d: H1(at(s, d)).select(*KEY, *[f"{V1}{k}" for k in PAT]))
 
 
-@query("wide_features")
+def digits_of(column: str) -> int:
+    """Halves of prices with two decimals, and ratios of few such prices, may end in a five right behind the last decimal
+    that is compared: channels and centres of gravity are compared to nine decimals."""
+    return 9 if column.startswith(B1) or column.endswith("_COG") else 6
+
+
+def joined_families() -> str:
+    """SQL for the wide table: each family's own SQL, joined by series and time. Nulls of all but the horizon family are 0."""
+    families_of: list[tuple[dict[str, str], str, str]] = [({"direction": f"coalesce((close > {sql.lag('close')})::INT, 0)"}, "", "bars")]
+    for tag in ("long", "short"):
+        columns, before, source = PIECES[f"ema_macd_{tag}"]
+        families_of.append((columns | {f"MACD_trend_direction_{tag}": "sign(hist)::INT"}, before, source))
+    for n in (20, 50):
+        raw, signal = band_signal(n)
+        families_of += [(band_columns(n), bands(n), "b"), ({f"BB_bband_signal_{n}": signal}, f"{bands(n)}, {raw}", "r")]
+    columns, before, source = PIECES["rsi"]
+    families_of.append((columns | {"RSI_signal_14": RSI_SIGNAL}, before, source))
+    market = ("returns", "volatility", "candle_ratios", "volume_features", "price_vol_corr", "money_flow", "obv")
+    families_of += [PIECES[name] for name in market]
+    filled = len(families_of)
+    families_of += [PIECES[name] for name in ("donchian_keltner", "tma", "linreg", "virtual_candle")]
+    families_of += [(crossing_columns(1, 3), crossing(5, 10, 3), "o"), (move_columns(1, 3), moves(3), "w")]
+    families_of.append(({f"{V1}{k}": f"(CASE WHEN {p} THEN 1 WHEN {n} THEN -1 ELSE 0 END)::INT" for k, (p, n) in PAT.items()}, VC, "c"))
+    families_of.append(({f"{A1}MA_BAND_POS": "NULL::DOUBLE"}, "", "bars"))  # both averages have three rows: no distance
+    parts, shown_columns, joins = [], [], []
+    for i, (columns, before, source) in enumerate(families_of):
+        body = ", ".join(f'{e} AS "{c}"' for c, e in columns.items())
+        parts.append(f"f{i} AS (WITH {sql.bars(4)}{before} SELECT symbol, timestamp, {body} FROM {source})")
+        for c, e in columns.items():
+            value = f'coalesce("{c}", 0)' if i < filled else f'"{c}"'
+            shown_columns.append(f'{value} AS "{c}"' if e.endswith("::INT") or c == "direction" else f'round({value}, {digits_of(c)}) AS "{c}"')
+        joins.append(f"JOIN f{i} USING (symbol, timestamp)")
+    prices = ", ".join(f"round({c}, 6) AS {c}" for c in ("open", "high", "low", "close", "volume"))
+    return f"WITH {sql.bars(4)}, {', '.join(parts)} SELECT symbol, interval, timestamp, {prices}, {', '.join(shown_columns)} FROM bars {' '.join(joins)}"
+
+
+@query("wide_features", joined_families())
 def wide(spark: SparkSession, d: str) -> DataFrame:
-    return families.wide_features(at(spark, d), volume="volume")
+    df = families.wide_features(at(spark, d), volume="volume")
+    kinds = dict(df.dtypes)
+    return df.select(*[F.round(c, digits_of(c)).alias(c) if kinds[c] == "double" else F.col(c) for c in df.columns])
 
 
 # --- targets, splits, parameters, cleaning ---
@@ -439,7 +537,44 @@ forecast = lambda df: df.withColumn("forecast", F.col("close") - roll(F.avg, "cl
 simple("backtest", {"portfolio": "pf", "peak": "pk", "drawdown": "dd"}, lambda df: backtest.portfolio(forecast(df), "forecast"), before=BT, source="q")
 query("backtest_summary", f"""WITH {sql.bars(4)}{BT} SELECT symbol, interval, sum(buy)::BIGINT AS trades, round(arg_max(pf, timestamp) - 1, 6) AS total_return, round(pow(arg_max(pf, timestamp), 365.0 / (count(*) * 4)) - 1, 6) AS annual_return,
   round(max(dd), 6) AS max_drawdown, round(count(*) FILTER (buy = 1 AND close > open) / nullif(sum(buy), 0), 6) AS win_rate FROM q GROUP BY ALL""")(lambda s, d: shown(backtest.summary(backtest.portfolio(forecast(at(s, d)), "forecast")), ["trades", "total_return", "annual_return", "max_drawdown", "win_rate"], ["symbol", "interval"]))
-simple("arima_features", {"close_log": f"ln(close / {sql.lag('close')})", "sma_6": sql.roll("avg", "close", 6), "ema_6": sql.ema("l", "sma", 6), "rma_6": sql.ema("l", "wilder", 6), "ema_84": sql.ema("l", "sma", 84), "rvol": f"volume / {sql.roll('avg', 'volume', 21)}", "upper_wick": "high - greatest(open, close)", "body_2": "pow(close - open, 2)", "range_sma": sql.roll("avg", "(high - low)", 42)}, backtest.arima_features, before=f", l AS (SELECT *, {sql.so_far('close')} AS l FROM bars)", source="l")
+MODEL_SPANS = (6, 14, 21, 42, 84)
+OF_CLOSE = {f"{k}_{n}": sql.ema("l", kind, n) for n in MODEL_SPANS for k, kind in (("ema", "sma"), ("rma", "wilder"))}
+MODEL = {
+    **{f"{c}_log": f"ln({c} / {sql.lag(c)})" for c in ("close", "high", "low")},
+    "hilo_log": "ln(high / low)",
+    "body": "abs(close - open)",
+    "upper_wick": "high - greatest(open, close)",
+    "lower_wick": "least(open, close) - low",
+    "range": "high - low",
+    "rvol": f"volume / {sql.roll('avg', 'volume', 21)}",
+    **{f"sma_{n}": sql.roll("avg", "close", n) for n in MODEL_SPANS},
+    **OF_CLOSE,
+    "rsi_ema": sql.ema("rl", "sma", 3),
+}
+SIZE_OF_BODY = "(CASE WHEN body = 0 THEN 1e-8 ELSE body END)"
+MODEL_LISTS = {"ul": "upper_wick", "wl": "lower_wick", "bl": "body * body"}
+MODEL_2 = {
+    **{f"close_log_{k}": f"pow(close_log, {k})" for k in (2, 3)},
+    "body_2": "body * body",
+    **{f"{side}_ratio": f"{side}_wick / {SIZE_OF_BODY}" for side in ("upper", "lower")},
+    "rvol_growth": f"rvol / {sql.roll('avg', 'close', 21)}",
+    "upper_ema": sql.ema("ul", "sma", 6),
+    "lower_ema": sql.ema("wl", "sma", 6),
+    "body2_ema": sql.ema("bl", "sma", 42),
+    "range_sma": sql.roll("avg", "range", 42),
+    "body_x_rvol": "body * rvol",
+    "wick_x_body": "upper_wick * body",
+}
+named = lambda columns: ", ".join(f'{e} AS "{c}"' for c, e in columns.items())
+MODEL_TABLES = f"""{RSI}, l AS (SELECT *, {sql.so_far('close')} AS l, {sql.so_far('rsi')} AS rl FROM x), m AS (SELECT *, {named(MODEL)} FROM l),
+  ml AS (SELECT *, {named({k: sql.so_far(v) for k, v in MODEL_LISTS.items()})} FROM m), m2 AS (SELECT *, {named(MODEL_2)} FROM ml)"""
+simple(
+    "arima_features",
+    {c: c for c in (*MODEL, *MODEL_2)} | {f"{c}_lag1": sql.lag(c) for c in backtest.LAGGED},
+    lambda df: backtest.arima_features(families.rsi(df), rsi="RSI_14"),
+    before=MODEL_TABLES,
+    source="m2",
+)
 LIVE_BANDS = f""", d AS (SELECT *, {sql.roll('avg', 'close', 20)} AS mid, 2 * {sql.roll('stddev_pop', 'close', 20)} AS dev FROM bars),
   b AS (SELECT *, mid + dev AS up, mid - dev AS lo FROM d)"""
 CROSSED_BANDS = f"""CASE WHEN {sql.lag('close')} < {sql.lag('up')} AND {sql.lag('close', 2)} >= {sql.lag('up', 2)} THEN 'BBandSE'
@@ -447,9 +582,10 @@ CROSSED_BANDS = f"""CASE WHEN {sql.lag('close')} < {sql.lag('up')} AND {sql.lag(
 query("live_bollinger", f"WITH {sql.bars(4)}{LIVE_BANDS}, {sql.labels('b', CROSSED_BANDS, 1)}")(
     lambda s, d: backtest.live_bollinger(at(s, d)).select(*KEY, "label")
 )
+LIVE_RSI = f"{RSI}, y AS (SELECT * REPLACE (CASE WHEN i <= 14 THEN 0 ELSE rsi END AS rsi) FROM x)"
 CROSSED_RSI = f"""CASE WHEN {sql.lag('rsi')} > 30 AND {sql.lag('rsi', 2)} <= 30 THEN 'RsiLE'
   WHEN {sql.lag('rsi')} < 70 AND {sql.lag('rsi', 2)} >= 70 THEN 'RsiSE' END"""
-query("live_rsi", f"WITH {sql.bars(4)}{RSI}, {sql.labels('x', CROSSED_RSI, 2)}")(
+query("live_rsi", f"WITH {sql.bars(4)}{LIVE_RSI}, {sql.labels('y', CROSSED_RSI, 2)}")(
     lambda s, d: backtest.live_rsi(families.rsi(at(s, d))).select(*KEY, "label")
 )
 LIVE_MACD = f""", c AS (SELECT symbol, timestamp, {sql.index()} AS i, {sql.so_far('close')} AS closes FROM bars),
@@ -461,6 +597,20 @@ LIVE_MACD = f""", c AS (SELECT symbol, timestamp, {sql.index()} AS i, {sql.so_fa
 query("live_macd", f"WITH {sql.bars(4)}{LIVE_MACD}, {sql.labels('m', sql.lag('side'), 0)}")(
     lambda s, d: backtest.live_macd(at(s, d)).select(*KEY, "label")
 )
+
+
+def summed(df: DataFrame) -> DataFrame:
+    """Bars whose close is the sum of all moves from open to close so far: a path that wanders, as prices do."""
+    return df.withColumn("close", 1000 + F.sum(F.col("close") - F.col("open")).over(backtest.so_far()))
+
+
+SUMMED = f"{sql.bars(1, 'each')}, bars AS (SELECT * REPLACE (1000 + sum(close - open) {sql.ORDER} AS close) FROM each)"
+for name, made in (
+    ("live_bollinger", backtest.live_bollinger),
+    ("live_rsi", lambda df: backtest.live_rsi(families.rsi(df))),
+    ("live_macd", backtest.live_macd),
+):
+    query(f"{name}_summed", ORACLE[name].replace(sql.bars(4), SUMMED))(lambda s, d, made=made: made(summed(at(s, d, 1))).select(*KEY, "label"))
 AUTOREGRESSION = f"""WITH {sql.bars(4)}, q AS (SELECT symbol, timestamp, ln(close / {sql.lag('close')}) AS r FROM bars),
   p AS (SELECT *, {sql.lag('r')} AS x1, {sql.lag('r', 2)} AS x2, {sql.lag('r', 3)} AS x3 FROM q), k AS (SELECT * FROM p WHERE r + x1 + x2 + x3 IS NOT NULL),
   c AS (SELECT symbol, avg(r) AS m0, avg(x1) AS m1, avg(x2) AS m2, avg(x3) AS m3, covar_pop(x1, x1) AS a11, covar_pop(x1, x2) AS a12, covar_pop(x1, x3) AS a13,
@@ -503,31 +653,89 @@ query("trendlines_all", ORACLE["trendlines"].replace(WIN, EVERY))(
 )
 
 
-@query("trendline_breakouts")
+#: One unit of the last decimal of the prices, which have two.
+TICK = 0.01
+LINE = ["symbol", "interval", "window_id"]
+EVERY_LINE = f"WITH {sql.bars(12)}{EVERY}{LINES}, l AS (SELECT * FROM g WHERE NOT bad AND touches >= {{least}})"
+BEST = f"""{EVERY_LINE.format(least=2)}, best AS (SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY symbol, window_id
+    ORDER BY touches DESC, abs((y2 - y1) / (x2 - x1)), x1, x2, y1, y2) AS r FROM l) WHERE r = 1)"""
+
+
+def offsets(lines: str) -> str:
+    """Tables o and off: lines with numbers, and the first tick from 1 on that no body forbids them."""
+    at = "(y1 + (y2 - y1) / (x2 - x1) * (s.bar - x1))"
+    near = f"(CASE WHEN o.trend = 'UP' THEN least(s.open, s.close) - {at} ELSE {at} - greatest(s.open, s.close) END)"
+    far = f"(CASE WHEN o.trend = 'UP' THEN greatest(s.open, s.close) - {at} ELSE {at} - least(s.open, s.close) END)"
+    return f"""o AS (SELECT *, row_number() OVER () AS line FROM {lines}),
+      sp AS (SELECT o.line, ceil({near} / {TICK}) AS lo, ceil({far} / {TICK}) AS hi FROM o JOIN s ON s.symbol = o.symbol AND s.window_id = o.window_id),
+      c AS (SELECT DISTINCT line, greatest(1, hi) AS t FROM sp UNION SELECT line, 1 FROM o),
+      off AS (SELECT line, min(t)::BIGINT AS "offset" FROM c WHERE NOT EXISTS (FROM sp WHERE sp.line = c.line AND lo <= t AND t < hi) GROUP BY line)"""
+
+
+def lines_shown(df: DataFrame, columns: list[str]) -> DataFrame:
+    return shown(df, ["trend", "x1", "y1", "x2", "y2", "touches", *columns], LINE)
+
+
+SHOWN = "symbol, interval, window_id::BIGINT AS window_id, trend, x1, round(y1, 6) AS y1, x2, round(y2, 6) AS y2, touches"
+AHEAD = 50
+BREAKOUTS = f"""{BEST}, h AS (SELECT best.*, n.i - window_id AS x, n.open, n.close, y1 + (y2 - y1) / (x2 - x1) * (n.i - window_id - x1) AS y
+    FROM best LEFT JOIN n ON n.symbol = best.symbol AND n.i >= window_id + {SIZE} AND n.i < window_id + {SIZE + AHEAD})
+  SELECT {SHOWN}, min(CASE WHEN least(open, close) <= y AND y < greatest(open, close) THEN x END) AS breakout FROM h GROUP BY ALL"""
+
+
+@query("trendline_breakouts", BREAKOUTS)
 def trendline_breakouts(spark: SparkSession, d: str) -> DataFrame:
+    """Each window's best line and the first bar after the window whose body it crosses."""
     df = at(spark, d, 12)
     best = geometry.best_lines(geometry.trend_lines(geometry.windows(df, SIZE, STEP), least=2))
-    return geometry.breakouts(best, df, SIZE, STEP)
+    return lines_shown(geometry.breakouts(best, df, SIZE, STEP, AHEAD), ["breakout"])
 
 
-@query("trendline_offsets")
+@query("trendline_offsets", f'{BEST}, {offsets("best")} SELECT {SHOWN}, "offset" FROM o JOIN off USING (line)')
 def trendline_offsets(spark: SparkSession, d: str) -> DataFrame:
+    """Each window's best line and the ticks by which it has to move to cross no body again."""
     w = geometry.windows(at(spark, d, 12), SIZE, STEP)
-    return geometry.clear_offset(geometry.best_lines(geometry.trend_lines(w, least=2)), w, TICK)
-
-
-#: One unit of the last decimal of the prices, which have two.
-TICK = 0.01
-
-
-@query("trendline_channels")
+    return lines_shown(geometry.clear_offset(geometry.best_lines(geometry.trend_lines(w, least=2)), w, TICK), ["offset"])
+
+
+def wicks_touched(shift: str, lower: str) -> str:
+    """Bars of a window whose lower wicks (where lower holds, else upper ones) a line of table k moved by shift touches."""
+    y = f"round(y1 + sign * {shift} + (y2 - y1) / (x2 - x1) * (s.bar - x1), 6)"
+    return f"count(*) FILTER (CASE WHEN {lower} THEN s.low <= {y} AND {y} <= least(s.open, s.close) ELSE greatest(s.open, s.close) <= {y} AND {y} <= s.high END)"
+
+
+ON_WINDOW = "JOIN s ON s.symbol = k.symbol AND s.window_id = k.window_id"
+CHANNELS = f"""{EVERY_LINE.format(least=3)}, {offsets("l")},
+  k0 AS (SELECT o.*, "offset", "offset" * {TICK} AS gap, CASE WHEN trend = 'UP' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS sign FROM o JOIN off USING (line)),
+  bo AS (SELECT line, count(*) FILTER (least(s.open, s.close) <= y AND y < greatest(s.open, s.close)) AS bodies
+    FROM (SELECT line, s.open, s.close, y1 + sign * gap + (y2 - y1) / (x2 - x1) * (s.bar - x1) AS y FROM k0 k {ON_WINDOW}) s GROUP BY line),
+  pl AS (SELECT k0.*, {TICK}::DOUBLE + p * gap * 0.2::DOUBLE AS shift FROM k0, (SELECT unnest(range(6)) AS p)),
+  sc AS (SELECT k.line, k.shift, {wicks_touched("shift", "k.trend = 'UP'")} AS wicks FROM pl k {ON_WINDOW} WHERE shift < gap GROUP BY ALL),
+  md AS (SELECT line, shift, wicks - bodies AS score FROM sc JOIN bo USING (line) QUALIFY wicks = max(wicks) OVER (PARTITION BY line)),
+  ft AS (SELECT k0.*, shift, score, shift * (1 + 2 * 0.2::DOUBLE * p) AS t FROM md JOIN k0 USING (line), (SELECT unnest(range(6)) AS p)),
+  fw AS (SELECT k.line, k.shift, k.t, {wicks_touched("(shift + t)", "k.trend <> 'UP'")} AS far_touches FROM ft k {ON_WINDOW} WHERE t < 2 * shift GROUP BY ALL),
+  fb AS (SELECT line, shift, arg_max(t, (far_touches, -t)) AS t, max(far_touches) AS far_touches FROM fw GROUP BY ALL),
+  rg AS (SELECT symbol, window_id, max(high) - min(low) AS rng FROM w GROUP BY ALL),
+  fl AS (SELECT k0.*, shift, score, shift + t AS far_shift, far_touches, least(abs(y1 - greatest(a.tip, b.tip)) + 0.05::DOUBLE * rng, shift) AS back_shift, (y2 - y1) / (x2 - x1) AS slope
+    FROM fb JOIN md USING (line, shift) JOIN k0 USING (line) JOIN rg USING (symbol, window_id)
+    JOIN s a ON a.symbol = k0.symbol AND a.window_id = k0.window_id AND a.bar = x1 JOIN s b ON b.symbol = k0.symbol AND b.window_id = k0.window_id AND b.bar = x2),
+  bf AS (FROM fl QUALIFY row_number() OVER (PARTITION BY symbol, window_id ORDER BY far_touches DESC, CASE WHEN slope > 0 THEN slope END NULLS LAST, x1, y1, x2, y2, shift) = 1),
+  lv AS (SELECT bf.*, n.i - bf.window_id AS place, n.high, n.low, y1 + slope * (n.i - bf.window_id - x1) AS mid
+    FROM bf LEFT JOIN n ON n.symbol = bf.symbol AND n.i >= bf.window_id + {SIZE})
+  SELECT {SHOWN}, "offset", round(shift, 6) AS shift, score::INT AS score, round(far_shift, 6) AS far_shift, far_touches::INT AS far_touches, round(back_shift, 6) AS back_shift,
+    min(CASE WHEN sign > 0 AND (low < mid - back_shift OR high > mid + gap) OR sign < 0 AND (high > mid + back_shift OR low < mid - gap) THEN place END) AS breakout
+  FROM lv GROUP BY ALL"""
+
+
+@query("trendline_channels", CHANNELS)
 def trendline_channels(spark: SparkSession, d: str) -> DataFrame:
     """Each window's best channel of all its lines: cleared copy, middle line, far line, new line and first breakout."""
     df = at(spark, d, 12)
     w = geometry.windows(df, SIZE, STEP)
     lines = geometry.clear_offset(geometry.trend_lines(w, least=3), w, TICK)
     far = geometry.far_lines(geometry.middle_lines(lines, w, TICK), w)
-    return geometry.channel_breakouts(geometry.best_far_lines(far), df, TICK, SIZE, STEP)
+    best = geometry.channel_breakouts(geometry.best_far_lines(far), df, TICK, SIZE, STEP)
+    return lines_shown(best, ["offset", "shift", "score", "far_shift", "far_touches", "back_shift", "breakout"])
 
 
 # --- streams: the files of the table as a stream, run over what is there ---
