@@ -52,6 +52,23 @@ def div(a: Column | str, b: Column | str) -> Column:
     return F.try_divide(col(a), col(b))
 
 
+def ratio(a: Column | str, b: Column | str) -> Column:
+    """a / b as doubles are divided: infinite where b is 0, NaN where both are."""
+    a, b = col(a).cast("double"), col(b).cast("double")
+    return F.when(b == 0, a * F.pow(b, F.lit(-1.0))).otherwise(F.try_divide(a, b))
+
+
+def ln(x: Column) -> Column:
+    """The natural logarithm of doubles: -infinity at 0, NaN below."""
+    return F.when(x > 0, F.log(x)).when(x == 0, float("-inf")).when(x < 0, float("nan"))
+
+
+def half_up(x: Column | str, digits: int) -> Column:
+    """x rounded, halves away from 0. Sums that are a half come out some last bits below it or above, by their order: four
+    of these bits below count as a half."""
+    return F.round(col(x) * (1 + 2**-50), digits)
+
+
 def nonzero(x: Column) -> Column:
     return F.when(x != 0, x)
 

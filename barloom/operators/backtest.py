@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from barloom.functions.frames import KEYS, add, div, lag, roll, row_index, series, so_far
+from barloom.functions.frames import KEYS, add, div, lag, ln, ratio, roll, row_index, series, so_far
 from barloom.functions.recursive import ema
 
 
@@ -90,15 +90,16 @@ LAGGED = [
 
 def arima_features(df: DataFrame, spans: tuple[int, ...] = (6, 14, 21, 42, 84), rsi: str | None = None) -> DataFrame:
     """Log returns, powers, averages of the given spans, relative volume, body and wick sizes, and one-bar lags; where
-    rsi names a column with the strength index, its average of three bars too."""
+    rsi names a column with the strength index, its average of three bars too. A price or volume of 0 gives logs and
+    quotients that are infinite, or NaN."""
     o, h, low, c, v = (F.col(x) for x in ("open", "high", "low", "close", "volume"))
-    logret = lambda x: F.log(div(x, lag(x)))
-    df = add(df, close_log=logret("close"), high_log=logret("high"), low_log=logret("low"), hilo_log=F.log(div(h, low)))
+    logret = lambda x: ln(ratio(x, lag(x)))
+    df = add(df, close_log=logret("close"), high_log=logret("high"), low_log=logret("low"), hilo_log=ln(ratio(h, low)))
     body = F.abs(c - o)
     upper, lower = h - F.greatest(o, c), F.least(o, c) - low
     size = F.when(body == 0, 1e-8).otherwise(body)
-    df = add(df, close_log_2=F.col("close_log") ** 2, close_log_3=F.col("close_log") ** 3, body=body, upper_wick=upper, lower_wick=lower, upper_ratio=upper / size, lower_ratio=lower / size, **{f"sma_{n}": roll(F.avg, "close", n) for n in spans}, rvol=div(v, roll(F.avg, "volume", 21)))
-    df = add(df, body_2=F.col("body") ** 2, range=h - low, rvol_growth=div("rvol", roll(F.avg, "close", 21)))
+    df = add(df, close_log_2=F.col("close_log") ** 2, close_log_3=F.col("close_log") ** 3, body=body, upper_wick=upper, lower_wick=lower, upper_ratio=upper / size, lower_ratio=lower / size, **{f"sma_{n}": roll(F.avg, "close", n) for n in spans}, rvol=ratio(v, roll(F.avg, "volume", 21)))
+    df = add(df, body_2=F.col("body") ** 2, range=h - low, rvol_growth=ratio("rvol", roll(F.avg, "close", 21)))
     df = ema(df, {**{f"ema_{n}": ("sma", "close", n) for n in spans}, **{f"rma_{n}": ("wilder", "close", n) for n in spans}, "upper_ema": ("sma", "upper_wick", 6), "lower_ema": ("sma", "lower_wick", 6), "body2_ema": ("sma", "body_2", 42)})
     df = add(df, range_sma=roll(F.avg, "range", 42), body_x_rvol=F.col("body") * F.col("rvol"), wick_x_body=F.col("upper_wick") * F.col("body"))
     if rsi:
