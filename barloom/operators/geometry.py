@@ -5,6 +5,8 @@ window and its fan-out is bounded by the window's size."""
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -91,7 +93,8 @@ def clear_offset(lines: DataFrame, w: DataFrame, tick: float, beyond: bool = Tru
     y = F.col("y1") + slope * (F.col("bar") - F.col("x1"))
     lo = (F.when(sign > 0, F.least("open", "close")).otherwise(F.greatest("open", "close")) - y) * sign / tick
     hi = (F.when(sign > 0, F.greatest("open", "close")).otherwise(F.least("open", "close")) - y) * sign / tick
-    spans = lines.join(w, WINDOW).withColumn("lo", F.ceil(lo)).withColumn("hi", F.ceil(hi)).filter("hi > lo")
+    spans = lines.join(w, WINDOW).withColumn("lo", F.ceil(lo)).withColumn("hi", F.ceil(hi))
+    spans = spans.withColumns({c: F.when(F.col("hi") > F.col("lo"), F.col(c)) for c in ("lo", "hi")})  # else nothing is forbidden
     order = Window.partitionBy(*keys).orderBy("lo", "hi")
     reach = F.greatest(F.lit(1), F.coalesce(F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(1)))
     gaps = spans.withColumn("reach", reach).groupBy(*keys).agg(F.min(F.when(F.col("lo") > F.col("reach"), F.col("reach"))).alias("gap"), F.greatest(F.lit(1), F.max("hi")).alias("end"))
@@ -126,14 +129,23 @@ def _wicks(shift: Column, lower: Column, decimals: int) -> Column:
     return F.size(F.filter("bars", touched))
 
 
+def _ticks(tick: float, *counts: Column) -> Column:
+    """The product of whole numbers and a tick that has a few decimals, as the nearest double: 35 ticks of 0.01 are 0.35.
+    Lines that are moved by ticks come to lie on prices, so that a last bit decides what they touch."""
+    exact = F.lit(Decimal(repr(tick)))
+    for n in counts:
+        exact = exact * n.cast("decimal(10,0)")
+    return exact.cast("double")
+
+
 def middle_lines(lines: DataFrame, w: DataFrame, tick: float, ratio: float = 0.2, decimals: int = 6) -> DataFrame:
     """lines (with the offset of clear_offset) with shift and score: the best places between a line and its cleared
     copy. Places are one tick off the line and then every `ratio` of the gap; the score is the wicks touched there less
     the bodies that the cleared copy crosses. All places with a line's best score stay, so a line may have several
     rows; a gap of one tick has no place and its line goes."""
-    gap = F.col("offset") * tick
+    gap = _ticks(tick, F.col("offset"))
     crossed = lambda b: (b["bottom"] <= _height(b["bar"], gap)) & (_height(b["bar"], gap) < b["top"])
-    places = F.filter(F.transform(F.sequence(F.lit(0), F.lit(int(1 / ratio))), lambda k: F.lit(tick) + k * gap * ratio), lambda t: t < gap)
+    places = F.filter(F.transform(F.sequence(F.lit(0), F.lit(int(1 / ratio))), lambda k: F.lit(tick) + _ticks(tick, F.col("offset"), k) * ratio), lambda t: t < gap)
     made = lines.join(_bars(w), WINDOW).withColumn("bodies", F.size(F.filter("bars", crossed))).withColumn("shift", F.explode(places))
     made = made.withColumn("score", _wicks(F.col("shift"), F.col("trend") == "UP", decimals) - F.col("bodies"))
     best = F.max("score").over(Window.partitionBy(*lines.columns))
@@ -171,7 +183,9 @@ def channel_breakouts(best: DataFrame, df: DataFrame, tick: float, size: int = 5
     or lowest price may leave the channel, to the end of the series."""
     up = F.col("trend") == "UP"
     at = F.col("i") - F.col("window_id") * step
-    near, clear = _height(at, -F.col("back_shift")), _height(at, F.col("offset") * tick)
+    # a shift is added to the height of the line itself, in this order: flat lines often meet prices exactly
+    sign, back, over = F.when(up, 1.0).otherwise(-1.0), -F.col("back_shift"), _ticks(tick, F.col("offset"))
+    near, clear = _height(at, F.lit(0.0)) + sign * back, _height(at, F.lit(0.0)) + sign * over
     left = F.when(up, (F.col("low") < near) | (F.col("high") > clear)).otherwise((F.col("high") > near) | (F.col("low") < clear))
     bars = df.select(*KEYS, row_index().alias("i"), "high", "low").withColumn("block", F.floor(F.col("i") / ahead))
     start = F.col("window_id") * step + size
@@ -183,10 +197,9 @@ def channel_breakouts(best: DataFrame, df: DataFrame, tick: float, size: int = 5
     soon = first(best.withColumn("block", F.explode(F.sequence(F.floor(start / ahead), F.floor((start + ahead - 1) / ahead)))))
     blocks = bars.groupBy(*KEYS, "block").agg(F.max("high").alias("high"), F.min("low").alias("low"), F.min("i").alias("a"), F.max("i").alias("b"))
     edge = lambda shift, x: _height(F.col(x) - F.col("window_id") * step, shift)
-    back, over = -F.col("back_shift"), F.col("offset") * tick
-    may = F.when(up, (F.col("low") < F.greatest(edge(back, "a"), edge(back, "b"))) | (F.col("high") > F.least(edge(over, "a"), edge(over, "b")))).otherwise(
-        (F.col("high") > F.least(edge(back, "a"), edge(back, "b"))) | (F.col("low") < F.greatest(edge(over, "a"), edge(over, "b")))
-    )
+    below = lambda shift: F.col("low") < F.greatest(edge(shift, "a"), edge(shift, "b")) + tick / 2  # noqa: E731  the bars are judged exactly
+    above = lambda shift: F.col("high") > F.least(edge(shift, "a"), edge(shift, "b")) - tick / 2
+    may = F.when(up, below(back) | above(over)).otherwise(above(back) | below(over))
     still = soon.filter("breakout is null").drop("breakout").join(blocks, list(KEYS)).filter((F.col("b") >= start) & may).select(*best.columns, "block")
     later = first(still).withColumnRenamed("breakout", "later")
     joined = soon.join(later, list(best.columns), "left")

@@ -250,6 +250,21 @@ def test_channels_match_loops(spark, walk):
     assert one == two
 
 
+def test_lines_moved_by_ticks_meet_prices_as_decimals_do(spark):
+    """35 ticks of 0.01 are 0.35, as the SQL's decimals have it, and not 0.35000000000000003: 0.21 and these stay below
+    0.56. Lines over bars without bodies stay, one tick from clear."""
+    prices = "open double, high double, low double, close double"
+    keys = "symbol string, interval string, window_id long, bar int"
+    line = spark.createDataFrame([("a", "4h", 0, "UP", 0, 0.21, 2, 0.21, 3, 35)], "symbol string, interval string, window_id long, trend string, x1 int, y1 double, x2 int, y2 double, touches long, offset long")
+    w = spark.createDataFrame([("a", "4h", 0, k, 0.3, 0.6, 0.2, 0.56) for k in range(3)], f"{keys}, {prices}")
+    assert {(r.score, r.shift < 0.1) for r in geometry.middle_lines(line, w, 0.01).collect()} == {(0, True)}  # three wicks, three bodies
+    bars = spark.createDataFrame([("a", "4h", k, 0.3, h, 0.3, 0.5) for k, h in enumerate((0.5, 0.5, 0.5, 0.55, 0.56, 0.6))], f"symbol string, interval string, timestamp int, {prices}")
+    for ahead in (1, 50):
+        assert [r.breakout for r in geometry.channel_breakouts(line.withColumn("back_shift", F.lit(0.1)), bars, 0.01, 3, 3, ahead).collect()] == [4]
+    flat = spark.createDataFrame([("a", "4h", 0, k, 0.3, 0.6, 0.2, 0.3) for k in range(3)], f"{keys}, {prices}")
+    assert [r.offset for r in geometry.clear_offset(line.drop("offset"), flat, 0.01).collect()] == [1]
+
+
 def test_best_features_by_group(spark):
     scores = [("close", 1.0), ("open", 9.0), ("RSI_14", 8.0), ("RSI_a", 8.0), ("RSI_b", 2.0), ("MACD_x", 3.0), ("other", 7.0), ("HORIZON_z", 0.5)]
     got = stats.select_best(spark.createDataFrame(scores, "feature string, score double"), ["close"], 7, 2).orderBy("place").collect()
