@@ -26,8 +26,8 @@ MINUTE = 60_000
 FAST, SLOW, SIGNAL = 12, 26, 9
 #: A histogram within this share of the price counts as 0: prices that don't move leave rounding errors of either sign.
 FLAT = 1e-9
-#: Rows of a batch that leaves a state.
-ROWS = 10_000
+#: Rows of a batch that leaves a state, and rows of a symbol that are held before they go to its state.
+ROWS, HELD = 10_000, 1_000_000
 
 
 @lru_cache(maxsize=64)
@@ -87,15 +87,17 @@ def turned(trend: str | None, closed: int, before: int, now: int) -> str | None:
 
 class TrendProcessor(StatefulProcessor):
     """State of a symbol: bars (closes, last price, histogram of the last trade, trend, end of the open minute in ms) and
-    trades by minute. One timer a symbol, at the end of its open minute."""
+    trades by minute and piece. A batch of any size is held as arrays of `held` rows, each a new piece of its minutes, so
+    that none is read to be added to. One timer a symbol, at the end of its open minute."""
 
-    def __init__(self, length: int, spans: tuple[int, int, int]):
-        self.length, self.spans = length, spans
+    def __init__(self, length: int, spans: tuple[int, int, int], held: int = HELD):
+        self.length, self.spans, self.held = length, spans, held
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.bars = handle.getValueState("bars", "closes array<double>, price double, before int, trend string, edge long")
-        self.trades = handle.getMapState("trades", "minute long", "ts array<long>, event_id array<long>, price array<double>")
+        self.pieces = handle.getValueState("pieces", "n long")
+        self.trades = handle.getMapState("trades", "minute long, piece long", "ts array<long>, event_id array<long>, price array<double>")
 
     def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues: TimerValues) -> None:
         first = initialState.sort_values("edge")
@@ -106,44 +108,60 @@ class TrendProcessor(StatefulProcessor):
         self.handle.registerTimer(edge)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        came: dict[int, list[tuple]] = {}
+        parts, size = [], 0
         for part in rows:
-            ms = part["ts"].to_numpy("datetime64[ms]").astype(np.int64)
-            for t, i, p in zip(ms.tolist(), part["event_id"].tolist(), part["price"].tolist()):
-                if p == p and p:
-                    came.setdefault(t - t % MINUTE, []).append((t, int(i), p))
-        if not came:
-            return iter(())
+            ms, price = part["ts"].to_numpy("datetime64[ms]").astype(np.int64), part["price"].to_numpy(np.float64)
+            there = (price == price) & (price != 0)
+            parts.append((ms[there], part["event_id"].to_numpy(np.int64)[there], price[there]))
+            size += len(parts[-1][0])
+            if size >= self.held:
+                self._keep(parts)
+                parts, size = [], 0
+        if size:
+            self._keep(parts)
+        return iter(())
+
+    def _keep(self, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
+        """Adds trades (ms, event_id, price) to the state, a piece a minute."""
+        ts, ids, prices = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(ts, kind="stable")
+        ts, ids, prices = ts[order], ids[order], prices[order]
+        minutes = ts - ts % MINUTE
         price, edge = (self.bars.get()[1], self.bars.get()[4]) if self.bars.exists() else (0.0, None)
-        if not price and (edge is None or min(came) + MINUTE < edge):  # nothing is judged yet: begin with the first trade
+        begin = int(minutes[0])
+        if not price and (edge is None or begin + MINUTE < edge):  # nothing is judged yet: begin with the first trade
             if edge is not None:
                 self.handle.deleteTimer(edge)
-            edge = min(came) + MINUTE
+            edge = begin + MINUTE
             self.bars.update(([], 0.0, 0, None, edge))
             self.handle.registerTimer(edge)
-        for minute, new in came.items():
-            if minute + MINUTE < edge:
-                continue  # before the state's first candle
-            old = list(zip(*self.trades.getValue((minute,)))) if self.trades.containsKey((minute,)) else []
-            ts, ids, prices = zip(*old, *new)
-            self.trades.updateValue((minute,), (list(ts), list(ids), list(prices)))
-        return iter(())
+        piece = self.pieces.get()[0] if self.pieces.exists() else 0
+        self.pieces.update((piece + 1,))
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(minutes)) + 1, [len(minutes)]]).tolist()
+        for a, b in zip(cuts, cuts[1:]):
+            if minutes[a] + MINUTE >= edge:  # else it is before the state's first candle
+                self.trades.updateValue((int(minutes[a]), piece), (ts[a:b].tolist(), ids[a:b].tolist(), prices[a:b].tolist()))
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
         closes, price, before, trend, edge = self.bars.get()
         closes, until, out = list(closes), timerValues.getCurrentWatermarkInMs(), []
-        for minute in sorted(m for (m,) in self.trades.keys()):
-            if minute + MINUTE > until:
-                break
+        keys = np.fromiter(((m, k) for m, k in self.trades.keys()), np.dtype((np.int64, 2)))
+        keys = keys[keys[:, 0] + MINUTE <= until]
+        keys = keys[np.lexsort((keys[:, 1], keys[:, 0]))]
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(keys[:, 0])) + 1, [len(keys)]]).tolist() if len(keys) else []
+        for a, b in zip(cuts, cuts[1:]):
+            minute = int(keys[a, 0])
             closes = self._idle(closes, price, (minute + MINUTE - edge) // MINUTE)
             closed = Averages.of(closes, self.spans)
             last = sign(closed.histogram(), closes[-1]) if closes else 0
-            for t, i, price in sorted(zip(*self.trades.getValue((minute,)))):
+            pieces = [(minute, k) for k in keys[a:b, 1].tolist()]
+            for t, i, price in sorted(row for at in pieces for row in zip(*self.trades.getValue(at))):
                 histogram = closed.histogram_with(price)
                 now = sign(histogram, price)
                 trend, before = turned(trend, last, before, now), now
                 out.append((key[0], t, i, price, histogram, trend))
-            self.trades.removeKey((minute,))
+            for at in pieces:
+                self.trades.removeKey(at)
             closes, edge = self._idle(closes, price, 1), minute + 2 * MINUTE
             if len(out) >= ROWS:
                 yield self._frame(out)
@@ -183,7 +201,7 @@ def minute_closes(trades: DataFrame, at: str, length: int = 60) -> DataFrame:
     return found.select("symbol", F.unix_millis(F.col("boundary").cast("timestamp")).alias("edge"), F.col("price").alias("close"))
 
 
-def tick_trends(trades: DataFrame, candles: DataFrame | None = None, late: str = "1 minute", length: int = 60, spans: tuple[int, int, int] = (FAST, SLOW, SIGNAL)) -> DataFrame:
+def tick_trends(trades: DataFrame, candles: DataFrame | None = None, late: str = "1 minute", length: int = 60, spans: tuple[int, int, int] = (FAST, SLOW, SIGNAL), held: int = HELD) -> DataFrame:
     """(symbol, ts, event_id, price, histogram, trend) of each trade of a stream (symbol, ts, event_id, price), once its
     minute and `late` have passed; times in milliseconds.
 
@@ -192,13 +210,14 @@ def tick_trends(trades: DataFrame, candles: DataFrame | None = None, late: str =
     its first trade and has no trend until a crossover. A trade turns the trend UP (DOWN) if the histogram with its
     price is positive (negative) and that of the closed minutes was not, or if the last trade's was not and the trend is
     DOWN (UP). Trades with a price of 0, null or NaN count for nothing; trades of one millisecond go by event_id; trades
-    later than the watermark are lost, as in all streams.
+    later than the watermark are lost, as in all streams. At most `held` rows and one output batch of a symbol are in
+    memory at a time.
     """
     spark = trades.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     known = trades.filter(F.col("price").isNotNull() & F.col("symbol").isNotNull()).withWatermark("ts", late)
     start = None if candles is None else candles.select("symbol", "edge", "close").groupBy("symbol")
-    return known.groupBy("symbol").transformWithStateInPandas(TrendProcessor(length, spans), TREND, "Append", "EventTime", initialState=start)
+    return known.groupBy("symbol").transformWithStateInPandas(TrendProcessor(length, spans, held), TREND, "Append", "EventTime", initialState=start)
 
 
 def trend_changes(ticks: DataFrame) -> DataFrame:

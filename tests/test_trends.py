@@ -119,3 +119,78 @@ def test_stored_closes_are_as_of_their_minutes(spark):
 @pytest.mark.parametrize("name", ["stream_tick_trends", "stream_trends"])
 def test_queries_match_sql(spark, name):
     assert len(assert_same(spark, streams.QUERIES[name], streams.ORACLE[name], "/root/testdata/sf0.01"))
+
+
+class Held:
+    """A processor's handle with states in memory."""
+
+    def __init__(self):
+        self.timers, self.states = set(), {}
+
+    def getValueState(self, name, schema):
+        return self.states.setdefault(name, Value())
+
+    def getMapState(self, name, key_schema, schema):
+        return self.states.setdefault(name, Map())
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.discard(at)
+
+
+class Value:
+    held = None
+
+    def exists(self):
+        return self.held is not None
+
+    def get(self):
+        return self.held
+
+    def update(self, value):
+        self.held = value
+
+
+class Map(dict):
+    def containsKey(self, key):
+        return key in self
+
+    getValue, removeKey = dict.__getitem__, dict.__delitem__
+
+    def updateValue(self, key, value):
+        self[key] = value
+
+
+class Mark:
+    def __init__(self, at):
+        self.at = at
+
+    def getCurrentWatermarkInMs(self):
+        return self.at
+
+
+def test_a_large_batch_is_not_held(ticks):
+    """Trades of a batch go to the state in pieces, whatever their order, so that memory does not grow with the batch;
+    the trades of a minute are put together again."""
+    own = ticks[ticks["symbol"] == "c"].sample(frac=1, random_state=2)
+    end, found = Mark(int((ticks["ts"].max() + pd.Timedelta("10min")).timestamp() * 1000)), []
+    for held in (7, 10_000):
+        handle, machine = Held(), trends.TrendProcessor(LENGTH, SPANS, held)
+        machine.init(handle)
+        sizes = []
+
+        def parts():
+            for k in range(0, len(own), 7):
+                sizes.append(sum(len(x[0]) for x in handle.states["trades"].values()))
+                yield own.iloc[k : k + 7]
+
+        assert list(machine.handleInputRows(("c",), parts(), end)) == []
+        assert (sizes[-1] > 200) == (held == 7)  # nearly all are in the state before the last part comes
+        assert len(handle.timers) == 1
+        found.append(pd.concat(machine.handleExpiredTimer(("c",), end, None)))
+        assert not handle.states["trades"]
+    pd.testing.assert_frame_equal(*found)
+    want = replay(ticks[ticks["symbol"] == "c"], [])
+    assert [(r.event_id, r.trend) for r in found[0].itertuples()] == [(i, t) for (_, i), (_, t) in want.items()]
