@@ -32,6 +32,10 @@ CERTAIN = 4
 #: How often the label model takes a given label to be right. With fewer voters than three, whose agreement can't be
 #: told from chance, the label decides alone, right in LABEL_ALONE.
 LABEL_TRUST, LABEL_ALONE = 0.7, 0.95
+#: Share of the texts labelled clean that dropping toxic ones keeps at least.
+KEPT_CLEAN = 0.95
+#: Rows of the classifier's matrix that the driver holds as doubles at a time.
+BLOCK_ROWS = 1024
 #: Lengths of word beginnings that count as patterns.
 BEGINNINGS = (3, 4, 5, 6)
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -173,22 +177,42 @@ def label_model(votes: np.ndarray, label: np.ndarray, trust: float = LABEL_TRUST
 
 def fit_linear(x: np.ndarray, q: np.ndarray, penalty: float = 2.0, rounds: int = 25) -> np.ndarray:
     """Weights (the last is the bias) of a logistic regression on soft labels, by Newton's method."""
-    x = np.hstack([x.astype(np.float64), np.ones((len(x), 1))])
-    ridge = np.full(x.shape[1], penalty)
+    n = x.shape[1] + 1
+    ridge = np.full(n, penalty)
     ridge[-1] = 1e-3
-    w = np.zeros(x.shape[1])
+    w = np.zeros(n)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(ridge)
-        step = np.linalg.solve(h, x.T @ (q - p) - ridge * w)
+        h, gradient = np.diag(ridge), -ridge * w
+        for a in range(0, len(x), BLOCK_ROWS):  # the rows are bytes; only a block's are doubles at a time
+            part = np.ones((len(x[a : a + BLOCK_ROWS]), n))
+            part[:, :-1] = x[a : a + BLOCK_ROWS]
+            p = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
+            h += (part * (p * (1 - p) + 1e-6)[:, None]).T @ part
+            gradient += part.T @ (q[a : a + BLOCK_ROWS] - p)
+        step = np.linalg.solve(h, gradient)
         w += step
         if np.abs(step).max() < 1e-6:
             break
     return w
 
 
+def clean_cut(z: np.ndarray, label: np.ndarray) -> float:
+    """The log odds from which on texts are dropped, 0 (even odds) at most: of those that keep KEPT_CLEAN of the texts
+    labelled clean the one where shares of toxic texts dropped and clean ones kept add up to most, of equals the highest."""
+    toxic, clean = np.sort(z[label == 1]), np.sort(z[label == 0])
+    cuts = np.append(np.unique(z[z < 0]), 0.0)
+    kept = np.searchsorted(clean, cuts) / len(clean)
+    both = np.where((kept >= KEPT_CLEAN) | (cuts == 0), kept + 1 - np.searchsorted(toxic, cuts) / len(toxic), -1)
+    return float(cuts[np.flatnonzero(both == both.max())[-1]])
+
+
 def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[str], np.ndarray]:
     """The classifier's features and weights. Without both kinds of labels there are no features, only a bias."""
+    return fit_and_cut(docs, labels, most, id_col, text_col)[:2]
+
+
+def fit_and_cut(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[str], np.ndarray, float]:
+    """fit() with the log odds from which on a text is dropped; without both kinds of labels these are 0."""
     rows = stored(training_rows(docs, labels, most, id_col, text_col), "labelled")
     try:
         return fit_rows(rows)
@@ -196,12 +220,12 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, id_col: st
         discard(rows)
 
 
-def fit_rows(rows: DataFrame) -> tuple[list[str], np.ndarray]:
-    """fit() for rows (doc_id, text, toxic), which are read three times."""
+def fit_rows(rows: DataFrame) -> tuple[list[str], np.ndarray, float]:
+    """fit_and_cut() for rows (doc_id, text, toxic), which are read three times."""
     counted = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_pos, n_neg = counted.get(1, 0), counted.get(0, 0)
     if not n_pos or not n_neg:
-        return [], np.array([0.0 if n_pos == n_neg else (4.0 if n_pos else -4.0)])
+        return [], np.array([0.0 if n_pos == n_neg else (4.0 if n_pos else -4.0)]), 0.0
     counts = stored(count_features(rows), "features")
     names, candidates = choose_features(counts, n_pos, n_neg), voter_candidates(counts, n_pos, n_neg)
     discard(counts)
@@ -215,12 +239,14 @@ def fit_rows(rows: DataFrame) -> tuple[list[str], np.ndarray]:
             yield pa.RecordBatch.from_arrays([part["doc_id"], part["toxic"], lists], ["doc_id", "toxic", "has"])
 
     found = rows.mapInArrow(run, "doc_id long, toxic int, has array<int>").toPandas().sort_values(["doc_id", "toxic"], kind="stable")
-    x = np.zeros((len(found), len(known)), np.float32)
+    x = np.zeros((len(found), len(known)), np.uint8)
     for i, has in enumerate(found["has"]):
         x[i, has] = 1
-    may = x[:, [known[c] for c in candidates]]
-    q = label_model(may[:, distinct_voters(may)], found["toxic"].to_numpy())
-    return names, fit_linear(x[:, : len(names)], q)
+    may = x[:, [known[c] for c in candidates]].astype(np.float32)
+    label, x = found["toxic"].to_numpy(), x[:, : len(names)]
+    weights = fit_linear(x, label_model(may[:, distinct_voters(may)], label))
+    z = np.concatenate([x[a : a + BLOCK_ROWS] @ weights[:-1] + weights[-1] for a in range(0, len(x), BLOCK_ROWS)])
+    return names, weights, clean_cut(z, label)
 
 
 def score(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -250,8 +276,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Da
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs whose texts are not predicted to be toxic, with the columns of docs."""
-    names, weights = fit(docs, labels)
+    """The rows of docs whose texts stay below clean_cut(), with the columns of docs."""
+    names, weights, cut = fit_and_cut(docs, labels)
     known = {x: i for i, x in enumerate(names)}
 
     def toxic(texts):
@@ -263,7 +289,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for part in slices(iter([batch])):
             doc, feature, _ = document_features(part["text"], known)
             z = np.bincount(doc, weights[:-1][feature], part.num_rows) + weights[-1] if len(doc) else np.full(part.num_rows, weights[-1])
-            out[part["i"].to_numpy()] = z >= 0
+            out[part["i"].to_numpy()] = z >= cut
         return pd.Series(out)
 
     return docs.filter(~F.pandas_udf(toxic, "boolean")("text"))

@@ -371,6 +371,26 @@ def test_toxicity_learns_words_and_beginnings(spark, empty):
     assert {r.score for r in toxicity.toxicity(docs, marks.limit(0)).collect()} == {0.5}
 
 
+def test_texts_are_dropped_from_the_cut_that_tells_labels_apart():
+    """Even odds where labels are apart; else lower ones that lose few clean texts and find more toxic ones."""
+    apart = np.array([-5.0] * 90 + [4.0] * 10)
+    label = np.array([0] * 90 + [1] * 10)
+    assert toxicity.clean_cut(apart, label) == 0
+    mixed = np.concatenate([np.linspace(-8, -4, 87), [-1.0, -0.5, 1.0], np.full(6, 3.0), np.full(3, -2.0), [-7.0]])
+    assert toxicity.clean_cut(mixed, label) == -2  # nine of ten toxic texts for two clean ones
+    few = np.concatenate([np.linspace(-8, -4, 80), np.full(10, -1.5), np.full(6, 3.0), np.full(4, -2.0)])
+    assert toxicity.clean_cut(few, label) == 0  # all toxic texts would cost more than KEPT_CLEAN allows
+
+
+def test_the_classifier_is_fitted_in_blocks_of_rows(monkeypatch):
+    """The driver holds a block of rows as doubles, not the matrix, with the same weights."""
+    rng = np.random.default_rng(8)
+    x, q = (rng.random((500, 7)) < 0.3).astype(np.uint8), rng.random(500)
+    whole = toxicity.fit_linear(x, q)
+    monkeypatch.setattr(toxicity, "BLOCK_ROWS", 64)
+    assert np.allclose(whole, toxicity.fit_linear(x, q), atol=1e-12)
+
+
 def planted_votes(rng, n, rates):
     """Rows with a hidden class, votes by the class's rates (the last voter mostly follows the first), a noisy label."""
     truth = np.array([rng.random() < 0.3 for _ in range(n)])
