@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from barloom.functions.folders import stored
 from barloom.functions.quantiles import range_of
 
 
@@ -37,10 +38,12 @@ def neighbour_information(df: DataFrame, columns: Sequence[str], label: str, nei
     ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     values = df.select(F.col(label).alias("y"), *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(["y"], list(columns), "feature", "x")
     values = values.filter(F.col("x").isNotNull() & ~F.isnan("x") & F.col("y").isNotNull()).groupBy("feature", "y", "x").agg(F.count("*").alias("w"))
+    values = stored(values, "values")  # this and what follows is read several times: stored, so that it is made once
     labels = values.groupBy("feature", "y").agg(F.sum("w").alias("of_label")).filter("of_label > 1")
     cuts = values.groupBy("feature").agg(F.percentile_approx("x", F.array(*[F.lit(i / ranges) for i in range(1, ranges)]) if ranges > 1 else F.array(F.lit(0.5)), F.lit(1000)).alias("cuts"))
-    d = values.join(labels, ["feature", "y"]).join(F.broadcast(cuts), "feature")  # a row a column
-    d = d.withColumn("range", range_of(F.col("x"), F.col("cuts")))
+    cuts = stored(cuts, "cuts")  # a row a column
+    d = values.join(labels, ["feature", "y"]).join(F.broadcast(cuts), "feature")
+    d = stored(d.withColumn("range", range_of(F.col("x"), F.col("cuts"))).drop("cuts"), "ranges")
 
     # the radius: k values on either side, those at a range's ends from the ranges before and after
     own, k = ["feature", "y", "range"], neighbours

@@ -63,3 +63,20 @@ def test_equals_plain_search(spark, k, ranges):
 def test_empty_table(spark):
     none = spark.createDataFrame([], "a double, label int")
     assert [tuple(r) for r in information.neighbour_information(none, ["a"], "label").collect()] == [("a", None)]
+
+
+def test_values_are_counted_once(spark):
+    """The rows are read to be cut and stored, not again for each place that the values are needed in."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    frame = pd.DataFrame({"a": np.arange(200) % 17 / 3, "label": np.arange(200) % 3})
+    df = spark.createDataFrame(frame).mapInArrow(counted, "a double, label long")
+    found = information.neighbour_information(df, ["a"], "label", 3, 4)
+    stored = read.value
+    assert found.count() == 1 and found.collect()[0].mi is not None
+    assert read.value == stored == 200
